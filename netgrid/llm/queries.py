@@ -19,7 +19,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens of the byte-level vocabulary, end id 2."""
+    from netgrid.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2, capacity=1024)
+
+
+def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the word-end vocabulary, end id 2, written and read back."""
+    from netgrid.llm.elias_fano import token_id_files
+
+    return token_id_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_token_id_files": op8_token_id_files,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
