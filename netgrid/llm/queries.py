@@ -19,6 +19,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written and read back; payloads of 1000 bytes and more are stored once."""
+    from netgrid.llm.warc import warc_round_trip
+
+    records, _ = warc_round_trip(table(spark, sf_dir, "pages"), least=1000)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens of the byte-level vocabulary, end id 2."""
     from netgrid.llm.packing import pack_documents
@@ -34,8 +42,20 @@ def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_writer": op3_warc_writer,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_token_id_files": op8_token_id_files,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_writer": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS html, sha1(encode(coalesce(html, ''))) AS payload_digest,
+                 octet_length(encode(coalesce(html, ''))) AS payload_bytes
+          FROM pages),
+        g AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+               CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN top <> page_id THEN top END AS refers_to
+        FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000""",
+}
