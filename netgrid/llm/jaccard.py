@@ -7,10 +7,12 @@
    ``prefix_size``), so a linked pair meets in a group. Hashes held by many
    classes are passed over where a class has enough others.
 3. In each group a signature tree finds the pairs that may link
-   (``signature_tree``); a large group is cut into bands of size and blocks.
-4. Pairs are verified against the whole sets. A group with many more candidate
-   pairs than members first offers a spanning forest of them; after those are
-   verified only pairs across different components remain to be tried.
+   (``signature_tree``); a large group is cut into bands of size and into
+   blocks, whose pairs are walked apart.
+4. Pairs are verified against the whole sets. A group of many members or with
+   many more candidate pairs than members first offers a chain or a spanning
+   forest of them. When those are verified, only pairs across different
+   components remain to be tried: all of these are walked and verified too.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ from netgrid.plans.storage import materialise
 
 #: A group of more members than this is cut into bands of size and blocks of members.
 BLOCK = 512
+#: A group of more members first offers only the chain of its bitmaps.
+SMALL = 64
+#: The zone of cells that offer their chain.
+CHAIN = -1
 #: A hash in more classes than this is passed over where others serve as well.
 COMMON = 64
 #: At most so many common hashes are named; the least frequency rises to keep to it.
@@ -100,61 +106,60 @@ def _keys(reps: DataFrame, common: np.ndarray, k_low: int, sketch: int) -> DataF
     return reps.select("id", "n", "tokens").mapInArrow(run, "token long, id long, n long")
 
 
-def _cells(keys: DataFrame, num: int, den: int) -> DataFrame:
-    """Deal each key to cells: one for a small group; else by band of size and by pairs of blocks.
+def _banded(k: DataFrame, num: int, den: int) -> DataFrame:
+    """Deal the keys of large groups to cells, by band of size and by pairs of blocks of members.
 
     ``role`` is 0 for a member of the cell's own band and 1 for one of the band
     below, which pairs with the own members only. ``salt`` tells the block.
     """
-    counts = keys.groupBy("token").agg(F.count("*").alias("c")).where("c >= 2")
-    k = keys.join(counts, "token")
     step = -math.log(num / den) if 0 < num < den else 1.0
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
-    blocks = F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int")
-    salt = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    k = k.withColumns({"blocks": blocks, "salt": salt, "band": F.when(F.col("c") > BLOCK, band).otherwise(F.lit(0))})
-    small = k.where(F.col("c") <= BLOCK).select(
-        "token", F.lit(0).alias("zone"), F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "n", F.lit(0).alias("role"), F.lit(0).alias("salt")
-    )
-    large = (
-        k.where(F.col("c") > BLOCK)
-        .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("role"))
+    return (
+        k.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("role"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select(
-            "token", (F.col("band") + F.col("role")).alias("zone"), F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"),
-            "id", "n", "role", "salt",
+            "token", (band + F.col("role")).alias("zone"), F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"),
+            "id", "n", "role", "salt", "component",
         )
     )
-    return small.unionByName(large)
+
+
+def _whole(k: DataFrame, zone: int, x) -> DataFrame:
+    zero = F.lit(0)
+    return k.select("token", F.lit(zone).alias("zone"), x.alias("x"), x.alias("y"), "id", "n", zero.alias("role"), zero.alias("salt"), "component")
 
 
 def _walk(cells: DataFrame, num: int, den: int, across: bool) -> DataFrame:
     """``(a, b, token)``: candidate pairs of every cell; a row without b says that the cell has more of them.
 
-    across: cells carry ``component`` and pairs inside one component are left out.
+    across: pairs inside one ``component`` are left out; else cells of zone
+    CHAIN offer their chain only, and others with many candidates a forest.
     """
     columns = ["token", "zone", "x", "y", "id", "n", "role", "salt", "component", "bits"]
-    if not across:
-        cells = cells.withColumn("component", F.col("id"))
     dealt = cells.select(*columns).repartition("token", "zone", "x", "y").sortWithinPartitions("token", "zone", "x", "y", "id")
 
     def solve(t: dict[str, np.ndarray], bits: list[bytes]) -> Iterator[tuple[int, int | None, int]]:
         ids, sizes, token = t["id"], t["n"], int(t["token"][0])
-        if len(ids) < 2 or (across and (t["component"] == t["component"][0]).all()):
+        part = t["component"] if across else None
+        if len(ids) < 2 or (across and (part == part[0]).all()):
             return
-        a, b, most = tree.candidates(sizes, [np.frombuffer(x, dtype=np.uint64) for x in bits], num, den)
-        role, salt = t["role"], t["salt"]
-        ok = (role[a] + role[b] < 2) & (ids[a] != ids[b])
-        if t["x"][0] != t["y"][0]:
-            ok &= salt[a] != salt[b]
-        if across:
-            ok &= t["component"][a] != t["component"][b]
-        a, b, most = a[ok], b[ok], most[ok]
-        if not across and len(a) > 2 * len(ids):
-            kept = tree.forest(a, b, most / (sizes[a] + sizes[b] - most), len(ids))
-            if len(kept) < len(a):
-                yield int(ids[0]), None, token
-            a, b = a[kept], b[kept]
+        maps = [np.frombuffer(x, dtype=np.uint64) for x in bits]
+        if int(t["zone"][0]) == CHAIN:
+            a, b = tree.chain(sizes, maps, num, den)
+        else:
+            a, b, most = tree.candidates(sizes, maps, num, den, part)
+            role, salt = t["role"], t["salt"]
+            ok = (role[a] + role[b] < 2) & (ids[a] != ids[b])
+            if t["x"][0] != t["y"][0]:
+                ok &= salt[a] != salt[b]
+            if across:
+                ok &= part[a] != part[b]
+            a, b, most = a[ok], b[ok], most[ok]
+            if not across and len(a) > 2 * len(ids):
+                kept = tree.forest(a, b, most / (sizes[a] + sizes[b] - most), len(ids))
+                if len(kept) < len(a):
+                    yield int(ids[0]), None, token
+                a, b = a[kept], b[kept]
         for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
             yield min(x, y), max(x, y), token
 
@@ -261,21 +266,28 @@ def jaccard_join(
     return members, links
 
 
-def _links(reps, docs, id_col, text_col, k, num, den, low, sketch) -> DataFrame:
+def _links(reps, docs, id_col, text_col, k_words, num, den, low, sketch) -> DataFrame:
     tokens = reps.select(F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
     least = max(COMMON, reps.count() * sketch // MOST_COMMON)
     common = np.asarray(often.where(F.col("c") > least).select("token").toArrow().column(0), dtype=np.int64)
-    cells = _cells(_keys(reps, common, low, sketch), num, den)
-    dealt = cells.join(reps.select("id", "bits"), "id")
-    first = materialise(_walk(dealt, num, den, across=False), "candidates")
+    keys = _keys(reps, common, low, sketch)
+    counts = keys.groupBy("token").agg(F.count("*").alias("c")).where("c >= 2")
+    blocks = F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int")
+    k = keys.join(counts, "token").withColumns({"component": F.col("id"), "blocks": blocks, "salt": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    k = materialise(k, "keys")
+    bits = reps.select("id", "bits")
+    small, large = k.where(F.col("c") <= SMALL), k.where(F.col("c") > SMALL)
+    cells = _whole(small, 0, F.lit(0)).unionByName(_whole(large, CHAIN, F.col("salt")))
+    first = materialise(_walk(cells.join(bits, "id"), num, den, across=False), "candidates")
     pairs = first.where("b is not null").select("a", "b").distinct()
-    links = materialise(verified(pairs, docs, id_col, text_col, k, num, den), "links")
-    more = first.where("b is null").select("token").distinct()
-    if not more.isEmpty():
-        parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        again = dealt.join(more, "token", "left_semi").join(parts.withColumnRenamed("node", "id"), "id", "left")
-        again = again.withColumn("component", F.coalesce("component", "id"))
-        rest = materialise(_walk(again, num, den, across=True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
-        links = links.unionByName(materialise(verified(rest, docs, id_col, text_col, k, num, den), "links"))
-    return links
+    links = materialise(verified(pairs, docs, id_col, text_col, k_words, num, den), "links")
+    parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    now = k.drop("component").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_tokens = first.where("b is null").select("token").distinct().unionByName(
+        now.where(F.col("c") > SMALL).groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    )
+    now = materialise(now.join(open_tokens, "token", "left_semi"), "open")
+    cells = _whole(now.where(F.col("c") <= BLOCK), 0, F.lit(0)).unionByName(_banded(now.where(F.col("c") > BLOCK), num, den))
+    rest = materialise(_walk(cells.join(bits, "id"), num, den, across=True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
+    return links.unionByName(materialise(verified(rest, docs, id_col, text_col, k_words, num, den), "links"))

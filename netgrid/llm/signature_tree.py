@@ -12,7 +12,7 @@ from itertools import pairwise
 
 import numpy as np
 
-LEAF = 8
+LEAF = 32
 FANOUT = 8
 
 
@@ -49,18 +49,28 @@ class Node:
     members: np.ndarray | None  # of a leaf
     each: np.ndarray | None  # members' bitmaps of a leaf, at its width
     children: list[Node]
+    label: int  # the members' common label, or -1
 
 
-def build(sizes: np.ndarray, maps: list[np.ndarray]) -> Node | None:
-    """A tree over sets ordered by size; neighbours in size share a leaf."""
-    order = np.argsort(sizes, kind="stable")
+def build(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray | None = None) -> Node | None:
+    """A tree over sets ordered by size; neighbours in size share a leaf.
+
+    labels: members of a frequent label share leaves of their own.
+    """
+    if labels is None:
+        labels, group = np.arange(len(sizes)), np.zeros(len(sizes), dtype=np.int64)
+    else:
+        _, at, count = np.unique(labels, return_inverse=True, return_counts=True)
+        group = np.where(count[at] >= LEAF // 4, at, -1)
+    order = np.lexsort((sizes, group))
+    ends = np.flatnonzero(np.diff(group[order])) + 1
     level = []
-    for part in np.split(order, range(LEAF, len(order), LEAF)) if len(order) else []:
-        words = min(len(maps[i]) for i in part)
-        each = np.stack([fold(maps[i], words) for i in part])
-        level.append(
-            Node(sizes[part].min(), sizes[part].max(), np.bitwise_or.reduce(each), int(count_bits(each).min()), part, each, [])
-        )
+    for run in np.split(order, ends) if len(order) else []:
+        for part in np.split(run, range(LEAF, len(run), LEAF)):
+            words = min(len(maps[i]) for i in part)
+            each = np.stack([fold(maps[i], words) for i in part])
+            own = int(labels[part[0]]) if (labels[part] == labels[part[0]]).all() else -1
+            level.append(Node(sizes[part].min(), sizes[part].max(), np.bitwise_or.reduce(each), int(count_bits(each).min()), part, each, [], own))
     while len(level) > 1:
         above = []
         for i in range(0, len(level), FANOUT):
@@ -68,7 +78,8 @@ def build(sizes: np.ndarray, maps: list[np.ndarray]) -> Node | None:
             words = min(len(x.bits) for x in below)
             least = min(-(-x.least * words // len(x.bits)) for x in below)
             bits = np.bitwise_or.reduce(np.stack([fold(x.bits, words) for x in below]))
-            above.append(Node(min(x.lo for x in below), max(x.hi for x in below), bits, least, None, None, below))
+            own = below[0].label if len({x.label for x in below}) == 1 else -1
+            above.append(Node(min(x.lo for x in below), max(x.hi for x in below), bits, least, None, None, below, own))
         level = above
     return level[0] if level else None
 
@@ -97,13 +108,18 @@ def leaf_pairs(p: Node, q: Node, sizes: np.ndarray, num: int, den: int) -> tuple
     return p.members[i], q.members[j], most[i, j]
 
 
-def candidates(sizes: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs that may link, by a dual walk of the tree with itself; none that links is missed."""
-    root, found = build(sizes, maps), []
+def candidates(
+    sizes: np.ndarray, maps: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs that may link, by a dual walk of the tree with itself; none that links is missed.
+
+    labels: nodes that share one label are not compared.
+    """
+    root, found = build(sizes, maps, labels), []
     stack = [(root, root)] if root else []
     while stack:
         p, q = stack.pop()
-        if not can_overlap(p, q, num, den):
+        if (labels is not None and p.label == q.label != -1) or not can_overlap(p, q, num, den):
             continue
         if p.members is not None and q.members is not None:
             found.append(leaf_pairs(p, q, sizes, num, den))
@@ -119,6 +135,17 @@ def candidates(sizes: np.ndarray, maps: list[np.ndarray], num: int, den: int) ->
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def chain(sizes: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbours that may link, in the order of their bitmaps: a few likely links of a large group."""
+    words = min(len(m) for m in maps)
+    each = np.stack([fold(m, words) for m in maps])
+    order = np.lexsort(each.T[::-1])
+    a, b = order[:-1], order[1:]
+    most = np.minimum(sizes[a] - count_bits(each[a] & ~each[b]), sizes[b] - count_bits(each[b] & ~each[a]))
+    ok = most * (num + den) >= num * (sizes[a] + sizes[b])
+    return a[ok], b[ok]
+
+
 def forest(a: np.ndarray, b: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
     """Of candidate pairs, those of a spanning forest, likeliest links first."""
     top = np.arange(n)
