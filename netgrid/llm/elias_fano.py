@@ -136,7 +136,7 @@ def write_ids(
 
     def run(batches):
         e, held = encoder(tokenizer, leading), None
-        width = 2 if e.model.get_vocab_size() <= 1 << 16 else 4
+        width = 2 if e.vocab_size <= 1 << 16 else 4
         end = np.array([end_id], dtype="<u4").tobytes()
         made = []
 

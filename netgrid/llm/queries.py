@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against every passage of every document; a row for each pair found."""
+    from netgrid.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of at least 0.9."""
     from netgrid.llm.jaccard import jaccard_join
@@ -19,6 +26,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from netgrid.llm.html import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 2 of 4 by crc32 is held out."""
+    from netgrid.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held=2, modulus=4)
+
+
 def op3_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page, written and read back; payloads of 1000 bytes and more are stored once."""
     from netgrid.llm.warc import warc_round_trip
@@ -34,6 +55,27 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2, capacity=1024)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 0 of 5 by crc32 is held out."""
+    from netgrid.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held=0, modulus=5)
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of every text and of its edited text, and their likeness."""
+    from netgrid.llm.syncmers import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 0 of 5 by crc32 is held out."""
+    from netgrid.llm.language import languages
+
+    return languages(table(spark, sf_dir, "documents"), held=0, modulus=5)
+
+
 def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the word-end vocabulary, end id 2, written and read back."""
     from netgrid.llm.elias_fano import token_id_files
@@ -42,9 +84,15 @@ def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_toxicity": op2_toxicity,
     "op3_warc_writer": op3_warc_writer,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_language_id": op7_language_id,
     "op8_token_id_files": op8_token_id_files,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {

@@ -26,6 +26,26 @@ _plain = "ɐ"  # below it, Python and the library agree on what a letter is
 _bare = "\0"  # marks the key of a piece that no space leads
 
 
+class _Store(dict):
+    """Pieces by key; one that is missing is made and kept."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            self[key] = value
+        return value
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else the next above 255."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, packed in bytes.
 
@@ -35,16 +55,32 @@ class Encoder:
 
     def __init__(self, file: str, leading: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.model = Tokenizer.from_file(public_tokenizers.path(file))
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.vocab_size = self.tokenizer.get_vocab_size()
         self.leading = leading
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _library(self, keys: list[str]) -> list[bytes]:
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.young, self.old = _Store(self._make), {}
+
+    def _make(self, key: str) -> bytes:
+        if key in self.old:
+            return self.old[key]
+        if key.isalpha() and max(key) < _plain and "İ" not in key:
+            return self._word(key)
+        atoms = self._atoms(key)
+        if len(atoms) > 1 or atoms[0] != key:
+            return b"".join([self.young[a] for a in atoms])
         if self.leading:
-            keys = [k[1:] if k[:1] == _bare else " " + k for k in keys]
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(keys, add_special_tokens=False)]
+            key = key[1:] if key[:1] == _bare else " " + key
+        return array("I", self.tokenizer.encode(key, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A run of letters is one piece for the library's model too, without its splitting rules."""
+        word = " " + word if self.leading else word.lower()
+        if self.leading or not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         if _bare in text:  # keeps keys apart
@@ -58,7 +94,7 @@ class Encoder:
         bare = _bare if self.leading else ""
         mark, piece = (bare, key[1:]) if bare and key[:1] == bare else ("", key)
         lines = piece.split("\n")
-        if "" in lines or _other_space.search(piece) or " " in piece or _bare in piece:
+        if "" in lines or not piece or _other_space.search(piece) or " " in piece or _bare in piece:
             return [key]
         out = []
         for i, line in enumerate(lines):
@@ -75,32 +111,14 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
-        parts = [self._pieces(t or "") for t in texts]
-        if self.leading:
-            for p in parts:
-                p[0] = _bare + p[0]
-        young, old = self.young, self.old
-        made, need = {}, set()
-        for p in set().union(*parts).difference(young):
-            if p in old:
-                young[p] = old[p]
-            else:
-                made[p] = own = [p] if p.isalpha() and self.leading else self._atoms(p)
-                need.update(own)
-        for p in need.intersection(old):
-            young[p] = old[p]
-        need = list(need.difference(young))
-        young.update(zip(need, self._library(need), strict=True))
-        for p, own in made.items():
-            if len(own) > 1 or own[0] != p:
-                young[p] = b"".join([young[a] for a in own])
-        out = [b"".join(map(young.__getitem__, p)) for p in parts]
-        if any(len(p) > LONGEST_KEPT for p in made):
-            for p in {*made, *need}:
-                if len(p) > LONGEST_KEPT:
-                    young.pop(p, None)
-        if len(young) > ROUND:
-            self.old, self.young = young, {}
+        out = []
+        for t in texts:
+            pieces = self._pieces(t or "")
+            if self.leading:
+                pieces[0] = _bare + pieces[0]
+            out.append(b"".join(map(self.young.__getitem__, pieces)))
+        if len(self.young) > ROUND:
+            self.old, self.young = self.young, _Store(self._make)
         return out
 
 
