@@ -291,3 +291,20 @@ def _links(reps, docs, id_col, text_col, k_words, num, den, low, sketch) -> Data
     cells = _whole(now.where(F.col("c") <= BLOCK), 0, F.lit(0)).unionByName(_banded(now.where(F.col("c") > BLOCK), num, den))
     rest = materialise(_walk(cells.join(bits, "id"), num, den, across=True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
     return links.unionByName(materialise(verified(rest, docs, id_col, text_col, k_words, num, den), "links"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """Of every group of near copies the document with the least id, with its columns.
+
+    Rows without an id stay, as do blank texts. Of rows that share an id the
+    one with the least text stays.
+    """
+    members, _ = jaccard_join(docs, k=k, num=num, den=den)
+    losers = materialise(members.where("doc_id <> component_id").select(F.col("doc_id")).distinct(), "losers")
+    left = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    first = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+    return once.unionByName(first.select("row.*"))

@@ -47,3 +47,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rou
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def keep_rows(docs: DataFrame, scorer, good) -> DataFrame:
+    """The rows of ``docs`` whose scores ``good`` accepts, all columns unchanged; ``scorer()`` makes a function of texts in each task."""
+    at = docs.columns.index("text")
+    texts = docs.withColumn("text", F.col("text").cast("string")) if dict(docs.dtypes)["text"] != "string" else docs
+
+    def run(batches):
+        score = scorer()
+        for b in batches:
+            mask = [x for i in range(0, b.num_rows, 128) for x in good(score(b.column(at).slice(i, 128).to_pylist())).tolist()]
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgrid.llm.labelled import fold, logistic, sample_texts, sigmoid
+from netgrid.llm.labelled import fold, keep_rows, logistic, sample_texts, sigmoid
 
 HIDDEN = 16
 _COUNTED = b"#%&*$!|?@/\\<>{}[]()_=+~^;:'\"-.,"
@@ -170,3 +170,14 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = 8_000, held: int = 0
         "doc_id", F.coalesce(fold("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, most: int = 8_000, held: int = 0, modulus: int = 5, threshold: float = 0.3) -> DataFrame:
+    """The documents that are scored as good, with their columns; null texts are scored as empty ones."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, most, held, modulus))
+
+    def scorer():
+        net = sent.value
+        return lambda texts: net.score(np.array([form(t) for t in texts])) if net else np.ones(len(texts))
+
+    return keep_rows(docs, scorer, lambda s: s >= threshold)

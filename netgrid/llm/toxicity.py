@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.hashing import mix
-from netgrid.llm.labelled import fold, logistic, sample_texts, sigmoid
+from netgrid.llm.labelled import fold, keep_rows, logistic, sample_texts, sigmoid
 
 BUCKETS = 1 << 17
 SIZE = 8  # of a vector
@@ -250,3 +250,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 10_000, held: int =
         "doc_id", F.coalesce(fold("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = 10_000, held: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:
+    """The documents that are not scored toxic, with their columns; rows without text stay."""
+    train = labels.where(fold("doc_id", modulus) != held).select("doc_id", F.col("toxic").cast("double").alias("y"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample_texts(docs, train, most)))
+
+    def scorer():
+        known: dict[str, float] = {}
+        return lambda texts: np.where([bool(t) for t in texts], sent.value.score(texts, known), 0.0)
+
+    return keep_rows(docs, scorer, lambda s: s < threshold)
