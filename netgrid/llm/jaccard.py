@@ -12,7 +12,8 @@
 4. Pairs are verified against the whole sets. A group of many members or with
    many more candidate pairs than members first offers a chain or a spanning
    forest of them. When those are verified, only pairs across different
-   components remain to be tried: all of these are walked and verified too.
+   components remain to be tried: the next round offers a forest of these, and
+   the last one all that are left.
 """
 
 from __future__ import annotations
@@ -129,12 +130,15 @@ def _whole(k: DataFrame, zone: int, x) -> DataFrame:
     return k.select("token", F.lit(zone).alias("zone"), x.alias("x"), x.alias("y"), "id", "n", zero.alias("role"), zero.alias("salt"), "component")
 
 
-def _walk(cells: DataFrame, num: int, den: int, across: bool) -> DataFrame:
+def _walk(cells: DataFrame, num: int, den: int, offer: str) -> DataFrame:
     """``(a, b, token)``: candidate pairs of every cell; a row without b says that the cell has more of them.
 
-    across: pairs inside one ``component`` are left out; else cells of zone
-    CHAIN offer their chain only, and others with many candidates a forest.
+    offer: "first": cells of zone CHAIN offer their chain, others with many
+    candidates a spanning forest. The others leave out pairs inside one
+    ``component``: "best" offers a spanning forest of the components, likeliest
+    pairs first, "all" offers all pairs.
     """
+    across = offer != "first"
     columns = ["token", "zone", "x", "y", "id", "n", "role", "salt", "component", "bits"]
     dealt = cells.select(*columns).repartition("token", "zone", "x", "y").sortWithinPartitions("token", "zone", "x", "y", "id")
 
@@ -155,8 +159,9 @@ def _walk(cells: DataFrame, num: int, den: int, across: bool) -> DataFrame:
             if across:
                 ok &= part[a] != part[b]
             a, b, most = a[ok], b[ok], most[ok]
-            if not across and len(a) > 2 * len(ids):
-                kept = tree.forest(a, b, most / (sizes[a] + sizes[b] - most), len(ids))
+            if offer == "best" or (offer == "first" and len(a) > 2 * len(ids)):
+                node = np.unique(t["component"], return_inverse=True)[1]
+                kept = tree.forest(node[a], node[b], most / (sizes[a] + sizes[b] - most), len(ids))
                 if len(kept) < len(a):
                     yield int(ids[0]), None, token
                 a, b = a[kept], b[kept]
@@ -279,18 +284,24 @@ def _links(reps, docs, id_col, text_col, k_words, num, den, low, sketch) -> Data
     bits = reps.select("id", "bits")
     small, large = k.where(F.col("c") <= SMALL), k.where(F.col("c") > SMALL)
     cells = _whole(small, 0, F.lit(0)).unionByName(_whole(large, CHAIN, F.col("salt")))
-    first = materialise(_walk(cells.join(bits, "id"), num, den, across=False), "candidates")
-    pairs = first.where("b is not null").select("a", "b").distinct()
-    links = materialise(verified(pairs, docs, id_col, text_col, k_words, num, den), "links")
-    parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    now = k.drop("component").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_tokens = first.where("b is null").select("token").distinct().unionByName(
-        now.where(F.col("c") > SMALL).groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    )
-    now = materialise(now.join(open_tokens, "token", "left_semi"), "open")
-    cells = _whole(now.where(F.col("c") <= BLOCK), 0, F.lit(0)).unionByName(_banded(now.where(F.col("c") > BLOCK), num, den))
-    rest = materialise(_walk(cells.join(bits, "id"), num, den, across=True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
-    return links.unionByName(materialise(verified(rest, docs, id_col, text_col, k_words, num, den), "links"))
+    found = materialise(_walk(cells.join(bits, "id"), num, den, "first"), "candidates")
+    tried = materialise(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    links = materialise(verified(tried, docs, id_col, text_col, k_words, num, den), "links")
+    todo = found.where("b is null").select("token").unionByName(large.select("token")).distinct()
+    for offer in ("best", "all"):
+        if todo.isEmpty():
+            break
+        parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        now = k.drop("component").join(todo, "token", "left_semi").join(parts.withColumnRenamed("node", "id"), "id", "left")
+        now = materialise(now.withColumn("component", F.coalesce("component", "id")), "keys")
+        several = now.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
+        now = now.join(several.select("token"), "token", "left_semi")
+        cells = _whole(now.where(F.col("c") <= BLOCK), 0, F.lit(0)).unionByName(_banded(now.where(F.col("c") > BLOCK), num, den))
+        found = materialise(_walk(cells.join(bits, "id"), num, den, offer), "candidates")
+        new = materialise(found.where("b is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(materialise(verified(new, docs, id_col, text_col, k_words, num, den), "links"))
+        tried, todo = tried.unionByName(new), found.where("b is null").select("token").distinct()
+    return links
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -17,8 +17,8 @@ FANOUT = 8
 
 
 def bitmap_width(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: a power of two of at least 2n, from 128 to 65,536."""
-    return 1 << min(16, max(7, (2 * n - 1).bit_length()))
+    """Bits of the bitmap of a set of n tokens: a power of two of at least 4n, from 128 to 131,072."""
+    return 1 << min(17, max(7, (4 * n - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -147,7 +147,7 @@ def chain(sizes: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> tupl
 
 
 def forest(a: np.ndarray, b: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
-    """Of candidate pairs, those of a spanning forest, likeliest links first."""
+    """Of candidate pairs of n nodes, those of a spanning forest, highest scores first."""
     top = np.arange(n)
 
     def find(x: int) -> int:
