@@ -30,8 +30,13 @@ EDGE = ".,;:!?\"'()[]{}<>|#%&*$-_/\\«»¿¡…“”‘’"
 MOST_WORDS = 400_000  # that a worker keeps
 
 
-def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(words: list[str], size: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of 3 to 5 characters, with end marks, of all words; and each word's count."""
+    parts = [_ngrams(words[i : i + size]) for i in range(0, len(words), size)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w.strip(EDGE) or w}>" for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
@@ -46,9 +51,8 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ok = at + k < last
             buckets.append((mix(roll[ok]) % np.uint64(BUCKETS)).astype(np.int32))
             owner.append(word[ok])
-    order = np.argsort(np.concatenate(owner), kind="stable") if owner else np.zeros(0, np.int64)
-    flat = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-    return np.concatenate(buckets)[order], np.bincount(flat, minlength=len(words))
+    flat = np.concatenate(owner)
+    return np.concatenate(buckets)[np.argsort(flat, kind="stable")], np.bincount(flat, minlength=len(words))
 
 
 def passages(n: int) -> np.ndarray:
@@ -238,7 +242,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFra
     return src.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = 10_000, held: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = 6_000, held: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
     The model is fitted on at most about ``most`` labelled rows whose fold is not ``held``.
@@ -252,7 +256,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 10_000, held: int =
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = 10_000, held: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = 6_000, held: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:
     """The documents that are not scored toxic, with their columns; rows without text stay."""
     train = labels.where(fold("doc_id", modulus) != held).select("doc_id", F.col("toxic").cast("double").alias("y"))
     sent = docs.sparkSession.sparkContext.broadcast(fit(*sample_texts(docs, train, most)))
