@@ -148,6 +148,12 @@ def misspelt(word: str, rng: np.random.Generator) -> str:
     return core[:i] + "abcdefghijklmnopqrstuvwxyz0134*@$"[int(rng.integers(33))] + core[i + 1 :]
 
 
+def _starts(n: int, size: int, least: int = 120) -> list[int]:
+    """Starts of the batches of an epoch; few batches are gone through again, up to about ``least``."""
+    one = list(range(0, n, size))
+    return one * max(1, -(-least // len(one))) if one else []
+
+
 def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], axis=1)
 
@@ -191,8 +197,9 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
                 y = toxic[bag.owner].astype(int)
         rows = rng.permutation(np.concatenate([a, b]))
         weight = np.where(y[rows] == 1, 0.5 * len(rows) / max(len(a), 1), 0.5 * len(rows) / max(len(b), 1))
-        for lo in range(0, len(rows), 1024):
-            r, wt = rows[lo : lo + 1024], weight[lo : lo + 1024]
+        size = 1024 if len(rows) > 40_000 else 256
+        for lo in _starts(len(rows), size):
+            r, wt = rows[lo : lo + size], weight[lo : lo + size]
             w = bag.words[r]
             ids, inv = np.unique(w, return_inverse=True)
             inv = inv.reshape(w.shape)
