@@ -134,6 +134,7 @@ def _interval(px: Column, py: Column, dx: Column, dy: Column, cx: Column, cy: Co
     disc = b * b - a * (fx * fx + fy * fy - buf * buf)
     ok = (disc >= 0) & (a > 0)
     root = F.sqrt(F.greatest(disc, F.lit(0.0)))
+    a = F.nullif(a, F.lit(0.0))
     return F.when(ok, (-b - root) / a), F.when(ok, (-b + root) / a)
 
 
@@ -155,11 +156,11 @@ def share_along(segments: DataFrame, zone: DataFrame, keys: list[str], buf: floa
     px, py = F.col("x0"), F.col("y0")
     dx, dy = F.col("x1") - px, F.col("y1") - py
     ux, uy = F.col("zx1") - F.col("zx0"), F.col("zy1") - F.col("zy0")
-    norm = F.hypot(ux, uy)
+    norm = F.nullif(F.hypot(ux, uy), F.lit(0.0))  # null for a point
     d0, d1 = _interval(px, py, dx, dy, F.col("zx0"), F.col("zy0"), buf), _interval(px, py, dx, dy, F.col("zx1"), F.col("zy1"), buf)
 
     def between(p, d, lo, hi):
-        t0, t1 = (lo - p) / d, (hi - p) / d
+        t0, t1 = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
         whole = (p >= lo) & (p <= hi)
         inf = F.lit(1e18)
         return F.when(d == 0, F.when(whole, -inf).otherwise(inf)).otherwise(F.least(t0, t1)), F.when(d == 0, F.when(whole, inf).otherwise(-inf)).otherwise(F.greatest(t0, t1))
@@ -172,7 +173,8 @@ def share_along(segments: DataFrame, zone: DataFrame, keys: list[str], buf: floa
     slab = (norm > 0) & (low <= high)
     t0 = F.least(d0[0], d1[0], F.when(slab, low))  # nulls are passed over
     t1 = F.greatest(d0[1], d1[1], F.when(slab, high))
-    inside = pair.select(*keys, "line_id", F.greatest(t0, F.lit(0.0)).alias("t0"), F.least(t1, F.lit(1.0)).alias("t1")).where("t0 < t1")
+    inside = pair.select(*keys, "line_id", t0.alias("t0"), t1.alias("t1")).where("t0 IS NOT NULL")
+    inside = inside.select(*keys, "line_id", F.greatest("t0", F.lit(0.0)).alias("t0"), F.least("t1", F.lit(1.0)).alias("t1")).where("t0 < t1")
     w = Window.partitionBy(*keys, "line_id").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
     new = inside.withColumn("seen", F.coalesce(F.max("t1").over(w), F.lit(0.0)))
     got = new.groupBy(*keys, "line_id").agg(F.sum(F.greatest(F.col("t1") - F.greatest("t0", "seen"), F.lit(0.0))).alias("share"))
