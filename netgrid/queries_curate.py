@@ -174,7 +174,7 @@ def _(t):
     return ledger.unsupported_numbers(r, t.events.select("user_id", ((F.col("event_id") % 50) / 100).alias("value")), "user_id")
 
 
-@query("i13_parse_reviews", """SELECT event_id, CAST(event_id % 7 AS DOUBLE) AS completeness, -1.0 AS correctness, CASE WHEN event_id % 3 = 0 THEN -1.0 ELSE 0.5 END AS overall, event_type AS verdict, event_type AS problems FROM events""")
+@query("i13_parse_reviews", """SELECT event_id, CAST(event_id % 7 AS DOUBLE) AS completeness, CAST(-1.0 AS DOUBLE) AS correctness, CAST(CASE WHEN event_id % 3 = 0 THEN -1.0 ELSE 0.5 END AS DOUBLE) AS overall, event_type AS verdict, event_type AS problems FROM events""")
 def _(t):
     e = F.col("event_id")
     text = F.concat(F.lit('sure: {"completeness": '), (e % 7).cast("string"), F.lit(', "overall": '), F.when(e % 3 == 0, '"bad"').otherwise("0.5"), F.lit(', "verdict": "'), F.col("event_type"), F.lit('", "problems": "'), F.col("event_type"), F.lit('"} end'))

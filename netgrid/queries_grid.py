@@ -103,8 +103,8 @@ def _(t):
     return grid.plan_chips(_rasters(t), 128, 32).select("raster_id", "chip_id", "col_off", "row_off", "w", "h")
 
 
-@query("b11_chip_bounds", AXIS + """SELECT raster_id, chip_id, 1000.0 * raster_id + col_off * 0.5 AS minx, 1000.0 * raster_id + (col_off + w) * 0.5 AS maxx,
-  5000.0 - row_off * 0.5 AS maxy, 5000.0 - (row_off + h) * 0.5 AS miny FROM ch""")
+@query("b11_chip_bounds", AXIS + """SELECT raster_id, chip_id, CAST(1000.0 * raster_id + col_off * 0.5 AS DOUBLE) AS minx, CAST(1000.0 * raster_id + (col_off + w) * 0.5 AS DOUBLE) AS maxx,
+  CAST(5000.0 - row_off * 0.5 AS DOUBLE) AS maxy, CAST(5000.0 - (row_off + h) * 0.5 AS DOUBLE) AS miny FROM ch""")
 def _(t):
     r = _rasters(t).withColumns({"x0": F.col("raster_id") * 1000.0, "y0": F.lit(5000.0), "px": F.lit(0.5)})
     return grid.chip_bounds(grid.plan_chips(r, 128, 32)).select("raster_id", "chip_id", "minx", "maxx", "maxy", "miny")
