@@ -96,6 +96,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op10_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE
+            WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+            WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        often AS (SELECT shingle FROM s GROUP BY shingle HAVING count(*) > 1),
+        t AS (SELECT s.* FROM s SEMI JOIN often USING (shingle)),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS m FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * m >= 90 * (x.n + y.n - m)),
+        b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id)
+        JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = w.doc_id""",
     "op3_warc_writer": """
         WITH p AS (
           SELECT page_id, coalesce(html, '') AS html, sha1(encode(coalesce(html, ''))) AS payload_digest,
