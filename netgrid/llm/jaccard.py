@@ -33,7 +33,7 @@ from netgrid.plans.components import connected_components
 from netgrid.plans.storage import materialise
 
 #: A group of more members than this is cut into bands of size and blocks of members.
-BLOCK = 512
+BLOCK = 2048
 #: A group of more members first offers only the chain of its bitmaps.
 SMALL = 64
 #: The zone of cells that offer their chain.
@@ -197,17 +197,18 @@ def _with_end(batches):
     yield None
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Those of the distinct ``(a, b)`` whose whole sets link, with the sizes of overlap and union."""
-    spark = docs.sparkSession
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets_of(pairs: DataFrame, side: str, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``(side, s + side)``: the whole sets of the documents on one side of the pairs.
+
+    Up to MOST_IDS ids are sent to every task, so that other texts are not moved; beyond that a join finds them.
+    """
+    need = pairs.select(F.col(side).alias("id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    count = need.count()
-    if count <= MOST_IDS:
-        ids = np.sort(np.asarray(need.toArrow().column(0), dtype=np.int64))
-        wanted = spark.sparkContext.broadcast(ids)
+    wanted = None
+    if need.count() <= MOST_IDS:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(need.toArrow().column(0), dtype=np.int64)))
     else:
-        wanted, texts = None, texts.join(need, "id", "left_semi")
+        texts = texts.join(need, "id", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -215,10 +216,14 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: i
             pick = np.flatnonzero(np.isin(ids, wanted.value)) if wanted else np.arange(len(ids))
             if len(pick):
                 own = b.column(1).take(pa.array(pick)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pick], pa.int64()), pa.array([s.tobytes() for _, s in _sets(own, k)], pa.binary())], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pick], pa.int64()), pa.array([s.tobytes() for _, s in _sets(own, k)], pa.binary())], names=[side, "s" + side])
 
-    sets = texts.mapInArrow(run, "id long, s binary")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return texts.mapInArrow(run, f"{side} long, s{side} binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Those of the distinct ``(a, b)`` whose whole sets link, with the sizes of overlap and union."""
+    both = pairs.join(_sets_of(pairs, "a", docs, id_col, text_col, k), "a").join(_sets_of(pairs, "b", docs, id_col, text_col, k), "b")
 
     def check(batches):
         for b in batches:
