@@ -29,6 +29,10 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Up to so many revisits are sent to every task, so that payloads are moved once only; beyond that they are joined by a shuffle.
+MOST_SENT = 200_000
+
+
 def warc_sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -124,7 +128,9 @@ def with_revisits(pages: DataFrame, least: int, id_col: str = "page_id", url_col
     refs = groups.select("sha1", "size", F.col("ref.page_id").alias("ref_id"), F.col("ref.url").alias("ref_url"))
     # only ids and digests are joined; the payloads are not moved for it
     other = p.where(F.col("size") >= least).select("page_id", "sha1", "size").join(refs, ["sha1", "size"]).where("page_id <> ref_id")
-    other = other.dropDuplicates(["page_id", "sha1"]).select("page_id", "sha1", "ref_id", "ref_url")
+    other = materialise(other.dropDuplicates(["page_id", "sha1"]).select("page_id", "sha1", "ref_id", "ref_url"), "revisits")
+    if other.count() <= MOST_SENT:
+        other = F.broadcast(other)
     return p.join(other, ["page_id", "sha1"], "left")
 
 
