@@ -30,7 +30,7 @@ from netgrid.llm.hashing import chunks, one_word_hashes, word_hashes
 from netgrid.plans.storage import materialise
 
 WINDOW, HOP = 32, 16
-RANK, EXTRA = 64, 8
+RANK, EXTRA = 56, 8
 LEAST_COSINE = 0.4
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
 MOST_WORDS = 100_000  # of the benchmark's vocabulary in one block of items
