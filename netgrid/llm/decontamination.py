@@ -32,6 +32,7 @@ from netgrid.plans.storage import materialise
 WINDOW, HOP = 32, 16
 RANK, EXTRA = 56, 8
 LEAST_COSINE = 0.4
+OTHER = 7.0  # weight of words outside the benchmark's vocabulary
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
 MOST_WORDS = 100_000  # of the benchmark's vocabulary in one block of items
 _table = bytes.maketrans(bytes(b for b in range(128) if not (chr(b).isalnum() or chr(b).isspace())), b" " * sum(not (chr(b).isalnum() or chr(b).isspace()) for b in range(128)))
@@ -92,7 +93,7 @@ class Space:
 
     vocabulary: Vocabulary
     idf: np.ndarray
-    other: float  # weight of a word that the benchmark does not use
+    other: float  # weight of a word that the benchmark does not use, the same for every number of passages
     terms: np.ndarray | None = None  # (terms, rank)
 
     def rows(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -314,7 +315,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         words = list({w for _, t in block for w in plain(t).split()})
         vocabulary = Vocabulary(np.unique(one_word_hashes(words)))
         count, passages = frequencies(src, vocabulary)
-        space = Space(vocabulary, np.log((passages + 1) / (count + 1)) + 0.1, float(np.log(passages + 1) + 0.1))
+        space = Space(vocabulary, np.log((passages + 1) / (count + 1)) + 0.1, OTHER)
         space.terms = latent_terms(src, space)
         found = materialise(search(src, space, prepare_items(block, space)), "leaks")
         out = found if out is None else out.unionByName(found)

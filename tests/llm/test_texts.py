@@ -85,3 +85,13 @@ def test_leaks(spark, odd, none):
     assert find_leaks(odd, bench).count() == 0 and find_leaks(none, bench).count() == 0
     assert find_leaks(table, bench.limit(0)).count() == 0
     assert drop_leaks(odd, bench).columns == odd.columns and drop_leaks(odd, bench).count() == odd.count()
+
+
+def test_leaks_do_not_depend_on_the_corpus_size(spark):
+    item = [f"known{i}" for i in range(18)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for n in (100, 10_000):
+        docs = [(0, " ".join([f"x{j}" for j in range(7)] + item + [f"y{j}" for j in range(7)]))]
+        # each word of the item is in one passage of twenty, at every size
+        docs += [(d, " ".join([*item[d % 20 : d % 20 + 1], *(f"w{d}n{j}" for j in range(30))])) for d in range(1, n)]
+        assert [r.doc_id for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()] == [0]
