@@ -1,5 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
+0. The documents' words are hashed once and written as numbers of terms.
 1. Passages of ``WINDOW`` words are TF-IDF vectors over the benchmark's words;
    every other word counts in a passage's length only. Passage frequencies are
    counted over all documents.
@@ -30,11 +31,12 @@ from netgrid.llm.hashing import chunks, one_word_hashes, word_hashes
 from netgrid.plans.storage import materialise
 
 WINDOW, HOP = 32, 16
-RANK, EXTRA = 56, 8
+RANK, EXTRA = 96, 16
 LEAST_COSINE = 0.4
 OTHER = 7.0  # weight of words outside the benchmark's vocabulary
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
 MOST_WORDS = 100_000  # of the benchmark's vocabulary in one block of items
+RUN, PIECE = 1 << 18, 8192  # words handled at once, and rows gathered at once
 _table = bytes.maketrans(bytes(b for b in range(128) if not (chr(b).isalnum() or chr(b).isspace())), b" " * sum(not (chr(b).isalnum() or chr(b).isspace()) for b in range(128)))
 F32 = np.float32
 
@@ -44,11 +46,22 @@ def plain(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_table)
 
 
-def hashed(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of texts: the number of the first, and word hashes with the text's number in the run."""
+def hashed(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For runs of texts: the number of the first, word hashes with the text's number in the run, and how many texts."""
     data = [plain(t) for t in texts]
     for lo, hi in chunks(data):
-        yield lo, *word_hashes(data[lo:hi])
+        yield lo, *word_hashes(data[lo:hi]), hi - lo
+
+
+def runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of rows of ``term_table``: the number of the first, the terms, and the text's number in the run."""
+    data = column.to_pylist()
+    size = np.array([len(x) // 4 for x in data], dtype=np.int64)
+    run = np.cumsum(size) // RUN
+    cut = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(data)]
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        if size[lo:hi].any():
+            yield lo, np.frombuffer(b"".join(data[lo:hi]), "<i4"), np.repeat(np.arange(hi - lo), size[lo:hi])
 
 
 def starts_of(owner: np.ndarray, hop: int) -> np.ndarray:
@@ -96,83 +109,99 @@ class Space:
     other: float  # weight of a word that the benchmark does not use, the same for every number of passages
     terms: np.ndarray | None = None  # (terms, rank)
 
-    def rows(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """Terms of all passages one after another, the passage of each, and the passages' lengths as vectors."""
-        term = self.vocabulary.lookup(h)
-        weight = np.where(term >= 0, self.idf[term], self.other) ** 2
-        energy = np.concatenate([[0.0], np.cumsum(weight)])
-        own = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, weight, 0))])
-        return term, np.sqrt(np.maximum(energy[ends] - energy[starts], 1e-9)), np.sqrt(np.maximum(own[ends] - own[starts], 0))
-
-    def project(self, term: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: np.ndarray, matrix: np.ndarray):
-        """Passage vectors (scaled to length 1) times ``matrix``; also the entries, for the transposed product."""
-        n = ends - starts
-        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        t = term[at]
-        passage = np.repeat(np.arange(len(starts)), n)
-        ok = t >= 0
-        t, passage = t[ok], passage[ok]
-        value = (self.idf[t] / length[passage]).astype(F32)
-        out = np.zeros((len(starts), matrix.shape[1]), F32)
-        if len(t):
-            first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-            out[passage[first]] = np.add.reduceat(matrix[t] * value[:, None], first)
-        return out, t, passage, value
-
-
-def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """In how many of all passages each term occurs, and how many passages there are."""
+    def lengths(self, term: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passages' lengths as vectors, whole and in the benchmark's words alone."""
+        own = np.where(term >= 0, self.idf[term] ** 2, 0)
+        energy = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, own, self.other**2))])
+        own = np.concatenate([[0.0], np.cumsum(own)])
+        return np.sqrt(np.maximum(energy[ends] - energy[starts], 1e-9)), np.sqrt(np.maximum(own[ends] - own[starts], 0))
+
+    def weighted(self, matrix: np.ndarray) -> np.ndarray:
+        """Rows of terms times their weights."""
+        return np.ascontiguousarray(self.idf[:, None] * matrix, F32)
+
+
+def add_rows(out: np.ndarray, matrix: np.ndarray, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``out[group] += matrix[rows]``, where equal groups are neighbours."""
+    for lo in range(0, len(rows), PIECE):
+        g = group[lo : lo + PIECE]
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        out[g[first]] += np.add.reduceat(matrix[rows[lo : lo + PIECE]], first)
+    return out
+
+
+def entries(term: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The benchmark's terms of all passages one after another, and the passage of each."""
+    n = ends - starts
+    t = term[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    ok = t >= 0
+    return t[ok], np.repeat(np.arange(len(starts)), n)[ok]
+
+
+def term_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``(doc_id, terms)``: every word's term as four bytes, -1 for words that the benchmark does not use."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         v = sent.value
-        count, passages = np.zeros(len(v.hashes), np.int64), 0
         for b in batches:
-            for _, h, owner in hashed(b.column(0).to_pylist()):
+            out = []
+            for _, h, owner, n in hashed(b.column(1).to_pylist()):
+                term, cut = v.lookup(h).astype("<i4"), np.searchsorted(owner, np.arange(n + 1))
+                out += [term[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "terms"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms binary")
+
+
+def frequencies(texts: DataFrame, v: int) -> tuple[np.ndarray, int]:
+    """In how many of all passages each of v terms occurs, and how many passages there are."""
+
+    def run(batches):
+        count, passages = np.zeros(v, np.int64), 0
+        for b in batches:
+            for _, term, owner in runs(b.column(0)):
                 start = starts_of(owner, WINDOW)
                 passages += len(start)
-                term = v.lookup(h).astype(np.int64)
-                at = np.searchsorted(start, np.arange(len(h)), side="right")
-                key = np.unique((at * len(v.hashes) + term)[term >= 0])
-                count += np.bincount(key % len(v.hashes), minlength=len(v.hashes))
+                at = np.searchsorted(start, np.arange(len(term)), side="right")
+                key = np.unique((at * v + term)[term >= 0])
+                count += np.bincount(key % v, minlength=v)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[passages, count[at]])], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(vocabulary.hashes) + 1, np.int64)
+    rows = texts.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(v + 1, np.int64)
     out[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
     return out[:-1], int(out[-1])
 
 
-def latent_terms(docs: DataFrame, space: Space, seed: int = 17) -> np.ndarray:
+def latent_terms(texts: DataFrame, space: Space, seed: int = 17) -> np.ndarray:
     """The leading right singular vectors of all passages, by one pass; sums come in rows of one term each."""
     v = len(space.idf)
     k = min(RANK + EXTRA, v)
     omega = np.random.default_rng(seed).normal(size=(v, k)).astype(F32)
-    sent = docs.sparkSession.sparkContext.broadcast((space, omega))
+    sent = texts.sparkSession.sparkContext.broadcast((space, omega))
 
     def run(batches):
         s, w = sent.value
+        w = s.weighted(w)
         left, gram = np.zeros((v, k), np.float64), np.zeros((k, k))
         for b in batches:
-            for _, h, owner in hashed(b.column(0).to_pylist()):
+            for _, term, owner in runs(b.column(0)):
                 start = starts_of(owner, WINDOW)
-                if not len(start):
-                    continue
                 end = ends_of(owner, start)
-                term, length, _ = s.rows(h, start, end)
-                y, t, passage, value = s.project(term, start, end, length, w)
+                length = s.lengths(term, start, end)[0].astype(F32)[:, None]
+                t, passage = entries(term, start, end)
+                y = add_rows(np.zeros((len(start), k), F32), w, t, passage) / length
                 gram += y.T @ y
                 order = np.argsort(t.astype(np.uint16) if v < 1 << 16 else t, kind="stable")
-                t = t[order]
-                if len(t):
-                    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                    left[t[first]] += np.add.reduceat(y[passage[order]] * value[order][:, None], first)
+                add_rows(left, y / length, passage[order], t[order])
+        left *= s.idf[:, None]
         at = np.flatnonzero(left.any(axis=1))
         rows = np.concatenate([left[at], gram])
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, np.arange(-k, 0)]), pa.array(list(rows))], names=["row", "x"])
 
-    parts = docs.select("text").mapInArrow(run, "row long, x array<double>")
+    parts = texts.select("terms").mapInArrow(run, "row long, x array<double>")
     # one row for each term and each column of the Gram matrix, of fixed width
     sums = parts.groupBy("row").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(k)]).toArrow()
     found = np.asarray(sums.column(0))
@@ -205,15 +234,15 @@ def answer_of(text: str) -> str:
 
 
 def prepare_items(items: list[tuple[int, str]], space: Space) -> Items:
-    words = [word_hashes([plain(t)])[0] for _, t in items]
-    answers = [word_hashes([plain(answer_of(t))])[0] for _, t in items]
+    words = [space.vocabulary.lookup(word_hashes([plain(t)])[0]) for _, t in items]
+    answers = [space.vocabulary.lookup(word_hashes([plain(answer_of(t))])[0]) for _, t in items]
+    terms = space.weighted(space.terms)
     vectors, of = [], []
-    for i, h in enumerate(words):
-        own = np.zeros(len(h), np.int64)
-        start = np.zeros(1, np.int64) if len(h) <= WINDOW + HOP else starts_of(own, HOP)
-        end = np.minimum(start + (WINDOW if len(start) > 1 else len(h)), len(h))
-        term, length, _ = space.rows(h, start, end)
-        y, *_ = space.project(term, start, end, length, space.terms)
+    for i, term in enumerate(words):
+        own = np.zeros(len(term), np.int64)
+        start = np.zeros(1, np.int64) if len(term) <= WINDOW + HOP else starts_of(own, HOP)
+        end = np.minimum(start + (WINDOW if len(start) > 1 else len(term)), len(term))
+        y = add_rows(np.zeros((len(start), terms.shape[1]), F32), terms, *entries(term, start, end))
         vectors.append(y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-6))
         of += [i] * len(start)
     return Items([i for i, _ in items], words, answers, np.concatenate(vectors), np.array(of))
@@ -237,52 +266,72 @@ def bit_masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def search(docs: DataFrame, space: Space, items: Items) -> DataFrame:
+def project(term: np.ndarray, owner: np.ndarray, starts: np.ndarray, ends: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Latent vectors of passages that start every HOP words; each is the sum of its blocks of HOP words."""
+    first = np.searchsorted(owner, owner)
+    block = np.cumsum(np.r_[True, owner[1:] != owner[:-1]] | ((np.arange(len(owner)) - first) % HOP == 0)) - 1
+    at = block[starts][:, None] + np.arange(WINDOW // HOP)
+    inside = at <= block[ends - 1][:, None]
+    used = np.zeros(block[-1] + 2, bool)
+    used[at[inside]] = True
+    ok = (term >= 0) & used[block]
+    number = np.cumsum(used) - 1
+    sums = add_rows(np.zeros((number[-1] + 2, terms.shape[1]), F32), terms, term[ok], number[block[ok]])
+    return sum(sums[np.where(inside[:, i], number[np.minimum(at[:, i], block[-1])], -1)] for i in range(at.shape[1]))
+
+
+def search(texts: DataFrame, space: Space, items: Items) -> DataFrame:
     """``(doc_id, item_id, word, cosine, overlap, answer)``: the best place of each document and item that match."""
-    sent = docs.sparkSession.sparkContext.broadcast((space, items))
+    sent = texts.sparkSession.sparkContext.broadcast((space, items))
     names = ["doc_id", "item_id", "word", "cosine", "overlap", "answer"]
 
     def run(batches):
         s, it = sent.value
+        terms = s.weighted(s.terms)
         masks = [(bit_masks(w), len(w)) for w in it.words]
+        # a common subsequence lacks each word of the item that the text lacks
+        least = [(frozenset(m), len(m) - int((1 - PARAPHRASE) * n + 1e-9)) for m, n in masks]
         ends = [(bit_masks(w), len(w)) for w in it.answers]
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
-            for base, h, owner in hashed(b.column(1).to_pylist()):
+            for base, term, owner in runs(b.column(1)):
                 start = starts_of(owner, HOP)
-                if not len(start):
-                    continue
                 end = ends_of(owner, start)
-                term, length, inside = s.rows(h, start, end)
+                length, inside = s.lengths(term, start, end)
                 keep = inside >= LEAST_COSINE * length
-                start, end, length, part = start[keep], end[keep], length[keep], (inside / length)[keep]
+                if not keep.any():
+                    continue
+                start, end, part = start[keep], end[keep], (inside[keep] / length[keep]).astype(F32)
+                text_start, text_end = np.searchsorted(owner, owner[start]), np.searchsorted(owner, owner[start], side="right")
+                y = project(term, owner, start, end, terms)
+                y *= (part / np.maximum(np.linalg.norm(y, axis=1), 1e-6))[:, None]
                 best: dict[tuple[int, int], tuple] = {}
-                for lo in range(0, len(start), 4096):
-                    p, q = start[lo : lo + 4096], end[lo : lo + 4096]
-                    y, *_ = s.project(term, p, q, length[lo : lo + 4096], s.terms)
-                    y *= (part[lo : lo + 4096] / np.maximum(np.linalg.norm(y, axis=1), 1e-6)).astype(F32)[:, None]
-                    sim = y @ it.vectors.T
-                    for i, j in zip(*np.nonzero(sim >= LEAST_COSINE), strict=True):
-                        k = int(it.of[j])
-                        doc = int(owner[p[i]])
-                        size = masks[k][1]
-                        first, last = np.searchsorted(owner, [doc, doc + 1])
-                        region = h[max(first, p[i] - size) : min(last, q[i] + size)].tolist()
+                for lo in range(0, len(start), 1024):
+                    sim = y[lo : lo + 1024] @ it.vectors.T
+                    row, column = np.nonzero(sim >= LEAST_COSINE)
+                    at = row + lo
+                    places = zip(start[at].tolist(), end[at].tolist(), text_start[at].tolist(), text_end[at].tolist(), it.of[column].tolist(), sim[row, column].tolist(), strict=True)
+                    for p, q, first, last, k, cosine in places:
+                        size, (own, enough) = masks[k][1], least[k]
+                        region = term[max(first, p - size) : min(last, q + size)].tolist()
+                        if len(own.intersection(region)) < enough:
+                            continue
+                        doc = int(owner[p])
                         share = common(*masks[k], region) / size
                         if share < PARAPHRASE:
                             continue
                         tail = common(*ends[k], region) / max(ends[k][1], 1)
                         if share < COPY and tail < ANSWER:
                             continue
-                        row = (share, float(sim[i, j]), tail, int(p[i] - first))
-                        if row > best.get((doc, k), (0,)):
-                            best[doc, k] = row
+                        found = (share, cosine, tail, p - first)
+                        if found > best.get((doc, k), (0,)):
+                            best[doc, k] = found
                 out += [(ids[base + d], it.ids[k], at, cos, share, tail) for (d, k), (share, cos, tail, at) in sorted(best.items())]
             if out:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, word long, cosine double, overlap double, answer double")
+    return texts.select("doc_id", "terms").mapInArrow(run, "doc_id long, item_id long, word long, cosine double, overlap double, answer double")
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -307,17 +356,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows with a null id, and texts or items without words, match nothing.
     Repeated rows are searched each; extra columns are ignored. An empty
     benchmark gives no rows. Each block of items (MOST_WORDS words) reads the
-    documents three times.
+    documents once, into a table of terms that is read three times and stays in
+    the shared folder.
     """
     src = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in item_blocks(benchmark):
         words = list({w for _, t in block for w in plain(t).split()})
         vocabulary = Vocabulary(np.unique(one_word_hashes(words)))
-        count, passages = frequencies(src, vocabulary)
+        texts = materialise(term_table(src, vocabulary), "terms")
+        count, passages = frequencies(texts, len(vocabulary.hashes))
         space = Space(vocabulary, np.log((passages + 1) / (count + 1)) + 0.1, OTHER)
-        space.terms = latent_terms(src, space)
-        found = materialise(search(src, space, prepare_items(block, space)), "leaks")
+        space.terms = latent_terms(texts, space)
+        found = materialise(search(texts, space, prepare_items(block, space)), "leaks")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, word long, cosine double, overlap double, answer double")

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from netgrid.llm.decontamination import bit_masks, common, drop_leaks, find_leaks
+import numpy as np
+
+from netgrid.llm.decontamination import Space, Vocabulary, bit_masks, common, drop_leaks, find_leaks, latent_terms, term_table
 from netgrid.llm.hashing import one_word_hashes, word_hashes
 from netgrid.llm.syncmers import compare_with_edits, document_fingerprints, edited, fingerprint, likeness
 
@@ -95,3 +97,21 @@ def test_leaks_do_not_depend_on_the_corpus_size(spark):
         # each word of the item is in one passage of twenty, at every size
         docs += [(d, " ".join([*item[d % 20 : d % 20 + 1], *(f"w{d}n{j}" for j in range(30))])) for d in range(1, n)]
         assert [r.doc_id for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()] == [0]
+
+
+def test_latent_space_keeps_96_dimensions(spark):
+    vocabulary = Vocabulary(np.unique(one_word_hashes([f"t{i}".encode() for i in range(120)])))
+    docs = spark.createDataFrame([(i, " ".join(f"t{(i * 7 + j * j) % 120}" for j in range(20))) for i in range(400)], "doc_id long, text string")
+    terms = latent_terms(term_table(docs, vocabulary), Space(vocabulary, np.ones(120), 7.0))
+    assert terms.shape == (120, 96) and np.allclose(terms.T @ terms, np.eye(96), atol=1e-3)
+
+
+def test_words_are_written_as_terms(spark, odd):
+    vocabulary = Vocabulary(np.unique(one_word_hashes([b"cat", b"mat", b"worten"])))
+    rows = odd.where("doc_id is not null and text is not null")
+    for r, (text,) in zip(term_table(rows, vocabulary).collect(), rows.select("text").collect(), strict=True):
+        words = word_hashes([text.lower().replace(".", " ").replace(",", " ").replace("!", " ").encode()])[0]
+        got = np.frombuffer(r.terms, "<i4")
+        if r.doc_id in (1, 5, 6):
+            assert (got == vocabulary.lookup(words)).all() and (got >= 0).any()
+        assert r.doc_id in (1, 5, 6) or (got == -1).all()
