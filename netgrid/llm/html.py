@@ -1,9 +1,9 @@
 """Main text of web pages, with what a site repeats on many pages removed.
 
 Element subtrees are hashed, the hashes counted per host in Spark, and the
-subtrees that recur on a large part of a host's pages deleted, beside the
-elements that name themselves menus, adverts and the like. Bare prose (headings
-and paragraphs) directly in an article is never taken for template.
+subtrees that recur on many pages of a host deleted, beside the elements that
+name themselves menus, adverts and the like. Bare prose (headings and
+paragraphs) directly in an article is never taken for template.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from netgrid.plans.storage import materialise
 
-#: A subtree on at least so many pages of a host, and this part of them, is template.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A subtree on at least so many pages of a host, and this part of them, is template. Besides bare prose, whose words may
+#: well return on a large host, MANY_PAGES are enough however many pages the host has.
+LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 5, 0.2, 10
 #: Up to so many recurring hashes are sent to every task; beyond that a join brings them.
 MOST_SENT = 200_000
 
@@ -159,13 +160,18 @@ def template_candidates(root: Node) -> list[Node]:
     return [n for n in out if has_text(n)]
 
 
+def signed(n: Node, digest: int) -> int:
+    """A candidate's digest as a signed number, odd for bare prose and even for others."""
+    return int(np.uint64(digest & ~1 | (n.tag in PROSE and not n.names)).view(np.int64))
+
+
 def subtree_hashes(page: str | None) -> set[int]:
     """Signed hashes of a page's candidate subtrees."""
     if not page:
         return set()
     root = parse(page)
     h = digests(root)
-    return {int(np.uint64(h[id(n)]).view(np.int64)) for n in template_candidates(root)}
+    return {signed(n, h[id(n)]) for n in template_candidates(root)}
 
 
 def _size(n: Node) -> int:
@@ -180,7 +186,7 @@ def main_text(page: str | None, recurring: set[int] | frozenset[int] = frozenset
     if recurring:
         h = digests(root)
         for n in template_candidates(root):
-            if int(np.uint64(h[id(n)]).view(np.int64)) in recurring:
+            if signed(n, h[id(n)]) in recurring:
                 n.drop = True
     holds = {id(n) for n in walk(root) if n.tag in ("article", "main") or "role-main" in n.names}
     above: dict[int, bool] = {}
@@ -250,22 +256,30 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def recurring_subtrees(pages: DataFrame) -> DataFrame:
-    """``(host, h)``: subtrees that recur on many pages of a host. ``pages``: host, html."""
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """``(host, page, h)``: the candidate subtrees of every page, and a row without h that counts it. ``pages``: host, page, html."""
 
     def run(batches):
         for b in batches:
-            hosts, hashes = [], []
-            for x, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            hosts, keys, hashes = [], [], []
+            for x, key, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = subtree_hashes(page)
                 hosts += [x] * (len(own) + 1)
-                hashes += [None, *own]  # the row without a hash counts the page
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "h"])
+                keys += [key] * (len(own) + 1)
+                hashes += [None, *own]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "h"])
 
-    counts = pages.select("host", "html").mapInArrow(run, "host string, h long").groupBy("host", "h").agg(F.count("*").alias("n"))
+    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, h long")
+
+
+def recurring_subtrees(pages: DataFrame) -> DataFrame:
+    """``(host, h)``: subtrees that recur on many pages of a host. ``pages``: host, page, html."""
+    counts = page_subtrees(pages).groupBy("host", "h").agg(F.count("*").alias("n"))
     many = counts.where("h is not null").where(F.col("n") >= LEAST_PAGES)
     total = counts.where("h is null").select("host", F.col("n").alias("pages"))
-    return many.join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "h")
+    share = LEAST_SHARE * F.col("pages")
+    least = F.when(F.col("h").bitwiseAND(F.lit(1)) == 1, share).otherwise(F.least(share, F.lit(float(MANY_PAGES))))
+    return many.join(total, "host").where(F.col("n") >= least).select("host", "h")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -274,7 +288,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Repeated rows are each extracted, and count each as a page of their host;
     pages without a host share the empty one. Extra columns are ignored.
     """
-    src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
+    src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html")).withColumn("page", F.xxhash64("html"))
     found = materialise(recurring_subtrees(src), "template")
     if found.count() <= MOST_SENT:
         t = found.toArrow()
@@ -283,9 +297,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             by.setdefault(x, set()).add(h)
         sent = pages.sparkSession.sparkContext.broadcast(by)
         rows = src.withColumn("own", F.lit(None).cast("array<long>"))
-    else:  # the subtrees of a host are bounded by a page's size over LEAST_SHARE
+    else:  # a page's own ones among them, bounded by its size
         sent = None
-        rows = src.join(found.groupBy("host").agg(F.collect_list("h").alias("own")), "host", "left")
+        own = page_subtrees(src).where("h is not null").distinct().join(found, ["host", "h"]).groupBy("host", "page").agg(F.collect_list("h").alias("own"))
+        rows = src.join(own, ["host", "page"], "left")
 
     def run(batches):
         for b in batches:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 from netgrid.llm.files import opened
+from netgrid.llm import html
 from netgrid.llm.html import extract_text, main_text
 from netgrid.llm.warc import members, parse, read_warc, warc_round_trip, write_warc
 from netgrid.plans.storage import fresh_path
@@ -27,6 +28,21 @@ def test_site_template(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_of_a_large_host(spark, monkeypatch):
+    def page(i):
+        notice = f"<div class='zq7'>Offer {i % 40}</div><section>Widget {i % 40}</section>" if i < 400 else ""
+        return f"<body>{notice}<div><p>text {i} <b>often</b> and then some more words of its own</p><p>Thanks</p></div></body>"
+
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(2000)] + [(2000, "https://a.example/x", "<body><div>Once</div></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (200_000, 0):
+        monkeypatch.setattr(html, "MOST_SENT", most)
+        got = {r.page_id: r.text for r in extract_text(pages).collect()}
+        assert len(got) == 2001 and got[2000] == "Once"
+        assert all("Offer" not in t and "Widget" not in t for t in got.values())
+        assert got[7].startswith("text 7")
+
+
 def odd_pages(spark):
     long = "x" * 300_000
     rows = [(1, "http://a/\r\nb", "p" * 1000), (5, "http://e", "p" * 1000), (3, None, "p" * 1000), (2, "u", None), (4, "v", "short"), (6, "w", "short"), (7, "z", long), (8, "y", "é" * 500), (9, "y2", "é" * 500), (9, "y2", "é" * 500)]
