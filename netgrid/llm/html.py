@@ -23,6 +23,8 @@ from netgrid.plans.storage import materialise
 #: A subtree on at least so many pages of a host, and this part of them, is template. Besides bare prose, whose words may
 #: well return on a large host, MANY_PAGES are enough however many pages the host has.
 LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 5, 0.2, 10
+#: A subtree with more than this part of a page's text is never deleted for recurring, nor is anything in it.
+MAIN_SHARE = 2 / 3
 #: Up to so many recurring hashes are sent to every task; beyond that a join brings them.
 MOST_SENT = 200_000
 
@@ -184,10 +186,13 @@ def main_text(page: str | None, recurring: set[int] | frozenset[int] = frozenset
         return ""
     root = parse(page)
     if recurring:
-        h = digests(root)
-        for n in template_candidates(root):
-            if signed(n, h[id(n)]) in recurring:
-                n.drop = True
+        h, whole, kept = digests(root), _size(root), set()
+        for n in template_candidates(root):  # parents before children
+            if id(n) not in kept and signed(n, h[id(n)]) in recurring:
+                if _size(n) > MAIN_SHARE * whole:
+                    kept |= {id(x) for x in walk(n)}
+                else:
+                    n.drop = True
     holds = {id(n) for n in walk(root) if n.tag in ("article", "main") or "role-main" in n.names}
     above: dict[int, bool] = {}
     for n in reversed(list(walk(root))):
@@ -273,8 +278,8 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
 
 
 def recurring_subtrees(pages: DataFrame) -> DataFrame:
-    """``(host, h)``: subtrees that recur on many pages of a host. ``pages``: host, page, html."""
-    counts = page_subtrees(pages).groupBy("host", "h").agg(F.count("*").alias("n"))
+    """``(host, h)``: subtrees that recur on many pages of a host; equal pages count once. ``pages``: host, page, html."""
+    counts = page_subtrees(pages).distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
     many = counts.where("h is not null").where(F.col("n") >= LEAST_PAGES)
     total = counts.where("h is null").select("host", F.col("n").alias("pages"))
     share = LEAST_SHARE * F.col("pages")
@@ -285,8 +290,8 @@ def recurring_subtrees(pages: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row. Null or empty html gives an empty text.
 
-    Repeated rows are each extracted, and count each as a page of their host;
-    pages without a host share the empty one. Extra columns are ignored.
+    Repeated rows are each extracted, but equal html counts as one page of its
+    host; pages without a host share the empty one. Extra columns are ignored.
     """
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html")).withColumn("page", F.xxhash64("html"))
     found = materialise(recurring_subtrees(src), "template")

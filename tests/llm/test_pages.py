@@ -43,6 +43,17 @@ def test_template_of_a_large_host(spark, monkeypatch):
         assert got[7].startswith("text 7")
 
 
+def test_equal_pages_are_one(spark):
+    own = "<h1>Title</h1><p>All of its own text</p><div>More of it</div>"
+    rows = [(i, "https://a.example/", f"<body>{own}</body>") for i in range(12)]
+    rows += [(20 + i, "https://a.example/", f"<body><article>{own}</article></body>") for i in range(12)]
+    # copies that differ in an advert: the subtree with most of the text stays
+    rows += [(40 + i, "https://b.example/", f"<body><div>ad {i}</div><div><p>{'long text ' * 9}</p><p>and more</p></div></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == got[23] == "Title\n\nAll of its own text\n\nMore of it"
+    assert "long text" in got[45] and "and more" in got[45]
+
+
 def odd_pages(spark):
     long = "x" * 300_000
     rows = [(1, "http://a/\r\nb", "p" * 1000), (5, "http://e", "p" * 1000), (3, None, "p" * 1000), (2, "u", None), (4, "v", "short"), (6, "w", "short"), (7, "z", long), (8, "y", "é" * 500), (9, "y2", "é" * 500), (9, "y2", "é" * 500)]
