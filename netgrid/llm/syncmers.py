@@ -3,8 +3,8 @@
 A k-mer of characters is a closed syncmer when the least hash of its s-mers is
 that of its first or of its last one. The choice looks at the k-mer alone, so
 equal passages yield the same anchors wherever they stand. A fingerprint keeps
-the anchors of least hash with their places; two fingerprints are compared by
-the anchors they share whose places agree.
+all anchors with their places, about two for every eleven characters; two
+fingerprints are compared by the anchors they share whose places agree.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from netgrid.llm.hashing import mix
 from netgrid.llm.shards import range_bounds, shard_of
 
 K, S = 16, 6
-ANCHORS = 48
+FLUSH = 1 << 23  # characters of fingerprints given on at once
 PLACES = 1 << 16  # places are kept as parts of the text's length
 SHIFT = 0.1  # places agree when they differ from the usual shift by no more than this part of a text
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -86,42 +86,32 @@ def syncmers(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str | np.ndarray) -> str:
-    """The anchors of least hash: hash (12 hex digits) and place (4) each, in order of hash; equal texts, equal strings."""
+    """All anchors: hash (12 hex digits) and place (4) each, in order of both; equal texts, equal strings."""
     chars = characters(text) if isinstance(text, str) else text
-    all_h, all_at = syncmers(chars)
-    all_h >>= np.uint64(16)
-    h, at = all_h, all_at
-    if len(h) > 4 * ANCHORS:
-        top = np.partition(h, 3 * ANCHORS)[3 * ANCHORS]
-        keep = h <= top
-        h, at = h[keep], at[keep]
-    order = np.lexsort((at, h))
-    h, at = h[order], at[order]
-    first = np.r_[True, h[1:] != h[:-1]][: len(h)]
-    if first.sum() < ANCHORS and len(all_h) > len(h):  # many repeated anchors: take them all into account
-        order = np.lexsort((all_at, all_h))
-        h, at = all_h[order], all_at[order]
-        first = np.r_[True, h[1:] != h[:-1]]
-    h, at = h[first][:ANCHORS], at[first][:ANCHORS]
-    place = at * (PLACES - 1) // max(len(chars), 1)
-    return "".join(f"{a:012x}{b:04x}" for a, b in zip(h.tolist(), place.tolist(), strict=True))
-
-
-def anchors(print_: str) -> dict[int, float]:
-    return {int(print_[i : i + 12], 16): int(print_[i + 12 : i + 16], 16) / (PLACES - 1) for i in range(0, len(print_), 16)}
+    h, at = syncmers(chars)
+    place = (at * (PLACES - 1) // max(len(chars), 1)).astype(np.uint64)
+    return np.sort((h >> np.uint64(16) << np.uint64(16)) | place).astype(">u8").tobytes().hex()
+
+
+def anchors(print_: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of a fingerprint; the n-th of equal anchors has a key of its own."""
+    x = np.frombuffer(bytes.fromhex(print_), ">u8").astype(np.uint64)
+    h = x >> np.uint64(16)
+    n = np.arange(len(h)) - np.searchsorted(h, h)
+    return np.where(n > 0, mix(h * _STEP + n.astype(np.uint64)), h), (x & np.uint64(PLACES - 1)) / (PLACES - 1)
 
 
 def likeness(one: str, two: str) -> float:
-    """Of the least anchors of both together, the share in both at agreeing places; 1 for equal prints, else below 1."""
+    """Of the anchors of both together, the share in both at agreeing places; 1 for equal prints, else below 1."""
     if one == two:
         return 1.0
-    a, b = anchors(one), anchors(two)
-    least = sorted(a.keys() | b.keys())[: max(1, min(ANCHORS, max(len(a), len(b))))]
-    both = [k for k in least if k in a and k in b]
-    if not both:
+    (a, at), (b, bt) = anchors(one), anchors(two)
+    both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(both):
         return 0.0
-    shift = float(np.median([a[k] - b[k] for k in both]))
-    return min(sum(abs(a[k] - b[k] - shift) <= SHIFT for k in both) / len(least), 0.999999)
+    moved = at[i] - bt[j]
+    agree = np.abs(moved - np.median(moved)) <= SHIFT
+    return min(int(agree.sum()) / (len(a) + len(b) - len(both)), 0.999999)
 
 
 def edited(text: str, following: str) -> str:
@@ -135,8 +125,14 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for b in batches:
-            t = [x or "" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in t], pa.int64()), pa.array([fingerprint(x) for x in t])], names=["doc_id", "n_chars", "fingerprint"])
+            prints, size, done, chars = [], [], 0, 0
+            for k, x in enumerate(b.column(1).to_pylist(), 1):
+                prints.append(fingerprint(x or ""))
+                size.append(len(x or ""))
+                chars += len(prints[-1])
+                if k == b.num_rows or chars > FLUSH:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(done, k - done), pa.array(size, pa.int64()), pa.array(prints, pa.string())], names=["doc_id", "n_chars", "fingerprint"])
+                    prints, size, done, chars = [], [], k, 0
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
@@ -176,17 +172,18 @@ def compare_with_edits(docs: DataFrame, shard_chars: float = 16e6) -> DataFrame:
             sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
             return one[0], len(one[1]), sha, one[2], own, likeness(one[2], own), likeness(one[2], print_)
 
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for b in batches:
-            out = []
-            for i, text, guest, shard in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if guest and ended == shard:
-                    continue  # a repeated first id: the least text came first
-                print_ = fingerprint(text)
-                if held is not None:
-                    out.append(compare(held, text, print_))
-                held, ended = (None, shard) if guest else ((i, text, print_), ended)
-            if out:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            out, chars = [], 0
+            for k, (i, text, guest, shard) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True), 1):
+                if not (guest and ended == shard):  # else a repeated first id: the least text came first
+                    print_ = fingerprint(text)
+                    if held is not None:
+                        out.append(compare(held, text, print_))
+                        chars += len(out[-1][3]) + len(out[-1][4])
+                    held, ended = (None, shard) if guest else ((i, text, print_), ended)
+                if out and (chars > FLUSH or k == b.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out, chars = [], 0
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -115,3 +115,13 @@ def test_words_are_written_as_terms(spark, odd):
         if r.doc_id in (1, 5, 6):
             assert (got == vocabulary.lookup(words)).all() and (got >= 0).any()
         assert r.doc_id in (1, 5, 6) or (got == -1).all()
+
+
+def test_long_texts_that_share_a_passage():
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    shared = say(60)
+    one, two = (f"{say(10_000)} {shared} {say(10_000)}" for _ in range(2))
+    assert len(fingerprint(one)) // 16 > 15_000
+    assert 20 / 40_000 < likeness(fingerprint(one), fingerprint(two)) < 100 / 40_000
+    assert likeness(fingerprint("ab" * 500), fingerprint("ab" * 500 + "c")) > 0.9  # repeated anchors count each
