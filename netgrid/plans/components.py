@@ -42,3 +42,14 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
         seen = tuple(state)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merged_components(parts: DataFrame, edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
+    """``parts`` (node, component) after more edges: only the components that these touch are gone through again."""
+    of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias("_" + side))
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).join(of("u"), "u", "left").join(of("v"), "v", "left")
+    ends = materialise(ends.select("u", "v", F.coalesce("_u", "u").alias("p"), F.coalesce("_v", "v").alias("q")), "cc")
+    top = materialise(connected_components(ends, "p", "q"), "cc").select(F.col("node").alias("component"), F.col("component").alias("_top"))
+    new = ends.select(F.col("u").alias("node"), F.col("p").alias("component")).unionByName(ends.select(F.col("v").alias("node"), F.col("q").alias("component")))
+    all_parts = parts.unionByName(new.where("node = component")).distinct()
+    return materialise(all_parts.join(top, "component", "left").select("node", F.coalesce("_top", "component").alias("component")), "cc")
