@@ -2,10 +2,11 @@
 
 1. Every text becomes the set of its distinct k-word shingles (64-bit hashes).
    Equal sets collapse into a class, named by its least id.
-2. A class is dealt to groups by its lowest shingle hashes. Two sets that link
-   share one of the K lowest hashes with a chance of failure below 2**-56 (see
-   ``prefix_size``), so a linked pair meets in a group. Hashes held by many
-   classes are passed over where a class has enough others.
+2. A class is dealt to groups by some of its hashes, taken in one order for all
+   sets: rare hashes before common ones, lowest first. Two sets that link have
+   their first shared hash, in that order, among the hashes of both (see
+   ``Prefix``), so a linked pair meets in a group. Groups with the same members
+   are walked once.
 3. In each group a signature tree finds the pairs that may link
    (``signature_tree``); a large group is cut into bands of size and into
    blocks, whose pairs are walked apart.
@@ -20,16 +21,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm import signature_tree as tree
 from netgrid.llm.hashing import chunks, shingles, word_hashes
-from netgrid.plans.components import connected_components
+from netgrid.llm.memory import released
+from netgrid.plans.components import connected_components, merged_components
 from netgrid.plans.storage import materialise
 
 #: A group of more members than this is cut into bands of size and blocks of members.
@@ -38,12 +41,15 @@ BLOCK = 2048
 SMALL = 64
 #: The zone of cells that offer their chain.
 CHAIN = -1
-#: A hash in more classes than this is passed over where others serve as well.
+#: A hash among the lowest of more texts than this counts as common.
 COMMON = 64
 #: At most so many common hashes are named; the least frequency rises to keep to it.
-MOST_COMMON = 50_000
-#: Up to so many ids are sent to every task as a filter; beyond that a join does it.
-MOST_IDS = 2_000_000
+MOST_COMMON = 1_000_000
+#: Bits of the filter of ids whose whole sets are wanted, the same for every number of ids.
+FILTER = 1 << 25
+SURE = 2.0**-56
+#: Bits a token of the bitmaps of the later rounds, which few sets reach.
+WIDE = 8
 
 
 def prefix_size(num: int, den: int) -> int:
@@ -51,6 +57,58 @@ def prefix_size(num: int, den: int) -> int:
     return max(1, math.ceil(56 / math.log2(den / max(den - num, 1)))) if num < den else 1
 
 
+def least_rare(num: int, den: int, most: int = 512) -> np.ndarray:
+    """For s = 1, 2, ...: the least k with P(Binomial(s, 1 - num/den) >= k) < 2**-56; past any count where there is none.
+
+    Of the s lowest hashes of a union each is unshared with that chance at most.
+    """
+    q = 1 - num / den
+    out, p = np.empty(most, dtype=np.int64), np.ones(1)
+    for s in range(1, most + 1):
+        p = np.append(p * (1 - q), 0) + np.append(0, p * q)
+        tail = np.cumsum(p[::-1])[::-1]
+        ok = np.flatnonzero(tail < SURE)
+        out[s - 1] = ok[0] if len(ok) else most + 1
+    return out
+
+
+@dataclass
+class Prefix:
+    """Chooses the hashes of a set by which it is dealt to groups.
+
+    With n hashes, of which a link shares ceil(t n) at least, the first n - ceil(t n) + 1
+    in any common order hold a shared one. Rare hashes come first in the order.
+    A scan by lowest hash ends earlier where the rare ones passed are so many
+    that all of them are unshared with a chance below 2**-56, whichever hashes
+    are common. Where a set has too few rare hashes, all of them and the lowest
+    common ones are taken.
+    """
+
+    common: np.ndarray  # sorted
+    num: int
+    den: int
+
+    def __post_init__(self):
+        self.low = prefix_size(self.num, self.den)
+        self.enough = least_rare(self.num, self.den)
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        n = len(s)
+        exact = n - -(-self.num * n // self.den) + 1
+        for m in (min(n, 4 * self.low), n):
+            head = s[:m]
+            rare = np.ones(m, dtype=bool)
+            if len(self.common):
+                rare = self.common[np.minimum(np.searchsorted(self.common, head), len(self.common) - 1)] != head
+            count = np.cumsum(rare)
+            need = np.full(m, exact)
+            need[: len(self.enough)] = np.minimum(exact, self.enough[:m])
+            ends = np.flatnonzero(count >= need)
+            if len(ends):
+                return head[: ends[0] + 1][rare[: ends[0] + 1]]
+        return np.concatenate([s[rare], s[~rare][: min(exact - int(count[-1]), self.low)]])
+
+
 def _sets(texts: list[str | None], k: int) -> Iterator[tuple[int, np.ndarray]]:
     """Number and shingle set of each text. Words end at ASCII white space; A-Z is lower-cased."""
     data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -61,50 +119,59 @@ def _sets(texts: list[str | None], k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, shingles(h[at[i] : at[i + 1]], k)
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, k: int, sketch: int) -> DataFrame:
-    """``(id, n, digest, tokens, bits)``: set size, digest of the set, its lowest hashes and its bitmap."""
+def _digest(s: np.ndarray) -> tuple[bytes, int]:
+    d = xxhash.xxh128_digest(s.tobytes())
+    return d, int.from_bytes(d[:4], "little", signed=True)
+
+
+def describe(docs: DataFrame, id_col: str, text_col: str, k: int, low: int) -> DataFrame:
+    """``(id, tag, n, digest, tokens, bits)``: set size, digest of the set, its lowest hashes and its bitmap.
+
+    ``tag`` tells apart different sets of a repeated id.
+    """
 
     def run(batches):
         for b in batches:
-            n, digest, tokens, bits = [], [], [], []
+            n, tag, digest, tokens, bits = [], [], [], [], []
             for _, s in _sets(b.column(1).to_pylist(), k):
+                d, t = _digest(s)
                 n.append(len(s))
-                digest.append(xxhash.xxh128_digest(s.tobytes()))
-                tokens.append(s[:sketch].view(np.int64))
+                digest.append(d)
+                tag.append(t)
+                tokens.append(s[:low].view(np.int64))
                 bits.append(tree.bitmap(s) if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["id", "n", "digest", "tokens", "bits"],
+                [b.column(0), pa.array(tag, pa.int32()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                names=["id", "tag", "n", "digest", "tokens", "bits"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n long, digest binary, tokens array<long>, bits binary"
-    )
+    return _texts(docs, id_col, text_col).mapInArrow(released(run), "id long, tag int, n long, digest binary, tokens array<long>, bits binary")
+
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-def _keys(reps: DataFrame, common: np.ndarray, k_low: int, sketch: int) -> DataFrame:
-    """``(token, id, n)``: the hashes by which a class is dealt to groups."""
-    hot = reps.sparkSession.sparkContext.broadcast(np.sort(common))
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, k: int, prefix: Prefix) -> DataFrame:
+    """``(token, id, tag, n)``: the hashes by which each row's set is dealt to groups."""
+    sent = docs.sparkSession.sparkContext.broadcast(prefix)
 
     def run(batches):
         for b in batches:
-            lists = b.column(2)
-            flat, cut = np.asarray(lists.flatten()), np.asarray(lists.offsets)
-            at = np.minimum(np.searchsorted(hot.value, flat), max(len(hot.value) - 1, 0))
-            is_hot = hot.value[at] == flat if len(hot.value) else np.zeros(len(flat), dtype=bool)
-            take, counts = [], []
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                cold = np.flatnonzero(~is_hot[lo:hi])[:k_low]
-                own = cold if len(cold) == k_low or not is_hot[lo:hi].any() else np.union1d(cold, np.arange(min(k_low, hi - lo)))
-                take.append(own + lo)
-                counts.append(len(own))
-            rows = np.concatenate(take) if take else np.zeros(0, dtype=np.int64)
-            each = np.repeat(np.arange(b.num_rows), counts)
+            take = [np.zeros(0, np.uint64)]
+            tag, n, count = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            for i, s in _sets(b.column(1).to_pylist(), k):
+                if len(s):
+                    own = sent.value(s)
+                    take.append(own)
+                    tag[i] = _digest(s)[1]
+                    n[i], count[i] = len(s), len(own)
+            each = np.repeat(np.arange(b.num_rows), count)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[rows], pa.int64()), b.column(0).take(pa.array(each)), b.column(1).take(pa.array(each))], names=["token", "id", "n"]
+                [pa.array(np.concatenate(take).view(np.int64)), b.column(0).take(pa.array(each)), pa.array(tag[each]), pa.array(n[each])], names=["token", "id", "tag", "n"]
             )
 
-    return reps.select("id", "n", "tokens").mapInArrow(run, "token long, id long, n long")
+    return _texts(docs, id_col, text_col).mapInArrow(released(run), "token long, id long, tag int, n long")
 
 
 def _banded(k: DataFrame, num: int, den: int) -> DataFrame:
@@ -120,14 +187,14 @@ def _banded(k: DataFrame, num: int, den: int) -> DataFrame:
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select(
             "token", (band + F.col("role")).alias("zone"), F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"),
-            "id", "n", "role", "salt", "component",
+            "id", "tag", "n", "role", "salt", "component",
         )
     )
 
 
 def _whole(k: DataFrame, zone: int, x) -> DataFrame:
     zero = F.lit(0)
-    return k.select("token", F.lit(zone).alias("zone"), x.alias("x"), x.alias("y"), "id", "n", zero.alias("role"), zero.alias("salt"), "component")
+    return k.select("token", F.lit(zone).alias("zone"), x.alias("x"), x.alias("y"), "id", "tag", "n", zero.alias("role"), zero.alias("salt"), "component")
 
 
 def _walk(cells: DataFrame, num: int, den: int, offer: str) -> DataFrame:
@@ -189,7 +256,7 @@ def _walk(cells: DataFrame, num: int, den: int, offer: str) -> DataFrame:
                 x, y, z = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.int64())], names=["a", "b", "token"])
 
-    return dealt.mapInArrow(run, "a long, b long, token long")
+    return dealt.mapInArrow(released(run), "a long, b long, token long")
 
 
 def _with_end(batches):
@@ -197,28 +264,57 @@ def _with_end(batches):
     yield None
 
 
-def _sets_of(pairs: DataFrame, side: str, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``(side, s + side)``: the whole sets of the documents on one side of the pairs.
+def _slot(column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER))
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of FILTER bits with the slots of all ids set, made up in Spark: words of 64 bits come to the driver."""
+    slots = ids.select(_slot(column).alias("s")).select(F.shiftright("s", 6).alias("word"), (F.col("s") % 64).cast("int").alias("bit"))
+    rows = slots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    words = np.zeros(FILTER // 64, dtype=np.int64)
+    words[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
+    return words.view(np.uint64)
 
-    Up to MOST_IDS ids are sent to every task, so that other texts are not moved; beyond that a join finds them.
+
+def _picked(ids: DataFrame, column: str, docs: DataFrame, id_col: str, text_col: str, k: int, columns, schema: str) -> DataFrame:
+    """``columns(ids, sets)`` of the documents whose ids are wanted, and of a few others, read from their texts.
+
+    Texts outside a filter of fixed size are not moved; the join that follows drops those that pass it by chance.
     """
-    need = pairs.select(F.col(side).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    wanted = None
-    if need.count() <= MOST_IDS:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(need.toArrow().column(0), dtype=np.int64)))
-    else:
-        texts = texts.join(need, "id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(ids, column))
 
     def run(batches):
+        wanted = sent.value
         for b in batches:
-            ids = np.asarray(b.column(0))
-            pick = np.flatnonzero(np.isin(ids, wanted.value)) if wanted else np.arange(len(ids))
-            if len(pick):
-                own = b.column(1).take(pa.array(pick)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[pick], pa.int64()), pa.array([s.tobytes() for _, s in _sets(own, k)], pa.binary())], names=[side, "s" + side])
+            slot = np.asarray(b.column(2))
+            pick = pa.array(np.flatnonzero(wanted[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)))
+            own, texts = b.column(0).take(pick), b.column(1).take(pick)
+            for lo in range(0, len(own), 256):
+                sets = [s for _, s in _sets(texts.slice(lo, 256).to_pylist(), k)]
+                yield columns(own.slice(lo, 256), sets)
+
+    return _texts(docs, id_col, text_col).withColumn("slot", _slot("id")).mapInArrow(released(run), schema)
+
+
+def _sets_of(pairs: DataFrame, side: str, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``(side, s + side)``: the whole sets of the documents on one side of the pairs."""
+
+    def columns(ids, sets):
+        return pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=[side, "s" + side])
+
+    return _picked(pairs, side, docs, id_col, text_col, k, columns, f"{side} long, s{side} binary")
 
-    return texts.mapInArrow(run, f"{side} long, s{side} binary")
+
+def _bits_of(keys: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``(id, tag, bits)``: wide bitmaps of the documents of some groups."""
+
+    def columns(ids, sets):
+        tags = [_digest(s)[1] for s in sets]
+        bits = [tree.bitmap(s, WIDE) if len(s) else b"" for s in sets]
+        return pa.RecordBatch.from_arrays([ids, pa.array(tags, pa.int32()), pa.array(bits, pa.binary())], names=["id", "tag", "bits"])
+
+    return _picked(keys, "id", docs, id_col, text_col, k, columns, "id long, tag int, bits binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -237,7 +333,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: i
             keep = pa.array([m * den >= num * u for m, u in zip(inter, union, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a, c, pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "overlap", "union_size"]).filter(keep)
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, overlap long, union_size long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(released(check), "a long, b long, overlap long, union_size long")
 
 
 def jaccard_join(
@@ -254,59 +350,72 @@ def jaccard_join(
     repeated id counts once for each different text, and is itself one node.
     """
     low = prefix_size(num, den)
-    sketch = 2 * low + 8
-    s = materialise(describe(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, sketch), "sets")
+    s = materialise(describe(docs, id_col, text_col, k, low), "sets")
     classes = s.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"))
     member = materialise(
-        s.where("n > 0").select("id", "n", "digest").join(classes, "digest").select("id", "n", "class_id").unionByName(
-            s.where("n = 0").select("id", "n", F.col("id").alias("class_id"))
+        s.where("n > 0").select("id", "tag", "n", "digest").join(classes, "digest").select("id", "tag", "n", "class_id").unionByName(
+            s.where("n = 0").select("id", "tag", "n", F.col("id").alias("class_id"))
         ),
         "classes",
-    )
-    own = member.where("n > 0 and id = class_id").select("id", F.col("n").alias("own_n")).distinct()
-    reps = s.where("n > 0").join(own, "id").where("n = own_n").dropDuplicates(["id", "n"]).drop("own_n")
-    reps = materialise(reps.select("id", "n", "tokens", "bits"), "reps")
-    links = _links(reps, docs, id_col, text_col, k, num, den, low, sketch)
-    extra = member.select(F.col("id").alias("u"), F.col("class_id").alias("v")).where("u <> v")
-    merged = member.groupBy("id").agg(F.count_distinct("class_id").alias("c")).where("c > 1")
-    top = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(extra.join(merged, extra.u == merged.id, "left_semi")))
-    members = member.join(top.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+    )
+    parts, links = _links(s, member, docs, id_col, text_col, k, num, den)
+    # texts of a repeated id that fall into different classes join these
+    several = member.groupBy("id").agg(F.count_distinct("class_id").alias("c")).where("c > 1").select("id")
+    extra = materialise(member.join(several, "id", "left_semi").select("id", "class_id").where("id <> class_id").distinct(), "repeated")
+    if not extra.isEmpty():
+        parts = merged_components(parts, extra, "id", "class_id")
+    members = member.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
     return members, links
 
 
-def _links(reps, docs, id_col, text_col, k_words, num, den, low, sketch) -> DataFrame:
-    tokens = reps.select(F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
-    least = max(COMMON, reps.count() * sketch // MOST_COMMON)
-    common = np.asarray(often.where(F.col("c") > least).select("token").toArrow().column(0), dtype=np.int64)
-    keys = _keys(reps, common, low, sketch)
-    counts = keys.groupBy("token").agg(F.count("*").alias("c")).where("c >= 2")
+def _dealt(s, member, docs, id_col, text_col, k_words, num, den) -> DataFrame:
+    """The keys of all groups of two sets or more, once for groups with the same members, with the size ``c`` of the group."""
+    often = s.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
+    least = max(COMMON, s.count() * prefix_size(num, den) // MOST_COMMON)
+    common = np.sort(np.asarray(often.where(F.col("c") > least).select("token").toArrow().column(0), dtype=np.int64).view(np.uint64))
+    own = member.where("n > 0 and id = class_id").select("id", "tag").distinct()
+    keys = _keys(docs, id_col, text_col, k_words, Prefix(common, num, den)).join(own, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag", "token"])
+    keys = materialise(keys, "keys")
+    of = keys.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id", "tag")).alias("members"), F.min("id").alias("first")).where("c >= 2")
+    once = of.groupBy("c", "members", "first").agg(F.min("token").alias("token")).select("token", "c")
     blocks = F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int")
-    k = keys.join(counts, "token").withColumns({"component": F.col("id"), "blocks": blocks, "salt": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    k = materialise(k, "keys")
-    bits = reps.select("id", "bits")
+    return keys.join(once, "token").withColumns({"component": F.col("id"), "blocks": blocks, "salt": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+
+
+def _links(s, member, docs, id_col, text_col, k_words, num, den) -> tuple[DataFrame, DataFrame]:
+    """``(parts, links)``: the component of every class that has a link, and the verified pairs."""
+    k = materialise(_dealt(s, member, docs, id_col, text_col, k_words, num, den), "groups")
+    bits = s.where("n > 0").select("id", "tag", "bits")
+    repeats = not member.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    if repeats:
+        bits = bits.dropDuplicates(["id", "tag"])
     small, large = k.where(F.col("c") <= SMALL), k.where(F.col("c") > SMALL)
     cells = _whole(small, 0, F.lit(0)).unionByName(_whole(large, CHAIN, F.col("salt")))
-    found = materialise(_walk(cells.join(bits, "id"), num, den, "first"), "candidates")
+    found = materialise(_walk(cells.join(bits, ["id", "tag"]), num, den, "first"), "candidates")
     tried = materialise(found.where("b is not null").select("a", "b").distinct(), "pairs")
     links = materialise(verified(tried, docs, id_col, text_col, k_words, num, den), "links")
+    parts = connected_components(links, "a", "b")
     todo = found.where("b is null").select("token").unionByName(large.select("token")).distinct()
     for offer in ("best", "all"):
         if todo.isEmpty():
             break
-        parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         now = k.drop("component").join(todo, "token", "left_semi").join(parts.withColumnRenamed("node", "id"), "id", "left")
-        now = materialise(now.withColumn("component", F.coalesce("component", "id")), "keys")
+        now = materialise(now.withColumn("component", F.coalesce("component", "id")), "groups")
         several = now.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
         now = now.join(several.select("token"), "token", "left_semi")
+        bits = _bits_of(now, docs, id_col, text_col, k_words)
+        if repeats:
+            bits = bits.dropDuplicates(["id", "tag"])
         cells = _whole(now.where(F.col("c") <= BLOCK), 0, F.lit(0)).unionByName(_banded(now.where(F.col("c") > BLOCK), num, den))
-        found = materialise(_walk(cells.join(bits, "id"), num, den, offer), "candidates")
+        found = materialise(_walk(cells.join(bits, ["id", "tag"]), num, den, offer), "candidates")
         new = materialise(found.where("b is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(materialise(verified(new, docs, id_col, text_col, k_words, num, den), "links"))
+        more = materialise(verified(new, docs, id_col, text_col, k_words, num, den), "links")
+        parts = merged_components(parts, more, "a", "b")
+        links = links.unionByName(more)
         tried, todo = tried.unionByName(new), found.where("b is null").select("token").distinct()
-    return links
+    return parts, links
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -16,13 +16,14 @@ LEAF = 32
 FANOUT = 8
 
 
-def bitmap_width(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: a power of two of at least 2n, from 128 to 65,536."""
-    return 1 << min(16, max(7, (2 * n - 1).bit_length()))
+def bitmap_width(n: int, per: int = 2) -> int:
+    """Bits of the bitmap of a set of n tokens: a power of two of at least ``per`` n, from 128 to 65,536 times half of ``per``."""
+    return min(1 << 15, 1 << max(6, (n - 1).bit_length())) * per
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    width = bitmap_width(len(tokens))
+def bitmap(tokens: np.ndarray, per: int = 2) -> bytes:
+    """per: a power of two."""
+    width = bitmap_width(len(tokens), per)
     bits = np.zeros(width, dtype=bool)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -53,17 +54,18 @@ class Node:
 
 
 def build(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray | None = None) -> Node | None:
-    """A tree over sets ordered by size; neighbours in size share a leaf.
+    """A tree over sets ordered by size; neighbours in size share a leaf if their bitmaps are equally wide.
 
     labels: members of a frequent label share leaves of their own.
     """
+    width = np.array([len(m) for m in maps])
     if labels is None:
         labels, group = np.arange(len(sizes)), np.zeros(len(sizes), dtype=np.int64)
     else:
         _, at, count = np.unique(labels, return_inverse=True, return_counts=True)
         group = np.where(count[at] >= LEAF // 4, at, -1)
-    order = np.lexsort((sizes, group))
-    ends = np.flatnonzero(np.diff(group[order])) + 1
+    order = np.lexsort((sizes, width, group))
+    ends = np.flatnonzero(np.diff(group[order]) | np.diff(width[order])) + 1
     level = []
     for run in np.split(order, ends) if len(order) else []:
         for part in np.split(run, range(LEAF, len(run), LEAF)):
@@ -137,11 +139,22 @@ def candidates(
 
 def chain(sizes: np.ndarray, maps: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of neighbours that may link, in the order of their bitmaps: a few likely links of a large group."""
-    words = min(len(m) for m in maps)
-    each = np.stack([fold(m, words) for m in maps])
-    order = np.lexsort(each.T[::-1])
-    a, b = order[:-1], order[1:]
-    most = np.minimum(sizes[a] - count_bits(each[a] & ~each[b]), sizes[b] - count_bits(each[b] & ~each[a]))
+    width = np.array([len(m) for m in maps])
+    found, last = [], None
+    for words in np.unique(width):
+        own = np.flatnonzero(width == words)
+        each = np.stack([maps[i] for i in own])
+        order = np.lexsort(each.T[::-1])
+        own, each = own[order], each[order]
+        if last is not None:  # the last set of the narrower bitmaps
+            found.append(_may_link(last[0], last[1], own[:1], fold(each[:1], last[1].shape[1]), sizes, num, den))
+        found.append(_may_link(own[:-1], each[:-1], own[1:], each[1:], sizes, num, den))
+        last = own[-1:], each[-1:]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _may_link(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    most = np.minimum(sizes[a] - count_bits(x & ~y), sizes[b] - count_bits(y & ~x))
     ok = most * (num + den) >= num * (sizes[a] + sizes[b])
     return a[ok], b[ok]
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from netgrid.llm import signature_tree as tree
-from netgrid.llm.jaccard import jaccard_join, one_of_each
+from netgrid.llm.jaccard import Prefix, id_filter, jaccard_join, least_rare, one_of_each
 
 
 def brute(rows, k, num, den):
@@ -84,3 +84,61 @@ def test_tree_misses_nothing(sets, num):
         for j in range(i):
             if 10 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 assert frozenset((i, j)) in found
+
+
+def hashes(rng, n):
+    return np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+
+
+def test_prefixes_of_linked_sets_meet():
+    """Whichever hashes are common: none of the pair's, the shared ones, the unshared ones, or a random part."""
+    rng = np.random.default_rng(2)
+    for num in (8, 9):
+        for n in (3, 12, 40, 150, 400, 3000):
+            for case in range(24):
+                off = max(0, n - -(-num * 2 * n // (num + 10)))  # unshared hashes of each, at most
+                base, x, y = hashes(rng, n - off), hashes(rng, off), hashes(rng, off)
+                a, b = np.union1d(base, x), np.union1d(base, y)
+                shared = len(np.intersect1d(a, b))
+                assert 10 * shared >= num * (len(a) + len(b) - shared)
+                common = [a[:0], base, np.union1d(x, y), np.union1d(a, b)[rng.random(len(np.union1d(a, b))) < rng.random()]][case % 4]
+                choose = Prefix(np.union1d(common, hashes(rng, 50)), num, 10)
+                assert len(np.intersect1d(choose(a), choose(b)))
+
+
+def test_least_rare():
+    need = least_rare(9, 10)
+    assert need[16] == 17 and need[15] > 16 and (np.diff(need[16:]) >= 0).all() and need[99] < 60
+    assert least_rare(8, 10)[24] == 25
+
+
+def test_pair_among_many_that_share_a_text(spark):
+    """400 texts share 80 words, which are common then; the pair differs from them and hardly from one another."""
+    rng = random.Random(8)
+    shared = [f"c{i}" for i in range(80)]
+    rows = [(i, " ".join([*shared, *(f"r{i}x{j}" for j in range(40))])) for i in range(400)]
+    own = [f"p{j}" for j in range(60)]
+    rows += [(900, " ".join([*shared, *own])), (901, " ".join([*shared, *own[:-4], "q1", "q2"]))]
+    rng.shuffle(rows)
+    got, links = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=9, den=10)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 3, 9, 10)
+    assert [(r.a, r.b) for r in links.collect()] == [(900, 901)]
+
+
+def test_filter_holds_every_id(spark):
+    got = id_filter(spark.range(0, 5000, 7), "id")
+    from pyspark.sql import functions as F
+
+    from netgrid.llm.jaccard import FILTER
+
+    slots = np.array([r[0] for r in spark.range(0, 5000, 7).select(F.pmod(F.xxhash64("id"), F.lit(FILTER))).collect()])
+    assert (got[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).all()
+    assert int(np.bitwise_count(got).sum()) == len(np.unique(slots))
+
+
+def test_repeated_ids(spark):
+    """A repeated id is one node: its texts join what each of them links to."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (5, b), (2, a + " z"), (9, b), (7, "other words here")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=9, den=10)[0].collect()}
+    assert got == {(5, 2), (2, 2), (9, 2), (7, 7)}
