@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.hashing import chunks, one_word_hashes, word_hashes
+from netgrid.llm.memory import released
 from netgrid.plans.storage import materialise
 
 WINDOW, HOP = 32, 16
@@ -151,7 +152,7 @@ def term_table(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 out += [term[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "terms"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, terms binary")
 
 
 def frequencies(texts: DataFrame, v: int) -> tuple[np.ndarray, int]:
@@ -169,7 +170,7 @@ def frequencies(texts: DataFrame, v: int) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[passages, count[at]])], names=["term", "n"])
 
-    rows = texts.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("terms").mapInArrow(released(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(v + 1, np.int64)
     out[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
     return out[:-1], int(out[-1])
@@ -201,7 +202,7 @@ def latent_terms(texts: DataFrame, space: Space, seed: int = 17) -> np.ndarray:
         rows = np.concatenate([left[at], gram])
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, np.arange(-k, 0)]), pa.array(list(rows))], names=["row", "x"])
 
-    parts = texts.select("terms").mapInArrow(run, "row long, x array<double>")
+    parts = texts.select("terms").mapInArrow(released(run), "row long, x array<double>")
     # one row for each term and each column of the Gram matrix, of fixed width
     sums = parts.groupBy("row").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(k)]).toArrow()
     found = np.asarray(sums.column(0))
@@ -331,7 +332,7 @@ def search(texts: DataFrame, space: Space, items: Items) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return texts.select("doc_id", "terms").mapInArrow(run, "doc_id long, item_id long, word long, cosine double, overlap double, answer double")
+    return texts.select("doc_id", "terms").mapInArrow(released(run), "doc_id long, item_id long, word long, cosine double, overlap double, answer double")
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.files import committed, opened
+from netgrid.llm.memory import released
 from netgrid.llm.shards import dealt, range_bounds
 from netgrid.llm.tokens import encoder, slices
 from netgrid.plans.storage import fresh_path, materialise
@@ -169,7 +170,7 @@ def write_ids(
             types = (pa.int32(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True)], names=["shard", "uri", "documents", "tokens"])
 
-    return materialise(rows.select("id", "text", "shard").mapInArrow(run, "shard int, uri string, documents long, tokens long"), "manifest")
+    return materialise(rows.select("id", "text", "shard").mapInArrow(released(run), "shard int, uri string, documents long, tokens long"), "manifest")
 
 
 def read_ids(manifest: DataFrame, crc: bool = True, token_ids: bool = False) -> DataFrame:
@@ -199,7 +200,7 @@ def read_ids(manifest: DataFrame, crc: bool = True, token_ids: bool = False) ->
                         out.append(pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(wide.astype(np.int64))))
                     yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(released(run), schema)
 
 
 def token_id_files(docs: DataFrame, tokenizer: str, end_id: int, **options) -> tuple[DataFrame, DataFrame]:

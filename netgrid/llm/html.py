@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netgrid.llm.memory import released
 from netgrid.plans.storage import materialise
 
 #: A subtree on at least so many pages of a host, and this part of them, is template. Besides bare prose, whose words may
@@ -274,7 +275,7 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
                 hashes += [None, *own]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "h"])
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, h long")
+    return pages.select("host", "page", "html").mapInArrow(released(run), "host string, page long, h long")
 
 
 def recurring_subtrees(pages: DataFrame) -> DataFrame:
@@ -315,4 +316,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = src.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return rows.select("page_id", "url", "host", "html", "own").mapInArrow(run, schema)
+    return rows.select("page_id", "url", "host", "html", "own").mapInArrow(released(run), schema)

@@ -4,28 +4,50 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netgrid.llm.memory import released
+
 
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, most: int, seed: int = 7) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of at most about ``most`` rows of ``labels(doc_id, y)``, by a hash of the id.
+def least_hash(most: int, total: int) -> int | None:
+    """64-bit hashes below this keep about half as many again of ``total`` ids as are wanted; None keeps all."""
+    share = (1.5 * most + 10 * most**0.5) / max(total, 1)
+    return None if share >= 1 else int(-(2.0**63) + share * 2.0**64)
+
+
+def sample(docs: DataFrame, columns: list[str], most: int, most_chars: int, seed: int) -> DataFrame:
+    """``doc_id`` and ``columns`` (the text first) of at most ``most`` ids, those of least hash, and about ``most_chars`` characters.
 
-    An id with different labels is left out, and so are nulls.
+    The bounds hold for every table: a repeated id counts once, with the least
+    of its rows, and the first texts beyond ``most_chars`` in the order of the hash are left out.
+    """
+    h = F.xxhash64("doc_id", F.lit(seed))
+    some = docs.where("doc_id is not null")
+    cut = least_hash(most, some.agg(F.approx_count_distinct("doc_id")).first()[0])
+    if cut is not None:
+        some = some.where(h < cut)
+    one = some.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "row.*", h.alias("_h")).orderBy("_h", "doc_id").limit(most)
+    before = Window.orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``most`` rows
+    one = one.withColumn("_before", F.coalesce(F.sum(F.length(columns[0])).over(before), F.lit(0)) + F.length(columns[0]))
+    return one.where(F.col("_before") <= most_chars).select("doc_id", *columns)
+
+
+def sample_texts(docs: DataFrame, labels: DataFrame, most: int, most_chars: int = 50_000_000, seed: int = 7) -> tuple[list[str], np.ndarray]:
+    """Whole texts and labels of at most ``most`` ids of ``labels(doc_id, y)``, by a hash of the id.
+
+    An id with different labels is left out, and so are nulls; see ``sample``.
     """
     one = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
-    one = one.select("doc_id", "y")
-    total = one.count()
-    if total > most:
-        one = one.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * most / total))
-    # at most about ``most`` ids, so the broadcast is bounded
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(one), "doc_id").toArrow()
-    rows = rows.sort_by("doc_id")
+    # ids that have no text, and texts beyond the bound, leave room: half as many labelled ids again are looked up
+    found = sample(one.select("doc_id", F.lit("").alias("_"), "y"), ["_", "y"], most + most // 2, most_chars, seed).select("doc_id", "y")
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = sample(rows.join(F.broadcast(found), "doc_id"), ["text", "y"], most, most_chars, seed).toArrow().sort_by("doc_id")
     return rows.column("text").to_pylist(), np.asarray(rows.column("y").cast(pa.float64()))
 
 
@@ -50,7 +72,10 @@ def sigmoid(x):
 
 
 def keep_rows(docs: DataFrame, scorer, good) -> DataFrame:
-    """The rows of ``docs`` whose scores ``good`` accepts, all columns unchanged; ``scorer()`` makes a function of texts in each task."""
+    """The rows of ``docs`` whose scores ``good`` accepts, all columns unchanged; ``scorer()`` makes a function of texts in each task.
+
+    Every row is judged by its own text, so repeated ids stay or go one by one.
+    """
     at = docs.columns.index("text")
     texts = docs.withColumn("text", F.col("text").cast("string")) if dict(docs.dtypes)["text"] != "string" else docs
 
@@ -60,4 +85,4 @@ def keep_rows(docs: DataFrame, scorer, good) -> DataFrame:
             mask = [x for i in range(0, b.num_rows, 128) for x in good(score(b.column(at).slice(i, 128).to_pylist())).tolist()]
             yield b.filter(pa.array(mask, pa.bool_()))
 
-    return texts.mapInArrow(run, texts.schema)
+    return texts.mapInArrow(released(run), texts.schema)

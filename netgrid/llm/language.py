@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgrid.llm.labelled import fold
+from netgrid.llm.labelled import fold, sample
+from netgrid.llm.memory import released
 
 STATE = 8
 SPAN = 64
@@ -152,13 +153,10 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 350, batch: int = 384
     return Model(names, ahead, back, out, bias)
 
 
-def fit_on(docs: DataFrame, most: int, held: int, modulus: int) -> Model | None:
-    """Fit on at most about ``most`` documents with a language, outside the held-out fold, by a hash of the id."""
-    src = docs.where("doc_id is not null and text is not null and lang is not null").where(fold("doc_id", modulus) != held).select("doc_id", "text", "lang")
-    total = src.count()
-    if total > most:
-        src = src.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < int((1 << 20) * most / total))
-    t = src.toArrow().sort_by("doc_id")
+def fit_on(docs: DataFrame, most: int, held: int, modulus: int, most_chars: int = 50_000_000) -> Model | None:
+    """Fit on at most ``most`` documents with a language and about ``most_chars`` characters, outside the held-out fold, by a hash of the id."""
+    src = docs.where("doc_id is not null and text is not null and lang is not null").where(fold("doc_id", modulus) != held)
+    t = sample(src.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), ["text", "lang"], most, most_chars, 13).toArrow().sort_by("doc_id")
     return fit([x.encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()], t.column("lang").to_pylist())
 
 
@@ -187,5 +185,5 @@ def languages(docs: DataFrame, most: int = 3_000, held: int = 0, modulus: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = src.mapInArrow(run, src.select("doc_id").schema.add("lang_pred", "string").add("score", "double"))
+    out = src.mapInArrow(released(run), src.select("doc_id").schema.add("lang_pred", "string").add("score", "double"))
     return out.select("doc_id", F.coalesce(fold("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")

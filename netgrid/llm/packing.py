@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netgrid.llm.memory import released
 from netgrid.llm.tokens import encoder, slices
 from netgrid.plans.storage import materialise
 
@@ -162,7 +163,7 @@ def cut_documents(
                         [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")]
                     )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, token_ids: bool = False, **columns) -> DataFrame:
@@ -192,4 +193,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * token_ids + ", sequence_id long, offset long"
-    return ranked.select(*keep, "nth", "base").mapInArrow(place, schema)
+    return ranked.select(*keep, "nth", "base").mapInArrow(released(place), schema)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.labelled import fold, keep_rows, logistic, sample_texts, sigmoid
+from netgrid.llm.memory import released
 
 HIDDEN = 16
 _COUNTED = b"#%&*$!|?@/\\<>{}[]()_=+~^;:'\"-.,"
@@ -150,7 +151,7 @@ def score_quality(docs: DataFrame, net: Network | None, keep: list[str]) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(score, pa.float64())], names=[*keep, "score"])
 
     src = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    return src.mapInArrow(run, src.select(*keep).schema.add("score", "double"))
+    return src.mapInArrow(released(run), src.select(*keep).schema.add("score", "double"))
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, most: int, held: int, modulus: int) -> Network | None:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.hashing import mix
+from netgrid.llm.memory import released
 from netgrid.llm.shards import range_bounds, shard_of
 
 K, S = 16, 6
@@ -134,7 +135,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(done, k - done), pa.array(size, pa.int64()), pa.array(prints, pa.string())], names=["doc_id", "n_chars", "fingerprint"])
                     prints, size, done, chars = [], [], k, 0
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(released(run), "doc_id long, n_chars long, fingerprint string")
 
 
 def compare_with_edits(docs: DataFrame, shard_chars: float = 16e6) -> DataFrame:
@@ -186,4 +187,4 @@ def compare_with_edits(docs: DataFrame, shard_chars: float = 16e6) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                     out, chars = [], 0
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from netgrid.llm.hashing import mix
 from netgrid.llm.labelled import fold, keep_rows, logistic, sample_texts, sigmoid
+from netgrid.llm.memory import released
 
 BUCKETS = 1 << 17
 SIZE = 8  # of a vector
@@ -246,7 +247,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFra
 
     src = docs.select(F.col("text").cast("string").alias("_text"), *keep)
     schema = src.select(*keep).schema.add("score", "double")
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(released(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = 6_000, held: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.files import committed, opened
+from netgrid.llm.memory import released
 from netgrid.llm.shards import dealt, range_bounds
 from netgrid.plans.storage import fresh_path, materialise
 
@@ -188,7 +189,7 @@ def write_warc(
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True)], names=["shard", "uri", "records", "bytes"])
 
     ordered = rows.select("page_id", "url", "html", "sha1", "ref_id", "ref_url", "shard")
-    return materialise(ordered.mapInArrow(run, "shard int, uri string, records long, bytes long"), "warc-manifest")
+    return materialise(ordered.mapInArrow(released(run), "shard int, uri string, records long, bytes long"), "warc-manifest")
 
 
 def read_warc(manifest: DataFrame, payload: bool = False) -> DataFrame:
@@ -221,7 +222,7 @@ def read_warc(manifest: DataFrame, payload: bool = False) -> DataFrame:
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
 
-    return uris.mapInArrow(run, schema)
+    return uris.mapInArrow(released(run), schema)
 
 
 def warc_round_trip(pages: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -101,3 +101,21 @@ def test_recurrent_gradients():
             assert abs((up - down) / 2e-5 - g[at]) < 1e-4
     finally:
         language.F32 = old
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    from netgrid.llm.labelled import least_hash, sample, sample_texts
+
+    for total in (10**4, 10**9, 10**12, 10**15):  # the share of 64-bit hashes that is kept, however many rows there are
+        share = (least_hash(3_000, total) + 2**63) / 2**64
+        assert 3_000 < share * total < 6_000
+    assert least_hash(3_000, 4_000) is None
+    docs = spark.range(4_000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    again = spark.range(3_000).selectExpr("cast(7 as long) as doc_id", "concat('copy ', id) as text")
+    got = sample(docs.unionByName(again), ["text"], 500, 10**6, 3).collect()
+    assert len(got) == 500 == len({r.doc_id for r in got})
+    assert {r.doc_id: r.text for r in sample(again, ["text"], 500, 10**6, 3).collect()} == {7: "copy 0"}
+    assert 0 < sum(len(r.text) for r in sample(docs, ["text"], 500, 200, 3).collect()) <= 200
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as double) as y").unionByName(spark.sql("select 8L as doc_id, 1D as y"))
+    texts, y = sample_texts(docs.unionByName(again), labels, 300)
+    assert len(texts) == 300 and {*y} == {0.0, 1.0} and "text 8" not in texts
