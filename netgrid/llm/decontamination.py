@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.hashing import chunks, one_word_hashes, word_hashes
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches
 from netgrid.plans.storage import materialise
 
 WINDOW, HOP = 32, 16
@@ -360,6 +360,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents once, into a table of terms that is read three times and stays in
     the shared folder.
     """
+    small_batches(docs.sparkSession)
     src = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in item_blocks(benchmark):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.files import committed, opened
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches
 from netgrid.llm.shards import dealt, range_bounds
 from netgrid.llm.tokens import encoder, slices
 from netgrid.plans.storage import fresh_path, materialise
@@ -131,6 +131,7 @@ def write_ids(
     src = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
+    small_batches(docs.sparkSession)
     bounds, _ = range_bounds(src, "id", F.length("text") + 16, shard_chars)
     rows = dealt(src, "id", bounds, ["id", "text"]) if bounds else src.withColumn("shard", F.lit(0)).coalesce(1).sortWithinPartitions("id", "text")
     leading = tokenizer.startswith("byte_")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches
 from netgrid.plans.storage import materialise
 
 #: A subtree on at least so many pages of a host, and this part of them, is template. Besides bare prose, whose words may
@@ -59,9 +59,21 @@ NAMES = set(
     "signup login share sharing social related recommended recommendations comment comments respond reply replies disqus discussion widget toolbar pagination pager "
     "masthead topbar copyright disclaimer legal skip search hidden".split()
 )
+# fixed values: of these, words that a part of an article may have in its name as well; they count beside words of layout alone
+WEAK = set("related legal search hidden social share sharing discussion notice alert banner menu comment comments reply replies respond promo subscription".split())
+LAYOUT = set(
+    "post posts article articles link links list box section block area container wrapper wrap inner content item items news story stories reading page pages topics left right "
+    "top bottom main site form bar icon icons button buttons title heading header footer message messages info text group row col column panel card cards thread count".split()
+)
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
 
 
+def _telling(words: list[str]) -> list[str]:
+    """The words of one name, without weak ones that stand beside others than words of layout: ``related-work`` is no list of links."""
+    alone = all(w in WEAK or w in LAYOUT or w in NAMES or w.isdigit() for w in words)
+    return [w for w in words if alone or w not in WEAK]
+
+
 class Node:
     __slots__ = ("tag", "names", "drop", "children")
 
@@ -76,7 +88,8 @@ def _open(tag: str, attrs: str) -> Node:
         for k, v in _attr.findall(attrs):
             k, v = k.lower(), v.strip("\"'")
             if k in ("class", "id"):
-                names.update(w.lower() for w in _word.findall(html.unescape(v)))
+                for name in html.unescape(v).split():
+                    names.update(_telling([w.lower() for w in _word.findall(name)]))
             elif k == "role":
                 drop |= v.lower() in ROLES
                 names.update(["role-main"] if v.lower() == "main" else [])
@@ -182,7 +195,11 @@ def _size(n: Node) -> int:
 
 
 def main_text(page: str | None, recurring: set[int] | frozenset[int] = frozenset()) -> str:
-    """The article's blocks in page order, parted by an empty line; empty when there are none."""
+    """The blocks of the page's articles in page order, parted by an empty line; empty when there are none.
+
+    The main elements are taken where the articles in them hold less than half
+    of their text, and the whole page where there is neither.
+    """
     if not page:
         return ""
     root = parse(page)
@@ -215,15 +232,23 @@ def main_text(page: str | None, recurring: set[int] | frozenset[int] = frozenset
         inside = inside or n.tag == "article"
         n.children = [c for c in n.children if isinstance(c, str) or not dropped(c, inside)]
         stack += [(c, inside) for c in n.children if isinstance(c, Node)]
-    left = list(walk(root))
-    mains = [n for n in left if n.tag == "main" or "role-main" in n.names]
-    top = max(mains, key=_size) if mains else root
-    articles = [n for n in walk(top) if n.tag == "article"]
-    if articles:
-        best = max(articles, key=_size)
-        if not mains or 2 * _size(best) >= _size(top):
-            top = best
-    return "\n\n".join(blocks(top))
+    tops = outermost([root], lambda n: n.tag == "main" or "role-main" in n.names)
+    articles = outermost(tops or [root], lambda n: n.tag == "article")
+    if articles and (not tops or 2 * sum(map(_size, articles)) >= sum(map(_size, tops))):
+        tops = articles
+    return "\n\n".join(x for top in tops or [root] for x in blocks(top))
+
+
+def outermost(tops: list[Node], wanted) -> list[Node]:
+    """In page order, the wanted nodes at or below ``tops`` that lie in no other such node."""
+    out, stack = [], tops[::-1]
+    while stack:
+        n = stack.pop()
+        if wanted(n):
+            out.append(n)
+        else:
+            stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return out
 
 
 def blocks(top: Node) -> list[str]:
@@ -293,8 +318,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Repeated rows are each extracted, but equal html counts as one page of its
     host; pages without a host share the empty one. Extra columns are ignored.
+    A subtree that as many pages of a host have as are needed is template,
+    ties at that number included. Hosts of fewer than LEAST_PAGES distinct pages have no template, so
+    what recurs there stays unless its names tell what it is.
     """
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html")).withColumn("page", F.xxhash64("html"))
+    small_batches(pages.sparkSession)
     found = materialise(recurring_subtrees(src), "template")
     if found.count() <= MOST_SENT:
         t = found.toArrow()

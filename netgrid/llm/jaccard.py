@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from netgrid.llm import signature_tree as tree
 from netgrid.llm.hashing import chunks, shingles, word_hashes
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches
 from netgrid.plans.components import connected_components, merged_components
 from netgrid.plans.storage import materialise
 
@@ -349,6 +349,7 @@ def jaccard_join(
     it is its own class and component. Rows with a null id are left out; a
     repeated id counts once for each different text, and is itself one node.
     """
+    small_batches(docs.sparkSession)
     low = prefix_size(num, den)
     s = materialise(describe(docs, id_col, text_col, k, low), "sets")
     classes = s.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches
 
 
 def fold(id_col: str, modulus: int) -> Column:
@@ -76,6 +76,7 @@ def keep_rows(docs: DataFrame, scorer, good) -> DataFrame:
 
     Every row is judged by its own text, so repeated ids stay or go one by one.
     """
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     texts = docs.withColumn("text", F.col("text").cast("string")) if dict(docs.dtypes)["text"] != "string" else docs
 

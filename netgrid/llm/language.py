@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.labelled import fold, sample
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches, trim
 
 STATE = 8
 SPAN = 64
@@ -157,7 +157,9 @@ def fit_on(docs: DataFrame, most: int, held: int, modulus: int, most_chars: int
     """Fit on at most ``most`` documents with a language and about ``most_chars`` characters, outside the held-out fold, by a hash of the id."""
     src = docs.where("doc_id is not null and text is not null and lang is not null").where(fold("doc_id", modulus) != held)
     t = sample(src.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), ["text", "lang"], most, most_chars, 13).toArrow().sort_by("doc_id")
-    return fit([x.encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()], t.column("lang").to_pylist())
+    model = fit([x.encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()], t.column("lang").to_pylist())
+    trim()
+    return model
 
 
 def languages(docs: DataFrame, most: int = 3_000, held: int = 0, modulus: int = 5) -> DataFrame:
@@ -166,6 +168,7 @@ def languages(docs: DataFrame, most: int = 3_000, held: int = 0, modulus: int =
     Texts that are null or have no letter, and all texts when nothing was
     learned, are ``und`` with score 0. Extra columns are not used.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, most, held, modulus))
 
     def run(batches):

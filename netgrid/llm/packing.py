@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches
 from netgrid.llm.tokens import encoder, slices
 from netgrid.plans.storage import materialise
 
@@ -172,6 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     A null or empty text is a piece of one token, the end id. Repeated rows are
     packed once each; extra columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     pieces = materialise(cut_documents(docs, tokenizer, end_id, capacity, token_ids=token_ids, **columns), "pieces")
     counts = materialise(pieces.groupBy("shard", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows

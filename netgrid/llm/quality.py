@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.labelled import fold, keep_rows, logistic, sample_texts, sigmoid
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches, trim
 
 HIDDEN = 16
 _COUNTED = b"#%&*$!|?@/\\<>{}[]()_=+~^;:'\"-.,"
@@ -140,6 +140,7 @@ def fit(good: list[str], unlabelled: list[str], bad: list[str]) -> tuple[Network
 
 def score_quality(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and ``score`` of every row; 0.5 without a model. Null text is scored as an empty one."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
@@ -161,11 +162,19 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int, held: int, modulus: in
     free = docs.where(use & F.col("text").isNotNull()).select("doc_id").join(labels.where("quality is not null"), "doc_id", "left_anti")
     others, _ = sample_texts(docs, free.select("doc_id", F.lit(0.0).alias("y")), most)
     found = fit([t for t, v in zip(texts, y, strict=True) if v == 1], others, [t for t, v in zip(texts, y, strict=True) if v == 0])
+    trim()
     return found and found[0]
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = 8_000, held: int = 0, modulus: int = 5, threshold: float = 0.3) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+
+    Labels that are null, have no text or contradict one another are not
+    learned. Without a good text, or without an unlabelled one, there is no
+    model and every score is 0.5; without bad ones the scores are the network's
+    own. A null text is scored as an empty one; rows without an id and repeated ids
+    are scored row by row, and a null id is not held out. Extra columns are not used; no rows give no rows.
+    """
     out = score_quality(docs, fit_on(docs, labels, most, held, modulus), ["doc_id"])
     return out.select(
         "doc_id", F.coalesce(fold("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score",
@@ -174,7 +183,7 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = 8_000, held: int = 0
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = 8_000, held: int = 0, modulus: int = 5, threshold: float = 0.3) -> DataFrame:
-    """The documents that are scored as good, with their columns; null texts are scored as empty ones."""
+    """The documents that are scored as good, with their columns, row by row; null texts are scored as empty ones; all stay where there is no model."""
     sent = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, most, held, modulus))
 
     def scorer():

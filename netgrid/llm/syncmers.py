@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.hashing import mix
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches
 from netgrid.llm.shards import range_bounds, shard_of
 
 K, S = 16, 6
@@ -147,6 +147,7 @@ def compare_with_edits(docs: DataFrame, shard_chars: float = 16e6) -> DataFrame:
     is its own next one.
     """
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     bounds, _ = range_bounds(src, "doc_id", F.length("text") + 16, shard_chars)
     n = len(bounds) + 1
     # one row a shard: its least id

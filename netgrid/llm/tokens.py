@@ -56,7 +56,9 @@ class Encoder:
     def __init__(self, file: str, leading: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # as the library does by default, their strings in a text become one id
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)), re.I).search if special else None
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.leading = leading
         self.model = self.tokenizer.model
@@ -103,16 +105,19 @@ class Encoder:
                 if self.leading:
                     out.append(bare + "\n")
             core = line.rstrip(_tail)
-            if len(core) < len(line) and core and core[-1].isalnum() and core[-1] < _plain:
+            if len(core) < len(line) and core and core[-1].isalnum() and core[-1] < _plain and core[-1] != "İ":  # lower case: i and a mark
                 out += [mark + core, bare + line[len(core) :]]
             else:
                 out.append(mark + line)
         return out if self.leading else [x.lower() if x.isascii() else x for x in out]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Null counts as empty."""
+        """Null counts as empty. A text with the string of a special token goes to the library whole."""
         out = []
         for t in texts:
+            if t and self.special and self.special(t):
+                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+                continue
             pieces = self._pieces(t or "")
             if self.leading:
                 pieces[0] = _bare + pieces[0]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from netgrid.llm.hashing import mix
 from netgrid.llm.labelled import fold, keep_rows, logistic, sample_texts, sigmoid
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches, trim
 
 BUCKETS = 1 << 17
 SIZE = 8  # of a vector
@@ -28,7 +28,7 @@ PASSAGE = 8  # words
 STEP = 4
 DROP = 0.4  # share of n-grams left out of a training step
 EDGE = ".,;:!?\"'()[]{}<>|#%&*$-_/\\«»¿¡…“”‘’"
-MOST_WORDS = 400_000  # that a worker keeps
+MOST_WORDS = 200_000  # that a worker keeps
 
 
 def ngrams(words: list[str], size: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +173,12 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
 
     def odds(rows: np.ndarray) -> np.ndarray:
         worth = vectors @ (soft[1] - soft[0])
-        value = np.add.reduceat(worth[bag.buckets], bag.first[:-1]) / np.diff(bag.first)
-        w = bag.words[rows]
-        return (np.where(w >= 0, value[np.maximum(w, 0)], 0).sum(1) / (w >= 0).sum(1)) + bias[1] - bias[0]
+        value = np.append(np.add.reduceat(worth[bag.buckets], bag.first[:-1]) / np.diff(bag.first), 0)  # the last: no word
+        out = np.empty(len(rows))
+        for lo in range(0, len(rows), 1 << 16):
+            w = bag.words[rows[lo : lo + (1 << 16)]]
+            out[lo : lo + (1 << 16)] = value[w].sum(1) / (w >= 0).sum(1)
+        return out + bias[1] - bias[0]
 
     def worst(rows: np.ndarray, z: np.ndarray, k: int) -> np.ndarray:
         """The k passages of highest odds of each text."""
@@ -235,8 +238,16 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
     return Toxicity(model.worth, model.constant, (float(a), float(b)))
 
 
+def fit_on(docs: DataFrame, train: DataFrame, most: int) -> Toxicity:
+    """Fit on the whole texts of at most ``most`` rows of ``train(doc_id, y)``."""
+    model = fit(*sample_texts(docs, train, most))
+    trim()
+    return model
+
+
 def score_toxicity(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every row and its ``score``. Null or blank text is scored as a passage without words."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -253,11 +264,15 @@ def score_toxicity(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFra
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = 6_000, held: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
-    The model is fitted on at most about ``most`` labelled rows whose fold is not ``held``.
+    The model is fitted on at most ``most`` labelled rows whose fold is not
+    ``held``. Labels that are null, have no text or contradict one another are
+    not learned; without labels, or with one class, every text gets that class's
+    share (0.01 to 0.99) as its score. A null or blank text is scored as a
+    passage without words; rows without an id and repeated ids are scored row
+    by row, and a null id is not held out. Extra columns are not used; no rows give no rows.
     """
     train = labels.where(fold("doc_id", modulus) != held).select("doc_id", F.col("toxic").cast("double").alias("y"))
-    model = fit(*sample_texts(docs, train, most))
-    out = score_toxicity(docs, model, ["doc_id"])
+    out = score_toxicity(docs, fit_on(docs, train, most), ["doc_id"])
     return out.select(
         "doc_id", F.coalesce(fold("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
@@ -265,9 +280,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 6_000, held: int =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = 6_000, held: int = 2, modulus: int = 4, threshold: float = 0.3) -> DataFrame:
-    """The documents that are not scored toxic, with their columns; rows without text stay."""
+    """The documents that are not scored toxic, with their columns, row by row; rows without text stay, as do all where only clean texts are labelled."""
     train = labels.where(fold("doc_id", modulus) != held).select("doc_id", F.col("toxic").cast("double").alias("y"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample_texts(docs, train, most)))
+    sent = docs.sparkSession.sparkContext.broadcast(fit_on(docs, train, most))
 
     def scorer():
         known: dict[str, float] = {}

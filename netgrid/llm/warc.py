@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.files import committed, opened
-from netgrid.llm.memory import released
+from netgrid.llm.memory import released, small_batches
 from netgrid.llm.shards import dealt, range_bounds
 from netgrid.plans.storage import fresh_path, materialise
 
@@ -144,6 +144,7 @@ def write_warc(
     are all written, in order of digest and url. Extra columns are ignored. No
     pages: an empty manifest and no file.
     """
+    small_batches(pages.sparkSession)
     src = with_revisits(pages, least, **columns)
     key = columns.get("id_col", "page_id")
     bounds, _ = range_bounds(pages, key, F.coalesce(F.octet_length(columns.get("html_col", "html")), F.lit(0)) + 200, shard_bytes)

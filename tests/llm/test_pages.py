@@ -82,3 +82,23 @@ def test_warc_is_deterministic(spark):
 
     assert whole() == whole()
     assert read_warc(write_warc(odd_pages(spark).limit(0), fresh_path(spark, "warc"))).count() == 0
+
+
+def test_sibling_articles_and_names():
+    page = "<body><nav>menu</nav><article><h2>One</h2><p>first part</p></article><article><h2>Two</h2><p>second part</p></article><div class='related-posts'>more</div></body>"
+    assert main_text(page) == "One\n\nfirst part\n\nTwo\n\nsecond part"
+    inner = "<article><p>intro</p><section class='related-work'><p>others did so</p></section><section id='legalHistory'><p>in court</p></section><div class='alert'>cookies</div><div class='search box'>find</div></article>"
+    assert main_text(inner) == "intro\n\nothers did so\n\nin court"
+    assert main_text("<main><p>a b</p></main><p>outside</p><div role='main'>c</div>") == "a b\n\nc"
+    assert main_text("<main><p>long enough text of the page</p><article>x</article></main>") == "long enough text of the page\n\nx"
+
+
+def test_pages_with_odd_columns_and_repeats(spark):
+    page = "<article><p>words of one</p></article><div>shared words here</div>"
+    rows = [(i, f"http://h.example/{i}", page.replace("one", f"page {i}"), "x", 1) for i in range(40)] + [(3, "http://h.example/3", page.replace("one", "page 3"), "x", 1)] * 30
+    rows += [(100, None, None, "x", 1), (101, "not a url", "", "x", 1), (None, "http://h.example/n", "<p>free</p>", "x", 1)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string, h int")).collect()
+    assert len(got) == len(rows)
+    text = {r.page_id: r.text for r in got}
+    assert text[3] == "words of page 3" and text[39] == "words of page 39" and text[100] == text[101] == "" and text[None] == "free"
+    assert all(r.n_chars == len(r.text) for r in got)

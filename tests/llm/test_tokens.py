@@ -1,3 +1,5 @@
+import bisect
+import random
 import zlib
 from collections import Counter
 
@@ -6,10 +8,12 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from netgrid.llm.elias_fano import EliasFano, token_id_files, write_ids
 from netgrid.llm.packing import best_fit, pack_documents, solve
+from netgrid.llm.shards import range_bounds, shard_of
 from netgrid.llm.tokens import Encoder
 from netgrid.plans.storage import fresh_path
 
@@ -17,13 +21,7 @@ KINDS = (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))
 CODERS = {f: Encoder(f, lead) for f, lead in KINDS}
 
 
-def library(file):
-    t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
-    return t
-
-
-LIBRARY = {f: library(f) for f, _ in KINDS}
+LIBRARY = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f, _ in KINDS}  # untouched
 
 
 @pytest.mark.parametrize("file", [f for f, _ in KINDS])
@@ -34,6 +32,38 @@ def test_equals_library(file, t):
     assert got == LIBRARY[file].encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("file", [f for f, _ in KINDS])
+def test_equals_library_on_random_strings(file):
+    rng = random.Random(12)
+    parts = ["a", "B", "é", "İ", "Σ", "ß", "ŉ", "ǅ", "ﬁ", "́", "日", "1", " ", " ", "  ", "\n", "\t", "\r", "\x00", "\x1c", "\u00a0", "\u3000", ".", ",", "!", "'", "'s", "-", "_", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "word", "don't"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
+    want = [e.ids for e in LIBRARY[file].encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in CODERS[file].encode(texts)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+@pytest.mark.parametrize("case", ["even", "clustered", "repeated", "wide"])
+def test_shard_bounds_in_few_jobs(spark, case):
+    sc = spark.sparkContext
+    ids = {
+        "even": spark.range(20_000).selectExpr("id as k"),
+        "clustered": spark.range(20_000).selectExpr("if(id % 2 = 0, id, 4000000000000000000 + id * 3) as k"),
+        "repeated": spark.range(20_000).selectExpr("if(id % 3 = 0, 77, id * 5) as k"),
+        "wide": spark.range(20_000).selectExpr("if(id % 2 = 0, 9223372036854775807 - id, -9223372036854775808 + id) as k"),
+    }[case].cache()
+    ids.count()
+    sc.setJobGroup("bounds-" + case, "bounds")
+    bounds, sums = range_bounds(ids, "k", F.lit(1), 10.0)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("bounds-" + case))
+    sc.setJobGroup("other", "other")
+    assert jobs < 40 and bounds == sorted(bounds) and len(sums) == len(bounds) + 1
+    rows = ids.select("k", shard_of(F.col("k"), bounds).alias("s")).collect()
+    assert all(r.s == bisect.bisect_right(bounds, r.k) for r in rows)
+    size = Counter(r.s for r in rows)
+    assert [size[i] for i in range(len(sums))] == sums
+    assert len(sums) > 1000 and max(n for i, n in size.items() if i != bisect.bisect_right(bounds, 77) or case != "repeated") <= 10
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=700))
 def test_elias_fano(values):
