@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,9 +34,11 @@ from netgrid.plans.storage import materialise
 
 WINDOW, HOP = 32, 16
 RANK, EXTRA = 96, 16
-LEAST_COSINE = 0.4
+LEAST_COSINE = 0.3
 OTHER = 7.0  # weight of words outside the benchmark's vocabulary
-COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
+COPY, PARAPHRASE, ANSWER = 0.8, 0.5, 0.3
+#: A paraphrase has so many words of the item in order, or this share of a short one.
+SOME_WORDS, SHORT = 12, 0.6
 MOST_WORDS = 100_000  # of the benchmark's vocabulary in one block of items
 RUN, PIECE = 1 << 18, 8192  # words handled at once, and rows gathered at once
 _table = bytes.maketrans(bytes(b for b in range(128) if not (chr(b).isalnum() or chr(b).isspace())), b" " * sum(not (chr(b).isalnum() or chr(b).isspace()) for b in range(128)))
@@ -249,6 +252,11 @@ def prepare_items(items: list[tuple[int, str]], space: Space) -> Items:
     return Items([i for i, _ in items], words, answers, np.concatenate(vectors), np.array(of))
 
 
+def enough(size: int) -> int:
+    """How many words in order make a paraphrase of an item of ``size`` words."""
+    return max(math.ceil(PARAPHRASE * size - 1e-9), min(SOME_WORDS, math.ceil(SHORT * size - 1e-9)))
+
+
 def common(masks: dict[int, int], size: int, words: list[int]) -> int:
     """Length of the longest common subsequence, the rows of the table being bits of one integer."""
     row = full = (1 << size) - 1
@@ -291,7 +299,7 @@ def search(texts: DataFrame, space: Space, items: Items) -> DataFrame:
         terms = s.weighted(s.terms)
         masks = [(bit_masks(w), len(w)) for w in it.words]
         # a common subsequence lacks each word of the item that the text lacks
-        least = [(frozenset(m), len(m) - int((1 - PARAPHRASE) * n + 1e-9)) for m, n in masks]
+        least = [(frozenset(m), len(m) - (n - enough(n))) for m, n in masks]
         ends = [(bit_masks(w), len(w)) for w in it.answers]
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
@@ -313,14 +321,15 @@ def search(texts: DataFrame, space: Space, items: Items) -> DataFrame:
                     at = row + lo
                     places = zip(start[at].tolist(), end[at].tolist(), text_start[at].tolist(), text_end[at].tolist(), it.of[column].tolist(), sim[row, column].tolist(), strict=True)
                     for p, q, first, last, k, cosine in places:
-                        size, (own, enough) = masks[k][1], least[k]
+                        size, (own, fewest) = masks[k][1], least[k]
                         region = term[max(first, p - size) : min(last, q + size)].tolist()
-                        if len(own.intersection(region)) < enough:
+                        if len(own.intersection(region)) < fewest:
                             continue
                         doc = int(owner[p])
-                        share = common(*masks[k], region) / size
-                        if share < PARAPHRASE:
+                        matched = common(*masks[k], region)
+                        if matched < enough(size):
                             continue
+                        share = matched / size
                         tail = common(*ends[k], region) / max(ends[k][1], 1)
                         if share < COPY and tail < ANSWER:
                             continue
