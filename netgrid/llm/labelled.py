@@ -1,11 +1,16 @@
-"""Bounded samples of labelled rows for the models that are fitted on the driver."""
+"""Bounded samples of labelled rows, and models fitted on them in one task."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from netgrid.llm.memory import released, small_batches
 
@@ -38,17 +43,29 @@ def sample(docs: DataFrame, columns: list[str], most: int, most_chars: int, seed
     return one.where(F.col("_before") <= most_chars).select("doc_id", *columns)
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, most: int, most_chars: int = 50_000_000, seed: int = 7) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of at most ``most`` ids of ``labels(doc_id, y)``, by a hash of the id.
+def sample_texts(docs: DataFrame, labels: DataFrame, most: int, most_chars: int = 50_000_000, seed: int = 7) -> DataFrame:
+    """``(doc_id, text, y)``: whole texts and labels of at most ``most`` ids of ``labels(doc_id, y)``, by a hash of the id.
 
     An id with different labels is left out, and so are nulls; see ``sample``.
     """
     one = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     # ids that have no text, and texts beyond the bound, leave room: half as many labelled ids again are looked up
-    found = sample(one.select("doc_id", F.lit("").alias("_"), "y"), ["_", "y"], most + most // 2, most_chars, seed).select("doc_id", "y")
+    found = sample(one.select("doc_id", F.lit("").alias("_"), F.col("y").cast("double").alias("y")), ["_", "y"], most + most // 2, most_chars, seed).select("doc_id", "y")
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = sample(rows.join(F.broadcast(found), "doc_id"), ["text", "y"], most, most_chars, seed).toArrow().sort_by("doc_id")
-    return rows.column("text").to_pylist(), np.asarray(rows.column("y").cast(pa.float64()))
+    return sample(rows.join(F.broadcast(found), "doc_id"), ["text", "y"], most, most_chars, seed)
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """The model that ``fit`` makes of a bounded table, sorted by all its columns: in one task, so that the driver holds only the model."""
+
+    def run(batches):
+        got = list(batches)
+        t = pa.Table.from_batches(got) if got else schema.empty_table()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(t.sort_by([(c, "ascending") for c in t.column_names])))], pa.binary())], names=["model"])
+
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.schema])
+    found = rows.coalesce(1).mapInArrow(released(run), "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(schema.empty_table())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:

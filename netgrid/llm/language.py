@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgrid.llm.labelled import fold, sample
-from netgrid.llm.memory import released, small_batches, trim
+from netgrid.llm.labelled import fitted, fold, sample
+from netgrid.llm.memory import released, small_batches
 
 STATE = 8
 SPAN = 64
@@ -156,10 +156,8 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 350, batch: int = 384
 def fit_on(docs: DataFrame, most: int, held: int, modulus: int, most_chars: int = 50_000_000) -> Model | None:
     """Fit on at most ``most`` documents with a language and about ``most_chars`` characters, outside the held-out fold, by a hash of the id."""
     src = docs.where("doc_id is not null and text is not null and lang is not null").where(fold("doc_id", modulus) != held)
-    t = sample(src.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), ["text", "lang"], most, most_chars, 13).toArrow().sort_by("doc_id")
-    model = fit([x.encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()], t.column("lang").to_pylist())
-    trim()
-    return model
+    rows = sample(src.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), ["text", "lang"], most, most_chars, 13)
+    return fitted(rows, lambda t: fit([x.encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()], t.column("lang").to_pylist()))
 
 
 def languages(docs: DataFrame, most: int = 3_000, held: int = 0, modulus: int = 5) -> DataFrame:

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgrid.llm.labelled import fold, keep_rows, logistic, sample_texts, sigmoid
-from netgrid.llm.memory import released, small_batches, trim
+from netgrid.llm.labelled import fitted, fold, keep_rows, logistic, sample_texts, sigmoid
+from netgrid.llm.memory import released, small_batches
 
 HIDDEN = 16
 _COUNTED = b"#%&*$!|?@/\\<>{}[]()_=+~^;:'\"-.,"
@@ -158,12 +158,16 @@ def score_quality(docs: DataFrame, net: Network | None, keep: list[str]) -> Data
 def fit_on(docs: DataFrame, labels: DataFrame, most: int, held: int, modulus: int) -> Network | None:
     """Fit on at most about ``most`` labelled and as many unlabelled rows, whole texts, outside the held-out fold."""
     use = fold("doc_id", modulus) != held
-    texts, y = sample_texts(docs, labels.where(use).select("doc_id", F.col("quality").cast("double").alias("y")), most)
+    known = sample_texts(docs, labels.where(use).select("doc_id", F.col("quality").cast("double").alias("y")), most)
     free = docs.where(use & F.col("text").isNotNull()).select("doc_id").join(labels.where("quality is not null"), "doc_id", "left_anti")
-    others, _ = sample_texts(docs, free.select("doc_id", F.lit(0.0).alias("y")), most)
-    found = fit([t for t, v in zip(texts, y, strict=True) if v == 1], others, [t for t, v in zip(texts, y, strict=True) if v == 0])
-    trim()
-    return found and found[0]
+    others = sample_texts(docs, free.select("doc_id", F.lit(-1.0).alias("y")), most)
+
+    def run(t: pa.Table) -> Network | None:
+        texts, y = t.column("text").to_pylist(), t.column("y").to_pylist()
+        found = fit(*([x for x, v in zip(texts, y, strict=True) if v == k] for k in (1, -1, 0)))
+        return found and found[0]
+
+    return fitted(known.unionByName(others), run)
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = 8_000, held: int = 0, modulus: int = 5, threshold: float = 0.3) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.llm.hashing import mix
-from netgrid.llm.labelled import fold, keep_rows, logistic, sample_texts, sigmoid
-from netgrid.llm.memory import released, small_batches, trim
+from netgrid.llm.labelled import fitted, fold, keep_rows, logistic, sample_texts, sigmoid
+from netgrid.llm.memory import released, small_batches
 
 BUCKETS = 1 << 17
 SIZE = 8  # of a vector
@@ -240,9 +240,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
 
 def fit_on(docs: DataFrame, train: DataFrame, most: int) -> Toxicity:
     """Fit on the whole texts of at most ``most`` rows of ``train(doc_id, y)``."""
-    model = fit(*sample_texts(docs, train, most))
-    trim()
-    return model
+    return fitted(sample_texts(docs, train, most), lambda t: fit(t.column("text").to_pylist(), t.column("y").to_numpy()))
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:

@@ -104,7 +104,7 @@ def test_recurrent_gradients():
 
 
 def test_samples_are_bounded_and_never_empty(spark):
-    from netgrid.llm.labelled import least_hash, sample, sample_texts
+    from netgrid.llm.labelled import fitted, least_hash, sample, sample_texts
 
     for total in (10**4, 10**9, 10**12, 10**15):  # the share of 64-bit hashes that is kept, however many rows there are
         share = (least_hash(3_000, total) + 2**63) / 2**64
@@ -117,5 +117,6 @@ def test_samples_are_bounded_and_never_empty(spark):
     assert {r.doc_id: r.text for r in sample(again, ["text"], 500, 10**6, 3).collect()} == {7: "copy 0"}
     assert 0 < sum(len(r.text) for r in sample(docs, ["text"], 500, 200, 3).collect()) <= 200
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as double) as y").unionByName(spark.sql("select 8L as doc_id, 1D as y"))
-    texts, y = sample_texts(docs.unionByName(again), labels, 300)
-    assert len(texts) == 300 and {*y} == {0.0, 1.0} and "text 8" not in texts
+    rows = sample_texts(docs.unionByName(again), labels, 300).collect()
+    assert len(rows) == 300 and {r.y for r in rows} == {0.0, 1.0} and 8 not in {r.doc_id for r in rows}
+    assert fitted(docs.limit(0), lambda t: t.num_rows) == 0 and fitted(docs.where("doc_id < 50"), lambda t: t.column("doc_id").to_pylist()) == list(range(50))
