@@ -3,6 +3,12 @@
 Toxic documents go, then those of low quality; of each group of near copies one
 stays; documents that hold benchmark passages go; the rest is packed. Each
 stage is written as Parquet to the shared folder and read again by the next.
+
+Rows are judged one by one. Null and empty texts are not toxic, are scored for
+quality like an empty text, have no copies, hold no passage, and are packed as
+one end id. Rows without an id stay up to packing. Of rows that share an id
+the near-copy stage keeps one. Without labels nothing is toxic or bad; an empty
+benchmark takes nothing; an empty table gives no rows. Extra columns are carried to the last stage.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ VIEWS = {
                max(l_discount) * 10.0 AS conf, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS truth
         FROM lineitem GROUP BY l_suppkey, l_partkey % 64, l_orderkey % 64""",
     "fx_lines": """
-        SELECT o_orderkey AS line_id, CAST(floor(o_custkey / 625.0) AS BIGINT) AS region_id,
+        SELECT o_orderkey AS line_id, CAST(floor(o_custkey / 625.0) AS BIGINT) * 7 + o_orderkey % 7 AS region_id,
                CAST((o_custkey % 25) * 100 AS DOUBLE) AS x0,
                CAST((CAST(floor(o_custkey / 25.0) AS BIGINT) % 25) * 100 AS DOUBLE) AS y0,
                CAST((o_custkey % 25) * 100 + CASE o_orderkey % 4 WHEN 0 THEN 100 WHEN 2 THEN -100 ELSE 0 END AS DOUBLE)
@@ -24,7 +24,7 @@ VIEWS = {
                CAST((CAST(floor(o_custkey / 25.0) AS BIGINT) % 25) * 100
                  + CASE o_orderkey % 4 WHEN 1 THEN 100 WHEN 3 THEN -100 ELSE 0 END AS DOUBLE) AS y1,
                CASE o_orderstatus WHEN 'P' THEN 'human' ELSE 'model' END AS source
-        FROM orders WHERE o_orderkey % 11 < 2""",
+        FROM orders""",
     "fx_edits": """
         SELECT user_id AS job_id, event_id AS seq, ts,
                CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'delete'

@@ -55,7 +55,13 @@ def label_components(cells: DataFrame, keys: list[str], conn: int = 8) -> DataFr
     at = cells.select(*keys, "r", "c").distinct()
     w = Window.partitionBy(*keys, "r").orderBy("c")
     run = at.withColumn("g", F.col("c") - F.row_number().over(w)).groupBy(*keys, "r", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    run = run.withColumn("node", F.xxhash64(*keys, "r", "c0"))
+    parts = _label_runs(run, keys, conn)
+    return parts.select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"), "label")
+
+
+def _label_runs(run: DataFrame, keys: list[str], conn: int) -> DataFrame:
+    """``(keys, r, c0, c1, label)`` of row runs."""
+    run = run.withColumn("node", F.xxhash64(*keys, F.col("r").cast("long"), F.col("c0").cast("long")))
     reach = 1 if conn == 8 else 0
     # runs of one row meet those of the next in at most a few columns: spread over blocks of columns, not compared all with all
     spread = run.select("*", F.explode(F.sequence(F.floor((F.col("c0") - reach) / 64), F.floor((F.col("c1") + reach) / 64))).alias("b"))
@@ -63,7 +69,7 @@ def label_components(cells: DataFrame, keys: list[str], conn: int = 8) -> DataFr
     b = spread.select(*keys, "b", (F.col("r") - 1).alias("r"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("node").alias("v"))
     edges = a.join(b, [*keys, "b", "r"]).where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select("u", "v").distinct()
     parts = run.join(connected_components(edges), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    return parts.select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"), "label")
+    return parts.select(*keys, "r", "c0", "c1", "label")
 
 
 def drop_small(cells: DataFrame, keys: list[str], min_px: int) -> DataFrame:
@@ -74,17 +80,21 @@ def drop_small(cells: DataFrame, keys: list[str], min_px: int) -> DataFrame:
 
 
 def fill_holes(cells: DataFrame, keys: list[str], min_px: int, height: int, width: int) -> DataFrame:
-    """Clear 4-connected components of fewer than ``min_px`` cells become set; 0 is off."""
-    at = cells.select(*keys, "r", "c").distinct()
+    """Clear 4-connected components of fewer than ``min_px`` cells become set; 0 is off.
+
+    Works on runs of clear cells between the set ones of a row, a row without set cells being one run.
+    """
+    at = cells.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).distinct()
     if min_px <= 0:
         return at
-    groups = at.select(*keys).distinct()
-    grid = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("c"))
-    clear = grid.join(at, [*keys, "r", "c"], "left_anti")
-    lab = label_components(clear, keys, 4)
-    small = lab.groupBy(*keys, "label").agg(F.count("*").alias("n")).where(F.col("n") < min_px)
-    filled = lab.join(small.select(*keys, "label"), [*keys, "label"], "left_semi").select(*keys, "r", "c")
-    return at.select(*keys, F.col("r").cast("int"), F.col("c").cast("int")).unionByName(filled.select(*keys, F.col("r").cast("int"), F.col("c").cast("int")))
+    ends = at.groupBy(*keys).agg(F.lit(1).alias("_")).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("r"))
+    walls = at.where(F.col("c").between(0, width - 1)).unionByName(ends.select(*keys, "r", F.lit(-1).alias("c")))
+    after = F.coalesce(F.lead("c").over(Window.partitionBy(*keys, "r").orderBy("c")), F.lit(width))
+    gaps = walls.where(F.col("r").between(0, height - 1)).select(*keys, "r", (F.col("c") + 1).alias("c0"), (after - 1).alias("c1")).where("c0 <= c1")
+    lab = _label_runs(gaps, keys, 4)
+    small = lab.groupBy(*keys, "label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n")).where(F.col("n") < min_px)
+    filled = lab.join(small.select(*keys, "label"), [*keys, "label"], "left_semi").select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    return at.unionByName(filled)
 
 
 def clean_mask(cells: DataFrame, keys: list[str], height: int, width: int, radius: int = 2, holes: int = 200, small: int = 400) -> DataFrame:
@@ -107,7 +117,7 @@ def rasterize_lines(segments: DataFrame, keys: list[str], size: float) -> DataFr
 
     def cuts(a: Column, b: Column, d: Column) -> Column:
         lo, hi = F.ceil(F.least(a, b) / size).cast("int"), F.floor(F.greatest(a, b) / size).cast("int")
-        return F.when((d != 0) & (hi >= lo), F.transform(F.sequence(lo, hi), lambda i: (i * size - a) / d)).otherwise(F.array().cast("array<double>"))
+        return F.when((d != 0) & (hi >= lo), F.transform(F.sequence(lo, hi), lambda i: (i * size - a) / d + 0.0)).otherwise(F.array().cast("array<double>"))
 
     t = F.array_distinct(F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts(F.col("x0"), F.col("x1"), dx), cuts(F.col("y0"), F.col("y1"), dy))))
     t = F.filter(t, lambda x: (x >= 0) & (x <= 1))

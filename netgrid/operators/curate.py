@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgrid.plans.components import connected_components
+from netgrid.plans.order import ranked
+from netgrid.plans.storage import materialise
 
 
 def exact_duplicates(files: DataFrame) -> DataFrame:
@@ -79,8 +81,7 @@ def spread_pick(items: DataFrame, n: int, cap: int, order: str = "idx", site: st
     total = some.count()
     if total <= n:
         return some
-    pos = F.row_number().over(Window.orderBy(order)) - 1
-    return some.withColumn("pos", pos).where(F.floor((F.col("pos") + 1) * n / total) > F.floor(F.col("pos") * n / total)).drop("pos")
+    return ranked(some, [order], "pos").where(F.floor((F.col("pos") + 1) * n / total) > F.floor(F.col("pos") * n / total)).drop("pos")
 
 
 def leakage_report(files: DataFrame, held: tuple[str, ...] = ("val", "test")) -> DataFrame:
@@ -99,7 +100,7 @@ def stride_sample(tiles: DataFrame, n: int, low: float = 0.02, high: float = 0.1
     total = ok.count()
     if not total:
         raise ValueError("no tile has a density within the bounds")
-    pos = ok.withColumn("pos", F.row_number().over(Window.orderBy(density, key)) - 1)
+    pos = ranked(ok, [density, key], "pos").withColumn("pos", F.col("pos").cast("int"))
     if total < n:
         return pos
     targets = tiles.sparkSession.range(n).select(F.least(F.floor(F.col("id") * total / n), F.lit(total - 1)).cast("int").alias("pos"))
@@ -110,7 +111,7 @@ def split_exact(items: DataFrame, share: float, key: str, seed: str = "0") -> Da
     """``held``: exactly max(1, floor(n * share)) rows by a hash order of the key."""
     k = max(1, int(items.count() * share))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
-    return items.withColumn("held", F.row_number().over(Window.orderBy(order, key)) <= k)
+    return ranked(items.withColumn("_h", order), ["_h", key], "_pos").withColumn("held", F.col("_pos") < k).drop("_h", "_pos")
 
 
 def mix_weights(items: DataFrame, domain: str, shares: dict[str, float]) -> DataFrame:
@@ -124,3 +125,60 @@ def region_manifest(selection: DataFrame, stats: DataFrame, old: DataFrame) -> D
     """Selected regions with their statistics; the old ones are kept where id and set are unchanged."""
     prev = old.select("id", "set", F.col("road_fraction").alias("old"))
     return selection.join(stats, "id", "left").join(prev, ["id", "set"], "left").withColumn("road_fraction", F.coalesce("old", "road_fraction")).drop("old")
+
+
+def select_regions(
+    items: DataFrame, n_ft: int = 220, n_val: int = 30, n_test: int = 60, blocks: int = 6, margin: int = 15, cap: int = 4
+) -> DataFrame:
+    """``(idx, part)``: regions for testing, validation and training without leakage. ``items``: idx, split, sha, site.
+
+    1. ``id_test``: test items, one a site, spread over the index.
+    2. The pool: train items whose content is not held out, the first of equal ones, of sites without a chosen test item.
+    3. ``ft_val``: runs of picks of the pool; their sites, and indices within ``margin`` of a run, are withheld from
+    4. ``ft_train``: the rest, at most ``cap`` a site.
+    """
+    test = materialise(spread_pick(items.where("split = 'test'").select("idx", "site"), n_test, 1), "test")
+    same = items.groupBy("sha").agg(F.min(F.when(F.col("split") == "train", F.col("idx"))).alias("first"), F.max((F.col("split") != "train").cast("int")).alias("held"))
+    pool = items.where("split = 'train'").join(same, "sha").where("held = 0 and idx = first").join(test.select("site").distinct(), "site", "left_anti")
+    pool = materialise(pool.select("idx", "site"), "pool")
+    # at most ``n_ft`` picks, so their order is a small matter
+    prov = spread_pick(pool, n_ft, cap).withColumn("pos", F.row_number().over(Window.orderBy("idx")) - 1)
+    prov = materialise(prov, "picks")
+    each, n = max(1, n_val // blocks), prov.count()
+    starts = [round((n - each) * i / (blocks + 1)) for i in range(1, blocks + 1)]
+    at = prov.sparkSession.createDataFrame([(s,) for s in starts], "start long")
+    runs = materialise(prov.join(F.broadcast(at), (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + each)), "runs")
+    val = runs.select("idx", "site").distinct()
+    windows = runs.groupBy("start").agg((F.min("idx") - margin).alias("lo"), (F.max("idx") + margin).alias("hi"))
+    train = pool.join(val.select("site").distinct(), "site", "left_anti").join(F.broadcast(windows), F.col("idx").between(F.col("lo"), F.col("hi")), "left_anti")
+    train = spread_pick(train.select("idx", "site"), n_ft - val.count(), cap)
+    of = lambda df, part: df.select("idx", F.lit(part).alias("part"))
+    return of(test, "id_test").unionByName(of(val, "ft_val")).unionByName(of(train, "ft_train"))
+
+
+def sample_windows(
+    cells: DataFrame, keys: list[str], draws: int, crop: int, height: int, width: int, road_bias: float = 0.85, max_blank: float = 0.30, tries: int = 12, truth: str = "truth"
+) -> DataFrame:
+    """``(keys, draw, r0, c0, has_road)``: a random window for each draw of each raster, cells without a row being blank.
+
+    Numbers come from hashes of raster, draw and try. Of the tries the first
+    window that is not too blank and has road, where the draw wants road, is
+    taken; if none is, the last one.
+    """
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], *parts)), 1, 8), 16, 10).cast("long")
+    each = cells.select(*keys).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
+    each = each.withColumns({
+        "r0": (number("draw", "try", F.lit("r")) % (height - crop)).cast("int"), "c0": (number("draw", "try", F.lit("c")) % (width - crop)).cast("int"),
+        "want": number("draw", F.lit("road")) % 1000 < int(1000 * road_bias),
+    })
+    # a window covers at most two by two blocks of its size
+    block = lambda x: F.explode(F.sequence(F.floor(F.col(x) / crop), F.floor((F.col(x) + crop - 1) / crop)))
+    spread = each.select("*", block("r0").alias("_br")).select("*", block("c0").alias("_bc"))
+    own = cells.select(*keys, "r", "c", truth).withColumns({"_br": F.floor(F.col("r") / crop), "_bc": F.floor(F.col("c") / crop)})
+    inside = F.col("r").between(F.col("r0"), F.col("r0") + crop - 1) & F.col("c").between(F.col("c0"), F.col("c0") + crop - 1)
+    got = spread.join(own, [*keys, "_br", "_bc"]).where(inside).groupBy(*keys, "draw", "try").agg(F.count("*").alias("full"), F.count(F.when(F.col(truth) == 1, 1)).alias("road"))
+    all_ = each.join(got, [*keys, "draw", "try"], "left").na.fill(0, ["full", "road"])
+    ok = (1 - F.col("full") / (crop * crop) <= max_blank) & (~F.col("want") | (F.col("road") > 0))
+    order = F.struct((~ok).cast("int"), F.when(ok, F.col("try")).otherwise(-F.col("try")))
+    best = all_.groupBy(*keys, "draw").agg(F.min_by(F.struct("r0", "c0", (F.col("road") > 0).alias("has_road")), order).alias("w"))
+    return best.select(*keys, "draw", "w.*")

@@ -41,12 +41,20 @@ def confusion(pred: DataFrame, truth: DataFrame, keys: list[str], ignore: DataFr
 
 
 def sweep(cells: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
-    """Scores at every threshold (conf >= t): one scan, the thresholds unrolled in each row, one aggregation."""
-    t = F.array(*[F.lit(float(x)) for x in thresholds])
-    each = cells.select(*keys, "conf", "truth", F.explode(t).alias("threshold"))
-    p, y = F.col("conf") >= F.col("threshold"), F.col("truth") == 1
-    n = lambda x: F.count(F.when(x, 1))
-    return with_scores(each.groupBy(*keys, "threshold").agg(n(p & y).alias("tp"), n(p & ~y).alias("fp"), n(~p & y).alias("fn")))
+    """Scores at every threshold (conf >= t): one scan counts cells by how many thresholds they reach, and these counts are added up."""
+    steps = sorted({float(x) for x in thresholds})
+    y = F.col("truth") == 1
+    # null confidence reaches none
+    level = F.size(F.filter(F.array(*[F.lit(x) for x in steps]), lambda x: F.coalesce(F.col("conf") >= x, F.lit(False))))
+    by = cells.groupBy(*keys, level.alias("level")).agg(F.count(F.when(y, 1)).alias("t"), F.count(F.when(~y, 1)).alias("f"))
+
+    def at(i: int, x: float) -> Column:
+        over = F.col("level") > i
+        n = lambda v, ok: F.coalesce(F.sum(F.when(ok, F.col(v))), F.lit(0))
+        return F.struct(F.lit(x).alias("threshold"), n("t", over).alias("tp"), n("f", over).alias("fp"), n("t", ~over).alias("fn"))
+
+    each = by.groupBy(*keys).agg(F.array(*[at(i, x) for i, x in enumerate(steps)]).alias("s"))
+    return with_scores(each.select(*keys, F.inline("s")))
 
 
 def best_threshold(scores: DataFrame, keys: list[str], by: str = "f1") -> DataFrame:

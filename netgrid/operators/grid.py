@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgrid.plans.components import connected_components
+from netgrid.plans.order import ranked
 
 # fixed values: the grid's origin and pitch, in metres
 ORIGIN_E, ORIGIN_N, PITCH, TILE, KEYS = -713.563825994729996, 771.024778023362160, 100, 1500.0, 15
@@ -54,7 +55,7 @@ def contiguous_blocks(tiles: DataFrame, rows: int, cols: int, exclude: DataFrame
     blocks = members.groupBy("anchor_e", "anchor_n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dr", "dc", "tile_id"))), lambda x: x["tile_id"]).alias("tiles")
     )
-    return blocks.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("anchor_n"), "anchor_e")))
+    return ranked(blocks, [F.desc("anchor_n"), F.col("anchor_e")]).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def largest_connected_group(tiles: DataFrame) -> DataFrame:
@@ -63,7 +64,8 @@ def largest_connected_group(tiles: DataFrame) -> DataFrame:
     parts = tiles.join(connected_components(pairs).withColumnRenamed("node", "tile_id"), "tile_id", "left").withColumn("component", F.coalesce("component", "tile_id"))
     top = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     ordered = parts.join(F.broadcast(top), "component")  # one row
-    return ordered.select("tile_id", "key_e", "key_n", "n", F.row_number().over(Window.orderBy(F.desc("key_n"), "key_e")).alias("pos"))
+    pos = ranked(ordered.select("tile_id", "key_e", "key_n", "n"), [F.desc("key_n"), F.col("key_e")], "pos")
+    return pos.withColumn("pos", (F.col("pos") + 1).cast("int"))
 
 
 def tile_quality(cells: DataFrame, key: str, label: Column, least_band: Column, factor: int = 1) -> DataFrame:
@@ -76,21 +78,30 @@ def tile_quality(cells: DataFrame, key: str, label: Column, least_band: Column,
     return c.groupBy(key).agg(share(F.col("label") > 127).alias("road_fraction"), share(F.col("band") >= 248).alias("blank_fraction"))
 
 
+def _first_blocks(tiles: DataFrame, size: int, limit: int) -> DataFrame:
+    """The first ``limit`` blocks in scan order; only these are ranked."""
+    some = block_members(tiles, size, size).groupBy("anchor_e", "anchor_n").agg(F.collect_list("tile_id").alias("tiles"))
+    some = some.orderBy(F.desc("anchor_n"), "anchor_e").limit(limit)
+    return some.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("anchor_n"), "anchor_e")))
+
+
 def rank_blocks(tiles: DataFrame, quality: DataFrame, size: int = 2, min_road: float = 0.004, limit: int = 400) -> DataFrame:
     """The first ``limit`` blocks whose tiles are all usable and dense enough, densest first; ties in scan order."""
-    anchors = contiguous_blocks(tiles, size, size).where(F.col("rank") <= limit)
+    anchors = _first_blocks(tiles, size, limit)
     each = anchors.select("anchor_e", "anchor_n", "rank", F.explode("tiles").alias("tile_id")).join(quality.where("error = ''"), "tile_id")
     stats = each.groupBy("anchor_e", "anchor_n", "rank").agg(
         F.count("*").alias("n"), F.avg("road_fraction").alias("mean_road"), F.max("blank_fraction").alias("max_blank")
     )
     good = stats.where((F.col("n") == size * size) & (F.col("mean_road") >= min_road))
-    return good.select("anchor_e", "anchor_n", "rank", "mean_road", "max_blank", F.row_number().over(Window.orderBy(F.desc("mean_road"), "rank")).alias("place"))
+    # at most ``limit`` rows; rounded, as means of equal tiles differ in their last digits
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("mean_road", 9)), "rank"))
+    return good.select("anchor_e", "anchor_n", "rank", "mean_road", "max_blank", place.alias("place"))
 
 
 def best_block(tiles: DataFrame, quality: DataFrame, size: int = 2, max_blank: float = 0.15, min_road: float = 0.004, limit: int = 220) -> DataFrame:
     """The densest block that is not too blank; when none is, the first one in scan order."""
     ranked = rank_blocks(tiles, quality, size, min_road, limit).where(F.col("max_blank") <= max_blank)
-    first = contiguous_blocks(tiles, size, size).where("rank = 1").select("anchor_e", "anchor_n", F.lit(None).cast("double").alias("mean_road"))
+    first = _first_blocks(tiles, size, 1).select("anchor_e", "anchor_n", F.lit(None).cast("double").alias("mean_road"))
     both = ranked.select("anchor_e", "anchor_n", "mean_road", F.col("place").alias("o")).unionByName(first.withColumn("o", F.lit(2147483647)))
     return both.orderBy("o").limit(1).drop("o")
 

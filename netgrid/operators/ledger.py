@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgrid.operators.evaluate import beta_of, f_beta
+from netgrid.plans.order import fold
 
 MIN_GAIN = 0.003
 # fixed values: names and ranges of settings
@@ -45,20 +46,20 @@ def running_best(m: DataFrame, task: str = "task_id", order: str = "step", gain:
     """``is_best``: the first measurement, and each that beats the best so far by more than ``gain`` on the same map version.
 
     A fold over each task's ordered measurements; a measurement of another
-    version than the best's is not comparable and changes nothing.
+    version than the best's is not comparable and changes nothing. Steps are told apart by ``order``.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "score", "version")))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("ver"), F.array().cast("array<int>").alias("steps"))
 
-    def step(acc, x):
-        better = acc["best"].isNull() | ((x["version"] == acc["ver"]) & (x["score"] > acc["best"] + gain))
-        return F.struct(
-            F.when(better, x["score"]).otherwise(acc["best"]).alias("best"), F.when(better, x["version"].cast("long")).otherwise(acc["ver"]).alias("ver"),
-            F.when(better, F.concat(acc["steps"], F.array(x["o"].cast("int")))).otherwise(acc["steps"]).alias("steps"),
-        )
+    def step(best: list, o: int, score: float | None, version: int | None) -> tuple | None:
+        if score is None:
+            return None
+        if not best or (version == best[1] and score > best[0] + gain):
+            best[:] = score, version
+            return (o,)
+        return None
 
-    folded = m.groupBy(task).agg(seq.alias("seq")).select(task, F.aggregate("seq", start, step)["steps"].alias("steps"))
-    return m.join(folded, task).withColumn("is_best", F.array_contains("steps", F.col(order).cast("int"))).drop("steps")
+    own = m.withColumns({"version": F.col("version").cast("long"), "score": F.col("score").cast("double")})
+    found = fold(own, task, order, [order, "score", "version"], [m.schema[order]], list, step).distinct().withColumn("is_best", F.lit(True))
+    return m.join(found, [task, order], "left").withColumn("is_best", F.coalesce("is_best", F.lit(False)))
 
 
 def plateau(m: DataFrame, task: str = "task_id", order: str = "step", window: int = 2) -> DataFrame:
@@ -101,9 +102,10 @@ def order_violations(calls: DataFrame, needs: dict[str, str], task: str = "job_i
 
 
 def content_version(cells: DataFrame, keys: list[str], value: str = "conf") -> DataFrame:
-    """Identity of a map by its contents, in whatever order its rows are."""
+    """Identity of a map by its contents, in whatever order its rows are; repeated rows count as often as they come."""
     h = F.xxhash64("r", "c", value)
-    return cells.groupBy(*keys).agg(F.bit_xor(h).alias("version"), F.count("*").alias("n"))
+    sums = cells.groupBy(*keys).agg(F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+    return sums.select(*keys, F.xxhash64("x", F.col("s").cast("string"), "n").alias("version"), "n")
 
 
 def unsupported_numbers(replies: DataFrame, evidence: DataFrame, task: str, text: str = "text", value: str = "value") -> DataFrame:

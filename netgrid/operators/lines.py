@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgrid.plans.components import connected_components
+from netgrid.plans.order import fold
 
 
 # ---- lines as ``coords ARRAY<STRUCT<x, y>>`` ----
@@ -181,42 +182,28 @@ def share_along(segments: DataFrame, zone: DataFrame, keys: list[str], buf: floa
     return segments.select(*keys, "line_id").join(got, [*keys, "line_id"], "left").na.fill(0.0, ["share"])
 
 
-def merge_network(model: DataFrame, human: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:
-    """Model lines that are neither deleted (share >= 0.6, tested first) nor superseded (>= 0.7), and all human lines; ``status`` tells."""
-    d = share_along(model, deleted, keys).withColumnRenamed("share", "in_deleted")
-    h = share_along(model, human, keys).withColumnRenamed("share", "in_human")
-    status = F.when(F.col("in_deleted") >= 0.6, "deleted").when(F.col("in_human") >= 0.7, "superseded").otherwise("model")
-    m = model.join(d, [*keys, "line_id"]).join(h, [*keys, "line_id"]).withColumn("status", status).drop("in_deleted", "in_human")
-    return m.unionByName(human.withColumn("status", F.lit("human")))
-
-
 def live_operations(log: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
     """Operations that undo and redo leave standing: a new one clears the redo stack; an undo or redo of nothing does nothing."""
-    kind = log.dtypes[[c for c, _ in log.dtypes].index(order)][1]
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "op")))
-    none = F.array().cast(f"array<{kind}>")
-    start = F.struct(none.alias("done"), none.alias("undone"))
-
-    def pop(a):
-        return F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-
-    def top(a):
-        return F.slice(a, F.greatest(F.size(a), F.lit(1)), 1)
-
-    def step(acc, x):
-        done, undone = acc["done"], acc["undone"]
-        return F.struct(
-            F.when(x["op"] == "undo", pop(done)).when(x["op"] == "redo", F.concat(done, top(undone))).otherwise(F.concat(done, F.array(x["o"]))).alias("done"),
-            F.when(x["op"] == "undo", F.concat(undone, top(done))).when(x["op"] == "redo", pop(undone)).otherwise(none).alias("undone"),
-        )
 
-    left = log.groupBy(job).agg(seq.alias("seq")).select(job, F.explode(F.aggregate("seq", start, step)["done"]).alias(order))
+    def step(stacks: tuple[list, list], o: int, op: str) -> None:
+        done, undone = stacks
+        if op == "undo":
+            undone += [done.pop()] if done else []
+        elif op == "redo":
+            done += [undone.pop()] if undone else []
+        else:
+            done.append(o)
+            undone.clear()
+
+    left = fold(log, job, order, [order, "op"], [log.schema[order]], lambda: ([], []), step, lambda s: [(o,) for o in s[0]])
     return log.join(left, [job, order])
 
 
 def edit_activity(live: DataFrame, job: str = "job_id", order: str = "seq", recent: int = 8) -> DataFrame:
     """Counts of standing operations and the most recent ones."""
     n = lambda op: F.count(F.when(F.col("op") == op, 1))
-    last = F.slice(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "op")), asc=False), 1, recent)
-    out = live.groupBy(job).agg(n("add").alias("added"), n("delete").alias("deleted"), n("replace").alias("replaced"), n("dismiss").alias("dismissed"), last.alias("last"))
-    return out.withColumn("recent", F.array_join(F.transform("last", lambda x: F.concat_ws(":", x["o"], x["op"])), ",")).drop("last")
+    out = live.groupBy(job).agg(n("add").alias("added"), n("delete").alias("deleted"), n("replace").alias("replaced"), n("dismiss").alias("dismissed"))
+    k = F.row_number().over(Window.partitionBy(job).orderBy(F.desc(order)))  # Spark keeps the first ones of each task before it moves rows
+    last = live.select(job, order, "op", k.alias("k")).where(F.col("k") <= recent)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(":", order, "op").alias("t")))), lambda x: x["t"]), ",")
+    return out.join(last.groupBy(job).agg(text.alias("recent")), job)

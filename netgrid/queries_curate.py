@@ -54,7 +54,8 @@ def _(t):
     return curate.junction_fingerprints(t.fx_graph)
 
 
-@query("h6_link_regions", PRINTS + """, v AS (SELECT a.region_id AS a, b.region_id AS b, b.nr - a.nr AS dr, b.nc - a.nc AS dc, count(*) AS votes FROM p a JOIN p b ON a.key = b.key AND a.region_id < b.region_id GROUP BY 1, 2, 3, 4)
+@query("h6_link_regions", PRINTS + """, v AS (SELECT a.region_id AS a, b.region_id AS b, b.nr - a.nr AS dr, b.nc - a.nc AS dc, count(*) AS votes FROM p a JOIN p b ON a.key = b.key AND a.region_id < b.region_id
+    WHERE a.key IN (SELECT key FROM p GROUP BY key HAVING count(DISTINCT region_id) <= 50) GROUP BY 1, 2, 3, 4)
   SELECT a, b, dr, dc, votes FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY votes DESC, dr, dc) AS k FROM v WHERE votes >= 1) WHERE k = 1""")
 def _(t):
     return curate.link_regions(curate.junction_fingerprints(t.fx_graph), min_votes=1)

@@ -76,12 +76,12 @@ def _(t):
     return t.fx_ledger.select("task_id", "step", F.round(evaluate.f_beta(F.col("prec"), F.col("rec"), evaluate.beta_of(name)), 6).alias("score"))
 
 
-@query("g10_judge_agreement", """WITH k AS (SELECT task_id, step AS variant, prec AS judge, rec AS truth FROM fx_ledger WHERE step <= 9),
+@query("g10_judge_agreement", """WITH k AS (SELECT task_id, step AS variant, prec AS judge, rec AS truth FROM fx_ledger),
   r AS (SELECT *, rank() OVER (PARTITION BY task_id ORDER BY judge) + (count(*) OVER (PARTITION BY task_id, judge) - 1) / 2.0 AS rj,
         rank() OVER (PARTITION BY task_id ORDER BY truth) + (count(*) OVER (PARTITION BY task_id, truth) - 1) / 2.0 AS rt FROM k)
   SELECT task_id, round(corr(rj, rt), 6) + 0.0 AS spearman, arg_max(variant, judge * 1000 + variant * 0.000001) = arg_max(variant, truth * 1000 + variant * 0.000001) AS same_winner FROM r GROUP BY task_id HAVING count(*) > 2""")
 def _(t):
-    s = t.fx_ledger.where("step <= 9").select("task_id", F.col("step").alias("variant"), F.col("prec").alias("judge"), F.col("rec").alias("truth"))
+    s = t.fx_ledger.select("task_id", F.col("step").alias("variant"), F.col("prec").alias("judge"), F.col("rec").alias("truth"))
     many = s.groupBy("task_id").count().where("count > 2")
     return evaluate.judge_agreement(s.join(many, "task_id", "left_semi"), ["task_id"]).withColumn("spearman", F.round("spearman", 6) + 0.0)
 
@@ -178,17 +178,39 @@ def _(t):
     return SIX(cells.cell_iou(_pred(t), _truth(t), ["raster_id"]), "iou")
 
 
-@query("c4_label_components")
+CC8 = """o AS (SELECT dy, dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx)),
+  e AS MATERIALIZED (SELECT a.raster_id, a.r * 64 + a.c AS u, b.r * 64 + b.c AS v FROM y a CROSS JOIN o JOIN y b ON b.raster_id = a.raster_id AND b.r = a.r + dy AND b.c = a.c + dx),
+  q AS (SELECT raster_id, u AS node, u AS root FROM e WHERE u = v UNION SELECT q.raster_id, e.v, q.root FROM q JOIN e ON e.raster_id = q.raster_id AND e.u = q.node WHERE q.root < e.v),
+  k AS MATERIALIZED (SELECT raster_id, node, min(root) AS root FROM q GROUP BY 1, 2), z AS (SELECT raster_id, root, count(*) AS n FROM k GROUP BY 1, 2)"""
+
+
+@query("c4_label_components", f"WITH RECURSIVE y AS (SELECT raster_id, r, c FROM fx_cells WHERE truth = 1), {CC8} SELECT raster_id, n, count(*) AS components FROM z GROUP BY 1, 2")
 def _(t):
     lab = cells.label_components(_truth(t), ["raster_id"], 8)
     return lab.groupBy("raster_id", "label").agg(F.count("*").alias("n")).groupBy("raster_id", "n").agg(F.count("*").alias("components"))
 
 
-@query("c6_drop_small")
+@query("c6_drop_small", f"WITH RECURSIVE y AS (SELECT raster_id, r, c FROM fx_cells WHERE truth = 1), {CC8} SELECT raster_id, node // 64 AS r, node % 64 AS c FROM k JOIN z USING (raster_id, root) WHERE n >= 5")
 def _(t):
     return cells.drop_small(_truth(t), ["raster_id"], 5)
 
 
+# clear cells of the raster, in pieces of four neighbours, by numbers of cells
+HOLES = """cl AS MATERIALIZED (SELECT i.raster_id, g.v FROM (SELECT DISTINCT raster_id FROM y) i, range(0, 4096) g(v) WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.raster_id = i.raster_id AND y.r = g.v // 64 AND y.c = g.v % 64)),
+  ce AS MATERIALIZED (SELECT a.raster_id, a.v AS u, b.v FROM cl a JOIN cl b ON b.raster_id = a.raster_id AND (b.v = a.v + 64 OR b.v = a.v - 64 OR (b.v = a.v + 1 AND b.v % 64 <> 0) OR (b.v = a.v - 1 AND a.v % 64 <> 0))),
+  cq AS (SELECT raster_id, v AS node, v AS other, 1 AS depth FROM cl UNION SELECT cq.raster_id, cq.node, ce.v, cq.depth + 1 FROM cq JOIN ce ON ce.raster_id = cq.raster_id AND ce.u = cq.other WHERE cq.depth < 6),
+  ch AS (SELECT raster_id, node FROM (SELECT raster_id, node, count(DISTINCT other) AS n FROM cq GROUP BY 1, 2) WHERE n < 6)"""
+
+
+@query("c5_fill_holes", f"WITH RECURSIVE y AS (SELECT DISTINCT raster_id, r // 2 * 2 + dy AS r, c // 2 * 2 + dx AS c FROM fx_cells, range(0, 2) a(dy), range(0, 2) b(dx)), {HOLES} SELECT raster_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM y UNION SELECT raster_id, node // 64, node % 64 FROM ch")
+def _(t):
+    # pairs of rows and columns alike, so that there are holes of four cells
+    at = t.fx_cells.select("raster_id", (F.floor(F.col("r") / 2) * 2).alias("r"), (F.floor(F.col("c") / 2) * 2).alias("c"))
+    four = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in (0, 1) for x in (0, 1)])
+    mask = at.select("raster_id", "r", "c", F.inline(four)).select("raster_id", (F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c"))
+    return cells.fill_holes(mask, ["raster_id"], 6, 64, 64)
+
+
 @query("c7_clean_mask")
 def _(t):
-    return cells.clean_mask(_truth(t), ["raster_id"], 64, 64, 1, 6, 20)
+    return cells.clean_mask(_truth(t), ["raster_id"], 64, 64, 1, 6, 4)

@@ -14,7 +14,7 @@ b AS (SELECT anchor_e, anchor_n, list(tile_id ORDER BY dr, dc) AS tiles, avg(roa
              max(blank_fraction) AS max_blank, sum(CASE WHEN tile_id % 13 = 0 THEN 1 ELSE 0 END) AS bad
       FROM m GROUP BY anchor_e, anchor_n HAVING count(*) = 4),
 s AS (SELECT *, row_number() OVER (ORDER BY anchor_n DESC, anchor_e) AS rank FROM b),
-k AS (SELECT *, row_number() OVER (ORDER BY mean_road DESC, rank) AS place FROM s WHERE rank <= 400 AND bad = 0 AND mean_road >= 0.004)
+k AS (SELECT *, row_number() OVER (ORDER BY round(mean_road, 9) DESC, rank) AS place FROM s WHERE rank <= 400 AND bad = 0 AND mean_road >= 0.004)
 """
 
 
@@ -73,7 +73,7 @@ def _(t):
     return grid.rank_blocks(t.fx_tiles, _quality(t)).withColumn("mean_road", F.round("mean_road", 6))
 
 
-@query("b8_best_block", BLOCKS + "SELECT anchor_e, anchor_n, round(mean_road, 6) AS mean_road FROM k WHERE rank <= 220 AND max_blank <= 0.15 ORDER BY mean_road DESC, rank LIMIT 1")
+@query("b8_best_block", BLOCKS + "SELECT anchor_e, anchor_n, round(mean_road, 6) AS mean_road FROM k WHERE rank <= 220 AND max_blank <= 0.15 ORDER BY round(mean_road, 9) DESC, rank LIMIT 1")
 def _(t):
     return grid.best_block(t.fx_tiles, _quality(t)).withColumn("mean_road", F.round("mean_road", 6))
 

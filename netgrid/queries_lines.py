@@ -138,18 +138,6 @@ def _(t):
     return lines.edit_activity(lines.live_operations(t.fx_edits.select("job_id", "seq", "op")))
 
 
-@query("f6_share_along")
-def _(t):
-    s = t.fx_lines
-    return lines.share_along(s.where("source = 'model'"), s.where("source = 'human'"), ["region_id"]).withColumn("share", F.round("share", 6))
-
-
-@query("f7_merge_network")
-def _(t):
-    s = t.fx_lines.drop("source")
-    return lines.merge_network(s.where("line_id % 3 <> 0"), s.where("line_id % 3 = 0"), s.where("line_id % 17 = 0"), ["region_id"]).groupBy("region_id", "status").agg(F.count("*").alias("n"))
-
-
 @query("j2_pair_calls", "SELECT job_id, call_id, min(CASE WHEN type = 'tool_call' THEN \"at\" END) AS called, min(CASE WHEN type = 'tool_result' THEN \"at\" END) AS answered FROM fx_trace GROUP BY job_id, call_id HAVING min(CASE WHEN type = 'tool_call' THEN \"at\" END) IS NOT NULL")
 def _(t):
     from netgrid.streaming.trace import pair_calls

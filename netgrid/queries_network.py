@@ -64,12 +64,6 @@ def _(t):
     return network.rank_suggestions(s)
 
 
-@query("g9_expected_scores")
-def _(t):
-    cells = t.fx_cells.select((F.col("raster_id") - 1).alias("region_id"), "r", "c", "conf")
-    return network.expected_scores(t.fx_lines, cells, ["region_id"], 40.0, 1.0)
-
-
 @query("a11_blocks_and_cells", "SELECT raster_id, r, c, CAST(conf AS FLOAT) AS v FROM fx_cells WHERE conf > 0")
 def _(t):
     b = network.to_blocks(t.fx_cells.withColumn("v", F.col("conf")), ["raster_id"], 32)

@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netgrid.operators.edits import merge_network
+from netgrid.operators.grid import taper
 from netgrid.operators.ledger import MIN_GAIN
+from netgrid.operators.lines import live_operations
 
 
 def pair_calls(trace: DataFrame, late: str = "10 minutes", within: str = "1 hour") -> DataFrame:
@@ -57,3 +60,49 @@ def stream_ledger(measurements: DataFrame) -> DataFrame:
     return measurements.groupBy("task_id").applyInPandasWithState(
         update, "task_id long, step int, score double, is_best boolean", "best double, version long", "append", "NoTimeout"
     )
+
+
+def stream_chips(chips: DataFrame, keys: list[str], size: int, overlap: int, late: str = "10 minutes") -> DataFrame:
+    """Running mosaic of chips as they come: ``(keys, r, c, v)`` with sums of weighted values over sums of weights.
+
+    ``chips``: keys, chip_id, version, at, row_off, col_off, data (row by row). On a stream a chip that comes
+    again with its version is dropped within the watermark, and the output
+    mode is update. A chip of size * size values is one row.
+    """
+    once = ["chip_id", "version"]
+    src = chips.withWatermark("at", late).dropDuplicatesWithinWatermark([*keys, *once]) if chips.isStreaming else chips.dropDuplicates([*keys, *once])
+    cell = src.select(*keys, "row_off", "col_off", F.posexplode("data").alias("i", "m"))
+    cell = cell.withColumns({"j": F.floor(F.col("i") / size).cast("int"), "k": (F.col("i") % size).cast("int")})
+    w = taper(F.col("j"), F.lit(size), F.lit(overlap)) * taper(F.col("k"), F.lit(size), F.lit(overlap))
+    at = cell.select(*keys, (F.col("row_off") + F.col("j")).alias("r"), (F.col("col_off") + F.col("k")).alias("c"), (F.col("m") * w).alias("mw"), w.alias("w"))
+    return at.groupBy(*keys, "r", "c").agg((F.sum("mw") / F.sum("w")).alias("v"))
+
+
+def rebuilt(log: DataFrame, model: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
+    """The merged network of every job of an edit log ``(job, seq, op, x0, y0, x1, y1)``; ``model`` has lines by job.
+
+    Standing adds and replaces are human lines, deletes are deleted ones.
+    """
+    live = live_operations(log.select(job, order, "op")).select(job, order)
+    ops = log.join(live, [job, order], "left_semi")
+    ends = ["x0", "y0", "x1", "y1"]
+    human = ops.where("op IN ('add', 'replace')").select(job, (-F.col(order) - 1).alias("line_id"), *ends)  # apart from the model's ids
+    gone = ops.where("op = 'delete'").select(job, F.col(order).alias("line_id"), *ends)
+    return merge_network(model, human, gone, [job])
+
+
+def stream_edits(edits: DataFrame, history: str, model: DataFrame, emit, job: str = "job_id", order: str = "seq"):
+    """A ``foreachBatch`` writer: each batch is appended to the log in ``history``, and the networks of the jobs it touches are rebuilt.
+
+    ``emit(network, batch_id)`` gets them. A batch that is tried again is written
+    to the same folder, so its rows do not count twice.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
+        touched = spark.read.parquet(f"{history}/batch={batch_id}").select(job).distinct()
+        log = spark.read.parquet(history).where(F.col("batch") <= batch_id).drop("batch").join(touched, job, "left_semi")
+        emit(rebuilt(log, model.join(touched, job, "left_semi"), job, order), batch_id)
+
+    return edits.writeStream.foreachBatch(each)

@@ -4,9 +4,11 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql.types import LongType, StructField
 
-from netgrid.operators import cells, curate, evaluate, grid, ledger, lines
-from netgrid.plans.components import connected_components
+from netgrid.operators import cells, curate, edits, evaluate, grid, ledger, lines
+from netgrid.plans import order
+from netgrid.plans.components import connected_components, merged_components
 from netgrid.sources import tables
 from netgrid.streaming import trace
 
@@ -79,7 +81,7 @@ def test_share_along_against_sampling(spark):
 def test_merge(spark):
     df = lambda r: spark.createDataFrame(r, SEG)
     model = df([(1, 1, 0.0, 0.0, 400.0, 0.0), (1, 2, 200.0, -200.0, 200.0, 0.0), (1, 3, 0.0, 300.0, 400.0, 300.0)])
-    got = {r.line_id: r.status for r in lines.merge_network(model, df([(1, 9, 0.0, 302.0, 400.0, 302.0)]), df([(1, 8, 0.0, 2.0, 400.0, 2.0)]), ["net"]).collect()}
+    got = {r.line_id: r.status for r in edits.merge_network(model, df([(1, 9, 0.0, 302.0, 400.0, 302.0)]), df([(1, 8, 0.0, 2.0, 400.0, 2.0)]), ["net"]).collect()}
     assert got == {1: "deleted", 2: "model", 3: "superseded", 9: "human"}
 
 
@@ -193,3 +195,51 @@ def test_stream_windows_match_batch_up_to_the_watermark(spark, tmp_path):
     got = run_stream(spark, tmp_path, ev, ev.schema, lambda s: trace.activity_windows(s, "1 hour"), "window_rows")
     key = lambda d: {(r.job_id, r.start, r.n, r.calls) for r in d.collect()}
     assert key(got) and key(got) <= key(trace.activity_windows(ev, "1 hour"))
+
+
+def test_ranks_and_folds(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(50), rng.randrange(9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v long, k long")
+    want = {i: n for n, (v, i) in enumerate(sorted((v, i) for i, v, _ in rows))}
+    assert {r.id: r.place for r in order.ranked(df, ["v", "id"], "place").collect()} == want
+    assert order.ranked(df.limit(0), ["v", "id"]).count() == 0
+
+    def step(state, i, v):
+        state.append(v)
+        return (i, sum(state)) if v % 2 else None
+
+    fields = [StructField("id", LongType()), StructField("total", LongType())]
+    got = order.fold(df, "k", "id", ["id", "v"], fields, list, step, lambda s: [(-1, sum(s))]).collect()
+    seen, want = {}, set()
+    for i, v, k in rows:
+        seen[k] = seen.get(k, 0) + v
+        if v % 2:
+            want.add((k, i, seen[k]))
+    assert {tuple(r) for r in got} == want | {(k, -1, n) for k, n in seen.items()} and len(got) == len(want) + len(seen)
+
+
+def test_version_counts_repeated_rows(spark):
+    one = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 0.7)], "k long, r long, c long, conf double")
+    version = lambda df: ledger.content_version(df, ["k"]).first().version
+    assert version(one) == version(one.orderBy("conf", ascending=False))
+    assert len({version(one), version(one.unionByName(one)), version(one.unionByName(one).unionByName(one)), version(one.limit(1))}) == 4
+    twice = one.unionByName(one)
+    assert version(twice) != version(twice.unionByName(spark.createDataFrame([(1, 5, 5, 0.1)] * 2, one.schema)))
+
+
+def test_sweep_with_nulls(spark):
+    df = spark.createDataFrame([(1, 0.3, 1), (1, 0.5, 0), (1, None, 1), (1, 0.9, 1)], "k long, conf double, truth long")
+    got = {r.threshold: (r.tp, r.fp, r.fn) for r in evaluate.sweep(df, ["k"], [0.95, 0.3, 0.5]).collect()}
+    assert got == {0.3: (2, 1, 1), 0.5: (1, 1, 2), 0.95: (0, 0, 3)}
+
+
+def test_merged_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    df = lambda e: spark.createDataFrame(e, "u long, v long")
+    parts = connected_components(df(edges[:120]))
+    parts = merged_components(merged_components(parts, df(edges[120:200]), "u", "v"), df(edges[200:]), "u", "v")
+    whole = connected_components(df(edges))
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, merged_components(parts, df(edges).limit(0), "u", "v").collect())) == sorted(map(tuple, parts.collect()))
