@@ -268,6 +268,20 @@ def common(masks: dict[int, int], size: int, words: list[int]) -> int:
     return size - row.bit_count()
 
 
+def words_in(has: np.ndarray, k: np.ndarray, term: np.ndarray, a: np.ndarray, b: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+    """How many of the words ``term[a:b]`` are words of the item k, for many regions at once."""
+    out = np.zeros(len(k), np.int64)
+    n = b - a
+    part = np.cumsum(n) // size
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(k) else []
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        m = n[lo:hi]
+        begin = np.cumsum(m) - m
+        words = term[np.repeat(a[lo:hi] - begin, m) + np.arange(m.sum())]
+        out[lo:hi] = np.add.reduceat(has[np.repeat(k[lo:hi], m), words], begin, dtype=np.int64)
+    return out
+
+
 def bit_masks(words: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, w in enumerate(words.tolist()):
@@ -301,6 +315,11 @@ def search(texts: DataFrame, space: Space, items: Items) -> DataFrame:
         # a common subsequence lacks each word of the item that the text lacks
         least = [(frozenset(m), len(m) - (n - enough(n))) for m, n in masks]
         ends = [(bit_masks(w), len(w)) for w in it.answers]
+        sizes = np.array([n for _, n in masks])
+        fewest = np.array([enough(n) for _, n in masks])
+        has = np.zeros((len(masks), len(s.idf) + 1), bool)  # the last term, -1, is in no item
+        for i, (m, _) in enumerate(masks):
+            has[i, [t for t in m if t >= 0]] = True
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for base, term, owner in runs(b.column(1)):
@@ -318,12 +337,15 @@ def search(texts: DataFrame, space: Space, items: Items) -> DataFrame:
                 for lo in range(0, len(start), 1024):
                     sim = y[lo : lo + 1024] @ it.vectors.T
                     row, column = np.nonzero(sim >= LEAST_COSINE)
-                    at = row + lo
-                    places = zip(start[at].tolist(), end[at].tolist(), text_start[at].tolist(), text_end[at].tolist(), it.of[column].tolist(), sim[row, column].tolist(), strict=True)
-                    for p, q, first, last, k, cosine in places:
-                        size, (own, fewest) = masks[k][1], least[k]
-                        region = term[max(first, p - size) : min(last, q + size)].tolist()
-                        if len(own.intersection(region)) < fewest:
+                    at, k = row + lo, it.of[column]
+                    left, right = np.maximum(text_start[at], start[at] - sizes[k]), np.minimum(text_end[at], end[at] + sizes[k])
+                    near = np.flatnonzero(words_in(has, k, term, left, right) >= fewest[k])
+                    at = at[near]
+                    places = (start[at], text_start[at], left[near], right[near], k[near], sim[row[near], column[near]])
+                    for p, first, x, z, k, cosine in zip(*(v.tolist() for v in places), strict=True):
+                        size, (own, distinct) = masks[k][1], least[k]
+                        region = term[x:z].tolist()
+                        if len(own.intersection(region)) < distinct:
                             continue
                         doc = int(owner[p])
                         matched = common(*masks[k], region)

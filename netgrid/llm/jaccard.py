@@ -33,6 +33,7 @@ from netgrid.llm import signature_tree as tree
 from netgrid.llm.hashing import chunks, shingles, word_hashes
 from netgrid.llm.memory import released, small_batches
 from netgrid.plans.components import connected_components, merged_components
+from netgrid.plans.order import ranked
 from netgrid.plans.storage import materialise
 
 #: A group of more members than this is cut into bands of size and blocks of members.
@@ -46,7 +47,7 @@ COMMON = 64
 #: At most so many common hashes are named; the least frequency rises to keep to it.
 MOST_COMMON = 1_000_000
 #: Bits of the filter of ids whose whole sets are wanted, the same for every number of ids.
-FILTER = 1 << 25
+FILTER = 1 << 24
 SURE = 2.0**-56
 #: Bits a token of the bitmaps of the later rounds, which few sets reach.
 WIDE = 8
@@ -422,15 +423,18 @@ def _links(s, member, docs, id_col, text_col, k_words, num, den) -> tuple[DataFr
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """Of every group of near copies the document with the least id, with its columns.
 
-    Rows without an id stay, as do blank texts. Of rows that share an id the
-    one with the least text stays.
+    Rows without an id stay, as do blank texts. Where ids repeat, rows are told
+    apart by id and text: of equal ones one stays, and different texts of one id are documents of their own.
     """
-    members, _ = jaccard_join(docs, k=k, num=num, den=den)
-    losers = materialise(members.where("doc_id <> component_id").select(F.col("doc_id")).distinct(), "losers")
-    left = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id"), "repeated")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    first = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
-    return once.unionByName(first.select("row.*"))
+        members, _ = jaccard_join(docs, k=k, num=num, den=den)
+        losers = materialise(members.where("doc_id <> component_id").select("doc_id"), "losers")
+        return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    row = "_row_of_id_and_text"
+    own = ranked(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]), ["doc_id", "text"], row)
+    own = materialise(own, "rows")
+    members, _ = jaccard_join(own, id_col=row, k=k, num=num, den=den)
+    losers = materialise(members.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "losers")
+    left = own.join(losers, row, "left_anti").select(*docs.columns)
+    return left.unionByName(docs.where("doc_id is null"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of a batch between Spark and a Python worker.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def trim() -> None:

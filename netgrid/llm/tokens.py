@@ -16,7 +16,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: A worker keeps the pieces of the last one or two rounds of so many.
-ROUND = 500_000
+ROUND = 200_000
 #: Pieces longer than this are encoded but not kept.
 LONGEST_KEPT = 64
 _other_space = re.compile(r"[^\S \n]")

@@ -142,3 +142,10 @@ def test_repeated_ids(spark):
     rows = [(5, a), (5, b), (5, b), (2, a + " z"), (9, b), (7, "other words here")]
     got = {(r.doc_id, r.component_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=9, den=10)[0].collect()}
     assert got == {(5, 2), (2, 2), (9, 2), (7, 7)}
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, a), (5, b), (7, b + " z"), (9, "alone here with words"), (None, a), (6, None), (6, None)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(5, a), (5, b), (9, "alone here with words"), (0, a), (6, "")])
