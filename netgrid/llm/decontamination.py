@@ -268,17 +268,30 @@ def common(masks: dict[int, int], size: int, words: list[int]) -> int:
     return size - row.bit_count()
 
 
-def words_in(has: np.ndarray, k: np.ndarray, term: np.ndarray, a: np.ndarray, b: np.ndarray, size: int = 1 << 20) -> np.ndarray:
-    """How many of the words ``term[a:b]`` are words of the item k, for many regions at once."""
+def before(term: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The place of the same term before, in the same text, or -1."""
+    order = np.lexsort((term, owner))
+    same = (term[order[1:]] == term[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    out = np.full(len(term), -1, np.int32)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def words_in(has: np.ndarray, k: np.ndarray, term: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+    """How many different words of the item k are in ``term[a:b]``, for many regions at once. ``last``: from ``before``."""
     out = np.zeros(len(k), np.int64)
     n = b - a
     part = np.cumsum(n) // size
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(k) else []
+    flat, width = has.ravel(), has.shape[1]
+    known = np.where(term < 0, width - 1, term)
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         m = n[lo:hi]
         begin = np.cumsum(m) - m
-        words = term[np.repeat(a[lo:hi] - begin, m) + np.arange(m.sum())]
-        out[lo:hi] = np.add.reduceat(has[np.repeat(k[lo:hi], m), words], begin, dtype=np.int64)
+        at = np.repeat((a[lo:hi] - begin).astype(np.int32), m) + np.arange(m.sum(), dtype=np.int32)
+        hit = flat[np.repeat((k[lo:hi] * width).astype(np.int32), m) + known[at]]
+        hit &= last[at] < np.repeat(a[lo:hi].astype(np.int32), m)
+        out[lo:hi] = np.add.reduceat(hit, begin, dtype=np.int32)
     return out
 
 
@@ -313,13 +326,12 @@ def search(texts: DataFrame, space: Space, items: Items) -> DataFrame:
         terms = s.weighted(s.terms)
         masks = [(bit_masks(w), len(w)) for w in it.words]
         # a common subsequence lacks each word of the item that the text lacks
-        least = [(frozenset(m), len(m) - (n - enough(n))) for m, n in masks]
+        least = np.array([len(m) - (n - enough(n)) for m, n in masks])
         ends = [(bit_masks(w), len(w)) for w in it.answers]
         sizes = np.array([n for _, n in masks])
-        fewest = np.array([enough(n) for _, n in masks])
-        has = np.zeros((len(masks), len(s.idf) + 1), bool)  # the last term, -1, is in no item
+        has = np.zeros((len(masks), len(s.idf) + 1), bool)  # the last one for other words, which are in no item
         for i, (m, _) in enumerate(masks):
-            has[i, [t for t in m if t >= 0]] = True
+            has[i, list(m)] = True
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for base, term, owner in runs(b.column(1)):
@@ -333,21 +345,18 @@ def search(texts: DataFrame, space: Space, items: Items) -> DataFrame:
                 text_start, text_end = np.searchsorted(owner, owner[start]), np.searchsorted(owner, owner[start], side="right")
                 y = project(term, owner, start, end, terms)
                 y *= (part / np.maximum(np.linalg.norm(y, axis=1), 1e-6))[:, None]
+                last = before(term, owner)
                 best: dict[tuple[int, int], tuple] = {}
                 for lo in range(0, len(start), 1024):
                     sim = y[lo : lo + 1024] @ it.vectors.T
                     row, column = np.nonzero(sim >= LEAST_COSINE)
                     at, k = row + lo, it.of[column]
                     left, right = np.maximum(text_start[at], start[at] - sizes[k]), np.minimum(text_end[at], end[at] + sizes[k])
-                    near = np.flatnonzero(words_in(has, k, term, left, right) >= fewest[k])
+                    near = np.flatnonzero(words_in(has, k, term, last, left, right) >= least[k])
                     at = at[near]
                     places = (start[at], text_start[at], left[near], right[near], k[near], sim[row[near], column[near]])
                     for p, first, x, z, k, cosine in zip(*(v.tolist() for v in places), strict=True):
-                        size, (own, distinct) = masks[k][1], least[k]
-                        region = term[x:z].tolist()
-                        if len(own.intersection(region)) < distinct:
-                            continue
-                        doc = int(owner[p])
+                        size, region, doc = masks[k][1], term[x:z].tolist(), int(owner[p])
                         matched = common(*masks[k], region)
                         if matched < enough(size):
                             continue

@@ -10,9 +10,11 @@ import corpus_pipeline
 
 WORDS = "stone river window garden yellow number travel simple between morning summer letter paper silver market village bridge forest harbour kitchen".split()
 
+QUIZ = [x + y for x in ("lor", "mip", "tas", "ven", "qor", "bel") for y in ("an", "eth", "ilo", "ust", "ome", "ari", "ek", "oon")]
 
-def sentence(rng, n):
-    return " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+def sentence(rng, n, words=WORDS):
+    return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
 
 
 def corpus():
@@ -23,7 +25,7 @@ def corpus():
         text[i] = " ".join(sentence(rng, rng.randint(5, 12)) for _ in range(rng.randint(4, 9)))
         if i % 5 == 0:
             w = text[i].split()
-            w[len(w) // 2] = ["blargface", "snorkwit", "grumblarg"][i % 3]
+            w[len(w) // 2] = ["blargface", "snorkwit", "grumblarg"][i // 15 % 3]
             text[i] = " ".join(w)
             gone[i] = "toxicity"
         elif i % 7 == 0:
@@ -31,7 +33,7 @@ def corpus():
             gone[i] = "quality_classifier"
         if i % 3:
             labels.append((i, int(gone.get(i) != "quality_classifier"), int(gone.get(i) == "toxicity")))
-    items = [(k, " ".join(sentence(rng, 14) for _ in range(3))) for k in range(5)]
+    items = [(k, " ".join(sentence(rng, 14, QUIZ) for _ in range(3))) for k in range(5)]
     for k, (_, t) in enumerate(items):
         text[1000 + k] = sentence(rng, 20) + " " + t + " " + sentence(rng, 20)
         gone[1000 + k] = "benchmark_decontamination"

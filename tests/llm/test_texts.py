@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from netgrid.llm import decontamination
 from netgrid.llm.decontamination import Space, Vocabulary, bit_masks, common, drop_leaks, find_leaks, latent_terms, term_table
 from netgrid.llm.hashing import one_word_hashes, word_hashes
 from netgrid.llm.syncmers import compare_with_edits, document_fingerprints, edited, fingerprint, likeness
@@ -125,3 +126,23 @@ def test_long_texts_that_share_a_passage():
     assert len(fingerprint(one)) // 16 > 15_000
     assert 20 / 40_000 < likeness(fingerprint(one), fingerprint(two)) < 100 / 40_000
     assert likeness(fingerprint("ab" * 500), fingerprint("ab" * 500 + "c")) > 0.9  # repeated anchors count each
+
+
+def test_words_of_items_in_regions():
+    """Counted for all regions at once as one by one."""
+    rng = np.random.default_rng(5)
+    owner = np.repeat(np.arange(6), 50)
+    term = rng.integers(-1, 30, len(owner))
+    has = np.zeros((4, 31), bool)
+    has[:, :30] = rng.random((4, 30)) < 0.4
+    last = decontamination.before(term, owner)
+    for i, (t, o) in enumerate(zip(term, owner)):
+        places = [j for j in range(i) if term[j] == t and owner[j] == o]
+        assert last[i] == (places[-1] if places else -1)
+    a = rng.integers(0, 45, 200) + 50 * rng.integers(0, 6, 200)
+    b = np.minimum(a + rng.integers(1, 30, 200), (a // 50 + 1) * 50)
+    k = rng.integers(0, 4, 200)
+    want = [len({int(t) for t in term[x:z] if t >= 0 and has[i, t]}) for i, x, z in zip(k, a, b)]
+    assert decontamination.words_in(has, k, term, last, a, b, size=64).tolist() == want
+    assert decontamination.words_in(has, k[:0], term, last, a[:0], b[:0]).tolist() == []
+    assert [decontamination.enough(n) for n in (1, 10, 18, 20, 24, 40)] == [1, 6, 11, 12, 12, 20]
