@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netgrid.catalog import query
 from netgrid.operators import curate, ledger
+from netgrid.streaming.trace import stream_ledger
 
 BEST = """WITH RECURSIVE s AS (SELECT task_id, step, prec, rec, version, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS score FROM fx_ledger),
   f AS (SELECT task_id, step, score AS best, version AS ver, true AS is_best FROM s WHERE step = 1
@@ -210,3 +211,9 @@ def _(t):
 @query("i17_restore_best", BEST + ", t AS (SELECT task_id, max(step) AS step FROM b WHERE is_best GROUP BY task_id) SELECT l.task_id, l.step, l.prec, l.rec FROM fx_ledger l SEMI JOIN t ON l.task_id = t.task_id AND l.step = t.step")
 def _(t):
     return ledger.restore_best(t.fx_ledger.select("task_id", "step", "prec", "rec"), _best(t))
+
+
+@query("j3_stream_ledger", BEST + "SELECT task_id, step, round(score, 6) AS score, is_best FROM b")
+def _(t):
+    m = ledger.with_score(t.fx_ledger, F.lit("balanced")).select("task_id", "step", "score", "version")
+    return stream_ledger(m).withColumn("score", F.round("score", 6))
