@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netgrid.operators.edits import merge_network
 from netgrid.operators.grid import taper
-from netgrid.operators.ledger import MIN_GAIN
+from netgrid.operators.ledger import MIN_GAIN, running_best
 from netgrid.operators.lines import live_operations
 
 
@@ -43,7 +43,9 @@ def sessions(trace: DataFrame, gap: str = "10 minutes", late: str = "10 minutes"
 
 
 def stream_ledger(measurements: DataFrame) -> DataFrame:
-    """Keep-best over a stream of ``(task_id, step, score, version)``: ``is_best`` as rows arrive, state = the best so far."""
+    """Keep-best over ``(task_id, step, score, version)``: on a stream ``is_best`` as rows arrive, state = the best so far."""
+    if not measurements.isStreaming:
+        return running_best(measurements).select("task_id", "step", "score", "is_best")
 
     def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         best, version = state.get if state.exists else (None, None)
