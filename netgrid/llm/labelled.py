@@ -10,9 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from netgrid.llm.memory import released, small_batches
+from netgrid.llm.memory import released, small_batches, trim
 
 
 def fold(id_col: str, modulus: int) -> Column:
@@ -55,17 +54,20 @@ def sample_texts(docs: DataFrame, labels: DataFrame, most: int, most_chars: int
     return sample(rows.join(F.broadcast(found), "doc_id"), ["text", "y"], most, most_chars, seed)
 
 
-def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
-    """The model that ``fit`` makes of a bounded table, sorted by all its columns: in one task, so that the driver holds only the model."""
+def fitted(rows: DataFrame, fit: Callable[[dict[str, list]], Any]) -> Any:
+    """The model that ``fit`` makes of the columns of a bounded table, in the order of all its columns: in one task, so that the driver holds only the model."""
+    names = rows.columns
 
     def run(batches):
         got = list(batches)
-        t = pa.Table.from_batches(got) if got else schema.empty_table()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(t.sort_by([(c, "ascending") for c in t.column_names])))], pa.binary())], names=["model"])
+        t = pa.Table.from_batches(got).sort_by([(c, "ascending") for c in names]) if got else None
+        columns = {c: t.column(c).to_pylist() if t else [] for c in names}
+        del got, t
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(columns))], pa.binary())], names=["model"])
 
-    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.schema])
     found = rows.coalesce(1).mapInArrow(released(run), "model binary").collect()
-    return pickle.loads(found[0].model) if found else fit(schema.empty_table())
+    return pickle.loads(found[0].model) if found else fit({c: [] for c in names})
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:

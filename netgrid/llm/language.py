@@ -157,7 +157,7 @@ def fit_on(docs: DataFrame, most: int, held: int, modulus: int, most_chars: int
     """Fit on at most ``most`` documents with a language and about ``most_chars`` characters, outside the held-out fold, by a hash of the id."""
     src = docs.where("doc_id is not null and text is not null and lang is not null").where(fold("doc_id", modulus) != held)
     rows = sample(src.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), ["text", "lang"], most, most_chars, 13)
-    return fitted(rows, lambda t: fit([x.encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()], t.column("lang").to_pylist()))
+    return fitted(rows, lambda t: fit([x.encode("utf-8", "surrogatepass") for x in t["text"]], t["lang"]))
 
 
 def languages(docs: DataFrame, most: int = 3_000, held: int = 0, modulus: int = 5) -> DataFrame:

@@ -162,9 +162,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int, held: int, modulus: in
     free = docs.where(use & F.col("text").isNotNull()).select("doc_id").join(labels.where("quality is not null"), "doc_id", "left_anti")
     others = sample_texts(docs, free.select("doc_id", F.lit(-1.0).alias("y")), most)
 
-    def run(t: pa.Table) -> Network | None:
-        texts, y = t.column("text").to_pylist(), t.column("y").to_pylist()
-        found = fit(*([x for x, v in zip(texts, y, strict=True) if v == k] for k in (1, -1, 0)))
+    def run(rows: dict[str, list]) -> Network | None:
+        found = fit(*([x for x, v in zip(rows["text"], rows["y"], strict=True) if v == k] for k in (1, -1, 0)))
         return found and found[0]
 
     return fitted(known.unionByName(others), run)

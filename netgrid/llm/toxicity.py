@@ -96,36 +96,44 @@ class _Bag:
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
-        rows, self.owner, at = [], [], []
+        flat, starts, owner, size = [], [], [], 0
         for i, t in enumerate(texts):
             ids = np.array([number.setdefault(w, len(number)) for w in t.lower().split()], dtype=np.int32)
             p = passages(len(ids))
-            if not len(p):
-                continue
-            grid = p[:, None] + np.arange(PASSAGE)
-            rows.append(np.where(grid < len(ids), ids[np.minimum(grid, len(ids) - 1)], -1).astype(np.int32))
-            at.append(np.full(len(p), i))
-        self.words = np.concatenate(rows) if rows else np.zeros((0, PASSAGE), np.int32)
-        self.owner = np.concatenate(at) if at else np.zeros(0, np.int64)
+            flat.append(ids)
+            starts.append(np.stack([p + size, np.minimum(p + PASSAGE, len(ids)) + size]).astype(np.int32))
+            owner.append(np.full(len(p), i, np.int32))
+            size += len(ids)
+        none = np.zeros(0, np.int32)
+        self.flat = np.concatenate([none, *flat])  # the words of all texts one after another
+        self.start, self.end = np.concatenate([np.zeros((2, 0), np.int32), *starts], axis=1)  # of each passage
+        self.owner = np.concatenate([none, *owner])
         self.text = list(number)
+        del number, flat
         self.buckets, n = ngrams(self.text)
         self.first = np.concatenate([[0], np.cumsum(n)])
 
+    def words(self, rows: np.ndarray) -> np.ndarray:
+        """The words of passages, a row of PASSAGE each, filled up with -1."""
+        at = self.start[rows][:, None] + np.arange(PASSAGE, dtype=np.int32)
+        return np.where(at < self.end[rows][:, None], self.flat[np.minimum(at, max(len(self.flat) - 1, 0))], np.int32(-1))
+
     def add_misspelt(self, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Append copies of passages whose words are misspelt; the new row numbers."""
-        ids = self.words[rows]
-        flat = ids[ids >= 0]
+        ids = self.words(rows)
         made: dict[str, int] = {}
-        new = [made.setdefault(misspelt(self.text[i], rng), len(made)) for i in flat.tolist()]
-        ids[ids >= 0] = np.array(new, dtype=np.int32) + len(self.text)
+        new = [made.setdefault(misspelt(self.text[i], rng), len(made)) for i in ids[ids >= 0].tolist()]
+        end = len(self.flat) + np.cumsum((ids >= 0).sum(1), dtype=np.int32)
+        self.flat = np.concatenate([self.flat, np.array(new, dtype=np.int32) + np.int32(len(self.text))])
         buckets, n = ngrams(list(made))
         self.text += made
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
         self.buckets = np.concatenate([self.buckets, buckets])
-        first = len(self.words)
-        self.words = np.concatenate([self.words, ids])
+        first = len(self.start)
+        self.start = np.concatenate([self.start, end - (ids >= 0).sum(1, dtype=np.int32)])
+        self.end = np.concatenate([self.end, end])
         self.owner = np.concatenate([self.owner, self.owner[rows]])
-        return np.arange(first, len(self.words))
+        return np.arange(first, len(self.start))
 
     def expand(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets of the words one after another, where each begins, and how many it has."""
@@ -173,10 +181,14 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
 
     def odds(rows: np.ndarray) -> np.ndarray:
         worth = vectors @ (soft[1] - soft[0])
-        value = np.append(np.add.reduceat(worth[bag.buckets], bag.first[:-1]) / np.diff(bag.first), 0)  # the last: no word
+        value = np.zeros(len(bag.first))  # the last: no word
+        for lo in range(0, len(value) - 1, 1 << 16):
+            at = bag.first[lo : lo + (1 << 16) + 1]
+            n = np.diff(at)
+            value[lo : lo + len(n)] = np.add.reduceat(worth[bag.buckets[int(at[0]) : int(at[-1])]], (at[:-1] - at[0]).astype(np.int64)) / n
         out = np.empty(len(rows))
         for lo in range(0, len(rows), 1 << 16):
-            w = bag.words[rows[lo : lo + (1 << 16)]]
+            w = bag.words(rows[lo : lo + (1 << 16)])
             out[lo : lo + (1 << 16)] = value[w].sum(1) / (w >= 0).sum(1)
         return out + bias[1] - bias[0]
 
@@ -204,7 +216,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
         size = 1024 if len(rows) > 40_000 else 256
         for lo in _starts(len(rows), size):
             r, wt = rows[lo : lo + size], weight[lo : lo + size]
-            w = bag.words[r]
+            w = bag.words(r)
             ids, inv = np.unique(w, return_inverse=True)
             inv = inv.reshape(w.shape)
             pad = int(ids[0] == -1)
@@ -240,7 +252,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
 
 def fit_on(docs: DataFrame, train: DataFrame, most: int) -> Toxicity:
     """Fit on the whole texts of at most ``most`` rows of ``train(doc_id, y)``."""
-    return fitted(sample_texts(docs, train, most), lambda t: fit(t.column("text").to_pylist(), t.column("y").to_numpy()))
+    return fitted(sample_texts(docs, train, most), lambda rows: fit(rows["text"], np.array(rows["y"])))
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:
