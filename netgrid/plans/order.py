@@ -26,6 +26,20 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
     return parts.withColumn("_own", own).join(F.broadcast(start), "_part").withColumn(name, F.col("_own") + F.col("_start")).drop("_part", "_own", "_start")
 
 
+def running(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
+    """For each new name of ``sums``: the sum of a column over all rows before, in an order over the whole table.
+
+    Dealt and added up like ``ranked``. Null values count as 0; the order should tell all rows apart.
+    """
+    parts = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_part").agg(*[F.sum(c).alias("_" + name) for name, c in sums.items()])  # one row a part
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select("_part", *[F.coalesce(F.sum("_" + name).over(before), F.lit(0)).alias("_" + name) for name in sums])
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumns({"_own_" + name: F.coalesce(F.sum(c).over(own), F.lit(0)) for name, c in sums.items()}).join(F.broadcast(start), "_part")
+    return out.withColumns({name: F.col("_own_" + name) + F.col("_" + name) for name in sums}).drop("_part", *["_own_" + n for n in sums], *["_" + n for n in sums])
+
+
 def fold(df: DataFrame, key: str, order: str, columns: list[str], out_fields: list[StructField], start: Callable, step: Callable, finish: Callable | None = None) -> DataFrame:
     """A fold over the rows of each key in order, where every step needs the one before.
 
