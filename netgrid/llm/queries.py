@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,22 @@ def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)[0]
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf per document, a tree per source and one over the sources, a proof per leaf."""
+    from netgrid.llm.merkle import merkle_manifest
+
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector is an anchor; labels of every seventh are moved on by one."""
+    from netgrid.llm.negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), positives=5, negatives=5, low=80, high=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -94,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_id_files": op8_token_id_files,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op10_ngram_jaccard_join": r"""
@@ -123,4 +142,65 @@ ORACLES: dict[str, str] = {
                CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN top <> page_id THEN top END AS refers_to
         FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000""",
+    # levels of sixteen a step; crc32 of the id's digits, bit by bit
+    "op11_merkle_manifest": """
+        WITH RECURSIVE f AS (
+          SELECT doc_id, source,
+            coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+            || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+            || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+            text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+            xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+              lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda z, i: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END, xor(c, b)),
+              CAST(4294967295 AS BIGINT))) % 5 = 0 AS hit
+          FROM documents),
+        l AS (
+          SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+            CASE WHEN hit THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS bad,
+            row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+          FROM f),
+        t AS (
+          SELECT source, 0 AS lvl, CAST(i AS BIGINT) AS i, CAST(n AS BIGINT) AS n, leaf AS h FROM l
+          UNION ALL
+          SELECT source, any_value(lvl) + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, i // 16),
+        s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (
+          SELECT 0 AS lvl, CAST(i AS BIGINT) AS i, CAST(n AS BIGINT) AS n, subroot AS h FROM s
+          UNION ALL
+          SELECT any_value(lvl) + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY i // 16),
+        -- for every node that has a level above: the siblings left and right of it
+        a AS (
+          SELECT x.source, x.lvl, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i < x.i), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i > x.i), '') AS r
+          FROM t x JOIN t y ON x.source IS NOT DISTINCT FROM y.source AND x.lvl = y.lvl AND x.i // 16 = y.i // 16 WHERE x.n > 1 GROUP BY 1, 2, 3),
+        b AS (
+          SELECT x.lvl, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i < x.i), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i > x.i), '') AS r
+          FROM u x JOIN u y ON x.lvl = y.lvl AND x.i // 16 = y.i // 16 WHERE x.n > 1 GROUP BY 1, 2),
+        p AS (
+          SELECT source, doc_id, 0 AS lvl, i, coalesce(bad, leaf) AS h, '' AS proof, n FROM l
+          UNION ALL
+          SELECT p.source, doc_id, p.lvl + 1, p.i // 16, sha256(a.l || p.h || a.r), proof || a.l || a.r, (p.n + 15) // 16
+          FROM p JOIN a ON p.source IS NOT DISTINCT FROM a.source AND p.lvl = a.lvl AND p.i = a.i WHERE p.n > 1),
+        q AS (
+          SELECT doc_id, s.source, subroot, 0 AS lvl, s.i, h, proof, s.n FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source WHERE p.n = 1
+          UNION ALL
+          SELECT doc_id, source, subroot, q.lvl + 1, q.i // 16, sha256(b.l || q.h || b.r), proof || b.l || b.r, (q.n + 15) // 16
+          FROM q JOIN b ON q.lvl = b.lvl AND q.i = b.i WHERE q.n > 1)
+        SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, q.h AS folded_root, q.h = root.h AS verified
+        FROM q JOIN l USING (doc_id) CROSS JOIN (SELECT h FROM u WHERE n = 1) root WHERE q.n = 1""",
+    "op13_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                 CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5""",
 }
