@@ -91,6 +91,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that also start earlier are removed from every document."""
+    from netgrid.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector is an anchor; labels of every seventh are moved on by one."""
     from netgrid.llm.negatives import hard_negatives
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
@@ -187,6 +195,20 @@ ORACLES: dict[str, str] = {
           FROM q JOIN b ON q.lvl = b.lvl AND q.i = b.i WHERE q.n > 1)
         SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, q.h AS folded_root, q.h = root.h AS verified
         FROM q JOIN l USING (doc_id) CROSS JOIN (SELECT h FROM u WHERE n = 1) root WHERE q.n = 1""",
+    # bytes as pairs of hex digits
+    "op12_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS later
+              FROM (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS p FROM d))),
+        r AS (SELECT doc_id, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k
+              FROM (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, TRUE) AS new FROM w WHERE later)),
+        s AS (SELECT doc_id, k, min(p) AS lo, max(p) + 100 AS hi FROM r GROUP BY doc_id, k),
+        g AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS was FROM s),
+        k AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans, string_agg(substr(x, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) AS kept, max(hi) AS upto
+              FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE kept || substr(x, 2 * upto + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op13_hard_negatives": """
         WITH v AS (
           SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
