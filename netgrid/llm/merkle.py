@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset, with a proof for every row.
 
 Where a leaf stands in its source's tree is told by bitmaps instead of a sort:
-the ids of a source are kept as compressed bitmaps of 65,536 ids each, merged
+the ids of a source are kept as compressed bitmaps of 4,096 ids each, merged
 from those of all tasks; running popcounts over bitmaps and within them answer
 rank queries. Ranks then place digests into keyed arrays of 256 slots, each of
 which makes two levels of the tree; as many rounds follow as the largest
@@ -25,10 +25,10 @@ from netgrid.plans.storage import materialise
 FAN = 16
 LEVELS = 2  # of the tree in one keyed array
 SLOTS = FAN**LEVELS
-BITS = 16  # of an id within its bitmap
+BITS = 12  # of an id within its bitmap
 SPAN = 1 << BITS
 ARRAY = SPAN // 16  # fewer ids than these are kept as an array of their low bits
-MANY = 2 * SPAN  # rows of one bitmap that a task takes
+MANY = 16 * SPAN  # rows of one bitmap that a task takes
 MOST_SALTS = 64
 FLUSH = 1 << 20  # ids that a task holds before it hands bitmaps on
 EXTRA = np.dtype([("low", "<u2"), ("more", "<i8")])
@@ -197,7 +197,7 @@ def placed(rows: DataFrame) -> DataFrame:
     ties, most = maps.agg(F.sum("ties"), F.max("n")).first()
     sources = maps.groupBy(F.col("source").alias("_source")).agg(F.min("before").alias("first"), F.sum("n").alias("total"))
     maps = maps.join(sources, _same("source", "_source")).withColumn("start", F.col("before") - F.col("first"))
-    # without repeated ids no bitmap has more than 65,536 rows, so there is one part
+    # without repeated ids no bitmap has more than 4,096 rows, so there is one part
     parts = min(MOST_SALTS, -(-(most or 0) // MANY)) or 1
     nothing = lambda *kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds]
     one = maps.select(
@@ -377,7 +377,7 @@ def merkle_manifest(docs: DataFrame) -> DataFrame:
     empty table has no rows and no root.
 
     A text is read once, for its digests; after that about 100 bytes a row are
-    moved twice. No task holds more than 65,536 distinct ids or 256 leaves at
+    moved twice. No task holds more than 4,096 distinct ids or 256 leaves at
     a time, whatever the size of a source. Rows of one repeated id are spread
     over up to 64 tasks, and ranked among each other by a range sort.
     """
