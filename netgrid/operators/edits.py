@@ -1,6 +1,7 @@
-"""The edited network, suggestions for it, repairs, and candidates of settings. Lines are straight segments.
+"""The edited network, suggestions for it, repairs, and candidates of settings.
 
-Inputs are ``(keys, line_id, x0, y0, x1, y1)`` in metres; line ids are unique within the keys.
+Lines are straight segments (``polylines`` has the edited network for lines of
+many vertices); inputs are ``(keys, line_id, x0, y0, x1, y1)`` in metres; line ids are unique within the keys.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from netgrid.operators.cells import clean_mask
 from netgrid.operators.evaluate import beta_of, f_beta
 from netgrid.operators.lines import cluster_endpoints, endpoints, line_length, sample_along, share_along, topology_report
 from netgrid.operators.network import dead_ends, expected_scores, near_segments, simplify, snap_ends, split_at
+from netgrid.operators.polylines import as_lines, merge_lines
 from netgrid.operators.vectorise import score_network, segments_of, thin, trace, vectorize
 from netgrid.plans.storage import materialise
 
@@ -56,8 +58,8 @@ def merge_network(model: DataFrame, human: DataFrame, deleted: DataFrame, keys:
 
 
 def network_stats(merged: DataFrame, keys: list[str], live: DataFrame | None = None) -> DataFrame:
-    """Counts and lengths of a merged network by source. ``live``: ``(keys, n_ops, can_redo)`` of the edit log."""
-    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    """Counts and lengths of a merged network, of segments or of lines, by source. ``live``: ``(keys, n_ops, can_redo)`` of the edit log."""
+    length = F.col("length") if "length" in merged.columns else F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias("n_" + s)
     m = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, length)), F.lit(0.0))
     out = merged.groupBy(*keys).agg(n("model"), n("human"), n("deleted"), n("superseded"), F.sum("n_snapped").alias("n_snapped_ends"), m("model").alias("_m"), m("human").alias("_h"))
@@ -206,18 +208,20 @@ def try_candidates(
     """``(keys, variant_id, threshold, precision, recall, score, rank)``: every variant's network, judged.
 
     All variants run in one job, the variant's id being one more key. The mask
-    is conf > threshold; edits are merged over each network. With truth the
+    is conf > threshold; edits (lines or straight segments) are merged over each network, whole line by whole line. With truth the
     judge is correctness and completeness, else their expected values.
     """
     own = [*keys, "variant_id"]
     each = conf.join(F.broadcast(variants.select("variant_id", "threshold")), F.col("conf") > F.col("threshold"))
     every = conf.crossJoin(F.broadcast(variants.select("variant_id")))  # a few settings
     lines = vectorize(each, every, own, height, width, size, radius, holes, small, tolerance, min_length)
-    seg = segments_of(lines, own).select(*own, F.xxhash64("line_id", "seg_no").alias("line_id"), *ENDS)
+    drawn = lines.select(*own, "line_id", "coords")
     if human is not None:
-        several = lambda df: df.select(*keys, "line_id", *ENDS).crossJoin(F.broadcast(variants.select("variant_id")))
+        several = lambda df: as_lines(df, keys).crossJoin(F.broadcast(variants.select("variant_id")))
         gone = several(deleted if deleted is not None else human.limit(0))
-        seg = merge_network(seg, several(human), gone, own).where("status IN ('model', 'human')").select(*own, F.xxhash64("line_id", "piece").alias("line_id"), *ENDS)
+        merged = merge_lines(drawn, several(human), gone, own).where("status IN ('model', 'human')")
+        drawn = merged.select(*own, F.struct("line_id", "piece").alias("line_id"), "coords")
+    seg = segments_of(drawn, own).select(*own, F.xxhash64("line_id", "seg_no").alias("line_id"), *ENDS)
     seg = materialise(seg, "candidates")
     return _ranked(_judged(seg, every, truth_skeleton, variants, own, size, height, width), variants, keys, objective)
 

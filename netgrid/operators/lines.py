@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netgrid.operators.cover import cells_along
 from netgrid.plans.components import connected_components
 from netgrid.plans.order import fold
 
@@ -128,57 +129,64 @@ def quality_band(iou: Column) -> Column:
     return F.when(iou > 0.55, "good").when(iou > 0.35, "usable").when(iou > 0.15, "poor").otherwise("failed")
 
 
-def _interval(px: Column, py: Column, dx: Column, dy: Column, cx: Column, cy: Column, buf: float) -> tuple[Column, Column]:
-    """Parameters of the part of the line p + t d inside a disk; null when it misses."""
-    fx, fy = px - cx, py - cy
-    a, b = dx * dx + dy * dy, fx * dx + fy * dy
-    disc = b * b - a * (fx * fx + fy * fy - buf * buf)
-    ok = (disc >= 0) & (a > 0)
-    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    a = F.nullif(a, F.lit(0.0))
-    return F.when(ok, (-b - root) / a), F.when(ok, (-b + root) / a)
-
-
-def share_along(segments: DataFrame, zone: DataFrame, keys: list[str], buf: float = 4.0, cell: float = 100.0) -> DataFrame:
-    """``share`` of every segment's length inside the union of the buffers of ``zone`` segments.
+def inside_buffers(segments: DataFrame, zone: DataFrame, keys: list[str], buf: float, cell: float = 100.0) -> DataFrame:
+    """``(keys, line_id, t0, t1)``: the parts (0 to 1) of segments inside the buffers of single ``zone`` segments, overlapping and some repeated.
 
     A segment meets a buffer in one interval: the hull of its parts in the two
-    end disks and the slab between them, all in closed form. Intervals are
-    united in order of their starts. Grid cells bring near segments together.
+    end disks and in the slab between them, in closed form. It is computed in
+    the frame of the zone segment, whose start is the origin and whose
+    direction the first axis. Grid cells along both bring near segments together.
     """
-    g = lambda x: F.floor(x / cell)
-    def spread(df, x0, y0, x1, y1, pad):
-        return df.select("*", F.explode(F.sequence(g(F.least(x0, x1) - pad), g(F.greatest(x0, x1) + pad))).alias("gx")).select("*", F.explode(F.sequence(g(F.least(y0, y1) - pad), g(F.greatest(y0, y1) + pad))).alias("gy"))
-
     z = zone.select(*keys, *[F.col(c).cast("double").alias("z" + c) for c in ("x0", "y0", "x1", "y1")]).distinct()
-    a = spread(segments.select(*keys, "line_id", "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1", 0)
-    b = spread(z, "zx0", "zy0", "zx1", "zy1", buf)
-    pair = a.join(b, [*keys, "gx", "gy"]).drop("gx", "gy").distinct()
-    px, py = F.col("x0"), F.col("y0")
-    dx, dy = F.col("x1") - px, F.col("y1") - py
-    ux, uy = F.col("zx1") - F.col("zx0"), F.col("zy1") - F.col("zy0")
-    norm = F.nullif(F.hypot(ux, uy), F.lit(0.0))  # null for a point
-    d0, d1 = _interval(px, py, dx, dy, F.col("zx0"), F.col("zy0"), buf), _interval(px, py, dx, dy, F.col("zx1"), F.col("zy1"), buf)
+    c = F.col
+    a = segments.select(*keys, "line_id", "x0", "y0", "x1", "y1", F.explode(cells_along(c("x0"), c("y0"), c("x1"), c("y1"), 0.0, cell)).alias("cell"))
+    b = z.select("*", F.explode(cells_along(c("zx0"), c("zy0"), c("zx1"), c("zy1"), buf, cell)).alias("cell"))
+    pair = a.join(b, [*keys, "cell"])
+    # each step uses columns of the one before several times, so Spark keeps them apart
+    norm = F.hypot(c("zx1") - c("zx0"), c("zy1") - c("zy0"))
+    pair = pair.select(*keys, "line_id", "zx0", "zy0", "zx1", "zy1", "x0", "y0", (c("x1") - c("x0")).alias("dx"), (c("y1") - c("y0")).alias("dy"), norm.alias("n"))
+    point = c("n") == 0
+    pair = pair.withColumns({"ux": F.when(point, 1.0).otherwise((c("zx1") - c("zx0")) / F.nullif("n", F.lit(0.0))), "uy": F.when(point, 0.0).otherwise((c("zy1") - c("zy0")) / F.nullif("n", F.lit(0.0)))})
+    px, py = c("x0") - c("zx0"), c("y0") - c("zy0")
+    frame = pair.select(
+        *keys, "line_id", "n", (px * c("ux") + py * c("uy")).alias("p"), (py * c("ux") - px * c("uy")).alias("q"), (c("dx") * c("ux") + c("dy") * c("uy")).alias("dp"), (c("dy") * c("ux") - c("dx") * c("uy")).alias("dq"),
+    )
+    a2, b0 = c("dp") * c("dp") + c("dq") * c("dq"), c("p") * c("dp") + c("q") * c("dq")
+    frame = frame.withColumns({"a": F.nullif(a2, F.lit(0.0)), "b0": b0, "b1": b0 - c("n") * c("dp")})
+    disc = lambda b, p: c(b) * c(b) - c("a") * (p * p + c("q") * c("q") - buf * buf)
+    frame = frame.withColumns({"w0": disc("b0", c("p")), "w1": disc("b1", c("p") - c("n"))})
+    root = lambda w: F.when(c(w) >= 0, F.sqrt(w))
+    frame = frame.withColumns({"w0": root("w0"), "w1": root("w1")})
 
     def between(p, d, lo, hi):
-        t0, t1 = (lo - p) / F.nullif(d, F.lit(0.0)), (hi - p) / F.nullif(d, F.lit(0.0))
-        whole = (p >= lo) & (p <= hi)
-        inf = F.lit(1e18)
-        return F.when(d == 0, F.when(whole, -inf).otherwise(inf)).otherwise(F.least(t0, t1)), F.when(d == 0, F.when(whole, inf).otherwise(-inf)).otherwise(F.greatest(t0, t1))
-
-    along = ((px - F.col("zx0")) * ux + (py - F.col("zy0")) * uy) / norm, (dx * ux + dy * uy) / norm
-    across = ((px - F.col("zx0")) * uy - (py - F.col("zy0")) * ux) / norm, (dx * uy - dy * ux) / norm
-    s0, s1 = between(*along, F.lit(0.0), norm)
-    c0, c1 = between(*across, F.lit(-buf), F.lit(buf))
-    low, high = F.greatest(s0, c0), F.least(s1, c1)
-    slab = (norm > 0) & (low <= high)
-    t0 = F.least(d0[0], d1[0], F.when(slab, low))  # nulls are passed over
-    t1 = F.greatest(d0[1], d1[1], F.when(slab, high))
-    inside = pair.select(*keys, "line_id", t0.alias("t0"), t1.alias("t1")).where("t0 IS NOT NULL")
-    inside = inside.select(*keys, "line_id", F.greatest("t0", F.lit(0.0)).alias("t0"), F.least("t1", F.lit(1.0)).alias("t1")).where("t0 < t1")
-    w = Window.partitionBy(*keys, "line_id").orderBy("t0", "t1").rowsBetween(Window.unboundedPreceding, -1)
-    new = inside.withColumn("seen", F.coalesce(F.max("t1").over(w), F.lit(0.0)))
-    got = new.groupBy(*keys, "line_id").agg(F.sum(F.greatest(F.col("t1") - F.greatest("t0", "seen"), F.lit(0.0))).alias("share"))
+        """The interval in which p + t d lies between two bounds; 2 and -2 where it never does."""
+        t0, t1 = (lo - c(p)) / F.nullif(d, F.lit(0.0)), (hi - c(p)) / F.nullif(d, F.lit(0.0))
+        far = F.when((c(p) >= lo) & (c(p) <= hi), 1e18).otherwise(-1e18)
+        return F.when(c(d) == 0, -far).otherwise(F.least(t0, t1)), F.when(c(d) == 0, far).otherwise(F.greatest(t0, t1))
+
+    s, o = between("p", "dp", F.lit(0.0), c("n")), between("q", "dq", F.lit(-buf), F.lit(buf))
+    frame = frame.withColumns({"low": F.greatest(s[0], o[0]), "high": F.least(s[1], o[1])})
+    slab = (c("n") > 0) & (c("low") <= c("high"))
+    # nulls are passed over
+    t0 = F.least((-c("b0") - c("w0")) / c("a"), (-c("b1") - c("w1")) / c("a"), F.when(slab, c("low")))
+    t1 = F.greatest((-c("b0") + c("w0")) / c("a"), (-c("b1") + c("w1")) / c("a"), F.when(slab, c("high")))
+    found = frame.select(*keys, "line_id", F.greatest(t0, F.lit(0.0)).alias("t0"), F.least(t1, F.lit(1.0)).alias("t1"), (t0.isNotNull() & c("a").isNotNull()).alias("met"), F.monotonically_increasing_id().alias("nth"))
+    # past a column that may not be computed twice Spark moves no filter; else it writes all steps, one into the other, into the join
+    return found.where("met AND t0 < t1 AND nth >= 0").drop("met", "nth")
+
+
+def united(parts: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Overlapping and touching intervals of each key as one, in order of their starts."""
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    seen = parts.withColumn("_seen", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    run = seen.withColumn("_run", F.sum((F.col("_seen").isNull() | (F.col(start) > F.col("_seen"))).cast("int")).over(w))
+    return run.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+
+
+def share_along(segments: DataFrame, zone: DataFrame, keys: list[str], buf: float = 4.0, cell: float = 100.0) -> DataFrame:
+    """``share`` of every segment's length inside the union of the buffers of ``zone`` segments; see ``polylines.line_shares`` for lines of many."""
+    part = united(inside_buffers(segments, zone, keys, buf, cell), [*keys, "line_id"], "t0", "t1")
+    got = part.groupBy(*keys, "line_id").agg(F.sum(F.col("t1") - F.col("t0")).alias("share"))
     return segments.select(*keys, "line_id").join(got, [*keys, "line_id"], "left").na.fill(0.0, ["share"])
 
 

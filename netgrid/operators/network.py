@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.operators.cells import distance_within, rasterize_lines
+from netgrid.operators.cover import cell_at, cells_along
 from netgrid.operators.evaluate import f_beta, ratio
 from netgrid.operators.lines import endpoints
 
@@ -44,15 +45,14 @@ def point_to_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column,
     return F.hypot(px - x0 - t * dx, py - y0 - t * dy), t
 
 
-def near_segments(points: DataFrame, segments: DataFrame, keys: list[str], radius: float, cell: float = 100.0) -> DataFrame:
-    """Points ``(x, y)`` with the segments within a radius: an equi-join on grid cells that a segment's padded box covers."""
-    g = lambda x: F.floor(x / cell)
-    s = segments.select(*keys, F.col("line_id").alias("other_id"), *[F.col(c).alias("s" + c) for c in ("x0", "y0", "x1", "y1")])
-    s = s.select("*", F.explode(F.sequence(g(F.least("sx0", "sx1") - radius), g(F.greatest("sx0", "sx1") + radius))).alias("gx"))
-    s = s.select("*", F.explode(F.sequence(g(F.least("sy0", "sy1") - radius), g(F.greatest("sy0", "sy1") + radius))).alias("gy"))
-    d, t = point_to_segment(F.col("x"), F.col("y"), F.col("sx0"), F.col("sy0"), F.col("sx1"), F.col("sy1"))
-    at = points.withColumns({"gx": g(F.col("x")), "gy": g(F.col("y"))})
-    return at.join(s, [*keys, "gx", "gy"]).drop("gx", "gy").withColumns({"d": d, "t": t}).where(F.col("d") <= radius)
+def near_segments(points: DataFrame, segments: DataFrame, keys: list[str], radius: float, cell: float = 100.0, carry: list[str] = ()) -> DataFrame:
+    """Points ``(x, y)`` with the segments within a radius, their columns named s..., and those of ``carry``: an equi-join on the cells along the segments."""
+    c = F.col
+    s = segments.select(*keys, c("line_id").alias("other_id"), *[c(v).alias("s" + v) for v in ("x0", "y0", "x1", "y1", *carry)])
+    s = s.select("*", F.explode(cells_along(c("sx0"), c("sy0"), c("sx1"), c("sy1"), radius, cell)).alias("_cell"))
+    d, t = point_to_segment(c("x"), c("y"), c("sx0"), c("sy0"), c("sx1"), c("sy1"))
+    at = points.withColumn("_cell", cell_at(c("x"), c("y"), cell))
+    return at.join(s, [*keys, "_cell"]).drop("_cell").withColumns({"d": d, "t": t}).where(c("d") <= radius)
 
 
 def dead_ends(segments: DataFrame, keys: list[str], join: float = 2.5) -> DataFrame:
@@ -84,7 +84,7 @@ def split_at(segments: DataFrame, cuts: DataFrame, keys: list[str], least: float
     c = cuts.groupBy(*keys, "line_id").agg(F.array_sort(F.collect_list("at")).alias("cuts"))
     s = segments.join(c, [*keys, "line_id"], "left").withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     inner = F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda x: (x >= least) & (x <= F.col("length") - least))
-    kept = _thinned(inner, least)
+    kept = thinned(inner, least)
     marks = F.concat(F.array(F.lit(0.0)), kept, F.array(F.col("length")))
     p = s.withColumn("marks", marks).select("*", F.explode(F.sequence(F.lit(1), F.size("marks") - 1)).alias("piece"))
     at = lambda a, b, m: F.col(a) + (F.col(b) - F.col(a)) * F.coalesce(m / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0))
@@ -92,7 +92,7 @@ def split_at(segments: DataFrame, cuts: DataFrame, keys: list[str], least: float
     return p.select(*keys, "line_id", "piece", at("x0", "x1", lo).alias("x0"), at("y0", "y1", lo).alias("y0"), at("x0", "x1", hi).alias("x1"), at("y0", "y1", hi).alias("y1"))
 
 
-def _thinned(values: Column, least: float) -> Column:
+def thinned(values: Column, least: float) -> Column:
     """Sorted values without those nearer than ``least`` to the last one kept."""
     start = F.struct(F.lit(-1e18).alias("last"), F.array().cast("array<double>").alias("kept"))
 
