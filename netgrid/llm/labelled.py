@@ -29,14 +29,16 @@ def sample(docs: DataFrame, columns: list[str], most: int, most_chars: int, seed
     """``doc_id`` and ``columns`` (the text first) of at most ``most`` ids, those of least hash, and about ``most_chars`` characters.
 
     The bounds hold for every table: a repeated id counts once, with the least
-    of its rows, and the first texts beyond ``most_chars`` in the order of the hash are left out.
+    of its rows. A text that alone is longer than ``most_chars`` is passed
+    over; of the others those up to ``most_chars`` in all, in the order of the hash, are taken.
     """
     h = F.xxhash64("doc_id", F.lit(seed))
     some = docs.where("doc_id is not null")
     cut = least_hash(most, some.agg(F.approx_count_distinct("doc_id")).first()[0])
     if cut is not None:
         some = some.where(h < cut)
-    one = some.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "row.*", h.alias("_h")).orderBy("_h", "doc_id").limit(most)
+    one = some.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("doc_id", "row.*", h.alias("_h"))
+    one = one.where(F.length(columns[0]) <= most_chars).orderBy("_h", "doc_id").limit(most)
     before = Window.orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``most`` rows
     one = one.withColumn("_before", F.coalesce(F.sum(F.length(columns[0])).over(before), F.lit(0)) + F.length(columns[0]))
     return one.where(F.col("_before") <= most_chars).select("doc_id", *columns)

@@ -24,8 +24,8 @@ from netgrid.llm.memory import released, small_batches
 
 BUCKETS = 1 << 17
 SIZE = 8  # of a vector
-PASSAGE = 8  # words
-STEP = 4
+PASSAGE = 4  # words
+STEP = 2
 DROP = 0.4  # share of n-grams left out of a training step
 EDGE = ".,;:!?\"'()[]{}<>|#%&*$-_/\\«»¿¡…“”‘’"
 MOST_WORDS = 200_000  # that a worker keeps
@@ -56,6 +56,11 @@ def _ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets)[np.argsort(flat, kind="stable")], np.bincount(flat, minlength=len(words))
 
 
+def is_word(token: str) -> bool:
+    """Whether a token has a letter or a digit; others, such as bars between words, take no part."""
+    return any(map(str.isalnum, token))
+
+
 def passages(n: int) -> np.ndarray:
     """Starts of the passages of a text of n words; the last one ends with the text."""
     if n <= PASSAGE:
@@ -76,17 +81,21 @@ class Toxicity:
         if new and len(known) > MOST_WORDS:
             known.clear()
             new = list(set().union(*split))
+        known.update((w, np.nan) for w in new if not is_word(w))
+        new = [w for w in new if w not in known]
         if new:
             buckets, n = ngrams(new)
             known.update(zip(new, (np.add.reduceat(self.worth[buckets], np.cumsum(n) - n) / n).tolist(), strict=True))
-        for i, words in enumerate(split):
-            if not words:
+        for i, tokens in enumerate(split):
+            value = np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
+            value = value[~np.isnan(value)]
+            if not len(value):
                 out[i] = self.constant
                 continue
-            sums = np.zeros(len(words) + 1)
-            np.cumsum(np.fromiter(map(known.__getitem__, words), float, len(words)), out=sums[1:])
-            at = passages(len(words))
-            end = np.minimum(at + PASSAGE, len(words))
+            sums = np.zeros(len(value) + 1)
+            np.cumsum(value, out=sums[1:])
+            at = passages(len(value))
+            end = np.minimum(at + PASSAGE, len(value))
             out[i] = ((sums[end] - sums[at]) / (end - at)).max() + self.constant
         return sigmoid(self.scale[0] * out + self.scale[1])
 
@@ -96,9 +105,11 @@ class _Bag:
 
     def __init__(self, texts: list[str]):
         number: dict[str, int] = {}
+        word: dict[str, bool] = {}
         flat, starts, owner, size = [], [], [], 0
         for i, t in enumerate(texts):
-            ids = np.array([number.setdefault(w, len(number)) for w in t.lower().split()], dtype=np.int32)
+            tokens = [w for w in t.lower().split() if word.get(w) or word.setdefault(w, is_word(w))]
+            ids = np.array([number.setdefault(w, len(number)) for w in tokens], dtype=np.int32)
             p = passages(len(ids))
             flat.append(ids)
             starts.append(np.stack([p + size, np.minimum(p + PASSAGE, len(ids)) + size]).astype(np.int32))
@@ -109,7 +120,7 @@ class _Bag:
         self.start, self.end = np.concatenate([np.zeros((2, 0), np.int32), *starts], axis=1)  # of each passage
         self.owner = np.concatenate([none, *owner])
         self.text = list(number)
-        del number, flat
+        del number, word, flat
         self.buckets, n = ngrams(self.text)
         self.first = np.concatenate([[0], np.cumsum(n)])
 
@@ -277,7 +288,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 6_000, held: int =
     The model is fitted on at most ``most`` labelled rows whose fold is not
     ``held``. Labels that are null, have no text or contradict one another are
     not learned; without labels, or with one class, every text gets that class's
-    share (0.01 to 0.99) as its score. A null or blank text is scored as a
+    share (0.01 to 0.99) as its score. Tokens without a letter or digit are no
+    words, so that bars between words part none. A text without words, null too, is scored as a
     passage without words; rows without an id and repeated ids are scored row
     by row, and a null id is not held out. Extra columns are not used; no rows give no rows.
     """

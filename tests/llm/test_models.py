@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from netgrid.llm import language, quality, toxicity
-from netgrid.llm.labelled import fold
+from netgrid.llm.labelled import fold, sample_texts
 
 
 def clean(rng, n=60):
@@ -120,3 +120,33 @@ def test_samples_are_bounded_and_never_empty(spark):
     rows = sample_texts(docs.unionByName(again), labels, 300).collect()
     assert len(rows) == 300 and {r.y for r in rows} == {0.0, 1.0} and 8 not in {r.doc_id for r in rows}
     assert fitted(docs.limit(0), lambda t: len(t["text"])) == 0 and fitted(docs.where("doc_id < 50"), lambda t: t["doc_id"]) == list(range(50))
+
+
+def test_tokens_without_letters_hide_nothing():
+    m = toxicity.fit(*toxic_corpus(600))
+    rng = random.Random(5)
+    for bar in ("|", "--", "*", "| | |", "!?"):
+        w = clean(rng, 40)
+        w[20] = "blargface"
+        assert m.score([f" {bar} ".join(w)], {})[0] >= 0.3
+        assert m.score([f" {bar} ".join(clean(rng, 40))], {})[0] < 0.3
+    assert m.score(["| | --", "", None], {}).tolist() == [m.score([""], {})[0]] * 3
+
+
+def test_a_lone_word_in_a_long_text_counts():
+    m = toxicity.fit(*toxic_corpus(600))
+    rng = random.Random(6)
+    for at in (0, 1, 2, 3, 500, 998, 999):
+        w = clean(rng, 1000)
+        w[at] = "snorkwit"
+        assert m.score([" ".join(w)], {})[0] >= 0.3
+
+
+def test_one_long_text_empties_no_sample(spark):
+    """The bound on characters passes over texts that alone are longer, whichever comes first by hash."""
+    texts = [(i, ("a clean text of words " if i % 2 else "blargface here ") * 3, float(i % 2 == 0)) for i in range(30)]
+    for long in range(30):
+        docs = spark.createDataFrame([(i, t * (100 if i == long else 1)) for i, t, _ in texts], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, y double")
+        if long % 10 == 0:
+            assert sorted(r.doc_id for r in sample_texts(docs, labels, 100, most_chars=3000).collect()) == [i for i in range(30) if i != long]

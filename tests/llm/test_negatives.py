@@ -64,7 +64,7 @@ def test_ties_and_odd_rows(spark):
 
 
 def test_long_vectors(spark):
-    rows = [(i, [x * 4e5 for x in v], k) for i, v, k in rows_of(130, 4, 3, 2)]
+    rows = [(i, [float(np.float32(x * 4e5)) for x in v], k) for i, v, k in rows_of(130, 4, 3, 2)]
     rows.append((131, [1e30, 0.0, 0.0, 0.0], 1))  # beyond the norm: takes no part
     assert mined(spark.createDataFrame(rows, SCHEMA)) == expected(rows[:-1])
 

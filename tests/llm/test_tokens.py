@@ -130,3 +130,34 @@ def test_solver_places_all():
                 placed[x] += n
         assert placed == h
         assert sum(n for n, _ in groups) <= 1.02 * sum(k * n for k, n in h.items()) / 1024 + 1
+
+
+def least_sequences(lengths, capacity):
+    """The exact optimum of a few pieces, by placing one after another in every way."""
+    best = [len(lengths)]
+
+    def place(i, free):
+        if len(free) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(free)
+            return
+        for k in sorted(set(free)):
+            if k >= lengths[i]:
+                at = free.index(k)
+                place(i + 1, [*free[:at], k - lengths[i], *free[at + 1 :]])
+        place(i + 1, [*free, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_few_pieces_against_the_optimum():
+    rng = np.random.default_rng(4)
+    extra = 0
+    for _ in range(40):
+        lengths = sorted((int(x) for x in rng.integers(2, 25, 9)), reverse=True)
+        got = sum(n for n, _ in solve(Counter(lengths), 30, rounds=60))
+        extra += got - least_sequences(lengths, 30)
+        assert got <= least_sequences(lengths, 30) + 1
+    assert extra <= 4
