@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,7 +132,7 @@ def region_manifest(selection: DataFrame, stats: DataFrame, old: DataFrame) -> D
 
 
 def select_regions(
-    items: DataFrame, n_ft: int = 220, n_val: int = 30, n_test: int = 60, blocks: int = 6, margin: int = 15, cap: int = 4
+    items: DataFrame, n_ft: int = 220, n_val: int = 30, n_test: int = 60, blocks: int = 6, margin: int = 15, cap: int = 4, greedy: bool = False
 ) -> DataFrame:
     """``(idx, part)``: regions for testing, validation and training without leakage. ``items``: idx, split, sha, site.
 
@@ -136,13 +140,16 @@ def select_regions(
     2. The pool: train items whose content is not held out, the first of equal ones, of sites without a chosen test item.
     3. ``ft_val``: runs of picks of the pool; their sites, and indices within ``margin`` of a run, are withheld from
     4. ``ft_train``: the rest, at most ``cap`` a site.
+
+    Picks are spread by even strides, or (``greedy``) each target takes the nearest item left.
     """
-    test = materialise(spread_pick(items.where("split = 'test'").select("idx", "site"), n_test, 1), "test")
+    pick = greedy_spread if greedy else spread_pick
+    test = materialise(pick(items.where("split = 'test'").select("idx", "site"), n_test, 1), "test")
     same = items.groupBy("sha").agg(F.min(F.when(F.col("split") == "train", F.col("idx"))).alias("first"), F.max((F.col("split") != "train").cast("int")).alias("held"))
     pool = items.where("split = 'train'").join(same, "sha").where("held = 0 and idx = first").join(test.select("site").distinct(), "site", "left_anti")
     pool = materialise(pool.select("idx", "site"), "pool")
     # at most ``n_ft`` picks, so their order is a small matter
-    prov = spread_pick(pool, n_ft, cap).withColumn("pos", F.row_number().over(Window.orderBy("idx")) - 1)
+    prov = pick(pool, n_ft, cap).withColumn("pos", F.row_number().over(Window.orderBy("idx")) - 1)
     prov = materialise(prov, "picks")
     each, n = max(1, n_val // blocks), prov.count()
     starts = [round((n - each) * i / (blocks + 1)) for i in range(1, blocks + 1)]
@@ -151,7 +158,7 @@ def select_regions(
     val = runs.select("idx", "site").distinct()
     windows = runs.groupBy("start").agg((F.min("idx") - margin).alias("lo"), (F.max("idx") + margin).alias("hi"))
     train = pool.join(val.select("site").distinct(), "site", "left_anti").join(F.broadcast(windows), F.col("idx").between(F.col("lo"), F.col("hi")), "left_anti")
-    train = spread_pick(train.select("idx", "site"), n_ft - val.count(), cap)
+    train = pick(train.select("idx", "site"), n_ft - val.count(), cap)
     of = lambda df, part: df.select("idx", F.lit(part).alias("part"))
     return of(test, "id_test").unionByName(of(val, "ft_val")).unionByName(of(train, "ft_train"))
 
@@ -182,3 +189,105 @@ def sample_windows(
     order = F.struct((~ok).cast("int"), F.when(ok, F.col("try")).otherwise(-F.col("try")))
     best = all_.groupBy(*keys, "draw").agg(F.min_by(F.struct("r0", "c0", (F.col("road") > 0).alias("has_road")), order).alias("w"))
     return best.select(*keys, "draw", "w.*")
+
+
+class Free:
+    """Places 0 to n - 1 with the nearest free one at or after, and at or before, each: two forests of pointers that are shortened when used."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.after, self.before = list(range(n + 1)), list(range(n + 1))  # n: none after; of places from 1: 0: none before
+
+    @staticmethod
+    def _root(of: list[int], i: int) -> int:
+        root = i
+        while of[root] != root:
+            root = of[root]
+        while of[i] != root:
+            of[i], i = root, of[i]
+        return root
+
+    def at_or_after(self, i: int) -> int | None:
+        found = self._root(self.after, i)
+        return found if found < self.n else None
+
+    def at_or_before(self, i: int) -> int | None:
+        found = self._root(self.before, i + 1)
+        return found - 1 if found else None
+
+    def take(self, i: int) -> None:
+        self.after[i] = i + 1
+        self.before[i + 1] = i
+
+
+def picked_places(places: list[int], sites: list[int], total: int, n: int, cap: int) -> list[int]:
+    """Numbers of the items picked by n even targets among ``total`` places, in turn.
+
+    Each target takes the nearest free place, the one above on ties, whose site
+    has fewer than ``cap`` picks. When a site is full its other places are
+    taken off, so every place is looked at once.
+    """
+    free, count, members, picks = Free(len(places)), {}, {}, []
+    if not places or n <= 0 or cap < 1:
+        return picks
+    for i, s in enumerate(sites):
+        members.setdefault(s, []).append(i)
+    for target in np.linspace(0, total - 1, n):
+        t = round(float(target))
+        up, down = free.at_or_after(bisect_left(places, t)), free.at_or_before(bisect_right(places, t) - 1)
+        if up is None and down is None:
+            break
+        hit = down if up is None or (down is not None and t - places[down] < places[up] - t) else up
+        picks.append(hit)
+        free.take(hit)
+        s = sites[hit]
+        count[s] = count.get(s, 0) + 1
+        if count[s] == cap:
+            for i in members[s]:
+                if free.at_or_after(i) == i:
+                    free.take(i)
+    return sorted(picks)
+
+
+def greedy_pick(items: DataFrame, sets: DataFrame, key: str, order: str = "idx", site: str = "site") -> DataFrame:
+    """``(key, order, site)``: for each selection ``(key, n, cap)`` of ``sets``, n of its items spread evenly over the order, at most ``cap`` a site.
+
+    Targets stand at even steps; each takes the nearest unused item, the upper
+    one on ties, whose site is not full. Every pick depends on those before it,
+    so a selection is settled by one task, over items that are cut down
+    without loss: of a stretch between two targets a site needs its ``cap``
+    first and last items, as at most ``cap`` - 1 of them can be used while it is not
+    full, and of these the 2 n + 1 first and last are enough, as at most n are
+    used and at most n belong to full sites. That is 4 n + 2 items a target,
+    whatever the number of items. Null sites are one site; equal orders are told apart by the site.
+    """
+    n, cap = sets.agg(F.max("n"), F.max("cap")).first()
+    if n is None:
+        return items.select(key, order, site).limit(0)
+    pos = ranked(items.select(key, order, site), [key, order, site], "_pos")
+    whole = pos.groupBy(key).agg(F.min("_pos").alias("_first"), F.count("*").alias("_total"))
+    at = pos.join(whole, key).join(sets.select(key, "n", "cap"), key).withColumn("_pos", F.col("_pos") - F.col("_first")).drop("_first")
+    step = F.when(F.col("n") > 1, (F.col("_total") - 1) / (F.col("n") - 1.0)).otherwise(F.col("_total").cast("double"))
+    at = at.withColumn("_stretch", F.floor(F.col("_pos") / F.greatest(step, F.lit(1e-9))))
+
+    def ends(df: DataFrame, by: list[str], most: int) -> DataFrame:
+        """The first and the last rows of each group; two more than needed, as targets are rounded to places."""
+        some = [df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(o))).where(F.col("_k") <= most + 2).drop("_k") for o in (F.asc("_pos"), F.desc("_pos"))]
+        return some[0].unionByName(some[1]).dropDuplicates([key, "_pos"])
+
+    at = ends(ends(materialise(at, "places"), [key, site, "_stretch"], int(cap)), [key, "_stretch"], 2 * int(n) + 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_pos")
+        codes = t.column(site).combine_chunks().dictionary_encode().indices.fill_null(-1).to_pylist()
+        picks = picked_places(t.column("_pos").to_pylist(), codes, *(t.column(c)[0].as_py() for c in ("_total", "n", "cap")))
+        return t.take(pa.array(picks, pa.int64())).select([key, order, site])
+
+    return at.groupBy(key).applyInArrow(run, items.select(key, order, site).schema)
+
+
+def greedy_spread(items: DataFrame, n: int, cap: int, order: str = "idx", site: str = "site") -> DataFrame:
+    """``greedy_pick`` for one selection."""
+    one = items.select(order, site).withColumn("_set", F.lit(0))
+    sets = items.sparkSession.createDataFrame([(0, n, cap)], "_set int, n int, cap int")
+    return greedy_pick(one, sets, "_set", order, site).drop("_set")

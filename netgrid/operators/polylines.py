@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netgrid.operators.lines import inside_buffers, line_length, united
 from netgrid.operators.network import near_segments, thinned
+from netgrid.operators.projection import frames, from_frame, to_frame
 from netgrid.plans.storage import materialise
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -155,3 +156,13 @@ def merge_lines(model: DataFrame, human: DataFrame, deleted: DataFrame, keys: li
     share = d.join(h, by).select(*keys, "line_id.*", "in_deleted", "in_human")
     status = F.when(F.col("in_deleted") >= 0.6, "deleted").when(F.col("in_human") >= 0.7, "superseded").otherwise(F.col("status"))
     return pieces.join(share, [*by, "piece"], "left").withColumn("status", status).drop("in_deleted", "in_human")
+
+
+def merge_geographic(model: DataFrame, human: DataFrame, deleted: DataFrame, keys: list[str], snap: float = 3.0, buf: float = 4.0, epsg: int | None = None) -> DataFrame:
+    """``merge_lines`` for lines in degrees, with ``epsg``: worked on in metres of the given frame, else of each network's UTM zone, and taken back."""
+    three = [as_lines(df, keys) for df in (model, human, deleted)]
+    every = three[0].unionByName(three[1]).unionByName(three[2])
+    frame = every.select(*keys).distinct().withColumn("epsg", F.lit(epsg)) if epsg else frames(every, keys)
+    frame = materialise(frame, "frames")
+    flat = [df.join(frame, keys).select(*keys, "line_id", to_frame(F.col("coords"), F.col("epsg")).alias("coords")) for df in three]
+    return merge_lines(*flat, keys, snap, buf).join(frame, keys).withColumn("coords", from_frame(F.col("coords"), F.col("epsg")))
