@@ -101,14 +101,15 @@ def cluster_endpoints(points: DataFrame, keys: list[str], snap: float = 2.5) ->
 
 
 def topology_report(segments: DataFrame, keys: list[str], snap: float = 2.5) -> DataFrame:
-    """Nodes, dangles, junctions, components and the coherence score of every network of planar lines."""
+    """Nodes, dangles, junctions, components and the coherence score of every network of planar lines; ``length`` is taken from a column of that name where there is one."""
     at = cluster_endpoints(endpoints(segments, keys), keys, snap).select(*keys, "line_id", "end", "node")
     degree = at.groupBy(*keys, "node").agg(F.count_distinct("line_id").alias("degree"))
     n = lambda x: F.count(F.when(x, 1))
     nodes = degree.groupBy(*keys).agg(F.count("*").alias("n_nodes"), n(F.col("degree") == 1).alias("n_dangles"), n(F.col("degree") >= 3).alias("n_junctions"))
     pair = at.groupBy(*keys, "line_id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
     cc = connected_components(pair.select("u", "v")).select(F.col("node").alias("u"), "component")
-    line = segments.select(*keys, "line_id", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("length"))
+    length = F.col("length") if "length" in segments.columns else F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    line = segments.select(*keys, "line_id", length.alias("length"))
     part = pair.join(cc, "u", "left").withColumn("component", F.coalesce("component", "u")).join(line, [*keys, "line_id"])
     comp = part.groupBy(*keys, "component").agg(F.sum("length").alias("length"), F.count("*").alias("n"))
     sums = comp.groupBy(*keys).agg(
@@ -191,7 +192,10 @@ def share_along(segments: DataFrame, zone: DataFrame, keys: list[str], buf: floa
 
 
 def live_operations(log: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
-    """Operations that undo and redo leave standing: a new one clears the redo stack; an undo or redo of nothing does nothing."""
+    """Operations that undo and redo leave standing: a new one clears the redo stack; an undo or redo of nothing does nothing.
+
+    A task holds one job's stacks; ``history.live_operations`` deals a job of any length to many tasks.
+    """
 
     def step(stacks: tuple[list, list], o: int, op: str) -> None:
         done, undone = stacks

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netgrid.catalog import query
-from netgrid.operators import lines
+from netgrid.operators import history, lines
 from netgrid.sources import tables
 
 LEN = "sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"
@@ -131,6 +131,11 @@ def _(t):
     return lines.live_operations(t.fx_edits.select("job_id", "seq", "op"))
 
 
+@query("f2_live_by_ranges", LIVE + " SELECT job_id, seq, op FROM fx_edits JOIN l USING (job_id, seq)")
+def _(t):
+    return history.live_operations(t.fx_edits.select("job_id", "seq", "op"))
+
+
 @query("f13_edit_activity", LIVE + """, k AS (SELECT job_id, seq, op, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS n FROM fx_edits JOIN l USING (job_id, seq))
   SELECT job_id, count(CASE WHEN op = 'add' THEN 1 END) AS added, count(CASE WHEN op = 'delete' THEN 1 END) AS deleted, count(CASE WHEN op = 'replace' THEN 1 END) AS replaced, count(CASE WHEN op = 'dismiss' THEN 1 END) AS dismissed,
     string_agg(seq || ':' || op, ',' ORDER BY seq DESC) FILTER (n <= 8) AS recent FROM k GROUP BY job_id""")
