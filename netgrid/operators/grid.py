@@ -68,14 +68,18 @@ def largest_connected_group(tiles: DataFrame) -> DataFrame:
     return pos.withColumn("pos", (F.col("pos") + 1).cast("int"))
 
 
-def tile_quality(cells: DataFrame, key: str, label: Column, least_band: Column, factor: int = 1) -> DataFrame:
-    """Shares of road (label > 127) and blank (least band >= 248) cells, after averaging ``factor`` by ``factor`` cells."""
-    c = cells.select(key, "r", "c", label.alias("label"), least_band.alias("band"))
+def tile_quality(cells: DataFrame, key: str, label: Column, least_band: Column, factor: int = 1, most_band: Column | None = None) -> DataFrame:
+    """Shares of road (label > 127) and blank (least band >= 248) cells, after averaging ``factor`` by ``factor`` cells.
+
+    With ``most_band`` black cells (greatest band <= 5) are blank too.
+    """
+    most = F.lit(255.0) if most_band is None else most_band
+    c = cells.select(key, "r", "c", label.alias("label"), least_band.alias("band"), most.alias("most"))
     if factor > 1:
         at = [F.floor(F.col(x) / factor).alias(x) for x in ("r", "c")]
-        c = c.groupBy(key, *at).agg(F.avg("label").alias("label"), F.avg("band").alias("band"))
+        c = c.groupBy(key, *at).agg(F.avg("label").alias("label"), F.avg("band").alias("band"), F.avg("most").alias("most"))
     share = lambda x: F.avg(F.when(x, 1.0).otherwise(0.0))
-    return c.groupBy(key).agg(share(F.col("label") > 127).alias("road_fraction"), share(F.col("band") >= 248).alias("blank_fraction"))
+    return c.groupBy(key).agg(share(F.col("label") > 127).alias("road_fraction"), share((F.col("band") >= 248) | (F.col("most") <= 5)).alias("blank_fraction"))
 
 
 def _first_blocks(tiles: DataFrame, size: int, limit: int) -> DataFrame:
@@ -219,8 +223,16 @@ def chip_stats(cells: DataFrame, keys: list[str], grey: Column) -> DataFrame:
     )
 
 
+def kept_windows(windows: DataFrame, cells: DataFrame, keys: list[str], crop: int, blank: Column, max_blank: float = 0.30) -> DataFrame:
+    """Windows of ``tile_windows`` of which no more than ``max_blank`` is blank, with that share as ``blank``; cells without a row are not blank."""
+    at = cells.where(blank).select(*keys, F.floor(F.col("r") / crop).alias("i"), F.floor(F.col("c") / crop).alias("j"))
+    n = at.groupBy(*keys, "i", "j").agg(F.count("*").alias("_n"))
+    out = windows.join(n, [*keys, "i", "j"], "left").withColumn("blank", F.coalesce("_n", F.lit(0)) / float(crop * crop))
+    return out.where(F.col("blank") <= max_blank).drop("_n")
+
+
 def tile_windows(rasters: DataFrame, crop: int) -> DataFrame:
-    """Full crop windows side by side."""
+    """Full crop windows side by side; ``kept_windows`` drops blank ones."""
     steps = lambda n: F.when(F.col(n) >= crop, F.sequence(F.lit(0), F.floor(F.col(n) / crop).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     return rasters.select("*", F.explode(steps("height")).alias("i")).select("*", F.explode(steps("width")).alias("j")).withColumns(
         {"row_off": F.col("i") * crop, "col_off": F.col("j") * crop}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netgrid.plans.order import ranked
+
 POINTS = "array<array<double>>"
 
 
@@ -109,11 +111,16 @@ def refresh_cache(refs: DataFrame, cache: DataFrame, compute: Callable[[DataFram
 
 
 def copy_grid(labels: DataFrame, images: DataFrame, key: str) -> DataFrame:
-    """Labels with the frame of the image of the same name, and what came of it."""
-    i = images.select(key, *[F.col(c).alias("i_" + c) for c in ("width", "height", "crs")])
+    """Labels with the frame of the image of the same name, and what came of it.
+
+    Where both tables have an origin and cell size (x0, y0, px), labels that get the frame get these too.
+    """
+    place = [c for c in ("x0", "y0", "px") if c in labels.columns and c in images.columns]
+    i = images.select(key, *[F.col(c).alias("i_" + c) for c in ("width", "height", "crs", *place)])
     same = (F.col("width") == F.col("i_width")) & (F.col("height") == F.col("i_height"))
     status = F.when(F.col("i_width").isNull(), "no match").when(~same | F.col("i_crs").isNull(), "failed").when(F.col("crs").isNotNull(), "already").otherwise("done")
-    return labels.join(i, key, "left").withColumns({"status": status, "crs": F.when(status == "done", F.col("i_crs")).otherwise(F.col("crs"))}).drop("i_width", "i_height", "i_crs")
+    copied = {c: F.when(status == "done", F.col("i_" + c)).otherwise(F.col(c)) for c in ("crs", *place)}
+    return labels.join(i, key, "left").withColumns({"status": status, **copied}).drop("i_width", "i_height", "i_crs", *["i_" + c for c in place])
 
 
 def validate_rasters(rasters: DataFrame) -> DataFrame:
@@ -128,6 +135,21 @@ def read_job_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def latest_stage(log: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
-    """The last stage of every job, and how many there were, newest job first in ``rank``."""
+    """The last stage of every job, and how many there were."""
     last = log.groupBy(job).agg(F.max_by(F.struct("stage", "at"), order).alias("s"), F.count("*").alias("n_stages"))
     return last.select(job, "s.stage", "s.at", "n_stages")
+
+
+def list_jobs(log: DataFrame, artefacts: dict[str, str], metrics: list[str] = (), job: str = "job_id", order: str = "seq") -> DataFrame:
+    """Jobs with their latest stage, ``rank`` (1: the newest, by the time of the last stage, ties by the greater job), flags and metrics.
+
+    ``artefacts`` names a flag for a stage that makes something: ``has_<name>`` tells whether the job went
+    through it. ``metrics`` are columns of the log, of which the last value that is not null counts.
+    """
+    last = log.groupBy(job).agg(
+        F.max_by(F.struct("stage", "at"), order).alias("s"), F.count("*").alias("n_stages"),
+        *[F.coalesce(F.bool_or(F.col("stage") == stage), F.lit(False)).alias("has_" + name) for name, stage in artefacts.items()],
+        *[F.max_by(m, F.when(F.col(m).isNotNull(), F.col(order))).alias(m) for m in metrics],
+    )
+    told = last.select(job, "s.stage", "s.at", *[c for c in last.columns if c not in (job, "s")])
+    return ranked(told, [F.desc("at"), F.desc(job)], "rank").withColumn("rank", F.col("rank") + 1)
