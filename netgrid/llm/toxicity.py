@@ -184,7 +184,8 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
         share = float(np.clip(toxic.mean(), 0.01, 0.99)) if len(toxic) else 0.01
         return Toxicity(np.zeros(BUCKETS), 0.0, (0.0, float(np.log(share / (1 - share)))))
     rng = np.random.default_rng(seed)
-    bag = _Bag(texts)
+    bag, n_texts = _Bag(texts), len(texts)
+    del texts  # the bag holds what is needed
     vectors = rng.normal(0, 0.1, (BUCKETS, SIZE))
     soft = rng.normal(0, 0.5, (2, SIZE))
     bias, seen_v, seen_s = np.zeros(2), np.full((BUCKETS, 1), 1e-6), np.full((2, SIZE), 1e-6)
@@ -255,7 +256,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
             bias -= 0.1 * p.sum(0)
     model = Toxicity(vectors @ (soft[1] - soft[0]), float(bias[1] - bias[0]), (1.0, 0.0))
     z = odds(np.arange(real))
-    top = np.full(len(texts), model.constant)
+    top = np.full(n_texts, model.constant)
     np.maximum.at(top, bag.owner[:real], z)
     a, b = logistic(top[:, None], toxic, ridge=1e-5)
     return Toxicity(model.worth, model.constant, (float(a), float(b)))
@@ -263,7 +264,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 5, rate: float = 0.5,
 
 def fit_on(docs: DataFrame, train: DataFrame, most: int) -> Toxicity:
     """Fit on the whole texts of at most ``most`` rows of ``train(doc_id, y)``."""
-    return fitted(sample_texts(docs, train, most), lambda rows: fit(rows["text"], np.array(rows["y"])))
+    return fitted(sample_texts(docs, train, most), lambda rows: fit(rows.pop("text"), np.array(rows["y"])))
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, keep: list[str]) -> DataFrame:
