@@ -104,17 +104,20 @@ def test_vectorize_a_cross(spark):
     assert vectorise.vectorize(mask.limit(0), conf, ["net"], 120, 200).count() == 0
 
 
-def test_half_a_road_is_found(spark):
-    m = np.zeros((400, 400), bool)
-    m[197:204, :] = True
+def test_three_fifths_of_a_bent_road_are_found(spark):
+    """A road along two sides of a field; the network has the first side and the corner, an edit adds the rest."""
+    m = np.zeros((210, 330), bool)
+    m[40:45, 20:300] = True
+    m[40:190, 295:300] = True
     skeleton = vectorise.thin(cells_of(spark, {1: m, 2: m}), ["net"])
-    seg = spark.createDataFrame([(1, 1, 0.0, 200.5, 200.0, 200.5, "model"), (1, 2, 200.0, 200.5, 400.0, 200.5, "human"), (2, 1, 0.0, 60.5, 400.0, 60.5, "model")], SEG + ", source string")
-    s = {r.net: r for r in vectorise.score_network(seg.where("source = 'model'"), skeleton, ["net"], 1.0, 400, 400).collect()}
-    assert 0.45 < s[1].completeness < 0.55 and s[1].correctness == 1.0
+    seg = spark.createDataFrame([(1, 1, 20.0, 42.5, 280.0, 42.5, "model"), (1, 2, 280.0, 42.5, 297.5, 42.5, "human"), (1, 3, 297.5, 42.5, 297.5, 188.0, "human"), (2, 1, 20.0, 150.5, 270.0, 150.5, "model")], SEG + ", source string")
+    n = skeleton.where("net = 1").count()
+    s = {r.net: r for r in vectorise.score_network(seg.where("source = 'model'"), skeleton, ["net"], 1.0, 210, 330).collect()}
+    assert abs(s[1].completeness - 264 / n) < 0.03 and s[1].correctness == 1.0
     assert s[2].completeness == s[2].correctness == s[2].quality == 0.0
-    g = {r.net: r for r in vectorise.edit_gain(seg, skeleton, ["net"], 1.0, 400, 400).collect()}
-    assert 0.4 < g[1].gain_completeness < 0.6 and g[2].gain_completeness == 0
-    swap = vectorise.axis_order_check(seg.where("net = 1"), cells_of(spark, {1: m}), ["net"], 1.0, 400, 400).first()
+    g = {r.net: r for r in vectorise.edit_gain(seg, skeleton, ["net"], 1.0, 210, 330).collect()}
+    assert abs(g[1].gain_completeness - (1 - 264 / n)) < 0.04 and g[2].gain_completeness == 0
+    swap = vectorise.axis_order_check(seg.where("net = 1"), cells_of(spark, {1: m}), ["net"], 1.0, 210, 330).first()
     assert swap.right_order and swap.iou > 3 * swap.iou_swapped
 
 
