@@ -5,8 +5,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from netgrid.operators import history
 from netgrid.operators.history import PUSH, REDO, UNDO, Word
+from netgrid.plans.order import running
 
 
 def walk(steps, k, n):
@@ -90,3 +93,14 @@ def test_empty_log_and_other_columns(spark):
     assert [(r.seq, r.place) for r in history.live_operations(log).collect()] == [(3, "z")]
     none = history.live_operations(log.limit(0))
     assert none.count() == 0 and none.columns == log.columns
+
+
+def test_running_sums(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b", "c"]), i, rng.choice([None, 1, 5, -2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(7)
+    got = {(r.k, r.i): (r.before, r.twice) for r in running(df.withColumn("w", F.col("v") * 2), [F.col("k").asc_nulls_first(), "i"], {"before": "v", "twice": "w"}).collect()}
+    total = 0
+    for k, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        assert got[k, i] == (total, 2 * total)
+        total += v or 0
