@@ -17,13 +17,15 @@ from netgrid.plans.storage import materialise
 _NEAR = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if y or x]
 
 
-def _thinned(mask: np.ndarray, rounds: int) -> np.ndarray:
-    """``rounds`` rounds of Zhang and Suen's parallel thinning (1984); everything outside is clear."""
+def _thinned(mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``rounds`` rounds of Zhang and Suen's parallel thinning (1984), everything outside being clear; and what the last round took."""
     m = np.pad(mask, 1)
     ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]  # clockwise from above
     h, w = m.shape
+    before = m[1:-1, 1:-1].copy()
     for _ in range(rounds):
         gone = 0
+        before = m[1:-1, 1:-1].copy()
         for last in (False, True):
             p = np.stack([m[1 + y : h - 1 + y, 1 + x : w - 1 + x] for y, x in ring]).astype(np.int8)
             n = p.sum(axis=0)
@@ -35,40 +37,62 @@ def _thinned(mask: np.ndarray, rounds: int) -> np.ndarray:
             gone += int(drop.sum())
         if not gone:
             break
-    return m[1:-1, 1:-1]
+    return m[1:-1, 1:-1], before & ~m[1:-1, 1:-1]
 
 
 def thin(cells: DataFrame, keys: list[str], side: int = 256, rounds: int = 8) -> DataFrame:
     """The one-cell-wide skeleton of set cells.
 
     Blocks of ``side`` cells with a border of two cells a round are thinned
-    ``rounds`` rounds at a time, which is what the whole raster would give; it
-    ends when a pass removes nothing. A block's rows are bounded by its area.
+    ``rounds`` rounds at a time, which is what the whole raster would give. A
+    change moves on by two cells a round, so only blocks next to one that its
+    last round changed are dealt again; it ends when no block has changed in
+    the last round. A block's rows are bounded by its area.
     """
     halo = 2 * rounds
+    if halo > side:
+        raise ValueError("a block must be as wide as its border")
     at = materialise(cells.select(*keys, F.col("r").cast("long"), F.col("c").cast("long")).distinct(), "cells")
-    schema = at.schema
-    n = at.count()
+    schema = at.select("*", F.lit(0).cast("long").alias("_br"), F.lit(0).cast("long").alias("_bc"), F.lit(True).alias("changed")).schema
 
     def blocks(x: str) -> Column:
         return F.explode(F.sequence(F.floor((F.col(x) - halo) / side), F.floor((F.col(x) + halo) / side)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(pdf["_br"].iloc[0]) * side, int(pdf["_bc"].iloc[0]) * side
-        mask = np.zeros((side + 2 * halo, side + 2 * halo), dtype=bool)
-        mask[pdf["r"].to_numpy() - r0 + halo, pdf["c"].to_numpy() - c0 + halo] = True
-        r, c = np.nonzero(_thinned(mask, rounds)[halo : halo + side, halo : halo + side])
-        out = pd.DataFrame({k: pd.Series([pdf[k].iloc[0]] * len(r), dtype=object if isinstance(pdf[k].iloc[0], str) else None) for k in keys})
-        return out.assign(r=r + r0, c=c + c0)
-
-    while n:
+        br, bc = int(pdf["_br"].iloc[0]), int(pdf["_bc"].iloc[0])
+        y, x = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        own = (y // side == br) & (x // side == bc)
+        r = c = np.zeros(0, np.int64)
+        changed = False
+        if own.any():
+            mask = np.zeros((int(np.ptp(y)) + 1, int(np.ptp(x)) + 1), dtype=bool)  # no larger than what is set
+            mask[y - y.min(), x - x.min()] = True
+            inside = np.zeros_like(mask)
+            inside[y[own] - y.min(), x[own] - x.min()] = True
+            left, last = _thinned(mask, rounds)
+            changed = bool((last & inside).any())
+            r, c = np.nonzero(left & inside)
+            r, c = r + y.min(), c + x.min()
+        rows = [*zip(r.tolist(), c.tolist(), strict=True)] or [(None, None)] * changed  # a block that vanished still tells of its change
+        out = pd.DataFrame({k: pd.Series([pdf[k].iloc[0]] * len(rows), dtype=object if isinstance(pdf[k].iloc[0], str) else None) for k in keys})
+        return out.assign(r=pd.array([v[0] for v in rows], "Int64"), c=pd.array([v[1] for v in rows], "Int64"), _br=br, _bc=bc, changed=changed)
+
+    near = F.array(*[F.struct(F.lit(y).alias("_y"), F.lit(x).alias("_x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
+    hot = None
+    while True:
         dealt = at.select(*keys, "r", "c", blocks("r").alias("_br")).select("*", blocks("c").alias("_bc"))
-        at = materialise(dealt.groupBy(*keys, "_br", "_bc").applyInPandas(run, schema), "cells")
-        left = at.count()
-        if left == n:
-            break
-        n = left
-    return at
+        if hot is not None:
+            dealt = dealt.join(hot, [*keys, "_br", "_bc"], "left_semi")
+            own = at.select(*keys, "r", "c", F.floor(F.col("r") / side).alias("_br"), F.floor(F.col("c") / side).alias("_bc"))
+            rest = own.join(hot, [*keys, "_br", "_bc"], "left_anti").withColumn("changed", F.lit(False))
+        out = dealt.groupBy(*keys, "_br", "_bc").applyInPandas(run, schema)
+        out = materialise(out if hot is None else out.unionByName(rest), "cells")
+        at = out.where("r IS NOT NULL").select(*keys, "r", "c")
+        changed = out.where("changed").select(*keys, "_br", "_bc").distinct()
+        if changed.isEmpty():
+            return at
+        spread = changed.select(*keys, "_br", "_bc", F.inline(near)).select(*keys, (F.col("_br") + F.col("_y")).alias("_br"), (F.col("_bc") + F.col("_x")).alias("_bc"))
+        hot = materialise(spread.distinct(), "blocks")
 
 
 def _neighbours(cells: DataFrame, keys: list[str]) -> DataFrame:
