@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.operators.cells import clean_mask, distance_within, rasterize_lines
+from netgrid.operators.chains import BLOCK, chain_pieces
 from netgrid.operators.evaluate import ratio
 from netgrid.operators.lines import explode_segments, line_length, sample_along
 from netgrid.operators.network import simplify
-from netgrid.plans.components import connected_components
 from netgrid.plans.storage import materialise
 
 _NEAR = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if y or x]
@@ -106,49 +106,36 @@ def _neighbours(cells: DataFrame, keys: list[str]) -> DataFrame:
     return at.join(near, [*keys, "r", "c"], "left").withColumn("near", F.coalesce("near", none))
 
 
-def _walked(pixels: pd.Series) -> pd.Series:
-    """Order the pixels of one chain, given as (r, c, first and second neighbour) one after another: r, c along the line.
+def trace_pieces(skeleton: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """``(keys, line_id, k, cells)``: the lines of ``trace`` in pieces that no line's length makes longer than a block's cells.
 
-    An open chain gets the end cells next to it; a ring starts at its least cell and returns there.
+    ``k`` is the place of a piece's first cell in its line.
     """
-    out = []
-    for flat in pixels:
-        rows = np.asarray(flat, dtype=np.int64).reshape(-1, 6)
-        near = {(r, c): ((a, b), (x, y)) for r, c, a, b, x, y in rows.tolist()}
-        ends = sorted((n, p) for p, two in near.items() for n in two if n not in near)
-        first, at = ends[0] if ends else (min(near), min(near[min(near)]))
-        path = [first]
-        while at in near and at != path[0]:
-            path.append(at)
-            a, b = near[at]
-            at = b if a == path[-2] else a
-        path.append(at)
-        out.append([v for p in path for v in p])
-    return pd.Series(out)
-
-
-def trace(skeleton: DataFrame, keys: list[str], size: float = 1.0) -> DataFrame:
+    px = materialise(_neighbours(skeleton, keys), "pixels")
+    node = px.where(F.size("near") != 2)
+    edge = node.select(*keys, "r", "c", F.inline("near").alias("nr", "nc")).where("r < nr or r = nr and c < nc")
+    edge = edge.join(node.select(*keys, F.col("r").alias("nr"), F.col("c").alias("nc")), [*keys, "nr", "nc"])
+    cells = F.array(F.struct("r", "c"), F.struct(F.col("nr").alias("r"), F.col("nc").alias("c")))
+    direct = edge.select(*keys, F.xxhash64(*keys, "r", "c", "nr", "nc").alias("line_id"), F.lit(0).cast("long").alias("k"), cells.alias("cells"))
+    return chain_pieces(px, keys, block).unionByName(direct)
+
+
+def trace_vertices(skeleton: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """``(keys, line_id, k, r, c)``: one row a vertex, ``k`` its place in the line from 0; for lines too long for one row."""
+    piece = trace_pieces(skeleton, keys, block).select(*keys, "line_id", F.col("k").alias("k0"), F.posexplode("cells").alias("i", "p"))
+    return piece.select(*keys, "line_id", (F.col("k0") + F.col("i")).alias("k"), "p.r", "p.c")
+
+
+def trace(skeleton: DataFrame, keys: list[str], size: float = 1.0, block: int = BLOCK) -> DataFrame:
     """``(keys, line_id, coords)``: the skeleton as lines through cell centres, split where a cell has not two neighbours.
 
-    Chains of cells with two neighbours are connected components; each is
-    ordered by one walk along it, starting at its lesser end. Neighbouring
-    nodes make a line of two vertices, a ring is one closed line.
+    Chains are walked inside blocks; the runs found there are ranked along
+    their chains (``operators/chains.py``). A line starts at its lesser end.
+    Neighbouring nodes make a line of two vertices, a ring is one closed line.
     """
-    px = materialise(_neighbours(skeleton, keys).withColumn("id", F.xxhash64(*keys, "r", "c")), "pixels")
-    two = px.where(F.size("near") == 2)
-    flat = [x for i in (0, 1) for x in (F.col("near")[i]["r"], F.col("near")[i]["c"])]
-    edge = px.select(*keys, "r", "c", "id", F.size("near").alias("deg"), F.inline("near").alias("nr", "nc"))
-    other = px.select(*keys, F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("id").alias("nid"), F.size("near").alias("ndeg"))
-    edge = edge.join(other, [*keys, "nr", "nc"])
-    cc = connected_components(edge.where("deg = 2 and ndeg = 2 and id < nid").select(F.col("id").alias("u"), F.col("nid").alias("v")))
-    chain = two.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("chain", F.coalesce("component", "id"))
-    walked = F.pandas_udf(_walked, "array<bigint>")
-    path = chain.groupBy(*keys, "chain").agg(F.flatten(F.collect_list(F.array("r", "c", *flat))).alias("px")).select(*keys, walked("px").alias("path"))
-    direct = edge.where("deg <> 2 and ndeg <> 2 and (r < nr or r = nr and c < nc)").select(*keys, F.array("r", "c", "nr", "nc").alias("path"))
-    centre = lambda i: F.struct(((F.get("path", 2 * i + 1) + 0.5) * size).alias("x"), ((F.get("path", 2 * i) + 0.5) * size).alias("y"))
-    coords = F.transform(F.sequence(F.lit(0), (F.size("path") / 2 - 1).cast("int")), centre)
-    lines = path.unionByName(direct)
-    return lines.select(*keys, F.xxhash64(*keys, "path").alias("line_id"), coords.alias("coords"))
+    lines = trace_pieces(skeleton, keys, block).groupBy(*keys, "line_id").agg(F.array_sort(F.collect_list(F.struct("k", "cells"))).alias("p"))
+    centre = lambda p: F.struct(((p["c"] + 0.5) * size).alias("x"), ((p["r"] + 0.5) * size).alias("y"))
+    return lines.select(*keys, "line_id", F.transform(F.flatten("p.cells"), centre).alias("coords"))
 
 
 def vectorize(
