@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netgrid.catalog import query
 from netgrid.operators import curate, ledger
-from netgrid.streaming.trace import stream_ledger
+from netgrid.streaming.trace import ordered_ledger, stream_ledger
 
 BEST = """WITH RECURSIVE s AS (SELECT task_id, step, prec, rec, version, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS score FROM fx_ledger),
   f AS (SELECT task_id, step, score AS best, version AS ver, true AS is_best FROM s WHERE step = 1
@@ -217,3 +217,10 @@ def _(t):
 def _(t):
     m = ledger.with_score(t.fx_ledger, F.lit("balanced")).select("task_id", "step", "score", "version")
     return stream_ledger(m).withColumn("score", F.round("score", 6))
+
+
+@query("j3_ordered_ledger", BEST + """, pl AS (SELECT task_id, step, score, is_best, row_number() OVER w AS n, max(CAST(is_best AS INTEGER)) OVER (PARTITION BY task_id ORDER BY step ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS late FROM b WINDOW w AS (PARTITION BY task_id ORDER BY step))
+  SELECT task_id, step, round(score, 6) AS score, is_best, n > 2 AND late = 0 AS plateau FROM pl""")
+def _(t):
+    m = ledger.with_score(t.fx_ledger, F.lit("balanced")).withColumn("at", F.timestamp_seconds(F.col("step") * 60))
+    return ordered_ledger(m).withColumn("score", F.round("score", 6)).drop("at")

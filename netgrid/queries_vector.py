@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netgrid.catalog import query
@@ -92,7 +93,7 @@ def _(t):
     return vectorise.thin(_coarse(t), ["raster_id"])
 
 
-@query("d2_trace", f"""WITH RECURSIVE {COARSE}, {thin_sql('y')},
+TRACED = f"""WITH RECURSIVE {COARSE}, {thin_sql('y')},
   e AS MATERIALIZED (SELECT a.raster_id, a.r, a.c, b.r AS r2, b.c AS c2, sqrt(o.dy * o.dy + o.dx * o.dx) AS len FROM sk a CROSS JOIN o JOIN sk b ON b.raster_id = a.raster_id AND b.r = a.r + o.dy AND b.c = a.c + o.dx),
   g AS MATERIALIZED (SELECT raster_id, r, c, count(*) AS d FROM e GROUP BY 1, 2, 3),
   w AS MATERIALIZED (SELECT e.raster_id, e.r * 100 + e.c AS u, e.r2 * 100 + e.c2 AS v, h.d AS d2 FROM e JOIN g ON g.raster_id = e.raster_id AND g.r = e.r AND g.c = e.c JOIN g h ON h.raster_id = e.raster_id AND h.r = e.r2 AND h.c = e.c2 WHERE g.d = 2),
@@ -101,7 +102,10 @@ def _(t):
   x AS (SELECT k.raster_id, k.root FROM k JOIN w ON w.raster_id = k.raster_id AND w.u = k.node GROUP BY 1, 2 HAVING max(CASE WHEN w.d2 <> 2 THEN 1 ELSE 0 END) = 0),
   rings AS (SELECT raster_id, count(*) AS n FROM x GROUP BY 1),
   tot AS (SELECT raster_id, count(*) / 2 AS edges, sum(len) / 2 AS length FROM e GROUP BY 1),
-  ends AS (SELECT raster_id, sum(CASE WHEN d <> 2 THEN d ELSE 0 END) / 2 AS n FROM g GROUP BY 1)
+  ends AS (SELECT raster_id, sum(CASE WHEN d <> 2 THEN d ELSE 0 END) / 2 AS n FROM g GROUP BY 1)"""
+
+
+@query("d2_trace", TRACED + """
   SELECT tot.raster_id, CAST(ends.n + coalesce(rings.n, 0) AS BIGINT) AS n_lines, CAST(edges AS BIGINT) AS n_edges, round(length, 6) AS length FROM tot JOIN ends USING (raster_id) LEFT JOIN rings USING (raster_id)""")
 def _(t):
     lines = vectorise.trace(vectorise.thin(_coarse(t), ["raster_id"]), ["raster_id"])
@@ -110,6 +114,16 @@ def _(t):
     )
 
 
+@query("d2_trace_vertices", TRACED + """
+  SELECT tot.raster_id, CAST(ends.n + coalesce(rings.n, 0) AS BIGINT) AS n_lines, CAST(edges + ends.n + coalesce(rings.n, 0) AS BIGINT) AS n_vertices, round(length, 6) AS length FROM tot JOIN ends USING (raster_id) LEFT JOIN rings USING (raster_id)""")
+def _(t):
+    v = vectorise.trace_vertices(vectorise.thin(_coarse(t), ["raster_id"]), ["raster_id"], 16)
+    w = Window.partitionBy("raster_id", "line_id").orderBy("k")
+    step = F.sqrt(F.pow(F.col("r") - F.lag("r").over(w), 2) + F.pow(F.col("c") - F.lag("c").over(w), 2))
+    v = v.withColumn("step", step)
+    return v.groupBy("raster_id").agg(F.count(F.when(F.col("k") == 0, 1)).alias("n_lines"), F.count("*").alias("n_vertices"), F.round(F.sum("step"), 6).alias("length"))
+
+
 @query("d3_simplify", """SELECT line_id, CASE WHEN sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) > 0 AND abs(y1 - y0) * 3 / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) > 2.0 THEN 3
   WHEN x1 = x0 AND y1 = y0 THEN 3 ELSE 2 END AS n FROM fx_lines""")
 def _(t):

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from netgrid.operators.edits import merge_network
 from netgrid.operators.grid import taper
-from netgrid.operators.ledger import MIN_GAIN, running_best
+from netgrid.operators.ledger import MIN_GAIN, plateau, running_best
 from netgrid.operators.lines import live_operations
 
 
@@ -64,6 +66,76 @@ def stream_ledger(measurements: DataFrame) -> DataFrame:
     )
 
 
+def ordered_ledger(measurements: DataFrame, late: str = "10 minutes", window: int = 2) -> DataFrame:
+    """Keep-best and plateau over ``(task_id, step, at, score, version)`` in the order of event time, then step.
+
+    On a stream, rows wait in a task's state until the watermark has passed
+    their time, so rows that come out of order, within ``late``, give what the
+    batch run gives; later ones are dropped and counted in the query's progress
+    (``LateRows``). A task that gets no more rows is woken by an event-time timer. Rows without a
+    time are left out; a null score is never best. Repeated rows count as often as they come.
+    """
+    m = measurements.where("at IS NOT NULL").select("task_id", "step", "at", F.col("score").cast("double"), F.col("version").cast("long"))
+    if not measurements.isStreaming:
+        placed = m.withColumn("_nth", F.row_number().over(Window.partitionBy("task_id").orderBy("at", "step", "score", "version")))
+        out = plateau(running_best(placed, "task_id", "_nth"), "task_id", "_nth", window)
+        return out.select("task_id", "step", "at", "score", "is_best", "plateau")
+
+    def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        best, version, n, since, *held = state.get if state.exists else (None, None, 0, 0, [], [], [], [])
+        waiting = list(zip(*held, strict=True))
+        for p in parts:
+            cols = (p["at"].astype("int64") // (1000 if p["at"].dtype == "datetime64[ns]" else 1), p["step"], p["score"], p["version"])
+            waiting += zip(*([None if pd.isna(x) else x for x in c.tolist()] for c in cols), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda r: (r[0], *((x is not None, x or 0) for x in r[1:])))
+        ready = [r for r in waiting if r[0] <= passed * 1000]
+        waiting = waiting[len(ready) :]
+        rows = []
+        for at, step, score, v in ready:
+            better = score is not None and (best is None or (v == version and score > best + MIN_GAIN))
+            if better:
+                best, version = score, v
+            n, since = n + 1, 0 if better else since + 1
+            rows.append((key[0], step, at, score, better, n > window and since >= window))
+        state.update((best, version, n, since, *([list(c) for c in zip(*waiting, strict=True)] or [[], [], [], []])))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed) + 1)
+        out = pd.DataFrame(rows, columns=["task_id", "step", "at", "score", "is_best", "plateau"])
+        yield out.astype({"at": "int64", "score": "float64"}).assign(at=lambda d: pd.to_datetime(d["at"], unit="us"))
+
+    return m.withWatermark("at", late).groupBy("task_id").applyInPandasWithState(
+        update, "task_id long, step int, at timestamp, score double, is_best boolean, plateau boolean",
+        "best double, version long, n long, since long, ats array<long>, steps array<int>, scores array<double>, versions array<long>", "append", "EventTimeTimeout",
+    )
+
+
+class LateRows(StreamingQueryListener):
+    """Counts by query (its name, or else its id) of what stateful operators dropped behind the watermark.
+
+    Sessions and ``ordered_ledger`` drop single rows. Windows drop what Spark
+    has counted already within a task: rows of one key and window that come in one task of one batch count once.
+    Add it with ``spark.streams.addListener``; ``dropped`` is filled as batches end.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+        self.finished: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.dropped[p.name or str(p.id)] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.finished.add(str(event.id))
+
+
 def stream_chips(chips: DataFrame, keys: list[str], size: int, overlap: int, late: str = "10 minutes") -> DataFrame:
     """Running mosaic of chips as they come: ``(keys, r, c, v)`` with sums of weighted values over sums of weights.
 
