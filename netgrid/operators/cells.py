@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netgrid.operators.evaluate import dilate, ratio
+from netgrid.operators.blocks import SIDE, as_given, clear_parts, grown, offsets, set_parts, worn
+from netgrid.operators.evaluate import ratio
 from netgrid.plans.components import connected_components
+from netgrid.plans.storage import materialise
 
 COMPARE = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
@@ -17,84 +19,54 @@ def threshold(cells: DataFrame, t: float, op: str = ">=", value: str = "conf") -
 
 
 def erode(cells: DataFrame, keys: list[str], radius: int, height: int, width: int) -> DataFrame:
-    """Cells whose whole disk is set; outside the raster counts as set.
-
-    A cell goes when a clear cell inside the raster lies within the radius, so
-    the disk's set cells are counted against those of the disk within the raster.
-    """
-    near = [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if y * y + x * x <= radius * radius]
-    steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in near])
-    hits = cells.select(*keys, "r", "c", F.inline(steps)).select(*keys, (F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c"))
-    n = hits.groupBy(*keys, "r", "c").agg(F.count("*").alias("n"))
-    r, c = F.col("r"), F.col("c")
-    inside = sum(
-        (F.when((r + y >= 0) & (r + y < height), F.greatest(F.lit(0), F.least(F.lit(width - 1), c + k) - F.greatest(F.lit(0), c - k) + 1)).otherwise(0) for y, k in _rows(radius)),
-        F.lit(0),
-    )
-    ok = n.where((F.col("n") == inside) & (r >= 0) & (r < height) & (c >= 0) & (c < width))
-    return ok.select(*keys, "r", "c")
-
-
-def _rows(radius: int) -> list[tuple[int, int]]:
-    return [(y, max(x for x in range(radius + 1) if y * y + x * x <= radius * radius)) for y in range(-radius, radius + 1)]
+    """Cells whose whole disk is set; outside the raster counts as set."""
+    return as_given(worn(cells, keys, radius, height, width), cells, keys)
 
 
 def close(cells: DataFrame, keys: list[str], radius: int, height: int, width: int) -> DataFrame:
     """Dilation, then erosion, by a disk; radius 0 changes nothing."""
     if radius <= 0:
         return cells.select(*keys, "r", "c").distinct()
-    return erode(dilate(cells, keys, radius, "disk", height, width), keys, radius, height, width)
+    return as_given(worn(cells, keys, radius, height, width, radius), cells, keys)
+
+
+def _whole(parts: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
+    """``(keys, r, c, label, n)``: the blocks' own cells, ``label`` and ``n`` being those of the whole component; parts are joined through the cells that two blocks see."""
+    parts = materialise(parts, "parts").withColumn("label", F.xxhash64(*keys, "lr", "lc"))
+    names = [*keys, "r", "c", "label", "n"]
+    own, open_ = parts.where("own AND NOT open").select(*names), parts.where("open")
+    if open_.isEmpty():
+        return own
+    edge = F.expr(f"NOT own OR r % {side} IN (0, {side - 1}) OR c % {side} IN (0, {side - 1})")
+    met = open_.where(edge).groupBy(*keys, "r", "c").agg(F.collect_set("label").alias("s")).where(F.size("s") > 1)  # four at most
+    joined = connected_components(met.select(*keys, F.array_min("s").alias("u"), F.explode("s").alias("v")), keys=keys).withColumnRenamed("node", "label")
+    each = open_.select(*keys, "label", "n").distinct().join(joined, "label", "left").withColumn("component", F.coalesce("component", "label"))
+    each = materialise(each, "parts")
+    total = each.groupBy(*keys, "component").agg(F.sum("n").alias("n"))
+    of = each.drop("n").join(total, [*keys, "component"])
+    rest = open_.where("own").drop("n").join(of, [*keys, "label"]).drop("label").withColumnRenamed("component", "label")
+    return own.unionByName(rest.select(*names))
 
 
 def label_components(cells: DataFrame, keys: list[str], conn: int = 8) -> DataFrame:
-    """``label`` of each set cell's connected component: a hash of its least run.
+    """``label`` of each set cell's connected component: a hash of one of its cells.
 
-    Row runs are the nodes (gaps and islands), so long rows are one node; runs
-    of neighbouring rows that touch are the edges.
+    Components are found inside blocks; only those that reach over a border are joined.
     """
-    at = cells.select(*keys, "r", "c").distinct()
-    w = Window.partitionBy(*keys, "r").orderBy("c")
-    run = at.withColumn("g", F.col("c") - F.row_number().over(w)).groupBy(*keys, "r", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    parts = _label_runs(run, keys, conn)
-    return parts.select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"), "label")
-
-
-def _label_runs(run: DataFrame, keys: list[str], conn: int) -> DataFrame:
-    """``(keys, r, c0, c1, label)`` of row runs."""
-    run = run.withColumn("node", F.xxhash64(*keys, F.col("r").cast("long"), F.col("c0").cast("long")))
-    reach = 1 if conn == 8 else 0
-    # runs of one row meet those of the next in at most a few columns: spread over blocks of columns, not compared all with all
-    spread = run.select("*", F.explode(F.sequence(F.floor((F.col("c0") - reach) / 64), F.floor((F.col("c1") + reach) / 64))).alias("b"))
-    a = spread.select(*keys, "b", F.col("r").alias("r"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("node").alias("u"))
-    b = spread.select(*keys, "b", (F.col("r") - 1).alias("r"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("node").alias("v"))
-    edges = a.join(b, [*keys, "b", "r"]).where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select("u", "v").distinct()
-    parts = run.join(connected_components(edges), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    return parts.select(*keys, "r", "c0", "c1", "label")
+    return as_given(_whole(set_parts(cells, keys, conn), keys), cells, keys, ("label",))
 
 
 def drop_small(cells: DataFrame, keys: list[str], min_px: int) -> DataFrame:
     """Only 8-connected components of at least ``min_px`` cells."""
-    lab = label_components(cells, keys, 8)
-    big = lab.groupBy(*keys, "label").agg(F.count("*").alias("n")).where(F.col("n") >= min_px)
-    return lab.join(big.select(*keys, "label"), [*keys, "label"], "left_semi").select(*keys, "r", "c")
+    return as_given(_whole(set_parts(cells, keys, 8), keys).where(F.col("n") >= min_px), cells, keys)
 
 
 def fill_holes(cells: DataFrame, keys: list[str], min_px: int, height: int, width: int) -> DataFrame:
-    """Clear 4-connected components of fewer than ``min_px`` cells become set; 0 is off.
-
-    Works on runs of clear cells between the set ones of a row, a row without set cells being one run.
-    """
-    at = cells.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).distinct()
+    """Clear 4-connected components of fewer than ``min_px`` cells become set; 0 is off."""
     if min_px <= 0:
-        return at
-    ends = at.groupBy(*keys).agg(F.lit(1).alias("_")).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("r"))
-    walls = at.where(F.col("c").between(0, width - 1)).unionByName(ends.select(*keys, "r", F.lit(-1).alias("c")))
-    after = F.coalesce(F.lead("c").over(Window.partitionBy(*keys, "r").orderBy("c")), F.lit(width))
-    gaps = walls.where(F.col("r").between(0, height - 1)).select(*keys, "r", (F.col("c") + 1).alias("c0"), (after - 1).alias("c1")).where("c0 <= c1")
-    lab = _label_runs(gaps, keys, 4)
-    small = lab.groupBy(*keys, "label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n")).where(F.col("n") < min_px)
-    filled = lab.join(small.select(*keys, "label"), [*keys, "label"], "left_semi").select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    return at.unionByName(filled)
+        return cells.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).distinct()
+    whole = _whole(clear_parts(cells, keys, min_px, height, width), keys)
+    return whole.where(F.col("n").isNull() | (F.col("n") < min_px)).select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
 
 
 def clean_mask(cells: DataFrame, keys: list[str], height: int, width: int, radius: int = 2, holes: int = 200, small: int = 400) -> DataFrame:
@@ -104,11 +76,7 @@ def clean_mask(cells: DataFrame, keys: list[str], height: int, width: int, radiu
 
 def distance_within(cells: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """Least squared distance to a set cell, for the cells within ``radius`` of one."""
-    k = int(radius)
-    near = [(y, x, y * y + x * x) for y in range(-k, k + 1) for x in range(-k, k + 1) if y * y + x * x <= radius * radius]
-    steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx"), F.lit(d).alias("d2")) for y, x, d in near])
-    out = cells.select(*keys, "r", "c", F.inline(steps)).select(*keys, (F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c"), "d2")
-    return out.groupBy(*keys, "r", "c").agg(F.min("d2").alias("d2"))
+    return as_given(grown(cells, keys, offsets(radius)), cells, keys, (F.col("d2").cast("int").alias("d2"),))
 
 
 def rasterize_lines(segments: DataFrame, keys: list[str], size: float) -> DataFrame:

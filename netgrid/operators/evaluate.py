@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netgrid.operators.blocks import as_given, grown, offsets
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -66,17 +68,7 @@ def best_threshold(scores: DataFrame, keys: list[str], by: str = "f1") -> DataFr
 
 def dilate(cells: DataFrame, keys: list[str], radius: int, shape: str = "disk", height: int | None = None, width: int | None = None) -> DataFrame:
     """Set cells grown by a disk (dy^2 + dx^2 <= r^2) or a diamond (|dy| + |dx| <= r), clipped to the raster."""
-    inside = (lambda y, x: y * y + x * x <= radius * radius) if shape == "disk" else (lambda y, x: abs(y) + abs(x) <= radius)
-    near = [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if inside(y, x)]
-    # rows first, then columns of each row offset, so that duplicates are dropped at both steps
-    reach = {y: max(x for yy, x in near if yy == y) for y, _ in near}
-    steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("k")) for y, x in sorted(reach.items())])
-    rows = cells.select(*keys, "r", "c", F.inline(steps)).select(*keys, (F.col("r") + F.col("dy")).alias("r"), "c", "k")
-    rows = rows.groupBy(*keys, "r", "c").agg(F.max("k").alias("k"))
-    out = rows.select(*keys, "r", F.explode(F.sequence(F.col("c") - F.col("k"), F.col("c") + F.col("k"))).alias("c"))
-    if height is not None:
-        out = out.where((F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width))
-    return out.distinct()
+    return as_given(grown(cells, keys, offsets(radius, shape), height, width), cells, keys)
 
 
 def relaxed_scores(pred: DataFrame, truth: DataFrame, keys: list[str], slack: int = 3, shape: str = "disk") -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField
 
+from netgrid.operators.blocks import AT, Canvas, by_blocks, dealt
 from netgrid.operators.cells import clean_mask, distance_within, rasterize_lines
 from netgrid.operators.chains import BLOCK, chain_pieces
 from netgrid.operators.evaluate import ratio
@@ -17,27 +19,38 @@ from netgrid.plans.storage import materialise
 _NEAR = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if y or x]
 
 
-def _thinned(mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """``rounds`` rounds of Zhang and Suen's parallel thinning (1984), everything outside being clear; and what the last round took."""
-    m = np.pad(mask, 1)
-    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]  # clockwise from above
-    h, w = m.shape
-    before = m[1:-1, 1:-1].copy()
+def _rules() -> tuple[np.ndarray, np.ndarray]:
+    """Whether a cell goes in each half of a round, by its eight neighbours as bits, clockwise from above."""
+    p = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    n, turns = p.sum(axis=1), ((p == 0) & (np.roll(p, -1, axis=1) == 1)).sum(axis=1)
+    up, right, down, left = p[:, 0], p[:, 2], p[:, 4], p[:, 6]
+    edge = (n >= 2) & (n <= 6) & (turns == 1)
+    return edge & (up * right * down == 0) & (right * down * left == 0), edge & (up * right * left == 0) & (up * down * left == 0)
+
+
+_RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+_RULES = _rules()
+
+
+def _thinned(at: np.ndarray, w: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """``rounds`` rounds of Zhang and Suen's parallel thinning (1984) of the set places ``at`` of an array, in rows of length ``w``: what stays, and what the last round took."""
+    m = np.zeros(size, np.uint8)
+    m[at] = 1
+    last = at[:0]
     for _ in range(rounds):
-        gone = 0
-        before = m[1:-1, 1:-1].copy()
-        for last in (False, True):
-            p = np.stack([m[1 + y : h - 1 + y, 1 + x : w - 1 + x] for y, x in ring]).astype(np.int8)
-            n = p.sum(axis=0)
-            turns = ((p == 0) & (np.roll(p, -1, axis=0) == 1)).sum(axis=0)
-            up, right, down, left = p[0], p[2], p[4], p[6]
-            open_ = (up * right * left == 0) & (up * down * left == 0) if last else (up * right * down == 0) & (right * down * left == 0)
-            drop = m[1:-1, 1:-1] & (n >= 2) & (n <= 6) & (turns == 1) & open_
-            m[1:-1, 1:-1] &= ~drop
-            gone += int(drop.sum())
-        if not gone:
+        gone = []
+        for rule in _RULES:
+            code = np.zeros(len(at), np.uint8)
+            for i, (y, x) in enumerate(_RING):
+                code |= m[at + y * w + x] << i
+            drop = rule[code]
+            gone.append(at[drop])
+            m[at[drop]] = 0
+            at, w = at[~drop], w[~drop]
+        last = np.concatenate(gone)
+        if not len(last):
             break
-    return m[1:-1, 1:-1], before & ~m[1:-1, 1:-1]
+    return at, last
 
 
 def thin(cells: DataFrame, keys: list[str], side: int = 256, rounds: int = 8) -> DataFrame:
@@ -52,40 +65,37 @@ def thin(cells: DataFrame, keys: list[str], side: int = 256, rounds: int = 8) ->
     halo = 2 * rounds
     if halo > side:
         raise ValueError("a block must be as wide as its border")
-    at = materialise(cells.select(*keys, F.col("r").cast("long"), F.col("c").cast("long")).distinct(), "cells")
-    schema = at.select("*", F.lit(0).cast("long").alias("_br"), F.lit(0).cast("long").alias("_bc"), F.lit(True).alias("changed")).schema
-
-    def blocks(x: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(x) - halo) / side), F.floor((F.col(x) + halo) / side)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        br, bc = int(pdf["_br"].iloc[0]), int(pdf["_bc"].iloc[0])
-        y, x = pdf["r"].to_numpy(), pdf["c"].to_numpy()
-        own = (y // side == br) & (x // side == bc)
-        r = c = np.zeros(0, np.int64)
-        changed = False
-        if own.any():
-            mask = np.zeros((int(np.ptp(y)) + 1, int(np.ptp(x)) + 1), dtype=bool)  # no larger than what is set
-            mask[y - y.min(), x - x.min()] = True
-            inside = np.zeros_like(mask)
-            inside[y[own] - y.min(), x[own] - x.min()] = True
-            left, last = _thinned(mask, rounds)
-            changed = bool((last & inside).any())
-            r, c = np.nonzero(left & inside)
-            r, c = r + y.min(), c + x.min()
-        rows = [*zip(r.tolist(), c.tolist(), strict=True)] or [(None, None)] * changed  # a block that vanished still tells of its change
-        out = pd.DataFrame({k: pd.Series([pdf[k].iloc[0]] * len(rows), dtype=object if isinstance(pdf[k].iloc[0], str) else None) for k in keys})
-        return out.assign(r=pd.array([v[0] for v in rows], "Int64"), c=pd.array([v[1] for v in rows], "Int64"), _br=br, _bc=bc, changed=changed)
+    fields = [*AT, *[StructField(n, LongType()) for n in ("_br", "_bc")], StructField("changed", BooleanType())]
+
+    def run(r, c, starts, br, bc):
+        v = Canvas(r, c, starts, 1)
+        fresh = np.r_[True, v.at[1:] != v.at[:-1]]
+        left, last = _thinned(v.at[fresh], v.w[fresh], v.size, rounds)
+
+        def own(at):
+            g, y, x = v.cells(at)
+            k = (y // side == br[g]) & (x // side == bc[g])
+            return g[k], y[k], x[k]
+
+        g, y, x = own(left)
+        changed = np.zeros(len(starts), bool)
+        changed[own(last)[0]] = True
+        empty = changed.copy()
+        empty[g] = False
+        lost = np.flatnonzero(empty)  # a block that vanished still tells of its change
+        none = pa.nulls(len(lost), pa.int64())
+        g = np.r_[g, lost]
+        return g, pa.concat_arrays([pa.array(y), none]), pa.concat_arrays([pa.array(x), none]), br[g], bc[g], changed[g]
 
     near = F.array(*[F.struct(F.lit(y).alias("_y"), F.lit(x).alias("_x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    hot = None
+    hot, at = None, cells
     while True:
-        dealt = at.select(*keys, "r", "c", blocks("r").alias("_br")).select("*", blocks("c").alias("_bc"))
+        blocks = dealt(at, keys, side, halo)
         if hot is not None:
-            dealt = dealt.join(hot, [*keys, "_br", "_bc"], "left_semi")
-            own = at.select(*keys, "r", "c", F.floor(F.col("r") / side).alias("_br"), F.floor(F.col("c") / side).alias("_bc"))
+            blocks = blocks.join(hot, [*keys, "_br", "_bc"], "left_semi")
+            own = dealt(at, keys, side, 0).select(*keys, "r", "c", "_br", "_bc")
             rest = own.join(hot, [*keys, "_br", "_bc"], "left_anti").withColumn("changed", F.lit(False))
-        out = dealt.groupBy(*keys, "_br", "_bc").applyInPandas(run, schema)
+        out = by_blocks(blocks, keys, run, fields, 1)
         out = materialise(out if hot is None else out.unionByName(rest), "cells")
         at = out.where("r IS NOT NULL").select(*keys, "r", "c")
         changed = out.where("changed").select(*keys, "_br", "_bc").distinct()
