@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
+from netgrid.plans.groups import by_groups
 from netgrid.plans.storage import materialise
 
 BLOCK = 256
@@ -47,43 +49,75 @@ def _runs(near: DataFrame, keys: list[str], block: int) -> DataFrame:
     """The runs of each block of ``block`` by ``block`` cells, with the place of the least cell and its two neighbours along the chain."""
     two = near.where(F.size("near") == 2)
     at = [F.col("near")[i][v].alias(f"{v}{i}") for i in (0, 1) for v in ("r", "c")]
-    cells = two.select(*keys, "r", "c", *at, F.floor(F.col("r") / block).alias("_br"), F.floor(F.col("c") / block).alias("_bc"))
+    cells = two.select(*keys, F.floor(F.col("r") / block).alias("_br"), F.floor(F.col("c") / block).alias("_bc"), "r", "c", *at)
     names = ["ar", "ac", "br", "bc", "mr", "mc", "pr", "pc", "nr", "nc"]
     own = [StructField("path", ArrayType(LongType())), *[StructField(n, LongType()) for n in names], StructField("mi", IntegerType()), StructField("ring", BooleanType())]
     schema = StructType([*[near.schema[k] for k in keys], *own])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = {(r, c): ((a, b), (x, y)) for r, c, a, b, x, y in pdf[["r", "c", "r0", "c0", "r1", "c1"]].to_numpy(np.int64).tolist()}
-        rows = []
-        for path, before, after, ring in _walk(near):
-            i = path.index(min(path))
-            prev, following = (path[i - 1] if i else before), (path[i + 1] if i + 1 < len(path) else after)
-            rows.append([[v for p in path for v in p], *before, *after, *path[i], *prev, *following, i, ring])
-        out = pd.DataFrame(rows, columns=[f.name for f in own])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[schema.names]
-
-    return cells.groupBy(*keys, "_br", "_bc").applyInPandas(walk, schema)
-
-
-def _jumped(darts: DataFrame, keys: list[str]) -> DataFrame:
+    types, n = [to_arrow_type(f.dataType) for f in own], len(keys)
+
+    def walk(b: pa.RecordBatch, starts: np.ndarray, complete: np.ndarray) -> pa.RecordBatch:
+        told = list(zip(*(b.column(n + 2 + i).to_pylist() for i in range(6)), strict=True))
+        rows, group = [], []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(told)], strict=True):
+            for path, before, after, ring in _walk({(r, c): ((p, q), (x, y)) for r, c, p, q, x, y in told[lo:hi]}):
+                i = path.index(min(path))
+                prev, following = (path[i - 1] if i else before), (path[i + 1] if i + 1 < len(path) else after)
+                rows.append(([v for p in path for v in p], *before, *after, *path[i], *prev, *following, i, ring))
+                group.append(lo)
+        cols = zip(*rows, strict=True) if rows else [[]] * len(own)
+        return pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(group, pa.int64())) for i in range(n)], *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]], names=schema.names)
+
+    return by_groups(cells, [*keys, "_br", "_bc"], [], walk, schema)
+
+
+def _jumped_within(t: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """What ``_jumped`` gives, and ``done``, for keys of up to ``most`` darts; the rows of others as they are."""
+    n = len(keys)
+    schema = t.withColumn("done", F.lit(True)).schema
+
+    def run(b: pa.RecordBatch, starts: np.ndarray, complete: np.ndarray) -> pa.RecordBatch:
+        done = np.repeat(complete, np.diff(np.r_[starts, b.num_rows]))
+        ids = b.column(n).to_numpy()
+        order = np.argsort(ids, kind="stable")
+        link = b.column(n + 1).fill_null(0).to_numpy()
+        at = order[np.searchsorted(ids, link, sorter=order).clip(max=len(ids) - 1)]
+        to = np.where((ids[at] == link) & b.column(n + 1).is_valid().to_numpy(zero_copy_only=False) & done, at, -1)
+        dist, end = b.column(n + 2).to_numpy().copy(), np.arange(len(ids))
+        by = np.lexsort([x.to_numpy() for x in reversed(b.column(n + 3).flatten())])
+        least = np.empty(len(ids), np.int64)
+        least[by] = np.arange(len(ids))
+        for _ in range(len(ids).bit_length() + 1):
+            o = np.flatnonzero(to >= 0)
+            j = to[o]
+            dist[o], least[o], end[o], to[o] = dist[o] + dist[j], np.minimum(least[o], least[j]), end[j], to[j]
+        link = pa.array(np.where(done, ids[to], link), mask=np.where(done, to < 0, b.column(n + 1).is_null().to_numpy(zero_copy_only=False)))
+        return pa.RecordBatch.from_arrays([*b.columns[: n + 1], link, pa.array(dist), b.column(n + 3).take(pa.array(by[least])), b.column(n + 4).take(pa.array(end)), pa.array(done)], names=schema.names)
+
+    return by_groups(t, keys, [], run, schema, most, whole=False)
+
+
+def _jumped(darts: DataFrame, keys: list[str], most: int = 200_000) -> DataFrame:
     """For darts ``(keys, id, link, n, m, e)``: cells from each to its chain's end (``dist``), that end, the least ``m``; ``link`` is left on rings.
 
     Pointer jumping: each round doubles the reach, so the rounds grow with the
     logarithm of the number of runs in a chain. It ends when no dart has a
     link, or when those that have one are as many as before and none found a
-    lesser ``m``: these go in circles and have seen all of them.
+    lesser ``m``: these go in circles and have seen all of them. Keys of up to
+    ``most`` darts are settled in one pass before.
     """
     held = [*keys, "id", "link", "dist", "m", "e"]
     t = darts.select(*keys, "id", "link", F.col("n").alias("dist"), "m", "e")
+    t = materialise(_jumped_within(t, keys, most), "darts")
+    settled, t = t.where("done").drop("done"), t.where("NOT done").drop("done")
+    if t.isEmpty():
+        return settled
     real = t.select(*keys, F.col("id").alias("link"), F.lit(True).alias("real"))
     t = t.join(real, [*keys, "link"], "left").withColumn("link", F.when(F.col("real"), F.col("link"))).select(*held)
     open_, seen = materialise(t, "darts"), None
     while True:
         state = tuple(open_.where("link IS NOT NULL").agg(F.count("*"), F.sum(F.xxhash64("id", "m").cast("decimal(38,0)"))).first())
         if not state[0] or state == seen:
-            return open_
+            return settled.unionByName(open_)
         seen = state
         to = open_.select(*keys, F.col("id").alias("link"), F.col("link").alias("l2"), F.col("dist").alias("d2"), F.col("m").alias("m2"), F.col("e").alias("e2"))
         on = open_.where("link IS NOT NULL").join(to, [*keys, "link"])
