@@ -6,15 +6,18 @@ many vertices); inputs are ``(keys, line_id, x0, y0, x1, y1)`` in metres; line i
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgrid.operators.cells import clean_mask
 from netgrid.operators.evaluate import beta_of, f_beta
-from netgrid.operators.lines import cluster_endpoints, endpoints, line_length, sample_along, share_along, topology_report
+from netgrid.operators.lines import close_points, cluster_endpoints, endpoints, line_length, sample_along, share_along, topology_report
 from netgrid.operators.network import dead_ends, expected_scores, near_segments, simplify, snap_ends, split_at
 from netgrid.operators.polylines import as_lines, merge_lines
 from netgrid.operators.vectorise import score_network, segments_of, thin, trace, vectorize
+from netgrid.plans.groups import by_groups, least_members
 from netgrid.plans.storage import materialise
 
 ENDS = ["x0", "y0", "x1", "y1"]
@@ -181,15 +184,58 @@ def repair(segments: DataFrame, keys: list[str], operation: str, tolerance: floa
         return snapped(s, new, keys).select(*cols)
     if operation != "rmdangle":
         raise ValueError(f"unknown operation {operation!r}")
+    found = materialise(_dangles(s, keys, tolerance), "dangles")
+    s = materialise(s.join(found.where("line_id IS NOT NULL").select(*keys, "line_id"), [*keys, "line_id"], "left_anti"), "lines")
+    large = found.where("line_id IS NULL").select(*keys).distinct()
+    if large.isEmpty():
+        return s
+    small, s = s.join(large, keys, "left_anti"), s.join(large, keys, "left_semi")
     while True:
         node = cluster_endpoints(endpoints(s, keys), keys)
         node = node.groupBy(*keys, "node").agg(F.count_distinct("line_id").alias("degree"), F.min("line_id").alias("line_id")).where("degree = 1")
         gone = materialise(s.where(length < tolerance).join(node, [*keys, "line_id"], "left_semi").select(*keys, "line_id"), "dangles")
         if gone.isEmpty():
-            return s
+            return small.unionByName(s)
         s = materialise(s.join(gone, [*keys, "line_id"], "left_anti"), "lines")
 
 
+def _dangles(segments: DataFrame, keys: list[str], tolerance: float, snap: float = 2.5, most: int = 200_000) -> DataFrame:
+    """``(keys, line_id)`` of the lines that ``rmdangle`` takes, of networks of up to ``most`` lines and pairs of near ends; without ``line_id``, the others' keys."""
+    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    pid = lambda e: F.xxhash64(*keys, f"x{e}", f"y{e}")
+    line = segments.select(*keys, "line_id", pid(0).alias("u"), pid(1).alias("v"), (length < tolerance).alias("short"))
+    ends = endpoints(segments, keys).withColumn("pid", F.xxhash64(*keys, "x", "y"))
+    rows = line.unionByName(close_points(ends, keys, snap).withColumn("short", F.lit(False)), allowMissingColumns=True).withColumn("line", F.col("line_id").isNotNull())
+    schema, n = segments.select(*keys, "line_id").schema, len(keys)
+
+    def run(b: pa.RecordBatch, starts: np.ndarray, complete: np.ndarray) -> pa.RecordBatch:
+        ok = np.repeat(complete, np.diff(np.r_[starts, b.num_rows]))
+        flag = lambda i: b.column(n + i).fill_null(False).to_numpy(zero_copy_only=False)
+        points, at = np.unique(np.concatenate([b.column(n + i).to_numpy() for i in (1, 2)]), return_inverse=True)
+        u, v = at[: b.num_rows], at[b.num_rows :]
+        short, line = flag(3), flag(4)
+        alive, pair = np.flatnonzero(line & ok), np.flatnonzero(~line & ok)
+        gone = []
+        while len(alive):
+            there = np.zeros(len(points), bool)
+            there[u[alive]] = there[v[alive]] = True
+            pair = pair[there[u[pair]] & there[v[pair]]]
+            node = least_members(len(points), u[pair], v[pair])
+            p, q = node[u[alive]], node[v[alive]]
+            degree = np.bincount(p, minlength=len(points)) + np.bincount(q[p != q], minlength=len(points))
+            drop = short[alive] & ((degree[p] == 1) | (degree[q] == 1))
+            if not drop.any():
+                break
+            gone.append(alive[drop])
+            alive = alive[~drop]
+        large = starts[~complete]
+        gone = np.concatenate([*gone, large]).astype(np.int64)
+        ids = b.column(n).take(pa.array(gone, mask=np.arange(len(gone)) >= len(gone) - len(large)))
+        return pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(gone)) for i in range(n)], ids], names=schema.names)
+
+    return by_groups(rows, keys, [], run, schema, most, whole=False)
+
+
 def repair_report(segments: DataFrame, keys: list[str], operation: str, tolerance: float = 5.0) -> DataFrame:
     """Features, components, dangles and score before and after a repair, and whether the score rose. A network left empty has nulls after."""
     names = ["n_lines", "n_components", "n_dangles", "score"]

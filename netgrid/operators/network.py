@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from netgrid.operators.cells import distance_within, rasterize_lines
 from netgrid.operators.cover import cell_at, cells_along
 from netgrid.operators.evaluate import f_beta, ratio
 from netgrid.operators.lines import endpoints
+from netgrid.plans.groups import by_groups
 
 
 def pixel_degree(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,9 +130,18 @@ def to_blocks(cells: DataFrame, keys: list[str], side: int = 256, value: str = "
     """Sparse cells as dense blocks: ``(keys, br, bc, data)``, row by row."""
     at = cells.withColumns({"br": F.floor(F.col("r") / side).cast("int"), "bc": F.floor(F.col("c") / side).cast("int")})
     at = at.withColumn("k", (F.col("r") % side * side + F.col("c") % side).cast("int"))
-    filled = F.map_from_entries(F.collect_list(F.struct("k", F.col(value).cast("float").alias("v"))))
-    m = at.groupBy(*keys, "br", "bc").agg(filled.alias("m"))
-    return m.select(*keys, "br", "bc", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0).cast("float"))).alias("data"))
+    rows = at.select(*keys, "br", "bc", "k", F.col(value).cast("float").alias("v"))
+    schema = rows.select(*keys, "br", "bc", F.array("v").alias("data")).schema
+    n = len(keys) + 2
+
+    def run(b: pa.RecordBatch, starts: np.ndarray, complete: np.ndarray) -> pa.RecordBatch:
+        data = np.zeros((len(starts), side * side), np.float32)
+        g = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, b.num_rows]))
+        data[g, b.column(n).to_numpy()] = b.column(n + 1).fill_null(0).to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * side * side, pa.int32()), pa.array(data.ravel()))
+        return pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(starts)) for i in range(n)], lists], names=schema.names)
+
+    return by_groups(rows, [*keys, "br", "bc"], [], run, schema, max(1, 8_000_000 // (side * side)))
 
 
 def to_cells(blocks: DataFrame, keys: list[str], side: int = 256, value: str = "v") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from netgrid.operators import blocks, cells
+from netgrid.operators import blocks, cells, edits, network
 from netgrid.operators.chains import _jumped
 from netgrid.plans.components import connected_components
 
@@ -116,3 +116,38 @@ def test_jumps_within_keys(spark, most):
             r = out[100 * k + i]
             assert (r.link, r.dist, r.m.v, r.e.w) == (None, sum(range(i + 1, 6)), 5, 4)
     assert all(out[300 + i].link is not None and out[300 + i].m.v == 5 for i in range(5))
+
+
+@pytest.mark.parametrize("most", [10, 10_000])
+def test_dangles_within_networks(spark, most):
+    rng = random.Random(2)
+    lines = [(k, 100 * k + i, *[float(rng.randrange(6)) for _ in range(4)]) for k in range(4) for i in range(3 + 6 * k)]
+    df = spark.createDataFrame(lines, "k long, line_id long, x0 double, y0 double, x1 double, y1 double")
+    out = {(r.k, r.line_id) for r in edits._dangles(df, ["k"], 4.0, 0.5, most).collect()}
+    want = set()
+    for k in range(4):
+        own = [x for x in lines if x[0] == k]
+        if (k, None) in out:  # left to the rounds over the whole table
+            assert most == 10 and len(own) > 10 and not {x for x in out if x[0] == k and x[1]}
+            want.add((k, None))
+            continue
+        while True:
+            at = {}
+            for x in own:
+                for p in (x[2:4], x[4:6]):
+                    at.setdefault(p, set()).add(x[1])
+            gone = {x for x in own if ((x[2] - x[4]) ** 2 + (x[3] - x[5]) ** 2) < 16 and 1 in (len(at[x[2:4]]), len(at[x[4:6]]))}
+            if not gone:
+                break
+            want |= {x[:2] for x in gone}
+            own = [x for x in own if x not in gone]
+    assert out == want
+
+
+def test_dense_blocks_of_many_cells(spark):
+    rows = [(k, r, c, float(r * 64 + c + 1)) for k in range(3) for r in range(64) for c in range(64) if (r + c + k) % 3]
+    df = spark.createDataFrame(rows, "id long, r long, c long, v double")
+    dense = network.to_blocks(df, ["id"], 32)
+    assert "map_from_entries" not in dense._jdf.queryExecution().toString()  # each place looked through the whole map
+    assert {(x.id, x.r, x.c, x.v) for x in network.to_cells(dense, ["id"], 32).collect()} == set(rows)
+    assert dense.count() == 12
