@@ -145,3 +145,13 @@ def test_sessions_on_a_stream(spark, tmp_path):
         else:
             by[j].append([a])
     assert {(j, s[0], s[-1] + dt.timedelta(minutes=10), len(s)) for j, v in by.items() for s in v} == want
+
+
+def test_folders_do_not_grow_with_rasters(spark, tmp_path):
+    path = str(tmp_path / "many")
+    many = spark.range(1500).select(F.lit(0).cast("long").alias("r"), F.lit(1).cast("long").alias("c"), F.lit(0.5).alias("conf"), F.col("id").alias("raster_id"))
+    live.write_live(many, path)
+    live.write_live(many.where("raster_id % 3 = 0").withColumn("conf", F.lit(0.25)), path, keys=spark.createDataFrame([(7,)], "raster_id long"))
+    rows = {x.raster_id: x.conf for x in live.read_live(spark, path, CELLS).collect()}
+    assert rows == {i: 0.25 if i % 3 == 0 else 0.5 for i in range(1500) if i != 7}
+    assert len([p for p in (tmp_path / "many").iterdir() if p.is_dir()]) <= 256
