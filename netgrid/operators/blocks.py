@@ -65,10 +65,10 @@ def _pieces(starts: np.ndarray, n: int, areas: np.ndarray) -> Iterator[tuple[int
         yield lo, hi, starts[a:b] - lo
 
 
-def by_blocks(cells: DataFrame, keys: list[str], run: Callable, fields: list[StructField], pad: int, area: int = 0) -> DataFrame:
+def by_blocks(cells: DataFrame, keys: list[str], run: Callable, fields: list[StructField], pad: int, area: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
     """``(keys, fields)`` of dealt cells; ``run(r, c, starts, br, bc)`` gives the number of the group of each output row and the fields' values.
 
-    ``area``: the places a block takes, where not those of its cells and ``pad`` around them.
+    ``area``: the places a block takes, where not those of its cells and ``pad`` around them. ``run`` also gets the columns ``more``.
     """
     schema = StructType([*[cells.schema[k] for k in keys], *fields])
     names, types, n = schema.names, [to_arrow_type(f.dataType) for f in fields], len(keys)
@@ -76,11 +76,12 @@ def by_blocks(cells: DataFrame, keys: list[str], run: Callable, fields: list[Str
     def work(b: pa.RecordBatch, starts: np.ndarray, complete: np.ndarray) -> pa.RecordBatch:
         br, bc = (b.column(n + i).to_numpy()[starts] for i in (0, 1))
         r, c = (pc.fill_null(b.column(n + i), NONE).to_numpy() for i in (2, 3))
+        rest = [b.column(x).to_numpy(zero_copy_only=False) for x in more]
         reach = lambda v: np.maximum.reduceat(v, starts) - np.minimum.reduceat(v, starts) + 1 + 2 * pad
         areas = np.full(len(starts), area) if area else reach(r) * reach(c)
         rows, values, g0 = [], [], 0
         for lo, hi, own in _pieces(starts, len(r), areas):
-            g, *got = run(r[lo:hi], c[lo:hi], own, br[g0 : g0 + len(own)], bc[g0 : g0 + len(own)])
+            g, *got = run(r[lo:hi], c[lo:hi], own, br[g0 : g0 + len(own)], bc[g0 : g0 + len(own)], *[x[lo:hi] for x in rest])
             rows.append(starts[g0 + g])
             values.append(got)
             g0 += len(own)
@@ -129,6 +130,45 @@ def grown(cells: DataFrame, keys: list[str], near: list[tuple[int, int]], height
     return by_blocks(dealt(cells, keys, max(side, pad), pad), keys, run, [*AT, StructField("d2", LongType())], pad) if side >= pad else grown(cells, keys, near, height, width, pad)
 
 
+def met(a: DataFrame, b: DataFrame, keys: list[str], near: dict[str, list[tuple[int, int]]], side: int = SIDE) -> DataFrame:
+    """``(keys, n0, n1, name0, name1, ...)``: how many different cells ``a`` and ``b`` have, and of ``near``, offsets by name, how many of these have one of the other there.
+
+    Cells are counted inside blocks, so no grown cell leaves its task. A key
+    without cells has no row; cells without a place are left out.
+    """
+    pad = max((max(abs(y), abs(x)) for of in near.values() for y, x in of), default=0)
+    side = max(side, pad)
+    steps = [sorted(of, key=lambda o: o[0] * o[0] + o[1] * o[1]) for of in near.values()]
+    names = [f"{n}{i}" for n in ("n", *near) for i in (0, 1)]
+
+    def run(r, c, starts, br, bc, second):
+        v = Canvas(r, c, starts, pad)
+        masks = [np.zeros(v.size, bool) for _ in range(2)]
+        for m, of in zip(masks, (~second, second), strict=True):
+            m[v.at[of]] = True
+        counts = []
+        for m, other in zip(masks, reversed(masks), strict=True):
+            at = np.flatnonzero(m)
+            g, r, c = v.cells(at)
+            own = (r // side == br[g]) & (c // side == bc[g])
+            at, g = at[own], g[own]
+            total = np.bincount(g, minlength=len(starts))
+            found = []
+            for offsets_ in steps:
+                p, w, k = at, v.wide[g], g
+                for y, x in offsets_:
+                    left = ~other[p + y * w + x]
+                    p, w, k = p[left], w[left], k[left]
+                found.append(total - np.bincount(k, minlength=len(starts)))
+            counts.append([total, *found])
+        some = np.flatnonzero(counts[0][0] + counts[1][0])
+        return some, *[x[some] for pair in zip(*counts, strict=True) for x in pair]
+
+    both = dealt(a, keys, side, pad).withColumn("_second", F.lit(False)).unionByName(dealt(b, keys, side, pad).withColumn("_second", F.lit(True)))
+    out = by_blocks(both, keys, run, [StructField(n, LongType()) for n in names], pad, more=("_second",))
+    return out.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+
+
 def worn(cells: DataFrame, keys: list[str], radius: int, height: int, width: int, first: int = 0, side: int = SIDE) -> DataFrame:
     """``(keys, r, c)``: cells of the raster whose whole disk is set, after growing by the disk of radius ``first``; outside counts as set."""
     near, wide, pad = offsets(radius), offsets(first), radius + first

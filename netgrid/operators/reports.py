@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgrid.operators.cells import clean_mask, distance_within
-from netgrid.operators.evaluate import dilate, f_beta, ratio
+from netgrid.operators.blocks import met, offsets
+from netgrid.operators.cells import clean_mask
+from netgrid.operators.evaluate import f_beta, ratio
 from netgrid.operators.lines import is_geographic, line_length, topology_report
 from netgrid.operators.polylines import end_points
 from netgrid.operators.vectorise import thin
@@ -64,22 +65,15 @@ def tile_report(pred: DataFrame, truth: DataFrame, keys: list[str], tile: str, h
     masks = [materialise(m.where(inside).select(*at).distinct(), "mask") for m in (pred, truth)]
     lines = [materialise(thin(m, by).select(*at), "centreline") for m in (clean_mask(masks[0], by, height, width, *clean) if clean else masks[0], masks[1])]
 
-    def hits(a: DataFrame, near: DataFrame, total: str, hit: str) -> DataFrame:
-        told = a.join(near.select(*at).distinct().withColumn("_near", F.lit(1)), at, "left")
-        return told.groupBy(*by).agg(F.count("*").alias(total), F.count("_near").alias(hit))
-
-    counts = [hits(masks[0], masks[1], "pred", "tp")]
-    counts += [hits(a, dilate(b, by, slack, "diamond", height, width), f"_{n}", n) for a, b, n in ((masks[0], masks[1], "relaxed_pred"), (masks[1], masks[0], "relaxed_truth"))]
-    counts += [hits(a, distance_within(b, by, tolerance), f"skeleton_{n}", f"matched_{n}") for a, b, n in ((lines[0], lines[1], "pred"), (lines[1], lines[0], "truth"))]
-    counts.append(masks[1].groupBy(*by).agg(F.count("*").alias("truth")))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.join(c, by, "full_outer")
+    c = F.col
+    both = met(*masks, by, {"same": [(0, 0)], "near": offsets(slack, "diamond")})
+    both = both.select(*by, c("same0").alias("tp"), c("n0").alias("pred"), c("n1").alias("truth"), c("near0").alias("relaxed_pred"), c("near1").alias("relaxed_truth"))
+    near = met(*lines, by, {"near": offsets(tolerance)})
+    near = near.select(*by, c("n0").alias("skeleton_pred"), c("near0").alias("matched_pred"), c("n1").alias("skeleton_truth"), c("near1").alias("matched_truth"))
     names = ["tp", "pred", "truth", "relaxed_pred", "relaxed_truth", "skeleton_pred", "matched_pred", "skeleton_truth", "matched_truth"]
-    out = materialise(out.na.fill(0).select(*by, *names), "counts")
+    out = materialise(both.join(near, by, "full_outer").na.fill(0).select(*by, *names), "counts")
     every = out.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("n_tiles")).withColumn(tile, F.lit(None).cast(dict(out.dtypes)[tile]))
     out = out.withColumn("n_tiles", F.lit(1).cast("long")).unionByName(every)
-    c = F.col
     p, r = ratio(c("tp"), c("pred")), ratio(c("tp"), c("truth"))
     rp, rr = ratio(c("relaxed_pred"), c("pred")), ratio(c("relaxed_truth"), c("truth"))
     corr, comp = ratio(c("matched_pred"), c("skeleton_pred")), ratio(c("matched_truth"), c("skeleton_truth"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField
 
-from netgrid.operators.blocks import AT, Canvas, by_blocks, dealt
-from netgrid.operators.cells import clean_mask, distance_within, rasterize_lines
+from netgrid.operators.blocks import AT, Canvas, by_blocks, dealt, met, offsets
+from netgrid.operators.cells import clean_mask, rasterize_lines
 from netgrid.operators.chains import BLOCK, chain_pieces
 from netgrid.operators.evaluate import ratio
 from netgrid.operators.lines import explode_segments, line_length, sample_along
@@ -32,12 +34,12 @@ _RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 _RULES = _rules()
 
 
-def _thinned(at: np.ndarray, w: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """``rounds`` rounds of Zhang and Suen's parallel thinning (1984) of the set places ``at`` of an array, in rows of length ``w``: what stays, and what the last round took."""
+def _thinned(at: np.ndarray, w: np.ndarray, size: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """``rounds`` rounds (None: all) of Zhang and Suen's parallel thinning (1984) of the set places ``at`` of an array, in rows of length ``w``: what stays, and what the last round took."""
     m = np.zeros(size, np.uint8)
     m[at] = 1
     last = at[:0]
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         gone = []
         for rule in _RULES:
             code = np.zeros(len(at), np.uint8)
@@ -60,7 +62,8 @@ def thin(cells: DataFrame, keys: list[str], side: int = 256, rounds: int = 8) ->
     ``rounds`` rounds at a time, which is what the whole raster would give. A
     change moves on by two cells a round, so only blocks next to one that its
     last round changed are dealt again; it ends when no block has changed in
-    the last round. A block's rows are bounded by its area.
+    the last round. A block without cells in its border is thinned to the end
+    at once, as nothing comes near it later. A block's rows are bounded by its area.
     """
     halo = 2 * rounds
     if halo > side:
@@ -71,6 +74,13 @@ def thin(cells: DataFrame, keys: list[str], side: int = 256, rounds: int = 8) ->
         v = Canvas(r, c, starts, 1)
         fresh = np.r_[True, v.at[1:] != v.at[:-1]]
         left, last = _thinned(v.at[fresh], v.w[fresh], v.size, rounds)
+        alone = np.bincount(v.g[(r // side != br[v.g]) | (c // side != bc[v.g])], minlength=len(starts)) == 0
+        changed = np.zeros(len(starts), bool)
+        changed[v.cells(last)[0]] = True
+        more = (alone & changed)[v.cells(left)[0]]
+        if more.any():
+            at = left[more]
+            left = np.concatenate([left[~more], _thinned(at, v.wide[v.cells(at)[0]], v.size, None)[0]])
 
         def own(at):
             g, y, x = v.cells(at)
@@ -80,6 +90,7 @@ def thin(cells: DataFrame, keys: list[str], side: int = 256, rounds: int = 8) ->
         g, y, x = own(left)
         changed = np.zeros(len(starts), bool)
         changed[own(last)[0]] = True
+        changed &= ~alone
         empty = changed.copy()
         empty[g] = False
         lost = np.flatnonzero(empty)  # a block that vanished still tells of its change
@@ -183,12 +194,8 @@ def score_network(segments: DataFrame, skeleton: DataFrame, keys: list[str], siz
     net = rasterize_lines(segments, keys, size).where(inside)
     truth = skeleton.select(*at).distinct()
 
-    def share(a: DataFrame, b: DataFrame, total: str, hit: str) -> DataFrame:
-        near = distance_within(b, keys, tolerance / size).select(*at).withColumn("near", F.lit(1))
-        return a.join(near, at, "left").groupBy(*keys).agg(F.count("*").alias(total), F.count("near").alias(hit))
-
-    both = share(truth, net, "truth_px", "matched_truth").join(share(net, truth, "network_px", "matched"), keys, "full_outer")
-    both = both.na.fill(0, ["truth_px", "matched_truth", "network_px", "matched"])
+    both = met(net, truth, keys, {"near": offsets(tolerance / size)})
+    both = both.select(*keys, F.col("n1").alias("truth_px"), F.col("near1").alias("matched_truth"), F.col("n0").alias("network_px"), F.col("near0").alias("matched"))
     all_ = F.col("truth_px") + F.col("network_px") - F.col("matched")
     scores = {"completeness": ratio(F.col("matched_truth"), F.col("truth_px")), "correctness": ratio(F.col("matched"), F.col("network_px")), "quality": ratio(F.col("matched_truth"), all_)}
     return both.select(*keys, *[F.round(v, 4).alias(k) for k, v in scores.items()], "truth_px", "network_px")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from netgrid.operators import blocks, cells, edits, network
+from netgrid.operators import blocks, cells, edits, evaluate, network, reports, vectorise
 from netgrid.operators.chains import _jumped
 from netgrid.plans.components import connected_components
 
@@ -151,3 +151,40 @@ def test_dense_blocks_of_many_cells(spark):
     assert "map_from_entries" not in dense._jdf.queryExecution().toString()  # each place looked through the whole map
     assert {(x.id, x.r, x.c, x.v) for x in network.to_cells(dense, ["id"], 32).collect()} == set(rows)
     assert dense.count() == 12
+
+
+def test_cells_met_over_blocks(spark):
+    m, disk = masks(), blocks.offsets(2)
+    other = {"a": m["b"], "b": set(), "d": m["c"]}
+    rows = [(k, *x) for k, v in other.items() for x in sorted(v) * 2]
+    b = spark.createDataFrame(rows, "k string, r int, c long")
+    out = {x.k: tuple(x)[1:] for x in blocks.met(frame(spark), b, ["k"], {"same": [(0, 0)], "near": disk}, SIDE).collect()}
+    want = {}
+    for k in "abcd":
+        p, q = m.get(k, set()), other.get(k, set())
+        near = lambda x, y: sum(any((r + i, c + j) in y for i, j in disk) for r, c in x)
+        want[k] = (len(p), len(q), len(p & q), len(p & q), near(p, q), near(q, p))
+    assert out == want
+
+
+def test_scores_move_no_grown_cells(spark):
+    a = spark.createDataFrame([(1, 1, r, c) for r in range(0, 60, 3) for c in range(60)], "part long, tile long, r long, c long")
+    seen = []
+    real = blocks.grown
+    try:
+        blocks.grown = evaluate.grown = lambda *x, **y: seen.append(x) or real(*x, **y)
+        row = reports.tile_report(a, a, ["part"], "tile", 60, 60, clean=None).where("tile = 1").first()
+    finally:
+        blocks.grown = evaluate.grown = real
+    assert (row.iou, row.relaxed_f1, row.centreline_f1) == (1.0, 1.0, 1.0) and not seen
+
+
+def test_blocks_that_stand_alone_are_thinned_at_once(spark):
+    df = spark.createDataFrame([(1, 20 + r, 20 + c) for r in range(40) for c in range(60)], "k long, r long, c long")
+    sc = spark.sparkContext
+    sc.setJobGroup("thin", "")
+    one = {tuple(x) for x in vectorise.thin(df, ["k"], 256, 2).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("thin"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert one == {tuple(x) for x in vectorise.thin(df, ["k"], 16, 4).collect()}
+    assert jobs <= 5  # a pass for every two rounds took dozens
