@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from netgrid.operators.blocks import AT, Canvas, by_blocks, dealt, met, offsets
 from netgrid.operators.cells import clean_mask, rasterize_lines
@@ -116,15 +116,25 @@ def thin(cells: DataFrame, keys: list[str], side: int = 256, rounds: int = 8) ->
         hot = materialise(spread.distinct(), "blocks")
 
 
-def _neighbours(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, r, c, near)``: every cell with its set neighbours of eight, sorted."""
-    steps = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in _NEAR])
-    at = cells.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct()
-    told = at.select(*keys, F.struct("r", "c").alias("n"), "r", "c", F.inline(steps))
-    told = told.select(*keys, (F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c"), "n")
-    near = told.groupBy(*keys, "r", "c").agg(F.array_sort(F.collect_list("n")).alias("near"))  # eight at most
-    none = F.array().cast("array<struct<r:bigint,c:bigint>>")
-    return at.join(near, [*keys, "r", "c"], "left").withColumn("near", F.coalesce("near", none))
+def _neighbours(cells: DataFrame, keys: list[str], side: int = 256) -> DataFrame:
+    """``(keys, r, c, near)``: every cell with its set neighbours of eight, sorted, looked up inside blocks."""
+    point = StructType([StructField("r", LongType()), StructField("c", LongType())])
+    dy, dx = np.array(_NEAR).T
+
+    def run(r, c, starts, br, bc):
+        v = Canvas(r, c, starts, 1)
+        m = np.zeros(v.size, bool)
+        m[v.at] = True
+        at = np.flatnonzero(m)
+        g, y, x = v.cells(at)
+        own = (y // side == br[g]) & (x // side == bc[g])
+        at, g, y, x = at[own], g[own], y[own], x[own]
+        hit = m[at[:, None] + dy * v.wide[g][:, None] + dx]
+        i, k = np.nonzero(hit)
+        ends = pa.array(np.r_[0, np.cumsum(hit.sum(axis=1))], pa.int32())
+        return g, y, x, pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(y[i] + dy[k]), pa.array(x[i] + dx[k])], names=["r", "c"]))
+
+    return by_blocks(dealt(cells, keys, side, 1), keys, run, [*AT, StructField("near", ArrayType(point))], 1)
 
 
 def trace_pieces(skeleton: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
@@ -161,10 +171,11 @@ def trace(skeleton: DataFrame, keys: list[str], size: float = 1.0, block: int =
 
 def vectorize(
     mask: DataFrame, conf: DataFrame, keys: list[str], height: int, width: int, size: float = 1.0, radius: int = 2, holes: int = 200, small: int = 400,
-    tolerance: float = 2.0, min_length: float = 25.0, value: str = "conf",
+    tolerance: float = 2.0, min_length: float = 25.0, value: str = "conf", skeleton: DataFrame | None = None,
 ) -> DataFrame:
-    """Centrelines of a mask: cleaned, thinned, traced, simplified, short ones dropped; with length and mean confidence."""
-    skeleton = thin(clean_mask(mask, keys, height, width, radius, holes, small), keys)
+    """Centrelines of a mask: cleaned, thinned (or ``skeleton``, if that is known), traced, simplified, short ones dropped; with length and mean confidence."""
+    if skeleton is None:
+        skeleton = thin(clean_mask(mask, keys, height, width, radius, holes, small), keys)
     line = simplify(trace(skeleton, keys, size), tolerance).withColumn("length_m", line_length(F.col("coords")))
     line = materialise(line.where(F.col("length_m") >= min_length), "lines")
     c = sample_along(line, conf, keys, size, height, width, value)

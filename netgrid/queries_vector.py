@@ -132,9 +132,9 @@ def _(t):
     return network.simplify(t.fx_lines.select("line_id", F.array(p("x0", "y0"), mid, p("x1", "y1")).alias("coords")), 2.0).select("line_id", F.size("coords").alias("n"))
 
 
-def _vectorized(t):
+def _vectorized(t, skeleton=None):
     mask = t.fx_cells.select("raster_id", "r", "c")
-    return vectorise.vectorize(mask, t.fx_cells, ["raster_id"], 64, 64, 1.0, 1, 4, 6, 1.0, 6.0)
+    return vectorise.vectorize(mask, t.fx_cells, ["raster_id"], 64, 64, 1.0, 1, 4, 6, 1.0, 6.0, skeleton=skeleton)
 
 
 @query("d8_vectorize")
@@ -146,7 +146,7 @@ def _(t):
 def _(t):
     mask = t.fx_cells.select("raster_id", "r", "c")
     skeleton = vectorise.thin(cells.clean_mask(mask, ["raster_id"], 64, 64, 1, 4, 6), ["raster_id"])
-    return vectorise.vectorize_stats(mask, skeleton, _vectorized(t), ["raster_id"], 64, 64)
+    return vectorise.vectorize_stats(mask, skeleton, _vectorized(t, skeleton), ["raster_id"], 64, 64)
 
 
 # ---- scores of networks ----

@@ -188,3 +188,12 @@ def test_blocks_that_stand_alone_are_thinned_at_once(spark):
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert one == {tuple(x) for x in vectorise.thin(df, ["k"], 16, 4).collect()}
     assert jobs <= 5  # a pass for every two rounds took dozens
+
+
+def test_neighbours_over_blocks(spark):
+    near = vectorise._neighbours(frame(spark), ["k"], SIDE)
+    assert "Join" not in near._jdf.queryExecution().toString()  # nothing is broadcast or exploded eightfold
+    rows = near.collect()
+    out = {(x.k, x.r, x.c): [tuple(p) for p in x.near] for x in rows}
+    assert len(out) == len(rows)
+    assert out == {(k, r, c): [(y, x) for y in (r - 1, r, r + 1) for x in (c - 1, c, c + 1) if (y, x) != (r, c) and (y, x) in m] for k, m in masks().items() for r, c in m}
