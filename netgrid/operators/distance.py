@@ -104,7 +104,8 @@ def label_width(mask: DataFrame, keys: list[str], height: int, width: int) -> Da
     at = [*keys, "r", "c"]
     mask = materialise(mask.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct(), "mask")
     skeleton = thin(mask, keys).select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-    d = squared_distances(mask, keys, height, width).join(skeleton, at, "left_semi")
+    # the skeleton has a row a cell, but its files pack so well that it would be taken for a small table and sent through the driver
+    d = squared_distances(mask, keys, height, width).join(skeleton.hint("merge"), at, "left_semi")
     mean = d.groupBy(*keys).agg((2 * F.avg(F.sqrt("d2"))).alias("edt"), F.count("*").alias("n"))
     area = mask.groupBy(*keys).agg(F.count("*").alias("area"))
     out = area.join(mean, keys, "left").join(run_width(mask, keys), keys, "left")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from netgrid.operators import blocks, cells, edits, evaluate, network, reports, vectorise
+from netgrid.operators import blocks, cells, distance, edits, evaluate, network, reports, vectorise
 from netgrid.operators.chains import _jumped
 from netgrid.plans.components import connected_components
 
@@ -197,3 +197,11 @@ def test_neighbours_over_blocks(spark):
     out = {(x.k, x.r, x.c): [tuple(p) for p in x.near] for x in rows}
     assert len(out) == len(rows)
     assert out == {(k, r, c): [(y, x) for y in (r - 1, r, r + 1) for x in (c - 1, c, c + 1) if (y, x) != (r, c) and (y, x) in m] for k, m in masks().items() for r, c in m}
+
+
+def test_label_width_broadcasts_no_skeleton(spark):
+    df = spark.createDataFrame([(k, r, c) for k in range(3) for r in range(10, 15) for c in range(40)], "k long, r long, c long")
+    out = distance.label_width(df, ["k"], 64, 64)
+    assert {r.run_mode for r in out.collect()} == {5}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x]
