@@ -38,13 +38,18 @@ def utm_zone(lon: Column, lat: Column) -> Column:
     return F.when(lat >= 0, 32600).otherwise(32700) + F.floor((lon + 180) / 6).cast("int") + 1
 
 
+def root_of_squares(dx: Column, dy: Column) -> Column:
+    """Distance as SQL takes it; ``hypot`` rounds otherwise, which settles near ties the other way."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def point_to_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column]:
     """Distance of a point to a segment, and the place of its foot (0 to 1)."""
     dx, dy = x1 - x0, y1 - y0
     n = dx * dx + dy * dy
     t = F.when(n > 0, ((px - x0) * dx + (py - y0) * dy) / F.nullif(n, F.lit(0.0))).otherwise(0.0)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.hypot(px - x0 - t * dx, py - y0 - t * dy), t
+    return root_of_squares(px - x0 - t * dx, py - y0 - t * dy), t
 
 
 def near_segments(points: DataFrame, segments: DataFrame, keys: list[str], radius: float, cell: float = 100.0, carry: list[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgrid.operators.lines import inside_buffers, line_length, united
-from netgrid.operators.network import near_segments, thinned
+from netgrid.operators.network import near_segments, root_of_squares, thinned
 from netgrid.operators.projection import frames, from_frame, to_frame
 from netgrid.plans.storage import materialise
 
@@ -75,7 +75,7 @@ def snap_line_ends(human: DataFrame, segments: DataFrame, keys: list[str], snap:
     kept = F.struct("other_id", "sx0", "sy0", "sx1", "sy1", "t", "sm0", "sm1", "sfirst", "slast")
     best = near.groupBy(*keys, "line_id", "end").agg(F.min_by(kept, F.struct("d", "other_id", "sseg_no")).alias("b")).select(*keys, "line_id", "end", "b.*")
     foot = best.withColumns({"fx": F.col("sx0") + F.col("t") * (F.col("sx1") - F.col("sx0")), "fy": F.col("sy0") + F.col("t") * (F.col("sy1") - F.col("sy0"))})
-    close = lambda p: F.hypot(F.col(p + ".x") - F.col("fx"), F.col(p + ".y") - F.col("fy")) <= snap
+    close = lambda p: root_of_squares(F.col(p + ".x") - F.col("fx"), F.col(p + ".y") - F.col("fy")) <= snap
     foot = foot.withColumns({"own": F.when(close("sfirst"), F.col("sfirst")).when(close("slast"), F.col("slast"))})
     cut = F.when(F.col("own").isNull(), F.col("sm0") + F.col("t") * (F.col("sm1") - F.col("sm0")))
     return foot.select(*keys, "line_id", "end", "other_id", F.coalesce("own.x", "fx").alias("x"), F.coalesce("own.y", "fy").alias("y"), cut.alias("cut_at"))

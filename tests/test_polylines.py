@@ -128,6 +128,21 @@ def test_ends_snap_to_the_nearest_line(spark):
     assert any(r.cut_at is not None for r in rows) and any(r.cut_at is None for r in rows)
 
 
+def test_near_ties_fall_as_in_sql(spark, tmp_path):
+    # lines of 60 copies of sf0.1, whose distances differ in the last place
+    from netgrid.catalog import ORACLES, QUERIES
+    from netgrid import queries_polylines  # noqa: F401  registers
+
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1804995, 185325), (1858818, 185326), (1878285, 185300), (4247667, 428750), (4259175, 428775), (4276878, 428751)]
+    spark.createDataFrame([(*r, "F") for r in rows], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in QUERIES["f4_snap_polylines"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == set(con.execute(ORACLES["f4_snap_polylines"]).fetchall())
+    assert {(r[1], r[3]) for r in got if r[2] == 1} >= {(1858818, 1804995), (4276878, 4247667)}
+
+
 def status(rows):
     out = {}
     for r in rows:
