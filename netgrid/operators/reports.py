@@ -9,7 +9,6 @@ from netgrid.operators.blocks import met, offsets
 from netgrid.operators.cells import clean_mask
 from netgrid.operators.evaluate import f_beta, ratio
 from netgrid.operators.lines import is_geographic, line_length, topology_report
-from netgrid.operators.polylines import end_points
 from netgrid.operators.vectorise import thin
 from netgrid.plans.storage import materialise
 
@@ -31,9 +30,9 @@ def network_report(lines: DataFrame, nets: DataFrame, keys: list[str], crs: str
     at = some.select(*keys, "line_id", "coords").join(frame, keys)
     wide = F.when(F.col("geographic"), F.cos(F.radians("lat")) * 111320.0).otherwise(1.0)
     tall = F.when(F.col("geographic"), 110540.0).otherwise(1.0)
-    ends = end_points(at, keys).join(frame, keys).select(*keys, "line_id", "end", (F.col("x") * wide).alias("x"), (F.col("y") * tall).alias("y"))
-    ends = ends.groupBy(*keys, "line_id").agg(*[F.max(F.when(F.col("end") == k, F.col(v))).alias(f"{v}{k}") for k in (0, 1) for v in "xy"])
-    segments = ends.join(at.select(*keys, "line_id", line_length(F.col("coords"), F.col("geographic")).alias("length")), [*keys, "line_id"])
+    p, q = F.get("coords", F.lit(0)), F.get("coords", F.size("coords") - 1)
+    ends = {"x0": p["x"] * wide, "y0": p["y"] * tall, "x1": q["x"] * wide, "y1": q["y"] * tall}
+    segments = at.select(*keys, "line_id", *[v.alias(c) for c, v in ends.items()], line_length(F.col("coords"), F.col("geographic")).alias("length"))
     report = topology_report(segments, keys, snap)
     zero = [c for c in report.columns if c not in (*keys, "verdict")]
     out = nets.select(*keys).distinct().join(frame.select(*keys, "geographic"), keys, "left").join(report, keys, "left")

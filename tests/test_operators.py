@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -52,6 +53,25 @@ def test_topology_scenarios(spark):
     assert report(spark, [(0, 0, 1000, 0), (3000, 0, 3005, 0), (6000, 0, 6004, 0)]).short_fragments == 2
 
 
+def test_topology_of_large_networks_is_that_of_small_ones(spark):
+    rng = random.Random(8)
+    rows = [(net, i, *[rng.choice([0, 10, 20, 30]) + rng.uniform(-1, 1) for _ in range(4)]) for net in (1, 2, 3) for i in range(4 * net)]
+    df = spark.createDataFrame([*rows, (2, 90, None, 1.0, 5.0, 5.0), (3, 91, 70.0, 70.0, 70.0, 90.0), (4, 92, None, None, None, 1.0)], SEG)
+    got = [sorted(map(tuple, lines.topology_report(df, ["net"], most=most).collect())) for most in (200_000, 6, 1)]
+    assert len(got[0]) == 3 and got[0] == got[1] == got[2]
+
+
+def test_close_points_in_groups():
+    from netgrid.operators.nodes import clusters
+
+    rng = random.Random(5)
+    p = [(rng.randrange(3), rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(150)]
+    near = [(a, b) for a in range(150) for b in range(a) if p[a][0] == p[b][0] and math.dist(p[a][1:], p[b][1:]) <= 1.5]
+    g, x, y = map(np.array, zip(*p))
+    want = brute_components(near)
+    assert clusters(g, x, y, 1.5).tolist() == [want.get(i, i) for i in range(150)]
+
+
 def test_clusters_are_transitive(spark):
     chain = [(1, 0, 2.0 * i, 0.0, 2.0 * i, 50.0 + 100 * i) for i in range(6)]
     pts = lines.endpoints(spark.createDataFrame([(n, i, x, y, a, b) for i, (n, _, x, y, a, b) in enumerate(chain)], SEG), ["net"]).where("y = 0")
