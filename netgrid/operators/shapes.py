@@ -14,14 +14,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.operators.lines import line_length, topology_report
-from netgrid.operators.polylines import end_points
+from netgrid.operators.nodes import shared_points
+from netgrid.plans.groups import by_groups
 from netgrid.plans.storage import materialise
 
+POINTS = "array<struct<x:double,y:double>>"
 PINNED = "array<struct<x:double,y:double,pin:boolean>>"
 
 
-def pinned(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Lines whose vertices tell in ``pin`` whether they are an end or stand in another line too; lines without vertices are left out."""
+def pinned(lines: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
+    """Lines whose vertices tell in ``pin`` whether they are an end or stand in another line too; lines without vertices are left out.
+
+    Networks of up to ``most`` vertices are settled in one pass; in larger ones vertices are grouped by their places.
+    """
+    some = lines.where(F.size("coords") > 0).select(*keys, "line_id", F.col("coords").cast(POINTS).alias("coords"))
+    large = some.groupBy(*keys).agg(F.sum(F.size("coords")).alias("n")).where(F.col("n") > most).select(*keys)
+    large = materialise(large, "networks")
+    if large.isEmpty():
+        return _pinned_within(some, keys, most)
+    same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]
+    apart = large.select(*[F.col(k).alias("_" + k) for k in keys])
+    return _pinned_within(some.join(apart, same, "left_anti"), keys, most).unionByName(_pinned_large(some.join(apart, same, "left_semi"), keys))
+
+
+def _pinned_within(lines: DataFrame, keys: list[str], most: int) -> DataFrame:
+    n = len(keys)
+    schema = lines.select(*keys, "line_id", F.lit(None).cast(PINNED).alias("coords")).schema
+
+    def run(b: pa.RecordBatch, starts: np.ndarray, complete: np.ndarray) -> pa.RecordBatch:
+        size = np.asarray(b.column(n + 1).value_lengths())
+        cut = np.r_[0, np.cumsum(size)]
+        flat = b.column(n + 1).flatten()
+        line = np.repeat(np.arange(b.num_rows), size)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, b.num_rows]))[line]
+        x, y = flat.field("x"), flat.field("y")
+        there = np.asarray(x.is_valid()) & np.asarray(y.is_valid())
+        at = [c.fill_null(0.0).to_numpy(zero_copy_only=False)[there] for c in (x, y)]
+        pin = np.zeros(len(line), bool)
+        pin[there] = shared_points(group[there], *at, line[there])
+        pin[cut[:-1]] = pin[cut[1:] - 1] = True
+        points = pa.StructArray.from_arrays([x, y, pa.array(pin)], names=["x", "y", "pin"])
+        return pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.ListArray.from_arrays(pa.array(cut, pa.int32()), points)], names=schema.names)
+
+    return by_groups(lines, keys, [], run, schema, most, weigh=lambda b: len(b.column(n + 1).flatten()))
+
+
+def _pinned_large(lines: DataFrame, keys: list[str]) -> DataFrame:
     v = lines.select(*keys, "line_id", F.size("coords").alias("n"), F.posexplode("coords").alias("i", "p")).select(*keys, "line_id", "n", "i", "p.x", "p.y")
     shared = v.groupBy(*keys, "x", "y").agg(F.min("line_id").alias("_a"), F.max("line_id").alias("_b")).where("_a <> _b").select(*keys, "x", "y", F.lit(True).alias("shared"))
     told = v.join(shared, [*keys, "x", "y"], "left")
@@ -82,9 +120,10 @@ def simplify_lines(lines: DataFrame, keys: list[str], tolerance: float) -> DataF
 
 def line_topology(lines: DataFrame, keys: list[str], snap: float = 2.5) -> DataFrame:
     """``topology_report`` of lines of many vertices: their ends are the nodes, their whole lengths count."""
-    e = end_points(lines, keys).groupBy(*keys, "line_id")
-    ends = e.agg(*[F.max(F.when(F.col("end") == k, F.col(v))).alias(f"{v}{k}") for k in (0, 1) for v in "xy"])
-    return topology_report(ends.join(lines.select(*keys, "line_id", line_length(F.col("coords")).alias("length")), [*keys, "line_id"]), keys, snap)
+    p, q = F.get("coords", F.lit(0)), F.get("coords", F.size("coords") - 1)
+    ends = {"x0": p["x"], "y0": p["y"], "x1": q["x"], "y1": q["y"]}
+    segments = lines.where(F.size("coords") > 1).select(*keys, "line_id", *[v.alias(c) for c, v in ends.items()], line_length(F.col("coords")).alias("length"))
+    return topology_report(segments, keys, snap)
 
 
 def reshape_report(lines: DataFrame, keys: list[str], operation: str, amount: float) -> DataFrame:

@@ -36,15 +36,17 @@ def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def by_groups(df: DataFrame, by: list[str], order: list[str], run: Callable, schema: StructType, most: int = ROWS, whole: bool = True) -> DataFrame:
+def by_groups(df: DataFrame, by: list[str], order: list[str], run: Callable, schema: StructType, most: int = ROWS, whole: bool = True, weigh: Callable[[pa.RecordBatch], int] | None = None) -> DataFrame:
     """``run(batch, starts, complete)`` over the rows of ``df``, whose columns ``by`` come first, group after group, sorted by ``order`` within.
 
     ``starts`` are the first rows of the groups in the batch, ``complete`` tells
     for each whether it is whole. A task holds some ``most`` rows and the
     largest group; with ``whole`` false a group larger than ``most`` comes in
     parts, so that no group's size bounds a task. ``run`` returns a batch.
+    ``weigh`` tells for how many rows a batch counts, where these hold lists.
     """
     n = len(by)
+    weight = weigh or (lambda b: b.num_rows)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, limit, cut = [], 0, most, None
@@ -60,14 +62,15 @@ def by_groups(df: DataFrame, by: list[str], order: list[str], run: Callable, sch
             if not b.num_rows:
                 continue
             held.append(b)
-            rows += b.num_rows
+            rows += weight(b)
             if rows < limit:
                 continue
             b = _one(held)
             starts = group_starts(b, n)
             if len(starts) > 1:
                 yield parts(b.slice(0, int(starts[-1])), starts[:-1], True)
-                cut, held, rows = None, [b.slice(int(starts[-1]))], b.num_rows - int(starts[-1])
+                cut, held = None, [b.slice(int(starts[-1]))]
+                rows = weight(held[0])
             elif whole:
                 held = [b]
             else:

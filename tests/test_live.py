@@ -49,6 +49,13 @@ def plain(c, pin, tolerance):
     return sorted({*at, *(i for a, b in zip(at, at[1:]) for i in part(a, b))})
 
 
+def test_pins_of_large_networks_are_those_of_small_ones(spark):
+    rows = df(spark, [*CROSS, (4, [(0, 9), (1, 9), (5, 5), (5, 5), (0, 9)]), (5, [(7, 7)]), (6, [])])
+    rows = rows.unionByName(rows.withColumn("net", F.col("net") + 1).where("line_id <> 1"))
+    got = [sorted((r.net, r.line_id, [tuple(p) for p in r.coords]) for r in shapes.pinned(rows, ["net"], most).collect()) for most in (500_000, 13, 1)]
+    assert got[0] == got[1] == got[2] and any(p[2] for r in got[0] for p in r[2][1:-1])
+
+
 def test_simplification_keeps_pinned_vertices(spark):
     rng = random.Random(1)
     for _ in range(200):
