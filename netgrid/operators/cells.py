@@ -80,7 +80,12 @@ def distance_within(cells: DataFrame, keys: list[str], radius: float) -> DataFra
 
 
 def rasterize_lines(segments: DataFrame, keys: list[str], size: float) -> DataFrame:
-    """All cells that straight segments touch: the crossings of grid lines cut a segment into pieces, each inside one cell."""
+    """All cells that straight segments touch."""
+    return touched_cells(segments, keys, size).distinct()
+
+
+def touched_cells(segments: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """Cells that straight segments touch, some repeated: the crossings of grid lines cut a segment into pieces, each inside one cell."""
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
 
     def cuts(a: Column, b: Column, d: Column) -> Column:
@@ -90,8 +95,7 @@ def rasterize_lines(segments: DataFrame, keys: list[str], size: float) -> DataFr
     t = F.array_distinct(F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts(F.col("x0"), F.col("x1"), dx), cuts(F.col("y0"), F.col("y1"), dy))))
     t = F.filter(t, lambda x: (x >= 0) & (x <= 1))
     mid = segments.withColumn("t", t).select(*keys, "x0", "y0", dx.alias("dx"), dy.alias("dy"), F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: (F.element_at("t", i) + F.element_at("t", i + 1)) / 2)).alias("m"))
-    at = mid.select(*keys, F.floor((F.col("y0") + F.col("m") * F.col("dy")) / size).alias("r"), F.floor((F.col("x0") + F.col("m") * F.col("dx")) / size).alias("c"))
-    return at.distinct()
+    return mid.select(*keys, F.floor((F.col("y0") + F.col("m") * F.col("dy")) / size).alias("r"), F.floor((F.col("x0") + F.col("m") * F.col("dx")) / size).alias("c"))
 
 
 def run_width(cells: DataFrame, keys: list[str]) -> DataFrame:

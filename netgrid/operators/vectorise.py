@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from netgrid.operators.blocks import AT, Canvas, by_blocks, dealt, met, offsets
-from netgrid.operators.cells import clean_mask, rasterize_lines
+from netgrid.operators.cells import clean_mask, rasterize_lines, touched_cells
 from netgrid.operators.chains import BLOCK, chain_pieces
 from netgrid.operators.evaluate import ratio
 from netgrid.operators.lines import explode_segments, line_length, sample_along
@@ -225,16 +225,16 @@ def edit_gain(segments: DataFrame, skeleton: DataFrame, keys: list[str], size: f
 
 def axis_order_check(segments: DataFrame, raster: DataFrame, keys: list[str], size: float, height: int, width: int) -> DataFrame:
     """IoU of the lines drawn in (row, column) and in (x, y) order with a shipped raster; the right order must win."""
-    at = [*keys, "r", "c"]
     inside = (F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width)
-    right = rasterize_lines(segments, keys, size)
-    turned = right.select(*keys, F.col("c").alias("r"), F.col("r").alias("c"))
-    ship = raster.select(*at).distinct().withColumn("s", F.lit(1))
-    drawn = right.withColumn("a", F.lit(1)).unionByName(turned.withColumn("b", F.lit(1)), allowMissingColumns=True).where(inside)
-    cell = drawn.unionByName(ship, allowMissingColumns=True).groupBy(*at).agg(*[F.max(x).alias(x) for x in "abs"])
-    n = lambda x: F.count(F.when(x, 1))
-    iou = lambda x: ratio(n((F.col(x) == 1) & (F.col("s") == 1)), n((F.col(x) == 1) | (F.col("s") == 1)))
-    out = cell.groupBy(*keys).agg(F.round(iou("a"), 6).alias("iou"), F.round(iou("b"), 6).alias("iou_swapped"))
+    right = touched_cells(segments, keys, size)
+    right = right.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(r).alias("r"), F.col(c).alias("c")) for k, r, c in ((0, "r", "c"), (1, "c", "r"))])))
+    every = right.where(inside).unionByName(raster.select(*keys, F.lit(2).alias("k"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")))
+    # the columns of a row are bits of words of 64, so a task holds few groups
+    bit = F.expr("shiftleft(1L, CAST(pmod(c, 64) AS INT))")
+    word = every.groupBy(*keys, "r", F.floor(F.col("c") / 64).alias("w")).agg(*[F.bit_or(F.when(F.col("k") == k, bit).otherwise(F.lit(0).cast("long"))).alias(x) for k, x in enumerate("abs")])
+    n = lambda v: F.sum(F.bit_count(v).cast("long"))
+    iou = lambda x: ratio(n(F.col(x).bitwiseAND(F.col("s"))), n(F.col(x).bitwiseOR(F.col("s"))))
+    out = word.groupBy(*keys).agg(F.round(iou("a"), 6).alias("iou"), F.round(iou("b"), 6).alias("iou_swapped"))
     return out.withColumn("right_order", F.col("iou") > F.col("iou_swapped"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netgrid.operators import edits, vectorise
+from netgrid.operators import cells, edits, vectorise
 from netgrid.sources import tables
 from netgrid.streaming import trace
 
@@ -263,3 +263,19 @@ def test_feature_and_log_sources(spark, tmp_path):
     (tmp_path / "log.json").write_text('{"job_id":1,"seq":1,"stage":"tile","at":"x"}\n{"job_id":1,"se\n{"job_id":1,"seq":2,"stage":"stitch","at":"y"}\n')
     log = tables.read_job_logs(spark, str(tmp_path / "log.json"), "job_id long, seq long, stage string, at string")
     assert [(r.stage, r.n_stages) for r in tables.latest_stage(log).collect()] == [("stitch", 2)]
+
+
+def test_order_check_counts_cells_like_sets(spark):
+    rng = random.Random(11)
+    seg = [(net, i, *[rng.uniform(-20, 150) for _ in range(4)]) for net in (1, 2) for i in range(5)]
+    ship = {(net, rng.randrange(-3, 140), rng.randrange(-3, 140)) for net in (1, 2) for _ in range(4000)}
+    lines = spark.createDataFrame(seg, "net long, line_id long, x0 double, y0 double, x1 double, y1 double")
+    drawn = {tuple(r) for r in cells.rasterize_lines(lines, ["net"], 1.0).collect()}
+    got = vectorise.axis_order_check(lines, spark.createDataFrame([*ship, *list(ship)[:50]], "net long, r int, c int"), ["net"], 1.0, 130, 100)
+    assert "bit_or" in got._jdf.queryExecution().toString()  # one row a word of 64 columns, not a cell
+    for net, iou, swapped, _ in got.collect():
+        s = {(r, c) for k, r, c in ship if k == net}
+        for value, turn in ((iou, False), (swapped, True)):
+            d = {(c, r) if turn else (r, c) for k, r, c in drawn if k == net}
+            d = {(r, c) for r, c in d if 0 <= r < 130 and 0 <= c < 100}
+            assert value == pytest.approx(len(d & s) / len(d | s), abs=1e-6)
