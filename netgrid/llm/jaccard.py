@@ -8,8 +8,8 @@
    ``Prefix``), so a linked pair meets in a group. Groups with the same members
    are walked once.
 3. In each group a signature tree finds the pairs that may link
-   (``signature_tree``); a large group is cut into bands of size and into
-   blocks, whose pairs are walked apart.
+   (``signature_tree``); a large group is cut into blocks, each member in one
+   of them, and pairs of whole blocks are walked apart.
 4. Pairs are verified against the whole sets. A group of many members or with
    many more candidate pairs than members first offers a chain or a spanning
    forest of them. When those are verified, only pairs across different
@@ -36,8 +36,11 @@ from netgrid.plans.components import connected_components, merged_components
 from netgrid.plans.order import ranked
 from netgrid.plans.storage import materialise
 
-#: A group of more members than this is cut into bands of size and blocks of members.
+#: A group of more members than this is cut into blocks of so many, or of so many times TOKENS shingles.
 BLOCK = 2048
+TOKENS = 2048
+#: Tasks that share the pairs of blocks of a group, and the most blocks of one that a task holds; past SPREAD * HELD blocks more tasks share them.
+SPREAD, HELD = 8, 64
 #: A group of more members first offers only the chain of its bitmaps.
 SMALL = 64
 #: The zone of cells that offer their chain.
@@ -175,27 +178,98 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, k: int, prefix: Prefix) -
     return _texts(docs, id_col, text_col).mapInArrow(released(run), "token long, id long, tag int, n long")
 
 
-def _banded(k: DataFrame, num: int, den: int) -> DataFrame:
-    """Deal the keys of large groups to cells, by band of size and by pairs of blocks of members.
+def _whole(k: DataFrame, zone: int, x) -> DataFrame:
+    return k.select("token", F.lit(zone).alias("zone"), x.alias("x"), "id", "tag", "n", "component")
+
+
+def _placed(k: DataFrame, num: int, den: int) -> DataFrame:
+    """The keys of large groups, each once, with the block ``at`` that it goes to.
 
-    ``role`` is 0 for a member of the cell's own band and 1 for one of the band
-    below, which pairs with the own members only. ``salt`` tells the block.
+    A block has members of one band of size. A component with many members in a
+    band has blocks of its own, which need not be walked together.
     """
     step = -math.log(num / den) if 0 < num < den else 1.0
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
-    return (
-        k.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("role"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(
-            "token", (band + F.col("role")).alias("zone"), F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"),
-            "id", "tag", "n", "role", "salt", "component",
-        )
-    )
+    k = k.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int"))
+    part = k.groupBy("token", "band", "component").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    own = F.col("m") >= BLOCK // 2
+    part = part.withColumns({"own": own, "of": F.when(own, F.col("component")).otherwise(0)})
+    by = ["token", "band", "own", "of"]
+    blocks = F.ceil(F.greatest(F.sum("m") / F.lit(float(BLOCK)), F.sum("size") / F.lit(float(BLOCK * TOKENS)))).cast("int")
+    part = part.join(part.groupBy(*by).agg(blocks.alias("blocks")), by).select(*by, "component", "blocks")
+    salt = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("salt")
+    return k.drop("blocks", "salt").join(part, ["token", "band", "component"]).withColumn("at", F.struct("band", "own", "of", salt))
 
 
-def _whole(k: DataFrame, zone: int, x) -> DataFrame:
-    zero = F.lit(0)
-    return k.select("token", F.lit(zone).alias("zone"), x.alias("x"), x.alias("y"), "id", "tag", "n", zero.alias("role"), zero.alias("salt"), "component")
+def _packed(placed: DataFrame) -> DataFrame:
+    """``(token, at, lo, hi, members)``: a row for each block, with its range of sizes and its members' bitmaps."""
+    members = F.collect_list(F.struct("id", "n", "component", "bits"))
+    return placed.groupBy("token", "at").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), members.alias("members"))
+
+
+def _met(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """``(token, same, p, q)``: the members of all pairs of blocks of a group, each with itself too, that may hold a link of different components.
+
+    A block is sent to a fixed number of tasks, in groups of over SPREAD * HELD blocks to one for every HELD blocks.
+    """
+    n = F.count("*")
+    tasks = F.greatest(F.least(n, F.lit(SPREAD)), F.ceil(n / F.lit(HELD))).cast("int")
+    b = blocks.join(blocks.groupBy("token").agg(tasks.alias("tasks")), "token")
+    p = b.select("token", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *[F.col(c).alias("p_" + c) for c in ("at", "lo", "hi", "members")])
+    q = b.select("token", F.pmod(F.xxhash64("at"), F.col("tasks")).cast("int").alias("task"), *[F.col(c).alias("q_" + c) for c in ("at", "lo", "hi", "members")])
+    c = F.col
+    apart = ~(c("p_at.own") & c("q_at.own") & (c("p_at.of") == c("q_at.of")))
+    sizes = (c("p_hi") * den >= c("q_lo") * num) & (c("q_hi") * den >= c("p_lo") * num)
+    pairs = p.join(q, ["token", "task"]).where((c("p_at") <= c("q_at")) & sizes & apart)
+    return pairs.select("token", (c("p_at") == c("q_at")).alias("same"), "p_members", "q_members")
+
+
+def _candidates(ids, sizes, part, maps, num: int, den: int, offer: str, side=None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The pairs that a cell offers, of different sides where there are two, and whether it has more."""
+    across = offer != "first"
+    a, b, most = tree.candidates(sizes, maps, num, den, part if across else None)
+    ok = ids[a] != ids[b]
+    if side is not None:
+        ok &= side[a] != side[b]
+    if across:
+        ok &= part[a] != part[b]
+    a, b, most = a[ok], b[ok], most[ok]
+    if offer == "best" or (offer == "first" and len(a) > 2 * len(ids)):
+        node = np.unique(part, return_inverse=True)[1]
+        kept = tree.forest(node[a], node[b], most / (sizes[a] + sizes[b] - most), len(ids))
+        return a[kept], b[kept], len(kept) < len(a)
+    return a, b, False
+
+
+def _offered(ids: np.ndarray, a: np.ndarray, b: np.ndarray, token: int, more: bool) -> Iterator[tuple[int, int | None, int]]:
+    if more:
+        yield int(ids[0]), None, token
+    for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
+        yield min(x, y), max(x, y), token
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    x, y, z = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.int64())], names=["a", "b", "token"])
+
+
+def _walk_blocks(pairs: DataFrame, num: int, den: int, offer: str) -> DataFrame:
+    """``_walk`` for pairs of blocks of large groups."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column(1)[i].as_py()
+                sides = [batch.column(c).slice(i, 1).flatten() for c in ((2,) if same else (2, 3))]
+                ids, sizes, part = (np.concatenate([np.asarray(x.field(f)) for x in sides]) for f in range(3))
+                if (part == part[0]).all():
+                    continue
+                maps = [np.frombuffer(v, dtype=np.uint64) for x in sides for v in x.field(3).to_pylist()]
+                side = None if same else np.repeat([0, 1], [len(x) for x in sides])
+                a, b, more = _candidates(ids, sizes, part, maps, num, den, offer, side)
+                if out := list(_offered(ids, a, b, batch.column(0)[i].as_py(), more)):
+                    yield _batch(out)
+
+    return pairs.mapInArrow(released(run), "a long, b long, token long")
 
 
 def _walk(cells: DataFrame, num: int, den: int, offer: str) -> DataFrame:
@@ -207,34 +281,19 @@ def _walk(cells: DataFrame, num: int, den: int, offer: str) -> DataFrame:
     pairs first, "all" offers all pairs.
     """
     across = offer != "first"
-    columns = ["token", "zone", "x", "y", "id", "n", "role", "salt", "component", "bits"]
-    dealt = cells.select(*columns).repartition("token", "zone", "x", "y").sortWithinPartitions("token", "zone", "x", "y", "id")
+    columns = ["token", "zone", "x", "id", "n", "component", "bits"]
+    dealt = cells.select(*columns).repartition("token", "zone", "x").sortWithinPartitions("token", "zone", "x", "id")
 
     def solve(t: dict[str, np.ndarray], bits: list[bytes]) -> Iterator[tuple[int, int | None, int]]:
-        ids, sizes, token = t["id"], t["n"], int(t["token"][0])
-        part = t["component"] if across else None
+        ids, sizes, part, more = t["id"], t["n"], t["component"], False
         if len(ids) < 2 or (across and (part == part[0]).all()):
             return
         maps = [np.frombuffer(x, dtype=np.uint64) for x in bits]
         if int(t["zone"][0]) == CHAIN:
             a, b = tree.chain(sizes, maps, num, den)
         else:
-            a, b, most = tree.candidates(sizes, maps, num, den, part)
-            role, salt = t["role"], t["salt"]
-            ok = (role[a] + role[b] < 2) & (ids[a] != ids[b])
-            if t["x"][0] != t["y"][0]:
-                ok &= salt[a] != salt[b]
-            if across:
-                ok &= part[a] != part[b]
-            a, b, most = a[ok], b[ok], most[ok]
-            if offer == "best" or (offer == "first" and len(a) > 2 * len(ids)):
-                node = np.unique(t["component"], return_inverse=True)[1]
-                kept = tree.forest(node[a], node[b], most / (sizes[a] + sizes[b] - most), len(ids))
-                if len(kept) < len(a):
-                    yield int(ids[0]), None, token
-                a, b = a[kept], b[kept]
-        for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
-            yield min(x, y), max(x, y), token
+            a, b, more = _candidates(ids, sizes, part, maps, num, den, offer)
+        yield from _offered(ids, a, b, int(t["token"][0]), more)
 
     def run(batches):
         held = None
@@ -244,7 +303,7 @@ def _walk(cells: DataFrame, num: int, den: int, offer: str) -> DataFrame:
                 continue
             t = t.combine_chunks()
             cols = {c: np.asarray(t.column(c)) for c in columns[:-1]}
-            runs = tree.groups(np.stack([cols[c] for c in columns[:4]], axis=1))
+            runs = tree.groups(np.stack([cols[c] for c in columns[:3]], axis=1))
             held = None
             if b is not None:
                 held = t.slice(runs[-1][0])
@@ -254,8 +313,7 @@ def _walk(cells: DataFrame, num: int, den: int, offer: str) -> DataFrame:
             for lo, hi in runs:
                 out += solve({c: v[lo:hi] for c, v in cols.items()}, bits.slice(lo, hi - lo).to_pylist())
             if out:
-                x, y, z = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.int64())], names=["a", "b", "token"])
+                yield _batch(out)
 
     return dealt.mapInArrow(released(run), "a long, b long, token long")
 
@@ -410,8 +468,13 @@ def _links(s, member, docs, id_col, text_col, k_words, num, den) -> tuple[DataFr
         bits = _bits_of(now, docs, id_col, text_col, k_words)
         if repeats:
             bits = bits.dropDuplicates(["id", "tag"])
-        cells = _whole(now.where(F.col("c") <= BLOCK), 0, F.lit(0)).unionByName(_banded(now.where(F.col("c") > BLOCK), num, den))
-        found = materialise(_walk(cells.join(bits, ["id", "tag"]), num, den, offer), "candidates")
+        bits = materialise(bits, "bitmaps")
+        whole, large = now.where(F.col("c") <= BLOCK), now.where(F.col("c") > BLOCK)
+        found = _walk(_whole(whole, 0, F.lit(0)).join(bits, ["id", "tag"]), num, den, offer)
+        if not large.isEmpty():
+            blocks = materialise(_packed(_placed(large, num, den).join(bits, ["id", "tag"])), "blocks")
+            found = found.unionByName(_walk_blocks(_met(blocks, num, den), num, den, offer))
+        found = materialise(found, "candidates")
         new = materialise(found.where("b is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = materialise(verified(new, docs, id_col, text_col, k_words, num, den), "links")
         parts = merged_components(parts, more, "a", "b")

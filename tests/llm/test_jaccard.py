@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from netgrid.llm import jaccard
 from netgrid.llm import signature_tree as tree
 from netgrid.llm.jaccard import Prefix, id_filter, jaccard_join, least_rare, one_of_each
 
@@ -149,3 +150,29 @@ def test_one_of_each_with_repeated_ids(spark):
     rows = [(5, a), (5, a), (5, b), (7, b + " z"), (9, "alone here with words"), (None, a), (6, None), (6, None)]
     got = sorted((r.doc_id or 0, r.text or "") for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([(5, a), (5, b), (9, "alone here with words"), (0, a), (6, "")])
+
+
+def test_large_groups_are_dealt_once(spark, monkeypatch):
+    """Groups of many blocks give the links of brute force, and no more rows than the groups have members."""
+    monkeypatch.setattr(jaccard, "BLOCK", 24)
+    monkeypatch.setattr(jaccard, "SMALL", 16)
+    monkeypatch.setattr(jaccard, "HELD", 2)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(70)]
+    rows = []
+    for i in range(260):
+        w = list(base[: 70 - i % 9])
+        for _ in range(rng.choice((0, 2, 4, 5, 6))):
+            w[rng.randrange(len(w))] = f"x{i}-{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    tables, dealt = [], []
+    keep, walk = jaccard.materialise, jaccard._walk
+    monkeypatch.setattr(jaccard, "materialise", lambda df, label: tables.append((label, t := keep(df, label))) or t)
+    monkeypatch.setattr(jaccard, "_walk", lambda cells, *a: dealt.append(cells) or walk(cells, *a))
+    got, _ = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=8, den=10)
+    want = brute(rows, 3, 8, 10)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want and len({c for _, c in want.values()}) > 20
+    groups, blocks = ([t for label, t in tables if label == name] for name in ("groups", "blocks"))
+    assert len(groups) == len(dealt) == 3 and all(c.count() <= g.count() for c, g in zip(dealt, groups))
+    assert blocks and all(b.groupBy("token").count().selectExpr("max(count)").first()[0] > 8 for b in blocks)
+    assert all(b.selectExpr("sum(size(members))").first()[0] <= g.count() for b, g in zip(blocks, groups[1:]))
