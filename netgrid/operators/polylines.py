@@ -7,7 +7,7 @@ and cuts are those of whole lines; pieces keep the vertices between their ends.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netgrid.operators.lines import inside_buffers, line_length, united
@@ -16,6 +16,10 @@ from netgrid.operators.projection import frames, from_frame, to_frame
 from netgrid.plans.storage import materialise
 
 POINTS = "array<struct<x:double,y:double>>"
+#: Side of the cells in which lines meet: wide against a segment, so that most lie in one cell.
+CELL = 250.0
+#: Measures of a line are summed up in parts of so many, as an array is copied with every sum that is added to it.
+PART = 64
 
 
 def as_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,21 +35,33 @@ def measured(lines: DataFrame, keys: list[str]) -> DataFrame:
     ``length`` is the whole line's, ``first`` and ``last`` are its end points.
     A line of fewer than two vertices has no segment.
     """
-    ends = lines.select(*keys, "line_id", line_length(F.col("coords")).alias("length"), F.get("coords", F.lit(0)).alias("first"), F.get("coords", F.size("coords") - 1).alias("last"), F.posexplode("coords").alias("seg_no", "p"))
-    w = Window.partitionBy(*keys, "line_id").orderBy("seg_no")
-    seg = ends.withColumn("q", F.lead("p").over(w)).where("q IS NOT NULL")
-    step = F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y"))
-    seg = seg.withColumn("step", step).withColumn("m1", F.sum("step").over(w))
-    return seg.select(
-        *keys, "line_id", "seg_no", F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1"), (F.col("m1") - F.col("step")).alias("m0"), "m1", "length", "first", "last"
+    p = lambda k: F.get("coords", k)
+    n = F.greatest(F.size("coords") - 1, F.lit(0))
+    steps = F.zip_with(F.slice("coords", 1, n), F.slice("coords", 2, n), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+    start = lambda m, kind: F.struct(m.alias("m"), F.array().cast(kind).alias("all"))
+
+    def add(s, x):
+        m = s["m"] + F.coalesce(x, F.lit(0.0))
+        return F.struct(m.alias("m"), F.concat(s["all"], F.array(m)).alias("all"))
+
+    def add_part(s, k):
+        part = F.aggregate(F.slice("steps", k, PART), start(s["m"], "array<double>"), add, lambda t: t["all"])
+        return F.struct(F.element_at(part, -1).alias("m"), F.concat(s["all"], F.array(part)).alias("all"))
+
+    sums = F.flatten(F.aggregate(F.sequence(F.lit(1), F.size("steps"), F.lit(PART)), start(F.lit(0.0), "array<array<double>>"), add_part, lambda s: s["all"]))
+    seg = lambda m, i: F.struct(
+        i.alias("seg_no"), p(i)["x"].alias("x0"), p(i)["y"].alias("y0"), p(i + 1)["x"].alias("x1"), p(i + 1)["y"].alias("y1"), (m - F.get("steps", i)).alias("m0"), m.alias("m1"), p(i + 1).isNotNull().alias("there")
     )
+    of = lines.where(F.size("coords") > 1).withColumn("steps", steps).withColumn("sums", F.when(F.size("steps") > 0, sums))
+    of = of.select(*keys, "line_id", F.inline(F.transform("sums", seg)), line_length(F.col("coords")).alias("length"), p(F.lit(0)).alias("first"), p(F.size("coords") - 1).alias("last"))
+    return of.where("there").drop("there")
 
 
 def along(segments: DataFrame, zone: DataFrame, keys: list[str], buf: float = 4.0) -> DataFrame:
     """``(keys, line_id, m0, m1)``: the stretches of measured lines inside the buffers of ``zone`` segments, apart from each other."""
     part = segments.select(*keys, F.struct("line_id", "m0", "m1").alias("line_id"), "x0", "y0", "x1", "y1")
     at = lambda t: F.col("line_id.m0") + F.col(t) * (F.col("line_id.m1") - F.col("line_id.m0"))
-    found = inside_buffers(part, zone, keys, buf).select(*keys, F.col("line_id.line_id").alias("line_id"), at("t0").alias("m0"), at("t1").alias("m1"))
+    found = inside_buffers(part, zone, keys, buf, CELL).select(*keys, F.col("line_id.line_id").alias("line_id"), at("t0").alias("m0"), at("t1").alias("m1"))
     return united(found, [*keys, "line_id"], "m0", "m1")
 
 
@@ -71,7 +87,7 @@ def snap_line_ends(human: DataFrame, segments: DataFrame, keys: list[str], snap:
     the line is to be cut at the foot's measure. All ends are snapped against
     the lines as they were; ties go to the least line id, then to the least measure.
     """
-    near = near_segments(end_points(human, keys), segments, keys, snap, carry=["seg_no", "m0", "m1", "first", "last"]).where("line_id <> other_id")
+    near = near_segments(end_points(human, keys), segments, keys, snap, CELL, ["seg_no", "m0", "m1", "first", "last"]).where("line_id <> other_id")
     kept = F.struct("other_id", "sx0", "sy0", "sx1", "sy1", "t", "sm0", "sm1", "sfirst", "slast")
     best = near.groupBy(*keys, "line_id", "end").agg(F.min_by(kept, F.struct("d", "other_id", "sseg_no")).alias("b")).select(*keys, "line_id", "end", "b.*")
     foot = best.withColumns({"fx": F.col("sx0") + F.col("t") * (F.col("sx1") - F.col("sx0")), "fy": F.col("sy0") + F.col("t") * (F.col("sy1") - F.col("sy0"))})

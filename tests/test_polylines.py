@@ -213,3 +213,19 @@ def test_near_segments_is_linear_in_length(spark):
     at_ = spark.createDataFrame([(1, float(k), k + 2.0) for k in range(0, 100000, 5000)] + [(1, 50.0, 900.0)], "net long, x double, y double")
     got = near_segments(at_, seg, ["net"], 3.0)
     assert got.count() == 20 and all(math.isclose(r.d, math.sqrt(2), rel_tol=1e-6) for r in got.collect())
+
+
+def test_measures_are_not_shuffled(spark):
+    """A line's measures come from its own row, in parts where it is long."""
+    rng = random.Random(8)
+    lines = [(i, [(rng.uniform(0, 99), rng.uniform(0, 99)) for _ in range(n)]) for i, n in enumerate((64, 65, 66, 129, 500))]
+    got = polylines.measured(df(spark, lines), ["net"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.line_id, r.seg_no): (r.m0, r.m1, r.x0, r.y1) for r in got.collect()}
+    assert len(rows) == sum(len(c) - 1 for _, c in lines)
+    for i, c in lines:
+        m = 0.0
+        for k, d in enumerate(steps(c)):
+            m0, m1, x, y = rows[i, k]
+            assert math.isclose(m0, m, abs_tol=1e-9) and math.isclose(m1, m + d, rel_tol=1e-12) and (x, y) == (c[k][0], c[k + 1][1])
+            m += d
