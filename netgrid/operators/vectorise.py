@@ -169,15 +169,23 @@ def trace(skeleton: DataFrame, keys: list[str], size: float = 1.0, block: int =
     return lines.select(*keys, "line_id", F.transform(F.flatten("p.cells"), centre).alias("coords"))
 
 
-def vectorize(
-    mask: DataFrame, conf: DataFrame, keys: list[str], height: int, width: int, size: float = 1.0, radius: int = 2, holes: int = 200, small: int = 400,
-    tolerance: float = 2.0, min_length: float = 25.0, value: str = "conf", skeleton: DataFrame | None = None,
+def centrelines(
+    mask: DataFrame, keys: list[str], height: int, width: int, size: float = 1.0, radius: int = 2, holes: int = 200, small: int = 400, tolerance: float = 2.0, min_length: float = 25.0,
+    skeleton: DataFrame | None = None,
 ) -> DataFrame:
-    """Centrelines of a mask: cleaned, thinned (or ``skeleton``, if that is known), traced, simplified, short ones dropped; with length and mean confidence."""
+    """``(keys, line_id, coords, length_m)``: the lines of a mask, cleaned, thinned (or ``skeleton``, if that is known), traced, simplified, short ones dropped."""
     if skeleton is None:
         skeleton = thin(clean_mask(mask, keys, height, width, radius, holes, small), keys)
     line = simplify(trace(skeleton, keys, size), tolerance).withColumn("length_m", line_length(F.col("coords")))
-    line = materialise(line.where(F.col("length_m") >= min_length), "lines")
+    return materialise(line.where(F.col("length_m") >= min_length), "lines")
+
+
+def vectorize(
+    mask: DataFrame, conf: DataFrame, keys: list[str], height: int, width: int, size: float = 1.0, radius: int = 2, holes: int = 200, small: int = 400,
+    tolerance: float = 2.0, min_length: float = 25.0, value: str = "conf", skeleton: DataFrame | None = None,
+) -> DataFrame:
+    """The centrelines of a mask, with length and mean confidence."""
+    line = centrelines(mask, keys, height, width, size, radius, holes, small, tolerance, min_length, skeleton)
     c = sample_along(line, conf, keys, size, height, width, value)
     out = line.join(c, [*keys, "line_id"])
     return out.withColumns({"length_m": F.round("length_m", 2), "confidence": F.round("confidence", 4), "confidence_pct": F.round(F.col("confidence") * 100, 1)})

@@ -342,8 +342,7 @@ def _(t):
 
 @query("i2_try_candidates")
 def _(t):
-    v = _ladder(t).where("threshold <= 0.4")
-    return edits.try_candidates(_conf(t), vectorise.thin(_truth(t), KEY), v, KEY, 1.0, 64, 64, "balanced", 1, 4, 6, 1.0, 6.0)
+    return edits.try_candidates(_conf(t), vectorise.thin(_truth(t), KEY), _ladder(t), KEY, 1.0, 64, 64, "balanced", 1, 4, 6, 1.0, 6.0)
 
 
 @query("i3_apply_candidate", "SELECT raster_id, r, c, CASE WHEN raster_id % 2 = 0 THEN 0.0 ELSE conf END AS conf FROM fx_cells WHERE raster_id % 2 = 1 OR conf > 0.5")

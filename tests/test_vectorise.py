@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netgrid import queries_vector  # noqa: F401  registers
+from netgrid.catalog import QUERIES
 from netgrid.operators import cells, edits, vectorise
 from netgrid.sources import tables
 from netgrid.streaming import trace
@@ -206,6 +208,28 @@ def test_candidates(spark):
         edits.apply_candidate(live, live.withColumn("variant_id", F.lit("low")), "nosuch")
 
 
+def test_whole_ladder(spark, tmp_path):
+    # raster 1: a road, a faint stripe beside it and a dot; raster 2: a dot; raster 3: a wrong stripe, without truth
+    drawn = [(1, r, c, 0.065, "R") for r in range(30, 34) for c in range(64)] + [(1, r, c, 0.035, "N") for r in range(5, 9) for c in range(64)]
+    drawn += [(1, 50, 50, 0.1, "N"), (2, 9, 9, 0.1, "N")] + [(3, r, c, 0.055, "N") for r in range(20, 24) for c in range(64)]
+    lineitem = spark.createDataFrame(drawn, "l_suppkey long, l_partkey long, l_orderkey long, l_discount double, l_returnflag string")
+    lineitem.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.region_id, r.variant_id): r for r in QUERIES["i2_try_candidates"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(k, v) for k in (0, 1, 2) for v in ("c1", "c2", "c3", "c4", "c5")]
+    assert [got[0, v].threshold for v in ("c1", "c2", "c3", "c4", "c5")] == [0.3, 0.4, 0.5, 0.6, 0.7]
+    assert [got[0, v].rank for v in ("c2", "c3", "c4", "c1", "c5")] == [1, 2, 3, 4, 5]
+    assert got[0, "c2"].score == got[0, "c3"].score == got[0, "c4"].score > 0.9 > got[0, "c1"].score > got[0, "c5"].score == 0.0
+    assert all((got[k, v].precision, got[k, v].recall, got[k, v].score) == (0.0, 0.0, 0.0) for k, v in got if k)
+
+
+def test_candidates_without_lines(spark):
+    conf = spark.createDataFrame([(1, 10, c, 0.5) for c in range(60)] + [(2, 10, 10, 0.9)], "net long, r long, c long, conf double")
+    v = spark.createDataFrame([("low", 0.3), ("high", 0.6)], "variant_id string, threshold double")
+    free = {(r.net, r.variant_id): r for r in edits.try_candidates(conf, None, v, ["net"], 1.0, 64, 64, radius=0, holes=0, small=1, min_length=6.0).collect()}
+    assert sorted(free) == [(1, "high"), (1, "low"), (2, "high"), (2, "low")]
+    assert free[1, "low"].score > 0 and free[1, "low"].rank == 1 and free[1, "high"].score == free[2, "high"].score == free[2, "low"].score == 0.0
+
+
 def test_measure_bases(spark):
     seg = net(spark, (1, (0, 10.5, 50, 10.5))).unionByName(net(spark, (1, (0, 10.5, 50, 10.5))).withColumn("net", F.lit(2).cast("long")))
     nets = spark.createDataFrame([(1,), (2,), (3,)], "net long")
