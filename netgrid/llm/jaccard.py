@@ -464,7 +464,8 @@ def _links(s, member, docs, id_col, text_col, k_words, num, den) -> tuple[DataFr
         now = k.drop("component").join(todo, "token", "left_semi").join(parts.withColumnRenamed("node", "id"), "id", "left")
         now = materialise(now.withColumn("component", F.coalesce("component", "id")), "groups")
         several = now.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-        now = now.join(several.select("token"), "token", "left_semi")
+        # read several times below; a later round has no other groups
+        k = now = materialise(now.join(several.select("token"), "token", "left_semi"), "several")
         bits = _bits_of(now, docs, id_col, text_col, k_words)
         if repeats:
             bits = bits.dropDuplicates(["id", "tag"])

@@ -176,3 +176,24 @@ def test_large_groups_are_dealt_once(spark, monkeypatch):
     assert len(groups) == len(dealt) == 3 and all(c.count() <= g.count() for c, g in zip(dealt, groups))
     assert blocks and all(b.groupBy("token").count().selectExpr("max(count)").first()[0] > 8 for b in blocks)
     assert all(b.selectExpr("sum(size(members))").first()[0] <= g.count() for b, g in zip(blocks, groups[1:]))
+
+
+def test_groups_of_a_round_are_picked_once(spark, monkeypatch):
+    """What a round reads more than once is a table: no join that picks its groups is made again."""
+    monkeypatch.setattr(jaccard, "BLOCK", 24)
+    monkeypatch.setattr(jaccard, "SMALL", 16)
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        w = [f"b{j}" for j in range(60 - i % 7)]
+        for _ in range(rng.choice((0, 2, 4, 6))):
+            w[rng.randrange(len(w))] = f"x{i}-{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    read = []
+    for name in ("_bits_of", "_whole", "_placed"):
+        own = getattr(jaccard, name)
+        monkeypatch.setattr(jaccard, name, lambda df, *a, own=own, name=name: read.append((name, df)) or own(df, *a))
+    got, _ = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=8, den=10)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 3, 8, 10)
+    assert {name for name, _ in read} == {"_bits_of", "_whole", "_placed"}
+    assert not [name for name, df in read if "Join" in df._jdf.queryExecution().optimizedPlan().toString()]
